@@ -1,7 +1,7 @@
 """All queries of this subpackage with their SQL."""
 
-from lociweave.llm import quality
+from lociweave.llm import licenses, quality, sharding, tokens
 
-_MODULES = (quality,)
+_MODULES = (quality, sharding, tokens, licenses)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE = {k: v for m in _MODULES for k, v in m.ORACLE.items()}
