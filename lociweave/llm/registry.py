@@ -1,7 +1,7 @@
 """All queries of this subpackage with their SQL."""
 
-from lociweave.llm import licenses, quality, sharding, tokens
+from lociweave.llm import licenses, mixing, quality, sharding, simhash, tokens
 
-_MODULES = (quality, sharding, tokens, licenses)
+_MODULES = (quality, sharding, tokens, licenses, simhash, mixing)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE = {k: v for m in _MODULES for k, v in m.ORACLE.items()}
