@@ -1,7 +1,7 @@
 """All queries of this subpackage with their SQL."""
 
-from lociweave.llm import decontamination, licenses, linededup, mixing, quality, repair, sharding, simhash, tokens
+from lociweave.llm import decontamination, licenses, linededup, lm, mixing, quality, repair, sharding, simhash, tokens
 
-_MODULES = (quality, sharding, tokens, licenses, simhash, mixing, decontamination, linededup, repair)
+_MODULES = (quality, sharding, tokens, licenses, simhash, mixing, decontamination, linededup, repair, lm)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE = {k: v for m in _MODULES for k, v in m.ORACLE.items()}
