@@ -57,6 +57,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Up to so many ids (16 bytes each, about) are broadcast; more are joined by shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def checked(ids: DataFrame) -> DataFrame:
+    """``ids`` with a broadcast hint where their number, counted here, allows it."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z in lower case and nothing else; pure ASCII texts take the faster built-in."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, _UPPER, _UPPER.lower()))

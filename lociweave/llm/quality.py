@@ -151,9 +151,13 @@ def judge(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES)
 
 
 def keep(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows of ``docs`` that pass, with the columns of ``docs``."""
+    """The rows of ``docs`` that pass, with the columns of ``docs``.
+
+    The filter asks for a row number as well, since a filter is not pushed below one:
+    pushed, the counts would be computed anew at each of their places in the verdict.
+    """
     held = docs.select(F.struct("*").alias("_row"), F.col(text).alias("_text"))
-    return judge(held, "_text", rules).filter("kept").select("_row.*")
+    return judge(held, "_text", rules).withColumn("_number", F.monotonically_increasing_id()).filter("kept and _number >= 0").select("_row.*")
 
 
 COLUMNS = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_rules")

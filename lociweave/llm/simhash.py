@@ -12,6 +12,10 @@ Defined cases: a null or empty text has fingerprint zero, which links like any
 other; fewer words than a shingle are one shingle; a null id never becomes a
 component's id unless all are null; repeated rows get equal results; extra
 columns pass through ``kept``; an empty table stays empty.
+
+``kept`` drops near copies of whole texts and asks for more than equal bits: it takes
+``SEEDS`` fingerprints of 5-word shingles, looks up the same balls in all their
+segments, verifies the complete distance and then the shingles' similarity.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociweave.llm.common import ascii_lower, cut, documents, words_of, written
+from lociweave.llm.common import ascii_lower, checked, cut, documents, words_of, written
 from lociweave.llm.components import components
 
 SHINGLE = 3
@@ -122,11 +126,93 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     return grouped(written(fingerprinted(docs.select(key, text), text, "fp", size).select(key, "fp"), "fingerprints"), key, "fp")
 
 
+#: The stage that drops near copies: words of a shingle, Jaccard similarity from which a copy counts, fingerprints of a text.
+COPY_SHINGLE = 5
+COPY_SHARE = 0.8
+SEEDS = 8
+#: Of the bits of all fingerprints, the part that may differ before shingles are compared.
+APART = 0.22
+
+
+def _many(hashes: Column) -> Column:
+    """Fingerprints under ``SEEDS`` mixings of the shingle hashes."""
+
+    @F.arrow_udf("array<long>")
+    def bits(lists: pa.Array) -> pa.Array:
+        counts = np.diff(np.asarray(lists.offsets))
+        flat = np.asarray(lists.flatten()).view(np.uint64)
+        out = np.empty((len(counts), SEEDS), dtype=np.uint64)
+        for s in range(SEEDS):
+            h = flat + np.uint64(0x9E3779B97F4A7C15 * (s + 1) & ((1 << 64) - 1))
+            h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            out[:, s] = majority(h ^ (h >> np.uint64(31)), counts)
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, SEEDS, dtype=np.int32)), pa.array(out.view(np.int64).ravel()))
+
+    return bits(hashes)
+
+
+def _meetings(classes: DataFrame) -> DataFrame:
+    """(a, b): each class with one class of every bucket of its balls, apart in at most ``APART`` of all bits.
+
+    A bucket is a segment of a fingerprint and its value. Only one class, by a hash
+    that differs between buckets, stands for a bucket, so a group of copies gives as
+    many rows as it has members and not their pairs.
+    """
+    segs = F.flatten(F.transform("fps", lambda x: F.array(_segment(x, 0), _segment(x, 1))))
+    keyed = classes.select("c", "fps", F.posexplode(segs).alias("s", "seg"))
+    table = keyed.groupBy("s", F.col("seg").alias("key")).agg(F.min_by(F.struct(F.col("c").alias("b"), F.col("fps").alias("_fps")), F.xxhash64("c", "s")).alias("_b"))
+    table = written(table.select(F.col("s").alias("_s"), F.col("key").alias("_key"), "_b.b", "_b._fps"), "buckets")
+    ones = F.array(*[F.lit(1 << k) for k in range(32)])
+    flips = F.transform(F.filter(ones, lambda o: F.col("seg").bitwiseAND(o) == 0), lambda o: F.col("seg").bitwiseOR(o))
+    asked = keyed.select("s", F.col("c").alias("a"), F.explode(F.concat(F.array("seg"), flips)).alias("key"))
+    met = asked.join(table, (F.col("s") == F.col("_s")) & (F.col("key") == F.col("_key"))).filter("a != b").select("a", "b", "_fps").dropDuplicates(["a", "b"])
+    mine = classes.select(F.col("c").alias("_c"), "fps")
+    far = F.aggregate(F.zip_with("fps", "_fps", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    return met.join(mine, F.col("a") == F.col("_c")).filter(far <= int(APART * 64 * SEEDS)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(_id, _c, _stay): every row's key, the class of its words, and the smallest key of its group of near copies.
+
+    Texts with equal words are a class. Classes that meet in a bucket are compared by
+    their sets of ``COPY_SHINGLE``-word shingles and linked from a Jaccard similarity of
+    ``COPY_SHARE`` on; a group is what links reach.
+    """
+    words = docs.select(F.col(key).alias("_id"), words_of(ascii_lower(F.col(text))).alias("_w"))
+    rows = words.select("_id", F.md5(F.array_join("_w", " ")).alias("_c"), shingle_hashes(F.col("_w"), COPY_SHINGLE).alias("_h")).withColumn("fps", _many(F.col("_h"))).drop("_h")
+    rows = written(rows, "classed")
+    classes = written(rows.groupBy(F.col("_c").alias("c")).agg(F.min("_id").alias("least"), F.first("fps").alias("fps")), "classes")
+    pairs = written(_meetings(classes), "meetings")
+    asked = pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b").alias("c"))).distinct()
+    wanted = written(classes.join(asked, "c", "left_semi").select("c", F.col("least").alias("_least")), "wanted")
+    texts = docs.join(checked(wanted), F.col(key).eqNullSafe(F.col("_least"))).select("c", words_of(ascii_lower(F.col(text))).alias("_w"))
+    sets = texts.filter(F.md5(F.array_join("_w", " ")) == F.col("c")).select("c", F.array_distinct(shingle_hashes(F.col("_w"), COPY_SHINGLE)).alias("h"))
+    sets = written(sets.groupBy("c").agg(F.first("h").alias("h")), "sets")
+    both = pairs.join(sets.withColumnRenamed("h", "ha"), F.col("a") == F.col("c")).drop("c").join(sets.withColumnRenamed("h", "hb"), F.col("b") == F.col("c"))
+    shared = F.size(F.array_intersect("ha", "hb"))
+    linked = both.filter(shared >= COPY_SHARE * (F.size("ha") + F.size("hb") - shared)).select("a", "b")
+    roots = components(linked, "a", "b")
+    rooted = written(classes.join(roots, F.col("c") == F.col("node"), "left").select("c", "least", F.coalesce("root", "c").alias("root")), "rooted")
+    least = written(rooted.groupBy(F.col("root").alias("of")).agg(F.min("least").alias("_stay")), "least")
+    known = written(rooted.join(least, F.col("root") == F.col("of")).select(F.col("c").alias("_of"), "_stay"), "known")
+    return rows.select("_id", "_c").join(known, F.col("_c") == F.col("_of")).select("_id", "_c", "_stay")
+
+
 def kept(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose key is their component's; rows with a null key stay where no keyed row is in their component."""
-    found = near_duplicates(docs, key, text)
-    stay = written(found.filter(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_stay")).distinct(), "stay")
-    return docs.join(stay, F.col(key).eqNullSafe(F.col("_stay")), "left_semi")
+    """The rows of ``docs`` without near copies: the one with the smallest key of each group stays.
+
+    Rows with a null key stay. Of rows that share key and words one stays.
+    """
+    found = written(copies(docs, key, text), "copies")
+    gone = written(found.filter((F.col("_id") != F.col("_stay")) & F.col("_stay").isNotNull()).select(F.col("_id").alias("_gone"), F.col("_c").alias("_words")).distinct(), "gone")
+    named = docs.withColumn("_words_of", F.md5(F.array_join(words_of(ascii_lower(F.col(text))), " ")))
+    left = named.join(checked(gone), (F.col(key) == F.col("_gone")) & (F.col("_words_of") == F.col("_words")), "left_anti")
+    twice = found.filter("_id is not null").groupBy("_id", "_c").count().filter("count > 1").limit(1).count()
+    if twice:
+        keyed = left.filter(F.col(key).isNotNull()).dropDuplicates([key, "_words_of"])
+        left = keyed.unionByName(left.filter(F.col(key).isNull()))
+    return left.drop("_words_of")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
