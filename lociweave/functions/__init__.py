@@ -1 +1 @@
-
+"""Column expressions and numerical kernels."""

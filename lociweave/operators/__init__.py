@@ -1 +1 @@
-
+"""DataFrame operators, one module a family of analyses."""

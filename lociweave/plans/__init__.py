@@ -1 +1 @@
-
+"""Named queries composed of the operators."""

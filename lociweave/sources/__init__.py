@@ -1 +1 @@
-
+"""Readers, sinks and adapters."""

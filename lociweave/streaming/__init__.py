@@ -1 +1 @@
-
+"""Incremental versions of the aggregations."""
