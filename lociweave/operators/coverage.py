@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,9 +92,6 @@ def median_capped(counts: DataFrame, reference: list[str], targets: list[str], s
     A draw without replacement with a seed from the site and sample, so a retry
     gives the same reads; a median below ``least`` zeroes the targets.
     """
-    import numpy as np
-    import pandas as pd
-
     per_site = counts.filter(F.col("sample").isin(reference)).groupBy(*SITE).agg(F.floor(F.percentile("depth", 0.5)).alias("_cap"))
 
     @F.pandas_udf("long")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lociweave.functions import expr
-from lociweave.operators import changes, coverage, diversity, ecology, genes, linkage, pairs, snps
+from lociweave.operators import changes, coverage, diversity, ecology, genes, inference, linkage, pairs, snps
 from lociweave.sources import adapters as A
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -534,3 +534,71 @@ def haplotype_homozygosity(spark, d):
 )
 def triplet_sweeps(spark, d):
     return rounded(changes.triplet_sweeps(A.site_counts(spark, d), pairs.triplets(A.samples(spark, d))))
+
+
+# Grouped inference: iterative or random, so without SQL; unit tests hold the kernels.
+
+
+@_query()
+def trajectory_pvalues(spark, d):
+    return inference.trajectory_pvalues(A.site_counts(spark, d), draws=200)
+
+
+@_query()
+def polymorphic_counts(spark, d):
+    return inference.polymorphic(A.site_counts(spark, d)).groupBy("species", "sample").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query()
+def smoothed_sfs(spark, d):
+    return rounded(inference.smoothed_spectra(snps.spectrum(A.annotated(spark, d)), rounds=30))
+
+
+@_query()
+def sample_clades(spark, d):
+    return inference.clades(diversity.pi_matrix(A.annotated(spark, d)), "pi_between", 0.42)
+
+
+@_query()
+def community_ordination(spark, d):
+    return rounded(inference.ordination(ecology.bray_curtis(A.species_profile(spark, d)), "bray_curtis"))
+
+
+@_query()
+def strain_inference(spark, d):
+    return rounded(inference.strains(A.site_counts(spark, d), snvs=300, near=3.5))
+
+
+@_query()
+def variance_explained(spark, d):
+    return rounded(inference.variance_explained(A.strain_frequency(spark, d), "freq", ["subject_id", "region"]))
+
+
+@_query()
+def rate_intervals(spark, d):
+    c, s = A.site_counts(spark, d), A.samples(spark, d)
+    n = changes.flips(c).groupBy("species", "sample_1", "sample_2").agg(F.count(F.lit(1)).alias("n"))
+    both = changes.opportunities(c).filter("sample_1 < sample_2").join(n, ["species", "sample_1", "sample_2"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return rounded(inference.rate_intervals(both.join(pairs.oriented(pairs.unordered(s), s), ["sample_1", "sample_2"]), "n", "n_sites", ["host"]))
+
+
+@_query()
+def region_rank_tests(spark, d):
+    return rounded(inference.rank_tests(A.strain_frequency(spark, d), "region", "freq", ["species"]))
+
+
+@_query()
+def fixation_errors(spark, d):
+    s = A.samples(spark, d)
+    return rounded(inference.fixation_errors(snps.spectrum(A.annotated(spark, d)).groupBy("species", "sample", "depth", "alt").agg(F.sum("n").alias("n")), pairs.consecutive(s)))
+
+
+@_query()
+def projected_sfs(spark, d):
+    return rounded(snps.projected_spectrum(A.site_counts(spark, d)))
+
+
+@_query()
+def median_capped_depth(spark, d):
+    reference, targets = [f"S{k:02d}" for k in range(6)], ["S06", "S07"]
+    return coverage.median_capped(A.site_counts(spark, d), reference, targets).groupBy("species", "sample").agg(F.sum("depth").alias("depth"), F.sum("alt").alias("alt"))
