@@ -536,6 +536,144 @@ def triplet_sweeps(spark, d):
     return rounded(changes.triplet_sweeps(A.site_counts(spark, d), pairs.triplets(A.samples(spark, d))))
 
 
+# Further analyses ------------------------------------------------------------------
+
+
+@_query("SELECT species, sample, CASE WHEN coverage >= 20 THEN 15.0::DOUBLE ELSE 1e9::DOUBLE + 1 END AS lower FROM a_species_profile")
+def absolute_thresholds(spark, d):
+    return coverage.absolute_windows(A.species_profile(spark, d))
+
+
+@_query(
+    f"""WITH {_CDF}, q AS (SELECT species, sample, CAST(MIN(depth) AS DOUBLE) AS m FROM c WHERE cdf >= 0.5::DOUBLE GROUP BY 1, 2)
+        SELECT species, sample, SUM(CASE WHEN m >= 5 AND depth BETWEEN FLOOR(0.3::DOUBLE * m) - 0.5::DOUBLE AND CEIL(3.0::DOUBLE * m) + 0.5::DOUBLE THEN depth ELSE 0 END) AS depth,
+          SUM(CASE WHEN m >= 5 AND depth BETWEEN FLOOR(0.3::DOUBLE * m) - 0.5::DOUBLE AND CEIL(3.0::DOUBLE * m) + 0.5::DOUBLE THEN alt ELSE 0 END) AS alt FROM a_site_counts JOIN q USING (species, sample) GROUP BY 1, 2"""
+)
+def windowed_totals(spark, d):
+    c = A.site_counts(spark, d)
+    return coverage.within_window(c, coverage.depth_windows(c)).groupBy("species", "sample").agg(F.sum("depth").alias("depth"), F.sum("alt").alias("alt"))
+
+
+@_query("SELECT species, sample, COUNT(*) AS n FROM a_site_counts GROUP BY 1, 2")
+def prevalent_sites_per_sample(spark, d):
+    return snps.prevalent_only(A.site_counts(spark, d)).groupBy("species", "sample").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query(f"WITH {_CDF} SELECT species, sample, MIN(depth) AS median FROM c WHERE cdf >= 0.5::DOUBLE GROUP BY 1, 2 HAVING median >= 20")
+def high_coverage_samples(spark, d):
+    return snps.high_coverage(coverage.nonzero_median(coverage.depth_histogram(A.site_counts(spark, d)), ["species", "sample"]))
+
+
+@_query(
+    f"""WITH {_G}, ho AS (SELECT species, contig, pos, subject_id, MAX(g) AS g FROM g JOIN a_samples USING (sample) WHERE g IS NOT NULL GROUP BY 1, 2, 3, 4), pv AS (SELECT species, contig, pos FROM ho GROUP BY 1, 2, 3 HAVING COUNT(*) >= 4 AND SUM(g) = 1),
+    e AS (SELECT a_sites.* FROM a_sites JOIN pv USING (species, contig, pos) WHERE depth >= 5)
+    SELECT species, a.sample AS sample_1, b.sample AS sample_2, COUNT(*) AS opportunities, SUM(CASE WHEN b.f <= 0.2::DOUBLE THEN 1 ELSE 0 END) AS reversions FROM e a JOIN e b USING (species, contig, pos)
+    WHERE a.sample <> b.sample AND a.f >= 0.8::DOUBLE AND (b.f >= 0.8::DOUBLE OR b.f <= 0.2::DOUBLE) GROUP BY 1, 2, 3"""
+)
+def tracked_private_snvs(spark, d):
+    c = A.site_counts(spark, d)
+    return changes.tracked_private(c, snps.private_snvs(c, A.samples(spark, d)))
+
+
+_CHG = f"{_COPY}, {_STATE}, chg AS (SELECT species, gene_id, a.sample AS sample_1, b.sample AS sample_2, CASE WHEN a.st = 0 THEN 'gain' ELSE 'loss' END AS kind FROM t a JOIN t b USING (species, gene_id) WHERE a.sample < b.sample AND a.st <> b.st)"
+
+
+@_query(f"WITH {_CHG} SELECT * FROM chg")
+def changed_genes(spark, d):
+    return genes.changed_genes(_copies(spark, d))
+
+
+@_query(
+    f"""WITH {_COPY}, {_STATE}, lo AS (SELECT species, gene_id, sample, CAST(SPLIT_PART(gene_id, '.', 4) AS BIGINT) AS n FROM t WHERE st = 1),
+    w AS (SELECT *, CASE WHEN n - LAG(n) OVER (PARTITION BY species, sample ORDER BY n) <= 2 THEN 0 ELSE 1 END AS fresh FROM lo), r AS (SELECT *, SUM(fresh) OVER (PARTITION BY species, sample ORDER BY n) AS run FROM w)
+    SELECT species, sample AS sample_1, sample AS sample_2, '1.1' AS genome, run, COUNT(*) AS n_genes, MIN(n) AS first_gene, MAX(n) AS last_gene FROM r GROUP BY 1, 2, 3, 4, 5"""
+)
+def gene_runs(spark, d):
+    normal = _copies(spark, d).filter("copynum > 0.6 and copynum < 1.2").select("species", "gene_id", F.col("sample").alias("sample_1"), F.col("sample").alias("sample_2"))
+    return genes.merged_nearby(normal, 2)
+
+
+@_query(
+    f"""WITH {_COPY}, pr AS (SELECT species, gene_id, AVG(CASE WHEN cn >= 0.3::DOUBLE THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS p FROM k GROUP BY 1, 2), pa AS (SELECT DISTINCT gene_id, variant_type AS pathway FROM a_site_info)
+        SELECT species, pathway, CASE WHEN p < 0.1 THEN '0-0.1' WHEN p < 0.5 THEN '0.1-0.5' WHEN p < 0.9 THEN '0.5-0.9' ELSE '0.9-1' END AS bin, COUNT(*) AS n_genes FROM pr JOIN pa USING (gene_id) GROUP BY 1, 2, 3"""
+)
+def pathway_prevalence(spark, d):
+    pathways = A.site_info(spark, d).select("gene_id", F.col("variant_type").alias("pathway")).distinct()
+    return genes.pathway_histogram(genes.prevalence(_copies(spark, d)), pathways)
+
+
+@_query(f"WITH {_REL}, m AS (SELECT species FROM r GROUP BY 1 HAVING MAX(a) > 0.3::DOUBLE) SELECT species, sample, ROUND(coverage, 6) AS coverage, ROUND(a, 6) AS abundance FROM r JOIN m USING (species)")
+def abundant_species(spark, d):
+    return rounded(ecology.abundant(A.species_profile(spark, d), 0.3))
+
+
+@_query(
+    """WITH x AS (SELECT MIN(region) AS lo, MAX(region) AS hi FROM a_strain_frequency)
+       SELECT species, ROUND(LOG2(AVG(CASE WHEN region = hi THEN freq END) + 1) - LOG2(AVG(CASE WHEN region = lo THEN freq END) + 1), 6) + 0.0::DOUBLE AS log2_fold FROM a_strain_frequency, x GROUP BY 1"""
+)
+def region_log_fold(spark, d):
+    s = A.strain_frequency(spark, d)
+    low, high = s.agg(F.min("region"), F.max("region")).first()
+    return rounded(ecology.log_fold(s, "region", low, high, ["species"], "freq"))
+
+
+@_query(
+    """WITH x AS (SELECT MIN(region) AS lo, MAX(region) AS hi FROM a_strain_frequency), q AS (SELECT species, n, SUM(CASE WHEN region = lo THEN 1 ELSE 0 END) AS na, SUM(CASE WHEN region = hi THEN 1 ELSE 0 END) AS nb FROM a_strain_frequency, x WHERE region IN (lo, hi) GROUP BY 1, 2),
+       c AS (SELECT species, ABS(SUM(na) OVER w::DOUBLE / SUM(na) OVER (PARTITION BY species) - SUM(nb) OVER w::DOUBLE / SUM(nb) OVER (PARTITION BY species)) AS g FROM q WINDOW w AS (PARTITION BY species ORDER BY n)) SELECT species, ROUND(MAX(g), 6) AS ks FROM c GROUP BY 1"""
+)
+def region_ks(spark, d):
+    s = A.strain_frequency(spark, d)
+    low, high = s.agg(F.min("region"), F.max("region")).first()
+    return rounded(ecology.ks_distance(s, "region", low, high, "n", ["species"]))
+
+
+@_query("SELECT a.sample AS sample_1, b.sample AS sample_2, CASE WHEN a.subject_id = b.subject_id THEN 'Within host' ELSE 'Between hosts' END AS host, CASE WHEN a.cage = b.cage THEN 'Same cage' ELSE 'Different cage' END AS cage FROM a_samples a JOIN a_samples b ON a.sample < b.sample")
+def pair_orientation(spark, d):
+    s = A.samples(spark, d)
+    return pairs.oriented(pairs.unordered(s), s)
+
+
+@_query(
+    """WITH c AS (SELECT a.sample, b.sample AS candidate, ABS(a.ord - b.ord) AS distance, b.ord AS bias FROM a_samples a JOIN a_samples b ON a.cage = b.cage AND a.subject_id <> b.subject_id),
+       q AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY sample ORDER BY distance, bias DESC, candidate) AS n FROM c) SELECT sample, distance, bias FROM q WHERE n = 1"""
+)
+def nearest_sample(spark, d):
+    s = A.samples(spark, d)
+    other = s.select(F.col("sample").alias("candidate"), F.col("subject_id").alias("_s"), "cage", F.col("ord").alias("bias"))
+    c = s.join(other, "cage").filter("subject_id <> _s").select("sample", "candidate", F.abs(F.col("ord") - F.col("bias")).alias("distance"), "bias")
+    return pairs.nearest(c, ["sample"], "distance", "bias").select("sample", "distance", "bias")
+
+
+@_query("SELECT c_custkey AS id, SPLIT_PART(c_mktsegment || '_' || c_name || '_' || CAST(c_custkey AS VARCHAR), '_', 1) AS genus, SUBSTR(c_mktsegment, 1, 1) || '. ' || c_name AS short, c_mktsegment || ' ' || c_name || ' (' || CAST(c_custkey AS VARCHAR) || ')' AS pretty FROM customer")
+def species_labels(spark, d):
+    name = F.concat_ws("_", "c_mktsegment", "c_name", F.col("c_custkey").cast("string"))
+    return spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("id"), expr.genus(name).alias("genus"), expr.abbreviated_species(name).alias("short"), expr.pretty_species(name, number=True).alias("pretty"))
+
+
+@_query(
+    """WITH e AS (SELECT user_id, ts, LAG(ts) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events) SELECT user_id, COUNT(before) AS n, ROUND(SUM(CAST(FLOOR(EPOCH(ts)) AS BIGINT) - CAST(FLOOR(EPOCH(before)) AS BIGINT)) / 3600.0::DOUBLE, 4) AS hours FROM e GROUP BY 1"""
+)
+def event_hours(spark, d):
+    from pyspark.sql import Window
+
+    e = spark.read.parquet(f"{d}/events.parquet").select("user_id", "ts")
+    w = Window.partitionBy("user_id").orderBy("ts")
+    gaps = e.withColumn("before", F.lag("ts").over(w)).withColumn("h", expr.hours_between(F.col("before"), F.col("ts")))
+    return rounded(gaps.groupBy("user_id").agg(F.count("before").alias("n"), F.sum("h").alias("hours")), 4)
+
+
+@_query("WITH g AS (SELECT DISTINCT gene_id, CAST(SPLIT_PART(gene_id, '.', 4) AS BIGINT) AS n FROM a_site_info) SELECT a.gene_id AS gene_1, b.gene_id AS gene_2, ABS(a.n - b.n) <= 5 AS near FROM g a JOIN g b ON a.gene_id < b.gene_id WHERE a.n < 40 AND b.n < 40")
+def genes_near(spark, d):
+    g = A.site_info(spark, d).select("gene_id").distinct().filter(expr.gene_number(F.col("gene_id")) < 40)
+    a, b = (g.select(F.col("gene_id").alias(f"gene_{k}")) for k in (1, 2))
+    return a.join(b, F.col("gene_1") < F.col("gene_2")).withColumn("near", expr.near(F.col("gene_1"), F.col("gene_2")))
+
+
+@_query("SELECT k AS nr, ROUND((10 + 2.0::DOUBLE * k) / (22 + 26.0::DOUBLE * k + 4.0::DOUBLE * k * k), 6) AS expected FROM (SELECT UNNEST(range(0, 100)) AS k)")
+def neutral_ld_curve(spark, d):
+    return rounded(spark.range(100).select(F.col("id").alias("nr"), expr.neutral_ld(F.col("id").cast("double")).alias("expected")))
+
+
 # Grouped inference: iterative or random, so without SQL; unit tests hold the kernels.
 
 
