@@ -129,26 +129,29 @@ def alt_threshold(depth: int, least: int = 2, pvalue: float = 0.05) -> int:
     return max(least, int(np.searchsorted(1 - cdf <= pvalue, True)))
 
 
-def trajectory_lrt(alts: np.ndarray, depths: np.ndarray, cap: float = ERROR) -> float:
-    """Log-likelihood gain of a frequency of its own for every sample outside the band that noise explains."""
-    alts, depths = np.asarray(alts, float), np.asarray(depths, float)
+def trajectory_gains(alts: np.ndarray, depths: np.ndarray, cap: float = ERROR) -> np.ndarray:
+    """For each row of ``alts``, the log-likelihood gain of a frequency of its own for every sample outside the band that noise explains."""
+    alts, depths = np.atleast_2d(np.asarray(alts, float)), np.asarray(depths, float)
     total = depths.sum()
-    p = min(alts.sum() / total, cap) if total else 0.0
-    if not 0 < p < 1:
-        return 0.0
+    if not total:
+        return np.zeros(len(alts))
+    p = np.minimum(alts.sum(1) / total, cap)[:, None]
     mean, sd = depths * p, np.sqrt(depths * p * (1 - p))
     low = np.maximum(0, np.minimum(np.floor(mean) - 0.5, mean - sd))
     high = np.minimum(depths, np.maximum(np.ceil(mean) + 0.5, mean + sd))
-    out = (depths > 0) & ((alts < low) | (alts > high))
-    a, d = alts[out], depths[out]
-    f = a / d
+    out = (p > 0) & (depths > 0) & ((alts < low) | (alts > high))
     with np.errstate(divide="ignore", invalid="ignore"):
-        gain = np.where(f > 0, a * np.log(f / p), 0) + np.where(f < 1, (d - a) * np.log((1 - f) / (1 - p)), 0)
-    return float(gain.sum())
+        f = alts / depths
+        gain = np.where(f > 0, alts * np.log(f / p), 0) + np.where(f < 1, (depths - alts) * np.log((1 - f) / (1 - p)), 0)
+    return np.where(out, gain, 0).sum(1)
+
+
+def trajectory_lrt(alts: np.ndarray, depths: np.ndarray) -> float:
+    return float(trajectory_gains(alts, depths)[0])
 
 
 def trajectory_pvalue(alts: np.ndarray, depths: np.ndarray, seed: int, draws: int = 10_000, enough: int = 100) -> float:
-    """Share of simulated trajectories that gain as much; stops after ``enough`` of them."""
+    """(k + 1) / (n + 1) for the share of simulated trajectories that gain as much; stops once more than ``enough`` do."""
     alts, depths = np.asarray(alts), np.asarray(depths)
     seen = trajectory_lrt(alts, depths)
     if seen <= 0:
@@ -156,9 +159,9 @@ def trajectory_pvalue(alts: np.ndarray, depths: np.ndarray, seed: int, draws: in
     p = min(alts.sum() / depths.sum(), ERROR)
     rng, hits, n = np.random.default_rng(seed), 0, 0
     while n < draws and hits <= enough:
-        for row in rng.binomial(depths, p, size=(min(200, draws - n), len(depths))):
-            n += 1
-            hits += trajectory_lrt(row, depths) >= seen
+        size = min(500, draws - n)
+        hits += int((trajectory_gains(rng.binomial(depths, p, size=(size, len(depths))), depths) >= seen).sum())
+        n += size
     return (hits + 1) / (n + 1)
 
 

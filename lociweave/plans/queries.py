@@ -704,7 +704,7 @@ def community_ordination(spark, d):
 
 @_query()
 def strain_inference(spark, d):
-    return rounded(inference.strains(A.site_counts(spark, d), snvs=300, near=3.5))
+    return rounded(inference.strains(A.site_counts(spark, d), snvs=300, near=12.0, least=4))
 
 
 @_query()
