@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociweave.llm.common import BLANK_RUN, BLANKS, documents, written
+from lociweave.llm.common import BLANK_RUN, BLANKS, BROADCAST_IDS, documents, written
 
 MIN_WORDS = 20
 
@@ -112,6 +112,9 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", least
     lines = written(line_table(docs, key, text, least), "lines")
     gone = later_copies(lines).select("d", "r", F.explode(F.sequence(F.col("k"), F.col("k") + F.col("n") - 1)).alias("k"))
     gone = written(gone.groupBy("d", "r").agg(F.array_sort(F.collect_set("k")).alias("_gone")), "gone")
+    rows, places = gone.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("_gone")), F.lit(0))).first()
+    if rows <= BROADCAST_IDS and places <= 4 * BROADCAST_IDS:
+        gone = F.broadcast(gone)
     out = docs.withColumn("_r", F.xxhash64(text)).join(gone, F.col(key).eqNullSafe(F.col("d")) & (F.col("_r") == F.col("r")), "left").drop("d", "r", "_r")
     out = out.withColumn("_all", _lines(F.col(text))).withColumn("_full", _full(F.col("_all")))
     out = out.withColumn("deleted_lines", F.transform(F.coalesce("_gone", F.array().cast("array<int>")), lambda k: F.get("_full", k)))
@@ -122,7 +125,7 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", least
 
 def op10_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = deduplicated(documents(spark, sf_dir).select("doc_id", "text"))
-    return out.select("doc_id", "n_lines", F.size("deleted_lines").cast("bigint").alias("n_deleted"), F.array_join(F.transform("deleted_lines", lambda i: i.cast("string")), ",").alias("deleted_lines"), F.md5("clean_text").alias("clean_md5"))
+    return out.select("doc_id", "n_lines", F.size("deleted_lines").cast("bigint").alias("n_deleted"), F.array_join(F.transform("deleted_lines", lambda i: i.cast("string")), ",").alias("deleted_lines"), F.md5(F.coalesce("clean_text", F.lit(""))).alias("clean_md5"))
 
 
 ORACLE = {
