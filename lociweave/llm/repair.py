@@ -43,7 +43,8 @@ BASE = 1 << 16
 LEAST_COUNT = 16
 ROUND_RULES = 1 << 14
 ROUNDS = 6
-LEAST_GAIN = 0.03
+#: A round that replaces a smaller part of the codes is the last.
+LEAST_GAIN = 0.08
 
 
 def compress(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -75,8 +76,9 @@ def compress(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         began = np.maximum.accumulate(np.where(on, 0, place + 1))
         on &= (place - began) % 2 == 0
         hit = np.flatnonzero(on)
-        if len(hit) < LEAST_GAIN * len(codes):
+        if not len(hit):
             break
+        little = len(hit) < LEAST_GAIN * len(codes)
         used, which = np.unique(at[hit], return_inverse=True)
         pair = firsts[best[used]]
         left, right = (pair >> np.uint64(32)).astype(np.uint32), (pair & np.uint64(0xFFFFFFFF)).astype(np.uint32)
@@ -87,6 +89,8 @@ def compress(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         keep[hit + 1] = False
         codes = codes[keep]
         rules, sizes = np.concatenate([rules, np.stack([left, right], axis=1)]), np.concatenate([sizes, added])
+        if little:
+            break
     return codes, rules, sizes
 
 

@@ -17,6 +17,7 @@ A piece of Latin letters and one full stop or comma is also two pre-tokens.
 
 from __future__ import annotations
 
+import array
 import functools
 import itertools
 import re
@@ -29,11 +30,12 @@ import pyarrow.compute as pc
 from lociweave.llm.common import one_thread
 
 #: Pieces a worker remembers, the longest of them in characters, and bytes for one call of the library.
-REMEMBERED = 1_000_000
+REMEMBERED = 600_000
 LONGEST = 40
 CALL_BYTES = 1 << 20
 
-_LETTERS = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
+TAILS = (".", ",")
+_LATIN = "^ ?[A-Za-zÀ-ÖØ-öø-ÿ]+[.,]?$"
 _SAFE = re.compile(r"(?<=\S)(?= \S)")
 
 
@@ -63,44 +65,52 @@ def by_bytes(pieces: list[str], most: int = CALL_BYTES) -> Iterator[list[str]]:
 
 
 class _Memory:
-    """What the library gives for a piece, remembered up to a bound; past it, the older half is forgotten.
+    """What the library gives for a piece, remembered up to a bound; past it, the older half is forgotten."""
 
-    ``fold``: the tokenizer lowers case, so Latin words are looked up in lower case.
-    """
-
-    def __init__(self, path: str, value: Callable, fold: bool):
-        self.tokenizer, self.value, self.fold, self.known = tokenizer(path), value, fold, {}
-
-    def _encode(self, pieces: list[str]) -> list:
-        return [self.value(e) for run in by_bytes(pieces) for e in self.tokenizer.encode_batch_fast(run, add_special_tokens=False)]
+    def __init__(self, path: str, value: Callable):
+        self.tokenizer, self.value, self.known = tokenizer(path), value, {}
 
     def __call__(self, pieces: list[str]) -> list:
-        known, tails, far, keys = self.known, {}, {}, list(pieces)
-        for i, p in enumerate(keys):
-            if p[-1:] in (".", ",") and _LETTERS.fullmatch(p, 0, len(p) - 1):
-                tails[i], keys[i] = p[-1], p[:-1]
-        if self.fold:
-            keys = [p.lower() if _LETTERS.fullmatch(p) else p for p in keys]
+        known = self.known
         if len(known) > REMEMBERED:
             for k in list(itertools.islice(known, len(known) // 2)):
                 del known[k]
-        new = list(dict.fromkeys(k for k in itertools.chain(keys, set(tails.values())) if k not in known))
-        for k, v in zip(new, self._encode(new), strict=True):
-            (known if len(k) <= LONGEST else far)[k] = v
-        out = [known[k] if k in known else far[k] for k in keys]
-        for i, t in tails.items():
-            out[i] = out[i] + known[t]
+        out = [known.get(p) for p in pieces]
+        missing = [i for i, v in enumerate(out) if v is None]
+        at = 0
+        for run in by_bytes([pieces[i] for i in missing]):
+            for e in self.tokenizer.encode_batch_fast(run, add_special_tokens=False):
+                i = missing[at]
+                out[i] = v = self.value(e)
+                if len(pieces[i]) <= LONGEST:
+                    known[pieces[i]] = v
+                at += 1
         return out
 
 
 @functools.cache
 def _lengths(path: str) -> _Memory:
-    return _Memory(path, len, False)
+    return _Memory(path, len)
 
 
 @functools.cache
 def _ids(path: str) -> _Memory:
-    return _Memory(path, lambda e: np.array(e.ids, dtype="<u4").tobytes(), True)
+    return _Memory(path, lambda e: array.array("I", e.ids).tobytes())
+
+
+def _cores(pieces: pa.Array, fold: bool) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(distinct cores, core of each piece, tail of each piece or -1) with tails as places in ``TAILS``.
+
+    ``fold``: the tokenizer lowers case, so Latin words are looked up in lower case.
+    """
+    latin = pc.match_substring_regex(pieces, _LATIN)
+    tail = np.full(len(pieces), -1)
+    cores = pc.if_else(latin, pc.utf8_lower(pieces), pieces) if fold else pieces
+    for k, t in enumerate(TAILS):
+        tail[np.asarray(pc.and_(latin, pc.ends_with(pieces, t)))] = k
+    cores = pc.if_else(pa.array(tail >= 0), pc.utf8_slice_codeunits(cores, 0, -1), cores)
+    coded = cores.dictionary_encode()
+    return coded.dictionary.to_pylist(), np.asarray(coded.indices), tail
 
 
 def _strings(texts: pa.Array) -> pa.Array:
@@ -108,6 +118,12 @@ def _strings(texts: pa.Array) -> pa.Array:
     return pc.fill_null(texts.cast(pa.large_string()), "")
 
 
+def _counted(pieces: pa.Array, count: _Memory) -> np.ndarray:
+    cores, at, tail = _cores(pieces, False)
+    n = np.array(count(cores), dtype=np.int64).reshape(-1)[at]
+    return n + np.append(np.array(count(list(TAILS)), dtype=np.int64), 0)[tail]
+
+
 def token_counts(texts: pa.Array, path: str) -> np.ndarray:
     """The number of byte-level BPE tokens of each text, null as empty."""
     texts = _strings(texts)
@@ -126,11 +142,11 @@ def token_counts(texts: pa.Array, path: str) -> np.ndarray:
     used = np.zeros(len(pieces), dtype=bool)
     used[at[inner]] = True
     used &= plain
-    led[used] = count([" " + p for p in pieces.filter(pa.array(used)).to_pylist()])
+    led[used] = _counted(pc.binary_join_element_wise(pa.scalar("", pa.large_string()), pieces.filter(pa.array(used)), pa.scalar(" ", pa.large_string())), count)
     each = np.where(inner, led[at], 0)
     out = np.add.reduceat(each, starts)
     simple = np.flatnonzero(~odd)
-    out[simple] += np.array(count(pieces.take(pa.array(at[starts[simple]])).to_pylist()), dtype=np.int64).reshape(-1)
+    out[simple] += _counted(pieces.take(pa.array(at[starts[simple]])), count)
     for i in np.flatnonzero(odd):
         text = texts[i].as_py()
         out[i] = sum(count(_SAFE.split(text))) if text else 0
@@ -147,12 +163,19 @@ def token_ids(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     counts = np.diff(np.asarray(split.offsets))
     coded = split.flatten().dictionary_encode()
     at = np.asarray(coded.indices)
-    made = _ids(path)(coded.dictionary.to_pylist())
-    sizes = np.fromiter((len(b) // 4 for b in made), dtype=np.int64, count=len(made))
-    pool = np.frombuffer(b"".join(made), dtype="<u4")
-    first = np.cumsum(sizes) - sizes
-    n = sizes[at]
-    ends = np.cumsum(n)
-    ids = pool[np.repeat(first[at] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
-    per_text = np.concatenate([[0], ends])[np.concatenate([starts + counts])] - np.concatenate([[0], ends])[starts]
-    return ids, per_text
+    cores, core, tail = _cores(coded.dictionary, True)
+    memory = _ids(path)
+    made = memory(cores)
+    sizes = np.fromiter(map(len, made), dtype=np.int64, count=len(made)) // 4
+    # ids of each distinct piece: its core's, then its tail's
+    held = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(np.frombuffer(b"".join(made), dtype="<u4"))).take(pa.array(core)).flatten()
+    n = sizes[core]
+    pool = np.asarray(held)
+    if (tail >= 0).any():
+        marks = np.concatenate([np.frombuffer(b, dtype="<u4") for b in memory(list(TAILS))])
+        more = np.flatnonzero(tail >= 0)
+        pool = np.insert(pool, np.cumsum(n)[more], marks[tail[more]])
+        n = n + (tail >= 0)
+    ids = pa.LargeListArray.from_arrays(pa.array(np.append(0, np.cumsum(n))), pa.array(pool)).take(pa.array(at)).flatten()
+    ends = np.append(0, np.cumsum(n[at]))
+    return np.asarray(ids), ends[starts + counts] - ends[starts]
