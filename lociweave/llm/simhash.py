@@ -15,7 +15,9 @@ columns pass through ``kept``; an empty table stays empty.
 
 ``kept`` drops near copies of whole texts and asks for more than equal bits: it takes
 ``SEEDS`` fingerprints of 5-word shingles, looks up the same balls in all their
-segments, verifies the complete distance and then the shingles' similarity.
+segments, verifies the complete distance and then the shingles' similarity. That
+links most copies cheaply; an exact prefix-filter join on the shingles then compares
+what may still be a copy and is not linked yet, so no pair is missed.
 """
 
 from __future__ import annotations
@@ -132,6 +134,12 @@ COPY_SHARE = 0.8
 SEEDS = 8
 #: Of the bits of all fingerprints, the part that may differ before shingles are compared.
 APART = 0.22
+#: Shingles in this many texts or more of a sample of about so many come last in the order of prefixes; which ones do changes the cost only.
+COMMON = 3
+SAMPLE = 10_000
+MOST_COMMON = 200_000
+#: Classes of one block of a shared shingle; every block meets every block.
+BLOCK = 256
 
 
 def _many(hashes: Column) -> Column:
@@ -172,18 +180,62 @@ def _meetings(classes: DataFrame) -> DataFrame:
     return met.join(mine, F.col("a") == F.col("_c")).filter(far <= int(APART * 64 * SEEDS)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(_id, _c, _stay): every row's key, the class of its words, and the smallest key of its group of near copies.
+def _common(docs: DataFrame, key: str, text: str) -> np.ndarray:
+    """Shingles that are common in a sample of texts, without their top bit, sorted."""
+    every = max(1, docs.count() // SAMPLE)
+    some = docs.filter(F.pmod(F.xxhash64(key, text), F.lit(every)) == 0).select(words_of(ascii_lower(F.col(text))).alias("_w"))
+    shingles = some.select(F.explode(F.array_distinct(shingle_hashes(F.col("_w"), COPY_SHINGLE))).alias("h"))
+    found = shingles.groupBy("h").count().filter(F.col("count") >= COMMON).orderBy(F.desc("count"), "h").limit(MOST_COMMON).toPandas()["h"]
+    return np.unique(found.to_numpy(dtype=np.int64) & np.int64((1 << 63) - 1))
+
 
-    Texts with equal words are a class. Classes that meet in a bucket are compared by
-    their sets of ``COPY_SHINGLE``-word shingles and linked from a Jaccard similarity of
-    ``COPY_SHARE`` on; a group is what links reach.
+def _prefix(hashes: Column, common) -> Column:
+    """The number of a text's distinct shingles, then the first fifth of them and one more, common ones last.
+
+    In any order of all shingles, two sets of a Jaccard similarity of ``COPY_SHARE`` share
+    one of those: of n shingles at least four fifths are shared.
     """
-    words = docs.select(F.col(key).alias("_id"), words_of(ascii_lower(F.col(text))).alias("_w"))
-    rows = words.select("_id", F.md5(F.array_join("_w", " ")).alias("_c"), shingle_hashes(F.col("_w"), COPY_SHINGLE).alias("_h")).withColumn("fps", _many(F.col("_h"))).drop("_h")
-    rows = written(rows, "classed")
-    classes = written(rows.groupBy(F.col("_c").alias("c")).agg(F.min("_id").alias("least"), F.first("fps").alias("fps")), "classes")
-    pairs = written(_meetings(classes), "meetings")
+
+    @F.arrow_udf("array<long>")
+    def firsts(lists: pa.Array) -> pa.Array:
+        offsets = np.asarray(lists.offsets).astype(np.int64)
+        low = np.asarray(lists.flatten()) & np.int64((1 << 63) - 1)
+        last = np.frombuffer(common.value, dtype=np.int64)
+        if len(last) and len(low):
+            low = np.where(last[np.minimum(np.searchsorted(last, low), len(last) - 1)] == low, low | np.int64(-1 << 63), low)
+        low, out = low.view(np.uint64), []
+        for k in range(len(lists)):
+            held = np.unique(low[offsets[k] - offsets[0] : offsets[k + 1] - offsets[0]])
+            out += [np.array([len(held)], dtype=np.uint64), held[: len(held) // 5 + 1]]
+        sizes = np.array([len(x) for x in out], dtype=np.int64).reshape(-1, 2).sum(axis=1)
+        flat = np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat.view(np.int64)))
+
+    return firsts(hashes)
+
+
+def _unlinked(tokens: DataFrame) -> DataFrame:
+    """(a, b): of classes with different roots, all pairs whose prefixes, sizes and places allow a similarity of ``COPY_SHARE``.
+
+    ``tokens`` has (c, root, n, at, t): the shingle t is at place ``at`` of the prefix of c, which
+    has n shingles. A shingle whose classes all have one root is left out; the classes of
+    any other are dealt into blocks, and each two blocks meet in a group of their own.
+    """
+    open_ = tokens.groupBy("t").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.count(F.lit(1)).alias("_n")).filter("_lo != _hi")
+    open_ = written(open_.select(F.col("t").alias("_t"), F.ceil(F.col("_n") / BLOCK).cast("int").alias("blocks")), "open")
+    rows = tokens.join(checked(open_), F.col("t") == F.col("_t")).withColumn("own", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
+    rows = written(rows.select("c", "root", "n", "at", "t", "blocks", "own"), "tokens")
+    side = lambda x: [F.col(k).alias(f"{k}_{x}") for k in ("c", "root", "n", "at")]
+    every = F.explode(F.expr("sequence(0, blocks - 1)"))
+    left = rows.select("t", F.col("own").alias("i"), every.alias("j"), *side("a"))
+    right = rows.select("t", every.alias("i"), F.col("own").alias("j"), *side("b"))
+    need = F.lit(4) * (F.col("n_a") + F.col("n_b"))
+    fits = (F.lit(5) * F.least("n_a", "n_b") >= F.lit(4) * F.greatest("n_a", "n_b")) & (F.lit(9) * F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) >= need)
+    return left.join(right, ["t", "i", "j"]).filter((F.col("c_a") < F.col("c_b")) & (F.col("root_a") != F.col("root_b")) & fits).select(F.col("c_a").alias("a"), F.col("c_b").alias("b")).distinct()
+
+
+def _linked(docs: DataFrame, classes: DataFrame, pairs: DataFrame, key: str, text: str) -> DataFrame:
+    """Those of ``pairs`` whose shingles have a Jaccard similarity of ``COPY_SHARE`` or more."""
     asked = pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b").alias("c"))).distinct()
     wanted = written(classes.join(asked, "c", "left_semi").select("c", F.col("least").alias("_least")), "wanted")
     texts = docs.join(checked(wanted), F.col(key).eqNullSafe(F.col("_least"))).select("c", words_of(ascii_lower(F.col(text))).alias("_w"))
@@ -191,8 +243,30 @@ def copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     sets = written(sets.groupBy("c").agg(F.first("h").alias("h")), "sets")
     both = pairs.join(sets.withColumnRenamed("h", "ha"), F.col("a") == F.col("c")).drop("c").join(sets.withColumnRenamed("h", "hb"), F.col("b") == F.col("c"))
     shared = F.size(F.array_intersect("ha", "hb"))
-    linked = both.filter(shared >= COPY_SHARE * (F.size("ha") + F.size("hb") - shared)).select("a", "b")
-    roots = components(linked, "a", "b")
+    return written(both.filter(shared >= COPY_SHARE * (F.size("ha") + F.size("hb") - shared)).select("a", "b"), "linked")
+
+
+def copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(_id, _c, _stay): every row's key, the class of its words, and the smallest key of its group of near copies.
+
+    Texts with equal words are a class. Classes are compared by their sets of
+    ``COPY_SHINGLE``-word shingles and linked from a Jaccard similarity of ``COPY_SHARE`` on;
+    a group is what links reach. Those that meet in a bucket are compared first, then all
+    others that share a shingle of their prefixes and are in different groups still.
+    """
+    common = docs.sparkSession.sparkContext.broadcast(_common(docs, key, text).tobytes())
+    words = docs.select(F.col(key).alias("_id"), words_of(ascii_lower(F.col(text))).alias("_w"))
+    rows = words.select("_id", F.md5(F.array_join("_w", " ")).alias("_c"), shingle_hashes(F.col("_w"), COPY_SHINGLE).alias("_h"))
+    rows = written(rows.withColumns({"fps": _many(F.col("_h")), "firsts": _prefix(F.col("_h"), common)}).drop("_h"), "classed")
+    classes = written(rows.groupBy(F.col("_c").alias("c")).agg(F.min("_id").alias("least"), F.first("fps").alias("fps")), "classes")
+    linked = _linked(docs, classes, written(_meetings(classes), "meetings"), key, text)
+    rooted = classes.select("c", "least").join(components(linked, "a", "b"), F.col("c") == F.col("node"), "left").select("c", "least", F.coalesce("root", "c").alias("root"))
+    rooted = written(rooted, "rooted")
+    own = rows.join(rooted, (F.col("_c") == F.col("c")) & F.col("_id").eqNullSafe(F.col("least")))
+    places = F.posexplode(F.slice("firsts", F.lit(2), F.size("firsts") - 1)).alias("at", "t")
+    tokens = own.select("c", F.xxhash64("root").alias("root"), F.get("firsts", F.lit(0)).cast("int").alias("n"), places)
+    more = _linked(docs, classes, written(_unlinked(tokens), "unlinked"), key, text)
+    roots = components(linked.union(more), "a", "b")
     rooted = written(classes.join(roots, F.col("c") == F.col("node"), "left").select("c", "least", F.coalesce("root", "c").alias("root")), "rooted")
     least = written(rooted.groupBy(F.col("root").alias("of")).agg(F.min("least").alias("_stay")), "least")
     known = written(rooted.join(least, F.col("root") == F.col("of")).select(F.col("c").alias("_of"), "_stay"), "known")

@@ -255,6 +255,29 @@ def test_near_copies_go(spark, small):
     assert got == want
 
 
+def varied(seed, n, share, chain):
+    """Texts of 60 words, each from an earlier one (the last one in a chain) by ``share`` substitutions."""
+    rng = np.random.default_rng(seed)
+    out = [[f"w{x}" for x in rng.integers(0, 10**9, 60)]]
+    for _ in range(n - 1):
+        t = list(out[-1] if chain else out[0])
+        for at in rng.choice(60, share, replace=False):
+            t[at] = f"w{rng.integers(0, 10**9)}"
+        out.append(t)
+    return [" ".join(t) for t in out]
+
+
+def test_near_copies_at_the_threshold_are_all_found(spark, monkeypatch):
+    # one substitution inside gives 5 of 56 shingles: 51 / 61 = 0.836; two mostly 46 / 66
+    texts = [t for k in range(40) for t in varied(k, 2, 1, False)] + varied(77, 30, 1, True) + varied(78, 30, 2, False)
+    monkeypatch.setattr(simhash, "BLOCK", 4)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    close = [(i, j) for i, a in enumerate(texts) for j, b in enumerate(texts) if i < j and jaccard(a, b) >= 0.8]
+    assert sum(0.8 <= jaccard(texts[i], texts[j]) < 0.85 for i, j in close) > 30
+    root = groups(close, range(len(texts)))
+    assert {r["_id"]: r["_stay"] for r in simhash.copies(docs).collect()} == {k: root[k] for k in range(len(texts))}
+
+
 def test_tokens(spark, small):
     from tokenizers import Tokenizer
 
