@@ -37,8 +37,12 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with their shard, their slot in it, and their shard if there were one more."""
-    return sharding.sharded(docs)
+    """All documents with their place in the mixture, their shard, their slot in it by that place, and their shard if there were one more.
+
+    The place follows from ids and sources alone, so it is the mixture stage's; files keep no order.
+    """
+    placed = mixing.mixed(docs, mixing.WEIGHTS).select(*docs.columns, "mix_position")
+    return sharding.sharded(placed, order="mix_position")
 
 
 STAGES = [("quality rules", quality_rules), ("near copies", near_copies), ("benchmark leaks", benchmark_leaks), ("mixture", mixture), ("shards", shards)]

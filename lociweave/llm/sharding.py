@@ -2,7 +2,8 @@
 
 A row's shard follows from its key and the number of shards alone, without a ring
 table; one more shard takes rows only into itself, and only its fair part. The
-slot of a row, its place in its shard, is gapless from 0 in the order of the key.
+slot of a row, its place in its shard, is gapless from 0 in the order of the key, or
+of a column that the caller names.
 
 Defined cases: a null key counts as 0; rows with one key share a shard and get
 different slots; a null text has no bytes (size 16, checksum 0); extra columns
@@ -48,10 +49,10 @@ def shard_of(key: Column, shards: int) -> Column:
     return jumped(F.coalesce(key, F.lit(0)).cast("bigint"))
 
 
-def sharded(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int = SHARDS) -> DataFrame:
-    """``docs`` with ``shard``, ``slot`` and ``grown_shard`` (the shard if there were one more)."""
+def sharded(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int = SHARDS, order: str | None = None) -> DataFrame:
+    """``docs`` with ``shard``, ``slot`` and ``grown_shard`` (the shard if there were one more); slots follow ``order``, a number, or else the key."""
     placed = docs.withColumn("shard", shard_of(F.col(key), shards))
-    out = ranked(placed, "shard", key, "slot", [F.xxhash64(text)])
+    out = ranked(placed, "shard", order or key, "slot", [F.xxhash64(text)])
     return out.withColumn("grown_shard", shard_of(F.col(key), shards + 1))
 
 

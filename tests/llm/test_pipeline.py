@@ -21,6 +21,25 @@ def test_stages(spark, small):
     assert quality.keep(spark.createDataFrame(DOCUMENTS[:5], spark.read.parquet(f"{small}/documents.parquet").schema)).count() == 5
 
 
+def test_shards_hold_the_mixture(spark, small):
+    import corpus_pipeline
+    from lociweave.llm import mixing
+
+    sources = ["src0"] * 600 + ["src1"] * 600 + ["src2"] * 600 + ["src3"] * 2200
+    made = spark.createDataFrame([(k, f"text {k}", "en", s, 6) for k, s in enumerate(sources)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.shards(spark, corpus_pipeline.mixture(spark, made, small), small).select("shard", "slot", "source", "mix_position").collect()
+    by_shard = {}
+    for r in sorted(got, key=lambda r: (r["shard"], r["slot"])):
+        by_shard.setdefault(r["shard"], []).append(r)
+    assert sorted(r["mix_position"] for r in got) == list(range(len(sources)))
+    for rows in by_shard.values():
+        assert [r["slot"] for r in rows] == list(range(len(rows)))
+        assert [r["mix_position"] for r in rows] == sorted(r["mix_position"] for r in rows)
+    first = [r["source"] for rows in by_shard.values() for r in rows[:20]]
+    for s, w in mixing.WEIGHTS.items():
+        assert abs(first.count(s) / len(first) - w / sum(mixing.WEIGHTS.values())) < 0.05
+
+
 def test_the_rest_works_without_this_subpackage(tmp_path):
     import os
     import shutil
