@@ -278,6 +278,14 @@ def test_near_copies_at_the_threshold_are_all_found(spark, monkeypatch):
     assert {r["_id"]: r["_stay"] for r in simhash.copies(docs).collect()} == {k: root[k] for k in range(len(texts))}
 
 
+@pytest.mark.parametrize("block", [1, 256])
+def test_every_pair_of_a_shared_shingle_is_compared(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    held = [(f"c{k:02d}", k if k < 12 else 12, 50, 0, 7) for k in range(15)]
+    got = sorted(map(tuple, simhash._unlinked(spark.createDataFrame(held, "c string, root long, n int, at int, t long")).collect()))
+    assert got == [(a[0], b[0]) for a in held for b in held if a[0] < b[0] and a[1] != b[1]]
+
+
 def test_tokens(spark, small):
     from tokenizers import Tokenizer
 
