@@ -6,7 +6,8 @@ for the corpus, and equal hashes are hits. A hit names a diagonal (place in the
 document less place in the item), and the words around it are compared along that
 diagonal: the best run, a match worth 1 and a substitution -4, has at least four
 fifths of its words equal. It counts from ``OVERLAP`` words on, or four fifths of a
-short item.
+short item; where the best run is shorter, the longest stretch with four fifths equal
+takes its place.
 
 The corpus side is filtered where it is read: a bitmap of the benchmark's hashes,
 of at most ``MOST_BITS`` bits whatever the benchmark's size, leaves out windows
@@ -168,6 +169,37 @@ def _best_run(doc: Column, item: Column) -> Column:
     return F.aggregate(score, state(*[F.lit(0)] * 8), step)
 
 
+def longest_stretch(equal: np.ndarray) -> tuple[int, int, int]:
+    """(start, size, matches) of the longest stretch with at least four fifths true; the first of equally long ones."""
+    n = len(equal)
+    if not n:
+        return 0, 0, 0
+    sums = np.concatenate([[0], np.cumsum(np.where(equal, 1, -4))])
+    # the least sum so far falls, so the first place at or below a later sum is found by halving
+    first = np.searchsorted(-np.minimum.accumulate(sums), -sums, side="left")
+    sizes = np.arange(n + 1) - first
+    end = int(np.argmax(sizes))
+    start = int(first[end])
+    return start, end - start, int(np.sum(equal[start:end]))
+
+
+def _longest(doc: Column, item: Column) -> Column:
+    """``longest_stretch`` of two equally long word lists."""
+
+    @F.arrow_udf("struct<start:int,size:int,matches:int>")
+    def found(a: pa.Array, b: pa.Array) -> pa.Array:
+        lists = []
+        for x in (a, b):
+            ends = np.asarray(x.offsets).astype(np.int64)
+            lists.append((np.asarray(x.flatten()), ends - ends[0]))
+        (va, oa), (vb, ob) = lists
+        got = [longest_stretch(va[oa[k] : oa[k + 1]] == vb[ob[k] : ob[k + 1]]) for k in range(len(a))]
+        cols = np.array(got, dtype=np.int32).reshape(-1, 3)
+        return pa.StructArray.from_arrays([pa.array(cols[:, k]) for k in range(3)], names=["start", "size", "matches"])
+
+    return found(doc, item)
+
+
 def overlaps(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", masks: tuple[str, ...] = MASKS) -> DataFrame:
     """One row per id and item whose texts overlap: the longest run, where it starts in both, its words and matches."""
     spark = docs.sparkSession
@@ -187,10 +219,13 @@ def overlaps(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
     doc_from, item_from = F.greatest(F.col("_line"), F.lit(0)), F.greatest(-F.col("_line"), F.lit(0))
     size = F.least(F.size("words") - doc_from, F.size("item_words") - item_from)
     run = both.select(
-        "_id", "item_id", F.size("item_words").alias("n_item_words"), doc_from.alias("_d"), item_from.alias("_i"), _best_run(F.slice("words", doc_from + 1, size), F.slice("item_words", item_from + 1, size)).alias("_run")
+        "_id", "item_id", F.size("item_words").alias("n_item_words"), doc_from.alias("_d"), item_from.alias("_i"), F.slice("words", doc_from + 1, size).alias("_a"), F.slice("item_words", item_from + 1, size).alias("_b")
     )
     need = F.least(F.lit(OVERLAP), F.ceil(F.col("n_item_words") * 0.8))
-    good = run.filter(F.col("_run.size") >= need)
+    run = run.withColumn("_best", _best_run(F.col("_a"), F.col("_b"))).withColumn("_long", _longest(F.col("_a"), F.col("_b")))
+    part = lambda c: F.struct(*[F.col(f"{c}.{k}").alias(k) for k in ("start", "size", "matches")])
+    # the run of the best score may be shorter than another that counts
+    good = run.withColumn("_run", F.when(F.col("_best.size") >= need, part("_best")).otherwise(part("_long"))).filter(F.col("_run.size") >= need)
     best = good.groupBy("_id", "item_id").agg(
         F.max(F.struct(F.col("_run.matches").alias("matched_words"), F.col("_run.size").alias("overlap_words"), (-(F.col("_d") + F.col("_run.start"))).alias("_ds"), (F.col("_i") + F.col("_run.start")).alias("item_start"), "n_item_words")).alias("b")
     )

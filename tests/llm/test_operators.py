@@ -349,6 +349,28 @@ def test_decontamination(spark, small):
     assert left == {d[0] for d in DOCUMENTS} - {d for d, _ in got}
 
 
+def test_longest_stretch():
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        e = rng.random(rng.integers(0, 30)) < 0.8
+        want = max((j - i for i in range(len(e)) for j in range(i + 1, len(e) + 1) if 5 * e[i:j].sum() >= 4 * (j - i)), default=0)
+        start, size, matches = decontamination.longest_stretch(e)
+        assert size == want and matches == e[start : start + size].sum() and 5 * matches >= 4 * size
+
+
+def test_substitutions_near_the_edges(spark):
+    item = [f"w{k}" for k in range(16)]
+    docs = [" ".join("other" if k == at else w for k, w in enumerate(item)) for at in range(16)]
+    long = [f"v{k}" for k in range(40)]
+    # 12 equal words, and apart from them 15 words with one substitution, on one diagonal
+    docs.append(" ".join(w if k < 12 or 20 <= k < 35 and k != 27 else f"x{k}" for k, w in enumerate(long)))
+    made = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    items = spark.createDataFrame([(0, " ".join(item)), (1, " ".join(long))], "item_id long, text string")
+    got = decontamination.overlaps(made, items).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(k, 0) for k in range(16)} | {(16, 1)}
+    assert all(r["overlap_words"] >= 13 and r["similarity"] >= 0.8 for r in got)
+
+
 def test_repair_round_trip():
     rng = np.random.default_rng(1)
     for n in (0, 1, 2, 60, 5000, 60_000):
