@@ -1,9 +1,10 @@
 """Token-id output compressed by Re-Pair, with random access.
 
 Documents are encoded in ascending order of their id and cut into blocks of about
-``BLOCK_IDS`` ids at document ends. Within a block, frequent pairs of neighbours
-are replaced by nonterminals, again and again, until little is gained. No pair
-includes the end id (nor an equal id in a text), so a document's codes stand by themselves.
+``BLOCK_IDS`` ids at document ends. Within a block, pairs of neighbours are replaced
+by nonterminals, the more frequent one where two overlap, again and again, until no
+pair is left whose rule would take less room than it saves. No pair includes the end
+id (nor an equal id in a text), so a document's codes stand by themselves.
 
 File format: a Parquet table, one row a block.
 
@@ -40,83 +41,126 @@ END = 2
 BLOCK_IDS = 1 << 20
 #: Nonterminals start here, above the ids of the tokenizer.
 BASE = 1 << 16
-LEAST_COUNT = 16
-ROUND_RULES = 1 << 14
-ROUNDS = 6
-#: A round that replaces a smaller part of the codes is the last.
-LEAST_GAIN = 0.08
+#: Bytes of a rule with its length, and of a code: a rule must replace more than their quotient.
+RULE_BYTES, CODE_BYTES = 12, 3
+#: Codes of the format, 24 bits; only one text of some 80 million ids or more could ask for more.
+MOST_CODES = 1 << 24
+LEAST_COUNT = RULE_BYTES // CODE_BYTES + 1
+
+
+def _by_pair(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order that sorts the pairs, whether a pair differs from the one before in it)."""
+    n = len(left)
+    at_bits = max(1, int(n - 1).bit_length())
+    bits = max(1, int(max(left.max(), right.max())).bit_length())
+    pairs = (left.astype(np.uint64) << np.uint64(bits)) | right.astype(np.uint64)
+    if 2 * bits + at_bits <= 64:
+        # places ride along in the low bits, which is faster than sorting them by a key
+        pairs = np.sort((pairs << np.uint64(at_bits)) | np.arange(n, dtype=np.uint64))
+        order = (pairs & np.uint64((1 << at_bits) - 1)).astype(np.int64)
+        pairs >>= np.uint64(at_bits)
+    else:
+        order = np.argsort(pairs, kind="stable")
+        pairs = pairs[order]
+    return order, np.concatenate([[True], pairs[1:] != pairs[:-1]])
+
+
+def _chosen(at: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of pairs at the places ``at`` (ascending) with their ``group``: (count of each group without overlaps with itself, pairs that count, pairs to replace).
+
+    A pair is replaced where its group has more occurrences than the groups of the pairs
+    that overlap it. Of a run of overlapping equal pairs every other one counts.
+    """
+    n = len(at)
+    joined = np.zeros(n, dtype=bool)
+    joined[1:] = at[1:] == at[:-1] + 1
+    same = joined & np.concatenate([[False], group[1:] == group[:-1]])
+    place = np.arange(n)
+    first = np.maximum.accumulate(np.where(same, 0, place))
+    even = (place - first) % 2 == 0
+    counts = np.bincount(group[even])
+    worth = counts >= LEAST_COUNT
+    rank = np.where(worth, counts, 0).astype(np.int64) * (len(counts) + 1) + np.where(worth, np.arange(len(counts)) + 1, 0)
+    strength = rank[group]
+    # what stands before and after the run that a pair is part of
+    before = np.zeros(n, dtype=np.int64)
+    before[1:] = np.where(joined[1:], strength[:-1], 0)
+    after = np.append(before[:0], np.where(joined[1:], strength[1:], 0))
+    after = np.append(after, 0)
+    left = before[first]
+    last = n - 1 - np.maximum.accumulate(np.where(np.append(same[1:], False), 0, place[::-1])[::-1])[::-1]
+    right = after[last]
+    return counts, even, even & (strength > 0) & (strength > left) & (strength > right)
 
 
 def compress(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(codes, rules, lengths) of a block of ids."""
+    """(codes, rules, lengths) of a block of ids.
+
+    A pair that is too rare stays so, as counts of old pairs only fall: a round looks at
+    pairs that were frequent enough and at those with a nonterminal of the last round.
+    """
     codes = ids.astype(np.uint32)
-    rules, sizes = np.zeros((0, 2), dtype=np.uint32), np.ones(0, dtype=np.uint32)
-    for _ in range(ROUNDS):
-        if len(codes) < 2:
-            break
-        pairs = (codes[:-1].astype(np.uint64) << np.uint64(32)) | codes[1:]
-        ends = (codes[:-1] == END) | (codes[1:] == END)
-        order = np.argsort(pairs)
-        held = pairs[order]
-        new = np.concatenate([[True], held[1:] != held[:-1]])
-        starts = np.flatnonzero(new)
-        counts = np.diff(np.append(starts, len(held)))
-        firsts = held[starts]
-        counts[((firsts >> np.uint64(32)) == END) | ((firsts & np.uint64(0xFFFFFFFF)) == END)] = 0
-        best = np.flatnonzero(counts >= LEAST_COUNT)
-        if len(best) > ROUND_RULES:
-            best = best[np.argsort(-counts[best], kind="stable")[:ROUND_RULES]]
-        rule_of = np.full(len(starts), -1, dtype=np.int64)
-        rule_of[best] = np.arange(len(best))
-        at = np.empty(len(pairs), dtype=np.int64)
-        at[order] = rule_of[np.cumsum(new) - 1]
-        # of neighbours that overlap, every other one is replaced
-        on = (at >= 0) & ~ends
-        place = np.arange(len(on))
-        began = np.maximum.accumulate(np.where(on, 0, place + 1))
-        on &= (place - began) % 2 == 0
-        hit = np.flatnonzero(on)
-        if not len(hit):
+    rules, sizes = [np.zeros((0, 2), dtype=np.uint32)], np.ones(0, dtype=np.uint32)
+    live = (codes[:-1] != END) & (codes[1:] != END)
+    while len(at := np.flatnonzero(live)):
+        left, right = codes[at], codes[at + 1]
+        order, new = _by_pair(left, right)
+        group = np.empty(len(at), dtype=np.int64)
+        group[order] = np.cumsum(new) - 1
+        counts, _, on = _chosen(at, group)
+        taken = np.bincount(group[on], minlength=len(counts)) >= LEAST_COUNT
+        on &= taken[group]
+        hit = at[on]
+        if not len(hit) or BASE + len(sizes) + int(taken.sum()) > MOST_CODES:
             break
-        little = len(hit) < LEAST_GAIN * len(codes)
-        used, which = np.unique(at[hit], return_inverse=True)
-        pair = firsts[best[used]]
-        left, right = (pair >> np.uint64(32)).astype(np.uint32), (pair & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        number = np.cumsum(taken) - 1
+        firsts = order[new][taken]
+        pair = np.stack([left[firsts], right[firsts]], axis=1)
         size = lambda c: np.where(c >= BASE, sizes[np.maximum(c.astype(np.int64) - BASE, 0)] if len(sizes) else 1, 1)  # noqa: B023, E731
-        added = (size(left) + size(right)).astype(np.uint32)
-        codes[hit] = BASE + len(rules) + which
+        added = (size(pair[:, 0]) + size(pair[:, 1])).astype(np.uint32)
+        codes[hit] = BASE + len(sizes) + number[group[on]]
+        fresh = np.zeros(len(codes), dtype=bool)
+        fresh[hit] = True
         keep = np.ones(len(codes), dtype=bool)
         keep[hit + 1] = False
-        codes = codes[keep]
-        rules, sizes = np.concatenate([rules, np.stack([left, right], axis=1)]), np.concatenate([sizes, added])
-        if little:
-            break
-    return codes, rules, sizes
+        still = np.zeros(len(codes), dtype=bool)
+        still[at[counts[group] >= LEAST_COUNT]] = True
+        codes, fresh, still = codes[keep], fresh[keep], still[keep]
+        live = (still[:-1] | fresh[:-1] | fresh[1:]) & (codes[:-1] != END) & (codes[1:] != END)
+        rules.append(pair)
+        sizes = np.concatenate([sizes, added])
+    return codes, np.concatenate(rules), sizes
+
+
+def _lengths(codes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """How many ids each code stands for."""
+    n = np.ones(len(codes), dtype=np.int64)
+    rule = codes >= BASE
+    n[rule] = lengths[codes[rule].astype(np.int64) - BASE]
+    return n
 
 
-def expand(codes: np.ndarray, rules: np.ndarray) -> np.ndarray:
-    """The ids that ``codes`` stand for."""
-    while len(at := np.flatnonzero(codes >= BASE)):
-        n = np.ones(len(codes), dtype=np.int64)
-        n[at] = 2
-        ends = np.cumsum(n)
-        out = np.empty(ends[-1], dtype=np.uint32)
-        out[ends - n] = codes
-        pair = rules[codes[at].astype(np.int64) - BASE]
-        out[ends[at] - 2], out[ends[at] - 1] = pair[:, 0], pair[:, 1]
-        codes = out
-    return codes
+def expand(codes: np.ndarray, rules: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The ids that ``codes`` stand for: each code goes to its place, a rule's parts to theirs."""
+    n = _lengths(codes, lengths)
+    ends = np.cumsum(n)
+    out, at = np.empty(int(ends[-1]) if len(ends) else 0, dtype=np.uint32), ends - n
+    while len(codes):
+        plain = codes < BASE
+        out[at[plain]] = codes[plain]
+        at, pair = at[~plain], rules[codes[~plain].astype(np.int64) - BASE]
+        left, right = pair[:, 0], pair[:, 1]
+        at, codes = np.concatenate([at, at + _lengths(left, lengths)]), np.concatenate([left, right])
+    return out
 
 
 def ids_at(codes: np.ndarray, rules: np.ndarray, lengths: np.ndarray, start: int, stop: int) -> np.ndarray:
     """Ids ``start`` to ``stop`` of a block, expanding only the codes that hold them."""
-    n = np.ones(len(codes), dtype=np.int64)
-    rule = codes >= BASE
-    n[rule] = lengths[codes[rule].astype(np.int64) - BASE]
+    n = _lengths(codes, lengths)
     ends = np.cumsum(n)
     a, b = np.searchsorted(ends, start, side="right"), np.searchsorted(ends, stop, side="left") + 1
     skip = start - (ends[a] - n[a] if a < len(ends) else start)
-    return expand(codes[a:b], rules)[skip : skip + stop - start]
+    return expand(codes[a:b], rules, lengths)[skip : skip + stop - start]
 
 
 def unpack(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -141,9 +185,7 @@ def _blocks(rows: Iterator[tuple[pa.Array, np.ndarray, np.ndarray]], part: int)
         flat, n = np.concatenate(ids), np.concatenate(counts)
         codes, rules, lengths = compress(flat)
         # the end id is in no pair, so a document's end is the end of a code
-        n_ids = np.ones(len(codes), dtype=np.int64)
-        n_ids[codes >= BASE] = lengths[codes[codes >= BASE].astype(np.int64) - BASE]
-        each = np.diff(np.concatenate([[0], np.searchsorted(np.cumsum(n_ids), np.cumsum(n)) + 1]))
+        each = np.diff(np.concatenate([[0], np.searchsorted(np.cumsum(_lengths(codes, lengths)), np.cumsum(n)) + 1]))
         one = lambda v, t=None: pa.array([v], t)
         names = pa.concat_arrays(keys)
         return pa.RecordBatch.from_arrays(
@@ -205,8 +247,7 @@ def read(spark: SparkSession, path: str, key: T.DataType) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {n: batch.column(k)[i].as_py() for k, n in enumerate(batch.schema.names) if n != "keys"}
-                codes, rules, _ = unpack(row)
-                ids = expand(codes, rules).astype("<u4")
+                ids = expand(*unpack(row)).astype("<u4")
                 n = np.array(row["id_counts"], dtype=np.int64)
                 ends = np.cumsum(n)
                 raw = memoryview(ids.tobytes())

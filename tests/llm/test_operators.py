@@ -464,18 +464,64 @@ def test_substitutions_near_the_edges(spark):
     assert all(r["overlap_words"] >= 13 and r["similarity"] >= 0.8 for r in got)
 
 
+def most_left(codes):
+    """The count, without overlaps with itself, of the most frequent pair that holds no end."""
+    counts, last = Counter(), {}
+    for i, pair in enumerate(zip(codes[:-1].tolist(), codes[1:].tolist(), strict=True)):
+        if repair.END not in pair and not (pair[0] == pair[1] and last.get(pair) == i - 1):
+            counts[pair] += 1
+            last[pair] = i
+    return max(counts.values(), default=0)
+
+
 def test_repair_round_trip():
     rng = np.random.default_rng(1)
-    for n in (0, 1, 2, 60, 5000, 60_000):
-        x = (rng.zipf(1.3, n) % 700).astype(np.uint32)
+    cases = [(rng.zipf(1.3, n) % 700).astype(np.uint32) for n in (0, 1, 2, 60, 5000, 60_000)]
+    phrase = rng.integers(3, 200, 40)
+    cases += [np.full(5000, 7), np.tile([5, 6], 3000), np.tile(phrase, 300), np.concatenate([np.append(rng.permutation(phrase[:8]), 2) for _ in range(500)])]
+    for x in cases:
         x = np.append(x, 2).astype(np.uint32)
         codes, rules, lengths = repair.compress(x.copy())
-        assert (repair.expand(codes, rules) == x).all()
+        assert (repair.expand(codes, rules, lengths) == x).all()
+        # no rule that would save more than it takes is left out, and every rule is used
+        assert most_left(codes) * repair.CODE_BYTES <= repair.RULE_BYTES
+        assert (lengths == [len(repair.expand(np.array([repair.BASE + k], dtype=np.uint32), rules, lengths)) for k in range(len(rules))]).all()
+        assert set(range(len(rules))) <= {int(c) - repair.BASE for c in np.concatenate([codes, rules.ravel()])}
         for a, b in rng.integers(0, len(x) + 1, (20, 2)):
             a, b = sorted((int(a), int(b)))
             assert (repair.ids_at(codes, rules, lengths, a, b) == x[a:b]).all()
 
 
+def test_repair_sorts_pairs_with_and_without_places():
+    rng = np.random.default_rng(6)
+    for high in (50, 1 << 31):
+        left, right = (rng.integers(0, 20, (2, 3000)) * (high // 20)).astype(np.uint32)
+        order, new = repair._by_pair(left, right)
+        pairs = left[order].astype(np.uint64) << np.uint64(32) | right[order]
+        assert (np.diff(pairs.astype(np.float64)) >= 0).all() and new.sum() == len(np.unique(pairs)) and sorted(order) == list(range(3000))
+
+
+def test_one_document_is_read_through_lengths(spark, small, tmp_path):
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("word_bpe_49k.json")
+    tk = Tokenizer.from_file(path)
+    docs = spark.read.parquet(f"{small}/documents.parquet").filter("doc_id is not null").dropDuplicates(["doc_id"])
+    repair.write(docs, str(tmp_path / "ids"), path)
+    texts, seen = {r["doc_id"]: r["text"] for r in docs.collect()}, 0
+    for row in spark.read.parquet(str(tmp_path / "ids")).collect():
+        codes, rules, lengths = repair.unpack(row)
+        for k, doc in enumerate(row["keys"]):
+            start = sum(row["id_counts"][:k])
+            ids = repair.ids_at(codes, rules, lengths, start, start + row["id_counts"][k]).tolist()
+            # the document's own codes alone give the same
+            first = sum(row["code_counts"][:k])
+            own = repair.expand(codes[first : first + row["code_counts"][k]], rules, lengths).tolist()
+            assert ids == own == [*tk.encode(texts[doc] or "", add_special_tokens=False).ids, 2]
+            seen += 1
+    assert seen == len(texts)
+
+
 def test_repair_files(spark, small, monkeypatch):
     from tokenizers import Tokenizer
 
