@@ -1,13 +1,16 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-A mask over ``SPAN`` words names the positions that count; the others may differ.
-For every mask and position the words that count are hashed, for the benchmark and
-for the corpus, and equal hashes are hits. A hit names a diagonal (place in the
-document less place in the item), and the words around it are compared along that
-diagonal: the best run, a match worth 1 and a substitution -4, has at least four
-fifths of its words equal. It counts from ``OVERLAP`` words on, or four fifths of a
-short item; where the best run is shorter, the longest stretch with four fifths equal
-takes its place.
+A mask names positions that count; the words at the others may differ. For every mask
+and position the words that count are hashed, for the benchmark and for the corpus,
+and equal hashes are hits. A hit names a diagonal (place in the document less place in
+the item), and the words along it are compared: a document overlaps an item where a
+stretch of ``OVERLAP`` words or more, or of four fifths of a shorter item's words, has
+at least four fifths of its words equal. Items below ``WHOLE`` words must stand whole.
+
+The masks miss nothing. A stretch of 13 words or more with four fifths equal holds one
+of 13 to 25 words (of two halves one has four fifths), and wherever the unequal words
+of those stand, one of ``LONG`` fits between them; likewise ``SHORT`` for the
+stretches of 7 words or more that an item of ``WHOLE`` to 15 words asks for.
 
 The corpus side is filtered where it is read: a bitmap of the benchmark's hashes,
 of at most ``MOST_BITS`` bits whatever the benchmark's size, leaves out windows
@@ -15,10 +18,10 @@ that cannot match; below ``MOST_KEYS`` hashes the sorted hashes leave only hits.
 Documents with hits, a small part, are written out and joined with the benchmark
 by hash, so the benchmark itself is never broadcast by this code.
 
-Defined cases: null and empty texts have no words and never match; items of fewer
-than ``LEAST_WORDS`` words are not looked for, those below ``SPAN`` words need all
-words equal for a hit; equal rows give one result row for an id and item; null ids are an
-id; extra columns of the corpus are ignored by ``overlaps`` and pass through ``clean``.
+Defined cases: null and empty texts have no words and never match, nor do items
+without a word; equal rows give one result row for an id and item; null ids are an id;
+extra columns of the corpus are ignored by ``overlaps`` and pass through ``clean``,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -34,10 +37,12 @@ from pyspark.sql import types as T
 from lociweave.llm.common import ascii_lower, documents, written
 
 GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The most words that a mask spans.
 SPAN = 12
-#: The spaced seeds; 1 counts.
-MASKS = ("111010011011", "110100110111", "101110011101", "111001101101")
-LEAST_WORDS = 8
+#: The spaced seeds for items of 16 words or more, and for those from ``WHOLE`` on; 1 counts.
+LONG = ("1111011", "110100010011", "110101011", "1110111")
+SHORT = ("111011", "11111", "1101011", "1111001")
+WHOLE = 8
 OVERLAP = 13
 MOST_KEYS = 4_000_000
 MOST_BITS = 28
@@ -65,8 +70,19 @@ def mask_keys(hashes: np.ndarray, offsets: np.ndarray, mask: str, number: int) -
     return at, key[at] * np.uint64(0xD6E8FEB86659FD93)
 
 
-def _item_keys(items: DataFrame, masks: tuple[str, ...]) -> DataFrame:
-    """(item_id, mask, key, at) of every window; an item below ``SPAN`` words is one window of its own length."""
+#: Masks with the least and most words of the items they are for.
+Masks = list[tuple[str, int, int]]
+
+
+def masks_for(sizes: list[int]) -> Masks:
+    """What items of these numbers of words need."""
+    out = [(m, 16, 1 << 30) for m in LONG] if any(n >= 16 for n in sizes) else []
+    out += [(m, WHOLE, 15) for m in SHORT] if any(WHOLE <= n < 16 for n in sizes) else []
+    return out + [("1" * n, n, n) for n in sorted(set(sizes)) if 0 < n < WHOLE]
+
+
+def _item_keys(items: DataFrame, masks: Masks) -> DataFrame:
+    """(item_id, mask, key, at) of every window under the masks that an item's size asks for."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -76,11 +92,10 @@ def _item_keys(items: DataFrame, masks: tuple[str, ...]) -> DataFrame:
             sizes = np.diff(offsets)
             rows = np.repeat(np.arange(len(sizes)), sizes)
             first = (offsets - offsets[0])[:-1]
-            for number, mask in enumerate(masks):
+            for number, (mask, least, most) in enumerate(masks):
                 at, key = mask_keys(hashes, offsets, mask, number)
-                if len(mask) < SPAN and len(at):
-                    own = sizes[rows[at]] == len(mask)
-                    at, key = at[own], key[own]
+                own = (sizes[rows[at]] >= least) & (sizes[rows[at]] <= most)
+                at, key = at[own], key[own]
                 if len(at):
                     yield pa.RecordBatch.from_arrays(
                         [ids.take(pa.array(rows[at])), pa.array(np.full(len(at), number), pa.int32()), pa.array(key.view(np.int64)), pa.array((at - first[rows[at]]).astype(np.int32))],
@@ -107,7 +122,7 @@ def _filter(keys: DataFrame) -> tuple[int, bytes, bytes]:
     return bits, table.tobytes(), exact
 
 
-def _hits(docs: DataFrame, masks: tuple[str, ...], held) -> DataFrame:
+def _hits(docs: DataFrame, masks: Masks, held) -> DataFrame:
     """(_id, _row, words, mask, key, at) of the texts with a window that the filter lets through."""
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,7 +133,7 @@ def _hits(docs: DataFrame, masks: tuple[str, ...], held) -> DataFrame:
             offsets = np.asarray(lists.offsets).astype(np.int64)
             hashes = np.asarray(lists.flatten()).view(np.uint64)
             found = []
-            for number, mask in enumerate(masks):
+            for number, (mask, _, _) in enumerate(masks):
                 at, key = mask_keys(hashes, offsets, mask, number)
                 p = key >> np.uint64(64 - bits)
                 on = np.flatnonzero((table[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1))
@@ -150,25 +165,6 @@ def _hits(docs: DataFrame, masks: tuple[str, ...], held) -> DataFrame:
     return docs.mapInArrow(probe, schema)
 
 
-def _best_run(doc: Column, item: Column) -> Column:
-    """(start, size, matches) of the best run of two equally long word lists."""
-    score = F.zip_with(doc, item, lambda x, y: F.when(x == y, F.lit(1)).otherwise(F.lit(-4)))
-    names = ("i", "sum", "from", "hit", "best", "start", "size", "matches")
-    state = lambda *v: F.struct(*[x.cast("int").alias(n) for x, n in zip(v, names, strict=True)])
-
-    def step(a: Column, x: Column) -> Column:
-        fresh = a["sum"] <= 0
-        total = F.when(fresh, x).otherwise(a["sum"] + x)
-        since = F.when(fresh, a["i"]).otherwise(a["from"])
-        hit = F.when(fresh, F.lit(0)).otherwise(a["hit"]) + F.when(x > 0, 1).otherwise(0)
-        better = total > a["best"]
-        return state(
-            a["i"] + 1, total, since, hit, F.greatest(a["best"], total), F.when(better, since).otherwise(a["start"]), F.when(better, a["i"] + 1 - since).otherwise(a["size"]), F.when(better, hit).otherwise(a["matches"])
-        )
-
-    return F.aggregate(score, state(*[F.lit(0)] * 8), step)
-
-
 def longest_stretch(equal: np.ndarray) -> tuple[int, int, int]:
     """(start, size, matches) of the longest stretch with at least four fifths true; the first of equally long ones."""
     n = len(equal)
@@ -184,32 +180,37 @@ def longest_stretch(equal: np.ndarray) -> tuple[int, int, int]:
 
 
 def _longest(doc: Column, item: Column) -> Column:
-    """``longest_stretch`` of two equally long word lists."""
+    """``longest_stretch`` of two equally long word lists as ``whole``, its size, and without its unequal ends."""
 
-    @F.arrow_udf("struct<start:int,size:int,matches:int>")
+    @F.arrow_udf("struct<whole:int,start:int,size:int,matches:int>")
     def found(a: pa.Array, b: pa.Array) -> pa.Array:
         lists = []
         for x in (a, b):
             ends = np.asarray(x.offsets).astype(np.int64)
             lists.append((np.asarray(x.flatten()), ends - ends[0]))
         (va, oa), (vb, ob) = lists
-        got = [longest_stretch(va[oa[k] : oa[k + 1]] == vb[ob[k] : ob[k + 1]]) for k in range(len(a))]
-        cols = np.array(got, dtype=np.int32).reshape(-1, 3)
-        return pa.StructArray.from_arrays([pa.array(cols[:, k]) for k in range(3)], names=["start", "size", "matches"])
+        got = []
+        for k in range(len(a)):
+            equal = va[oa[k] : oa[k + 1]] == vb[ob[k] : ob[k + 1]]
+            start, size, matches = longest_stretch(equal)
+            on = np.flatnonzero(equal[start : start + size])
+            got.append((size, start + on[0], on[-1] + 1 - on[0], matches) if len(on) else (0, 0, 0, 0))
+        cols = np.array(got, dtype=np.int32).reshape(-1, 4)
+        return pa.StructArray.from_arrays([pa.array(cols[:, k]) for k in range(4)], names=["whole", "start", "size", "matches"])
 
     return found(doc, item)
 
 
-def overlaps(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", masks: tuple[str, ...] = MASKS) -> DataFrame:
-    """One row per id and item whose texts overlap: the longest run, where it starts in both, its words and matches."""
+def overlaps(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
+    """One row per id and item whose texts overlap: of the diagonals' longest stretches without their unequal ends the one with the most equal words, where it starts in both, its words and matches."""
     spark = docs.sparkSession
-    bench = written(items.select(F.col(item_key).alias("item_id"), word_hashes(F.col(item_text)).alias("item_words")).filter(F.size("item_words") >= LEAST_WORDS), "items")
-    short = sorted(r[0] for r in bench.select(F.size("item_words").alias("n")).filter(F.col("n") < SPAN).distinct().collect())
-    all_masks = masks + tuple("1" * n for n in short)
-    keys = written(_item_keys(bench, all_masks), "item_keys")
+    bench = written(items.select(F.col(item_key).alias("item_id"), word_hashes(F.col(item_text)).alias("item_words")).filter(F.size("item_words") > 0), "items")
+    sizes = [r[0] for r in bench.select(F.least(F.size("item_words"), F.lit(16)).alias("n")).distinct().collect()]
+    masks = masks_for(sizes)
+    keys = written(_item_keys(bench, masks), "item_keys")
     held = spark.sparkContext.broadcast(_filter(keys))
     rows = docs.select(F.col(key).alias("_id"), F.xxhash64(text).alias("_row"), word_hashes(F.col(text)).alias("words"))
-    found = written(_hits(rows, all_masks, held), "hits")
+    found = written(_hits(rows, masks, held), "hits")
     hits = found.select("_id", "_row", F.explode(F.arrays_zip("mask", "key", "at")).alias("h")).select("_id", "_row", F.col("h.mask").alias("mask"), F.col("h.key").alias("key"), F.col("h.at").alias("_at"))
     lines = hits.join(keys, ["mask", "key"]).select("_id", "_row", "item_id", (F.col("_at") - F.col("at")).alias("_line")).distinct()
     lines = written(lines, "lines")
@@ -221,11 +222,9 @@ def overlaps(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
     run = both.select(
         "_id", "item_id", F.size("item_words").alias("n_item_words"), doc_from.alias("_d"), item_from.alias("_i"), F.slice("words", doc_from + 1, size).alias("_a"), F.slice("item_words", item_from + 1, size).alias("_b")
     )
-    need = F.least(F.lit(OVERLAP), F.ceil(F.col("n_item_words") * 0.8))
-    run = run.withColumn("_best", _best_run(F.col("_a"), F.col("_b"))).withColumn("_long", _longest(F.col("_a"), F.col("_b")))
-    part = lambda c: F.struct(*[F.col(f"{c}.{k}").alias(k) for k in ("start", "size", "matches")])
-    # the run of the best score may be shorter than another that counts
-    good = run.withColumn("_run", F.when(F.col("_best.size") >= need, part("_best")).otherwise(part("_long"))).filter(F.col("_run.size") >= need)
+    n = F.col("n_item_words")
+    need = F.when(n < WHOLE, n).otherwise(F.least(F.lit(OVERLAP), F.ceil(n * 4 / 5)))
+    good = run.withColumn("_run", _longest(F.col("_a"), F.col("_b"))).filter(F.when(n < WHOLE, F.col("_run.matches")).otherwise(F.col("_run.whole")) >= need)
     best = good.groupBy("_id", "item_id").agg(
         F.max(F.struct(F.col("_run.matches").alias("matched_words"), F.col("_run.size").alias("overlap_words"), (-(F.col("_d") + F.col("_run.start"))).alias("_ds"), (F.col("_i") + F.col("_run.start")).alias("item_start"), "n_item_words")).alias("b")
     )
@@ -235,7 +234,8 @@ def overlaps(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
 def clean(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` whose id overlaps no item."""
     bad = written(overlaps(docs, items, key, text).select(F.col(key).alias("_bad")).distinct(), "contaminated")
-    return docs.join(bad, F.col(key).eqNullSafe(F.col("_bad")), "left_anti")
+    held = docs.select(F.struct("*").alias("_row"), F.col(key).alias("_key"))
+    return held.join(bad, F.col("_key").eqNullSafe(F.col("_bad")), "left_anti").select("_row.*")
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -433,7 +433,7 @@ def test_licenses(spark, small):
 
 def test_decontamination(spark, small):
     got = {(r["doc_id"], r["item_id"]): r for r in decontamination.op8_decontamination(spark, small).collect()}
-    leaks = {(d[0], k) for d in DOCUMENTS for k, t in BENCHMARK if t and len(t.split()) > 8 and t in (d[1] or "")}
+    leaks = {(d[0], k) for d in DOCUMENTS for k, t in BENCHMARK if t and t in (d[1] or "")}
     assert leaks and leaks <= set(got)
     swapped = next(d[0] for d in DOCUMENTS if d[1] and "changed" in d[1] and d[0] > 123)
     assert (swapped, 5) in got and 0.8 <= got[swapped, 5]["similarity"] < 1
@@ -442,6 +442,71 @@ def test_decontamination(spark, small):
     assert left == {d[0] for d in DOCUMENTS} - {d for d, _ in got}
 
 
+def overlaps_by_hand(docs, items):
+    """{(doc, item): (item words, overlap, matches, doc start, item start)} by all stretches of all diagonals."""
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
+    out = {}
+    for i, a in docs:
+        for k, b in items:
+            a_, b_ = split(a), split(b)
+            need = len(b_) if len(b_) < 8 else min(13, -(-len(b_) * 4 // 5))
+            for line in range(-len(b_) + 1, len(a_)):
+                d, m = max(line, 0), max(-line, 0)
+                n = min(len(a_) - d, len(b_) - m)
+                e = [a_[d + x] == b_[m + x] for x in range(n)]
+                size, start = max(((y - x, -x) for x in range(n) for y in range(x + 1, n + 1) if 5 * sum(e[x:y]) >= 4 * (y - x)), default=(0, 0))
+                on = [x for x in range(-start, -start + size) if e[x]]
+                if b_ and on and (len(on) if len(b_) < 8 else size) >= need:
+                    got = (len(on), on[-1] + 1 - on[0], -(d + on[0]), m + on[0])
+                    out[i, k] = max(out.get((i, k), got), got)
+    sizes = {k: len(split(b)) for k, b in items}
+    return {(i, k): (sizes[k], v[1], v[0], -v[2], v[3]) for (i, k), v in out.items()}
+
+
+def test_overlaps_by_hand(spark):
+    rng = np.random.default_rng(8)
+    word = lambda: f"w{rng.integers(0, 40)}"
+    items, docs = [], []
+    for k, n in enumerate([1, 2, 3, 5, 7, 8, 9, 10, 11, 12, 13, 14, 15, 16, 17, 20, 26]):
+        item = [word() for _ in range(n)]
+        items.append((k, " ".join(item)))
+        for swaps in (0, 1, 2, 3, 4):
+            part = list(item)
+            for at in rng.choice(n, min(n, swaps), replace=False):
+                part[at] = "other"
+            docs.append((len(docs), " ".join([word() for _ in range(rng.integers(0, 6))] + part + [word() for _ in range(rng.integers(0, 6))])))
+    items += [(50, None), (51, ""), (52, "...")]
+    docs += [(1000, None), (1001, "")]
+    got = decontamination.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = overlaps_by_hand(docs, items)
+    assert {(r["doc_id"], r["item_id"]): (r["n_item_words"], r["overlap_words"], r["matched_words"], r["doc_start"], r["item_start"]) for r in got} == want
+    assert len(want) > 60
+
+
+def test_substituted_items_are_all_found(spark):
+    rng = np.random.default_rng(9)
+    items = [(k, " ".join(f"w{x}" for x in rng.integers(0, 10**9, 15))) for k in range(100)]
+    docs = []
+    for k, t in items:
+        for swaps in (1, 2, 3):
+            part = t.split(" ")
+            for at in rng.choice(15, swaps, replace=False):
+                part[at] = "other"
+            docs.append((3 * k + swaps - 1, "before it " + " ".join(part) + " after it"))
+    got = decontamination.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(3 * k + s, k) for k in range(100) for s in range(3)}
+
+
+def test_masks_fit_between_any_unequal_words():
+    from itertools import combinations
+
+    for masks, sizes in ((decontamination.SHORT, range(7, 26)), (decontamination.LONG, range(13, 22))):
+        ones = [[k for k, c in enumerate(m) if c == "1"] for m in masks]
+        for n in sizes:
+            for off in combinations(range(n), n // 5):
+                assert any(not set(off) & {a + k for k in m} for m in ones for a in range(n - m[-1]))
+
+
 def test_longest_stretch():
     rng = np.random.default_rng(5)
     for _ in range(300):
