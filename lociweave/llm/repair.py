@@ -65,32 +65,35 @@ def _by_pair(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return order, np.concatenate([[True], pairs[1:] != pairs[:-1]])
 
 
-def _chosen(at: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of pairs at the places ``at`` (ascending) with their ``group``: (count of each group without overlaps with itself, pairs that count, pairs to replace).
+def _chosen(group: np.ndarray, counts: np.ndarray, joined: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs in order with their ``group`` and the groups' ``counts``: (counts without overlaps of a group with itself, pairs to replace).
 
-    A pair is replaced where its group has more occurrences than the groups of the pairs
-    that overlap it. Of a run of overlapping equal pairs every other one counts.
+    ``joined`` says whether a pair overlaps the one before it. A pair is replaced where its
+    group has more occurrences than the groups of the pairs that overlap it. Of a run
+    of overlapping equal pairs every other one counts.
     """
-    n = len(at)
-    joined = np.zeros(n, dtype=bool)
-    joined[1:] = at[1:] == at[:-1] + 1
-    same = joined & np.concatenate([[False], group[1:] == group[:-1]])
-    place = np.arange(n)
-    first = np.maximum.accumulate(np.where(same, 0, place))
-    even = (place - first) % 2 == 0
-    counts = np.bincount(group[even])
-    worth = counts >= LEAST_COUNT
-    rank = np.where(worth, counts, 0).astype(np.int64) * (len(counts) + 1) + np.where(worth, np.arange(len(counts)) + 1, 0)
+    again = np.flatnonzero(joined[1:] & (group[1:] == group[:-1])) + 1
+    starts = np.concatenate([[True], np.diff(again) > 1]) if len(again) else np.zeros(0, dtype=bool)
+    first = (again[starts] - 1)[np.cumsum(starts) - 1]
+    odd = again[(again - first) % 2 == 1]
+    counts = counts - np.bincount(group[odd], minlength=len(counts))
+    # frequent groups in order, the others nothing; equally frequent ones are told apart by their number
+    worth = np.flatnonzero(counts >= LEAST_COUNT)
+    rank = np.zeros(len(counts), dtype=np.int32)
+    rank[worth[np.argsort(counts[worth], kind="stable")]] = np.arange(1, len(worth) + 1)
     strength = rank[group]
-    # what stands before and after the run that a pair is part of
-    before = np.zeros(n, dtype=np.int64)
-    before[1:] = np.where(joined[1:], strength[:-1], 0)
-    after = np.append(before[:0], np.where(joined[1:], strength[1:], 0))
-    after = np.append(after, 0)
-    left = before[first]
-    last = n - 1 - np.maximum.accumulate(np.where(np.append(same[1:], False), 0, place[::-1])[::-1])[::-1]
-    right = after[last]
-    return counts, even, even & (strength > 0) & (strength > left) & (strength > right)
+    left, right = np.zeros_like(strength), np.zeros_like(strength)
+    np.multiply(strength[:-1], joined[1:], out=left[1:])
+    np.multiply(strength[1:], joined[1:], out=right[:-1])
+    if len(again):
+        # all of a run have the neighbours of the run
+        left[again] = left[first]
+        last = again[np.append(starts[1:], True)]
+        right[again] = right[last][np.cumsum(starts) - 1]
+        right[first[starts]] = right[last]
+    on = (strength > left) & (strength > right)
+    on[odd] = False
+    return counts, on
 
 
 def compress(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -99,37 +102,45 @@ def compress(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     A pair that is too rare stays so, as counts of old pairs only fall: a round looks at
     pairs that were frequent enough and at those with a nonterminal of the last round.
     """
-    codes = ids.astype(np.uint32)
+    codes, n = ids.astype(np.uint32), len(ids)
     rules, sizes = [np.zeros((0, 2), dtype=np.uint32)], np.ones(0, dtype=np.uint32)
-    live = (codes[:-1] != END) & (codes[1:] != END)
-    while len(at := np.flatnonzero(live)):
-        left, right = codes[at], codes[at + 1]
+    # the neighbours of each place that is left; a replaced pair leaves its first place
+    after, before, alive = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32), np.ones(n, dtype=bool)
+    at = np.flatnonzero((codes[:-1] != END) & (codes[1:] != END)).astype(np.int32)
+    while len(at):
+        next_ = after[at]
+        left, right = codes[at], codes[next_]
         order, new = _by_pair(left, right)
-        group = np.empty(len(at), dtype=np.int64)
-        group[order] = np.cumsum(new) - 1
-        counts, _, on = _chosen(at, group)
+        group = np.empty(len(at), dtype=np.int32)
+        group[order] = np.cumsum(new, dtype=np.int32) - 1
+        starts = np.flatnonzero(new)
+        counts, on = _chosen(group, np.diff(np.append(starts, len(at))), np.append(False, next_[:-1] == at[1:]))
         taken = np.bincount(group[on], minlength=len(counts)) >= LEAST_COUNT
         on &= taken[group]
         hit = at[on]
         if not len(hit) or BASE + len(sizes) + int(taken.sum()) > MOST_CODES:
             break
-        number = np.cumsum(taken) - 1
-        firsts = order[new][taken]
+        firsts = order[starts[taken]]
         pair = np.stack([left[firsts], right[firsts]], axis=1)
-        size = lambda c: np.where(c >= BASE, sizes[np.maximum(c.astype(np.int64) - BASE, 0)] if len(sizes) else 1, 1)  # noqa: B023, E731
-        added = (size(pair[:, 0]) + size(pair[:, 1])).astype(np.uint32)
-        codes[hit] = BASE + len(sizes) + number[group[on]]
-        fresh = np.zeros(len(codes), dtype=bool)
-        fresh[hit] = True
-        keep = np.ones(len(codes), dtype=bool)
-        keep[hit + 1] = False
-        still = np.zeros(len(codes), dtype=bool)
-        still[at[counts[group] >= LEAST_COUNT]] = True
-        codes, fresh, still = codes[keep], fresh[keep], still[keep]
-        live = (still[:-1] | fresh[:-1] | fresh[1:]) & (codes[:-1] != END) & (codes[1:] != END)
+        codes[hit] = (BASE + len(sizes) + np.cumsum(taken) - 1)[group[on]]
+        sizes = np.concatenate([sizes, (_lengths(pair[:, 0], sizes) + _lengths(pair[:, 1], sizes)).astype(np.uint32)])
         rules.append(pair)
-        sizes = np.concatenate([sizes, added])
-    return codes, np.concatenate(rules), sizes
+        dead = after[hit]
+        alive[dead] = False
+        after[hit] = after[dead]
+        inner = hit[after[hit] < n]
+        before[after[inner]] = inner
+        still = at[(counts >= LEAST_COUNT)[group]]
+        live = np.zeros(n, dtype=bool) if 8 * len(at) > n else None
+        near = np.concatenate([still[alive[still]], hit, before[hit[before[hit] >= 0]]])
+        if live is None:
+            at = np.unique(near)
+        else:
+            live[near] = True
+            at = np.flatnonzero(live).astype(np.int32)
+        at = at[after[at] < n]
+        at = at[(codes[at] != END) & (codes[after[at]] != END)]
+    return codes[alive], np.concatenate(rules), sizes
 
 
 def _lengths(codes: np.ndarray, lengths: np.ndarray) -> np.ndarray:

@@ -34,6 +34,11 @@ REMEMBERED = 600_000
 LONGEST = 40
 CALL_BYTES = 1 << 20
 
+#: Words in one text of the library, and what marks a word's last token.
+TOGETHER = 64
+WORD_END = "</w>"
+_PLAIN = re.compile("[a-zß-öø-ÿ]+").fullmatch
+
 TAILS = (".", ",")
 _LATIN = "^ ?[A-Za-zÀ-ÖØ-öø-ÿ]+[.,]?$"
 _SAFE = re.compile(r"(?<=\S)(?= \S)")
@@ -67,8 +72,9 @@ def by_bytes(pieces: list[str], most: int = CALL_BYTES) -> Iterator[list[str]]:
 class _Memory:
     """What the library gives for a piece, remembered up to a bound; past it, the older half is forgotten."""
 
-    def __init__(self, path: str, value: Callable):
-        self.tokenizer, self.value, self.known = tokenizer(path), value, {}
+    def __init__(self, path: str, value: Callable, joined: Callable | None = None):
+        """``joined`` gives the values of lower-case Latin words, many in one text."""
+        self.tokenizer, self.value, self.joined, self.known = tokenizer(path), value, joined, {}
 
     def __call__(self, pieces: list[str]) -> list:
         known = self.known
@@ -77,6 +83,13 @@ class _Memory:
                 del known[k]
         out = [known.get(p) for p in pieces]
         missing = [i for i, v in enumerate(out) if v is None]
+        if self.joined is not None:
+            plain = [i for i in missing if _PLAIN(pieces[i])]
+            for i, v in zip(plain, self.joined([pieces[i] for i in plain]), strict=True):
+                out[i] = v
+                if len(pieces[i]) <= LONGEST:
+                    known[pieces[i]] = v
+            missing = [i for i in missing if out[i] is None]
         at = 0
         for run in by_bytes([pieces[i] for i in missing]):
             for e in self.tokenizer.encode_batch_fast(run, add_special_tokens=False):
@@ -95,7 +108,27 @@ def _lengths(path: str) -> _Memory:
 
 @functools.cache
 def _ids(path: str) -> _Memory:
-    return _Memory(path, lambda e: array.array("I", e.ids).tobytes())
+    return _Memory(path, lambda e: array.array("I", e.ids).tobytes(), _Joined(path))
+
+
+class _Joined:
+    """Word BPE ids of words of letters alone, ``TOGETHER`` of them in one text: each is one pre-token, and its last id ends a word."""
+
+    def __init__(self, path: str):
+        self.tokenizer = tokenizer(path)
+        self.last = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.last[i] = token.endswith(WORD_END)
+
+    def __call__(self, words: list[str]) -> list[bytes]:
+        texts = [" ".join(words[k : k + TOGETHER]) for k in range(0, len(words), TOGETHER)]
+        out = []
+        for run in by_bytes(texts):
+            ids = np.concatenate([np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(run, add_special_tokens=False)])
+            ends = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
+            raw = ids.tobytes()
+            out += [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        return out
 
 
 def _cores(pieces: pa.Array, fold: bool) -> tuple[list[str], np.ndarray, np.ndarray]:
