@@ -66,6 +66,14 @@ def checked(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
+def opened(held: DataFrame, columns: list[str], made: dict[str, Column], row: str = "_row") -> DataFrame:
+    """The caller's ``columns`` out of the struct ``row`` with the columns ``made``, which replace those of their names.
+
+    An operator carries the caller's row in one struct, so the names of its own columns never meet the caller's.
+    """
+    return held.select(*[F.col(row).getField(c).alias(c) for c in columns if c not in made], *[v.alias(n) for n, v in made.items()])
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z in lower case and nothing else; pure ASCII texts take the faster built-in."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, _UPPER, _UPPER.lower()))

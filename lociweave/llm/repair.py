@@ -131,7 +131,7 @@ def compress(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         inner = hit[after[hit] < n]
         before[after[inner]] = inner
         still = at[(counts >= LEAST_COUNT)[group]]
-        live = np.zeros(n, dtype=bool) if 8 * len(at) > n else None
+        live = np.zeros(n, dtype=bool) if 64 * len(at) > n else None
         near = np.concatenate([still[alive[still]], hit, before[hit[before[hit] >= 0]]])
         if live is None:
             at = np.unique(near)

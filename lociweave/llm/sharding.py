@@ -5,9 +5,10 @@ table; one more shard takes rows only into itself, and only its fair part. The
 slot of a row, its place in its shard, is gapless from 0 in the order of the key, or
 of a column that the caller names.
 
-Defined cases: a null key counts as 0; rows with one key share a shard and get
-different slots; a null text has no bytes (size 16, checksum 0); extra columns
-pass through; an empty table stays empty.
+Defined cases: a null key counts as 0; a key that is no whole number counts as its
+hash; rows with one key share a shard and get different slots; a null text has no
+bytes (size 16, checksum 0); extra columns pass through, and those called like a result
+are replaced by it; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -16,8 +17,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lociweave.llm.common import documents
+from lociweave.llm.common import documents, opened
 from lociweave.llm.ranking import ranked
 
 SHARDS = 40
@@ -51,9 +53,13 @@ def shard_of(key: Column, shards: int) -> Column:
 
 def sharded(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int = SHARDS, order: str | None = None) -> DataFrame:
     """``docs`` with ``shard``, ``slot`` and ``grown_shard`` (the shard if there were one more); slots follow ``order``, a number, or else the key."""
-    placed = docs.withColumn("shard", shard_of(F.col(key), shards))
-    out = ranked(placed, "shard", order or key, "slot", [F.xxhash64(text)])
-    return out.withColumn("grown_shard", shard_of(F.col(key), shards + 1))
+    whole = isinstance(docs.schema[key].dataType, T.IntegralType)
+    held = docs.select(F.struct("*").alias("_row"), F.col(key).alias("_id"), (F.col(key) if whole else F.xxhash64(key)).cast("bigint").alias("_key"), F.col(text).alias("_text"))
+    held = held.withColumn("_shard", shard_of(F.when(F.col("_id").isNotNull(), F.col("_key")), shards))
+    if order:
+        held = held.withColumn("_order", F.col("_row").getField(order))
+    out = ranked(held, "_shard", "_order" if order else "_key", "_slot", [F.xxhash64("_text"), F.col("_id")])
+    return opened(out, docs.columns, {"shard": F.col("_shard"), "slot": F.col("_slot"), "grown_shard": shard_of(F.when(F.col("_id").isNotNull(), F.col("_key")), shards + 1)})
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

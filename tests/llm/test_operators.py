@@ -161,7 +161,7 @@ def test_attention_gradients():
     _, tables, p = random_model(3, 4000)
     p = {k: v.astype(float) for k, v in p.items()}
     n = np.array([90])
-    i, t, _ = attention.windows(rng.integers(0, 200, 90), n, *attention.spread(n))
+    i, t = attention.windows(rng.integers(0, 200, 90), n)
     _, g = attention.gradients(p, tables, i, t)
     for k in p:
         at, e = np.abs(g[k]).argmax(), 1e-5
@@ -183,7 +183,7 @@ def test_attention_learns_what_pairs_do_not_tell():
     tables = attention.Tables(mass / mass.sum(), pairs)
     p = attention.initial()
     learner = attention.Learner(p, tables, 1e-2)
-    i, t, _ = attention.windows(places, n, *attention.spread(n))
+    i, t = attention.windows(places, n)
     for _ in range(30):
         learner.learn(i, t)
     assert attention.Reader(learner.p, tables).log_probs(places, n).mean() > attention.Reader(p, tables).log_probs(places, n).mean() + 0.5
@@ -240,6 +240,15 @@ def test_period_deviates_by_less_than_a_block(weights):
             assert abs(seen[x] - (t + 1) * w / total) < 1
 
 
+def test_parts_of_a_period():
+    got = mixing.parts({k: 1 / p for k, p in enumerate((9973, 9967, 9949))})
+    assert sum(got.values()) <= mixing.PERIOD and max(got.values()) - min(got.values()) < 20
+    assert mixing.parts({"a": 40, "b": 20}) == {"a": 6667, "b": 3333} and mixing.parts({"a": 3, "b": 1}) == {"a": 3, "b": 1}
+    assert min(mixing.parts({"a": 1, "b": 1e-9}).values()) == 1
+    many = mixing.parts(dict.fromkeys(range(30_000), 1))
+    assert set(many.values()) == {1}
+
+
 def test_mixing(spark):
     n = {"a": 70, "b": 33, "c": 5, None: 12}
     df = spark.createDataFrame([(f"{s}{k}", s, 1) for s, c in n.items() for k in range(c)], "doc_id string, source string, weight long").withColumnRenamed("weight", "extra")
