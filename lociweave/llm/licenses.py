@@ -1,29 +1,33 @@
 """License scans: an exact set-similarity join of text blocks with templates.
 
-A block (a line) meets a template when it holds at least ``CONTAINMENT`` of the
-template's distinct words. Words are ordered by their frequency over all
-documents, rarest first. A block that meets a template shares one of the
-template's first ``|T| - need + 1`` words (prefix filter), has ``need`` template
-words at all (length filter), and has enough words left after the first shared
-one (positional filter); what passes is verified. The template side is a fixed
-parameter of a few dozen rows, so it is broadcast; the corpus is never shuffled.
+A block is a stretch of consecutive words, whatever lines they stand on, as long as the
+template's words over ``CONTAINMENT``. It meets the template when it holds at least
+``CONTAINMENT`` of the template's distinct words. Words are ordered by their frequency over
+all documents, rarest first. A text with a block that meets a template shares one of
+the template's first ``|T| - need + 1`` words (prefix filter), has ``need`` template
+words at all (length filter), and has enough of them left after the first shared one
+(positional filter); what passes is verified block by block. The template side is a
+fixed parameter of a few dozen rows, so it is broadcast; texts are split once, and again
+only where a template may be met.
 
 Besides, fixed phrases are found at every place where their words stand
 consecutively; those are the base labels.
 
 Defined cases: a null or empty text has no words, no labels (empty strings) and
-score 0; rows with one id share the method's labels and keep their own counts;
-a null id is an id like any other; an empty table stays empty.
+score 0; rows that share id and text share the method's labels, rows that share the id
+alone do not; a null id is an id like any other; only the key and the text are
+read, so extra columns may have any names; an empty table stays empty.
 """
 
 from __future__ import annotations
 
 import math
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociweave.llm.common import ascii_lower, documents
+from lociweave.llm.common import ascii_lower, checked, documents, let, written
 
 #: A word is a run of digits, lower-case letters and characters beyond ASCII.
 GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -68,39 +72,70 @@ def _strings(values: list[str]) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
-def frequencies(lowered: DataFrame, vocabulary: list[str]) -> dict[str, int]:
-    """In how many texts of ``_t`` each word of ``vocabulary`` is; a fixed number of rows reaches the driver."""
-    rows = lowered.select(F.explode(F.array_intersect(_words(F.col("_t")), _strings(vocabulary))).alias("w")).groupBy("w").count().collect()
-    return {r["w"]: r["count"] for r in rows}
+class Template(NamedTuple):
+    """A template's label, its distinct words, how many of them a block needs and how many words a block has."""
 
+    label: str
+    words: list[str]
+    need: int
+    width: int
 
-def template_matches(lowered: DataFrame, templates=TEMPLATES, share: float = CONTAINMENT) -> DataFrame:
-    """(_id, label, containment) of every line of ``_t`` that meets a template."""
-    spark = lowered.sparkSession
-    sets = [(label, _template_words(text)) for label, text in templates]
-    vocabulary = sorted({w for _, ws in sets for w in ws})
-    if not vocabulary:
-        return lowered.select("_id", F.lit("").alias("label"), F.lit(0.0).alias("containment")).limit(0)
-    seen = frequencies(lowered, vocabulary)
+
+def prepared(templates=TEMPLATES, share: float = CONTAINMENT) -> list[Template]:
+    out = []
+    for label, text in templates:
+        every = "".join(c if c.isalnum() else " " for c in text.lower()).split()
+        distinct = _template_words(text)
+        out.append(Template(label, distinct, _need(len(distinct), share), _need(len(every), 1 / share)))
+    return out
+
+
+def frequencies(held: DataFrame) -> dict[str, int]:
+    """In how many texts each word of ``_b`` is; a row for each word of the templates reaches the driver."""
+    return {r["w"]: r["count"] for r in held.select(F.explode("_b").alias("w")).groupBy("w").count().collect()}
+
+
+def candidates(held: DataFrame, templates: list[Template]) -> DataFrame:
+    """(_id, _h, ts): the texts whose template words ``_b`` pass the three filters, and the templates that they may meet."""
+    vocabulary = sorted({w for t in templates for w in t.words})
+    seen = frequencies(held)
     order = sorted(vocabulary, key=lambda w: (seen.get(w, 0), w))
     rank = {w: k for k, w in enumerate(order)}
     prefix = []
-    for number, (label, ws) in enumerate(sets):
-        by_rank = sorted(ws, key=rank.__getitem__)
-        need = _need(len(ws), share)
-        prefix += [(w, number, label, p, by_rank, need) for p, w in enumerate(by_rank[: len(ws) - need + 1])]
-    index = spark.createDataFrame(prefix, "token string, template int, label string, at int, words array<string>, need int")
-    starts = sorted({p[0] for p in prefix})
-    least = min(_need(len(ws), share) for _, ws in sets)
-    lines = lowered.select("_id", F.explode(F.split("_t", "\n")).alias("_line"))
-    # the block's template words, rarest first: array_intersect keeps the order of its first argument
-    blocks = lines.select("_id", F.array_intersect(_strings(order), _words(F.col("_line"))).alias("_b")).filter(F.size("_b") >= least)
-    probes = blocks.select("_id", "_b", F.explode(F.array_intersect(F.col("_b"), _strings(starts))).alias("_token"))
+    for t in templates:
+        by_rank = sorted(t.words, key=rank.__getitem__)
+        prefix += [(w, p, (t.label, by_rank, t.need, t.width)) for p, w in enumerate(by_rank[: len(t.words) - t.need + 1])]
+    index = held.sparkSession.createDataFrame(prefix, "token string, at int, t struct<label:string,words:array<string>,need:int,width:int>")
+    starts, least = sorted({p[0] for p in prefix}), min(t.need for t in templates)
+    # array_intersect keeps the order of its first argument: rarest first
+    some = held.filter(F.size("_b") >= least).select("_id", "_h", F.array_intersect(_strings(order), F.col("_b")).alias("_b"))
+    probes = some.select("_id", "_h", "_b", F.explode(F.array_intersect(F.col("_b"), _strings(starts))).alias("_token"))
     pairs = probes.join(F.broadcast(index), F.col("_token") == F.col("token"))
-    first = F.size(F.array_intersect(F.slice("words", F.lit(1), F.col("at")), F.col("_b"))) == 0
-    left = F.least(F.size("words") - F.col("at"), F.size("_b") - F.array_position("_b", F.col("_token")).cast("int") + 1)
-    shared = F.size(F.array_intersect("words", "_b"))
-    return pairs.filter(first & (left >= F.col("need"))).withColumn("_shared", shared).filter(F.col("_shared") >= F.col("need")).select("_id", "label", (F.col("_shared") / F.size("words")).alias("containment"))
+    first = F.size(F.array_intersect(F.slice("t.words", F.lit(1), F.col("at")), F.col("_b"))) == 0
+    left = F.least(F.size("t.words") - F.col("at"), F.size("_b") - F.array_position("_b", F.col("_token")).cast("int") + 1)
+    shared = F.size(F.array_intersect("t.words", "_b"))
+    return pairs.filter(first & (left >= F.col("t.need")) & (shared >= F.col("t.need"))).groupBy("_id", "_h").agg(F.collect_set("t").alias("ts"))
+
+
+def _best_block(words: Column, t: Column) -> Column:
+    """The most distinct words of the template ``t`` in one block; a best block starts with one of them."""
+    hits = F.array_compact(F.transform(words, lambda w, i: F.when(F.array_contains(t["words"], w), F.struct(i.alias("i"), w.alias("w")))))
+
+    def block(h: Column, a: Column, k: Column) -> Column:
+        inside = F.filter(F.slice(h, k + 1, t["width"]), lambda b: b["i"] < a["i"] + t["width"])
+        return F.size(F.array_distinct(F.transform(inside, lambda b: b["w"])))
+
+    return F.coalesce(let(hits, lambda h: F.array_max(F.transform(h, lambda a, k: block(h, a, k)))), F.lit(0))
+
+
+def template_matches(lowered: DataFrame, held: DataFrame, templates: list[Template]) -> DataFrame:
+    """(_id, _h, label, containment) of every text of ``_t`` and template that it meets; ``held`` has the texts' template words."""
+    found = written(candidates(held, templates), "candidates")
+    # the filters leave few texts: only these are split again
+    asked = lowered.join(checked(found.withColumnsRenamed({"_id": "_of", "_h": "_hash"})), F.col("_id").eqNullSafe(F.col("_of")) & (F.col("_h") == F.col("_hash")))
+    best = let(_words(F.col("_t")), lambda w: F.transform("ts", lambda t: F.struct(t["label"].alias("label"), t["need"].alias("need"), F.size(t["words"]).alias("n"), _best_block(w, t).alias("k"))))
+    met = asked.select("_id", "_h", F.explode(best).alias("m")).filter("m.k >= m.need")
+    return met.select("_id", "_h", "m.label", (F.col("m.k") / F.col("m.n")).alias("containment"))
 
 
 def _places(words: Column, phrase: str) -> Column:
@@ -120,20 +155,29 @@ def _all(conditions: list[Column]) -> Column:
 
 def scanned(docs: DataFrame, key: str = "doc_id", text: str = "text", phrases=PHRASES, templates=TEMPLATES, share: float = CONTAINMENT) -> DataFrame:
     """One row per row of ``docs``: the key as ``doc_id``, counts, places, labels and score."""
-    lowered = docs.select(F.col(key).alias("_id"), ascii_lower(F.coalesce(F.col(text), F.lit(""))).alias("_t"))
-    found = template_matches(lowered, templates, share).groupBy(F.col("_id").alias("_of")).agg(F.collect_set("label").alias("_more"), F.max("containment").alias("_best"))
-    base = lowered.withColumn("_w", _words(F.col("_t")))
+    known = prepared(templates, share)
+    lowered = docs.select(F.col(key).alias("_id"), F.xxhash64(text).alias("_h"), ascii_lower(F.coalesce(F.col(text), F.lit(""))).alias("_t"))
     names = [f"_p{k}" for k in range(len(phrases))]
-    base = base.select("_id", F.size("_w").cast("bigint").alias("n_words"), *[_places(F.col("_w"), p).alias(n) for n, p in zip(names, phrases, strict=True)])
+    vocabulary = _strings(sorted({w for t in known for w in t.words})) if known else F.array().cast("array<string>")
+    split = lowered.withColumn("_w", _words(F.col("_t")))
+    base = split.select("_id", "_h", F.size("_w").cast("bigint").alias("n_words"), F.array_intersect(vocabulary, F.col("_w")).alias("_b"), *[_places(F.col("_w"), p).alias(n) for n, p in zip(names, phrases, strict=True)])
     every = F.flatten(F.array(*names))
     labels = F.array_compact(F.array(*[F.when(F.size(n) > 0, F.lit(v)) for n, v in zip(names, phrases.values(), strict=True)]))
-    base = base.select(
-        "_id", "n_words", F.size(every).cast("bigint").alias("n_base"), F.array_min(every).cast("bigint").alias("first_word"), F.array_max(every).cast("bigint").alias("last_word"), F.array_sort(F.array_distinct(labels)).alias("_base")
+    base = written(
+        base.select(
+            "_id", "_h", "_b", "n_words", F.size(every).cast("bigint").alias("n_base"), F.array_min(every).cast("bigint").alias("first_word"), F.array_max(every).cast("bigint").alias("last_word"), F.array_sort(F.array_distinct(labels)).alias("_base")
+        ),
+        "license-words",
     )
-    out = base.join(found, F.col("_id").eqNullSafe(F.col("_of")), "left")
+    if known:
+        met = template_matches(lowered, base.select("_id", "_h", "_b"), known)
+        met = written(met.groupBy(F.col("_id").alias("_of"), F.col("_h").alias("_hash")).agg(F.collect_set("label").alias("_more"), F.max("containment").alias("_best")), "license-labels")
+        base = base.join(checked(met), F.col("_id").eqNullSafe(F.col("_of")) & (F.col("_h") == F.col("_hash")), "left")
+    else:
+        base = base.withColumns({"_more": F.array().cast("array<string>"), "_best": F.lit(0.0)})
     both = F.array_sort(F.array_union("_base", F.coalesce("_more", F.array().cast("array<string>"))))
     score = F.when(F.size("_base") > 0, F.lit(1.0)).otherwise(F.coalesce("_best", F.lit(0.0)))
-    return out.select(F.col("_id").alias("doc_id"), "n_words", "n_base", "first_word", "last_word", F.array_join("_base", ",").alias("base_labels"), F.array_join(both, ",").alias("labels"), score.alias("score"))
+    return base.select(F.col("_id").alias("doc_id"), "n_words", "n_base", "first_word", "last_word", F.array_join("_base", ",").alias("base_labels"), F.array_join(both, ",").alias("labels"), score.alias("score"))
 
 
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,14 +185,14 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    held = ", ".join(f"({n}, '{label}', [{', '.join(repr(w) for w in _template_words(t))}], {_need(len(_template_words(t)), CONTAINMENT)})" for n, (label, t) in enumerate(TEMPLATES))
+    held = ", ".join(f"({n}, '{t.label}', [{', '.join(repr(w) for w in t.words)}], {t.need}, {t.width})" for n, t in enumerate(prepared()))
     places, labels = [], []
     for p, v in PHRASES.items():
         parts = p.split(" ")
         places.append(" AND ".join(f"w[i + {k + 1}] = '{x}'" for k, x in enumerate(parts)))
         labels.append(f"WHEN {places[-1]} THEN '{v}'")
     return rf"""
-WITH t(n, label, ws, need) AS (VALUES {held}), d AS (
+WITH t(n, label, ws, need, width) AS (VALUES {held}), d AS (
   SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x FROM documents
 ), a AS (
   SELECT doc_id, x, list_filter(string_split_regex(x, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda y: y <> '') AS w FROM d
@@ -156,12 +200,12 @@ WITH t(n, label, ws, need) AS (VALUES {held}), d AS (
   SELECT doc_id, i, CASE {' '.join(labels)} END AS label FROM (SELECT doc_id, w, unnest(range(0, len(w))) AS i FROM a)
 ), b AS (
   SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list(DISTINCT label) AS labels FROM p WHERE label IS NOT NULL GROUP BY doc_id
-), l AS (
-  SELECT doc_id, list_distinct(string_split_regex(y, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS ws FROM (SELECT doc_id, unnest(string_split(x, chr(10))) AS y FROM d)
+), h AS (
+  SELECT x.doc_id, t.n, x.i, x.y FROM (SELECT doc_id, unnest(w) AS y, unnest(range(0, len(w))) AS i FROM a) x, (SELECT n, unnest(ws) AS y FROM t) t WHERE x.y = t.y
+), k AS (
+  SELECT h.doc_id, h.n, h.i, count(DISTINCT g.y) AS k FROM h JOIN t ON h.n = t.n JOIN h g ON g.doc_id = h.doc_id AND g.n = h.n AND g.i >= h.i AND g.i < h.i + t.width GROUP BY ALL
 ), m AS (
-  SELECT doc_id, list(DISTINCT label) AS labels, max(c) AS best FROM (
-    SELECT doc_id, label, need, len(list_intersect(l.ws, t.ws)) AS k, k::DOUBLE / len(t.ws) AS c FROM l, t
-  ) WHERE k >= need GROUP BY doc_id
+  SELECT doc_id, list(DISTINCT label) AS labels, max(k::DOUBLE / len(ws)) AS best FROM k JOIN t ON k.n = t.n WHERE k >= need GROUP BY doc_id
 )
 SELECT a.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
        array_to_string(list_sort(coalesce(b.labels, [])), ',') AS base_labels,

@@ -431,12 +431,11 @@ def test_licenses(spark, small):
         r = got[i]
         assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) == (len(w), len(at), min((k for k, _ in at), default=None), max((k for k, _ in at), default=None), ",".join(sorted({v for _, v in at})))
         more = set()
-        for line in lower(d[1]).split("\n"):
-            have = set(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", line))
-            for label, t in licenses.TEMPLATES:
-                want = set(re.findall(r"[a-z0-9]+", t.lower()))
-                if 10 * len(have & want) >= 8 * len(want):
-                    more.add(label)
+        for label, t in licenses.TEMPLATES:
+            every = re.findall(r"[a-z0-9]+", t.lower())
+            want, width = set(every), -(-len(every) * 5 // 4)
+            if any(10 * len(set(w[k : k + width]) & want) >= 8 * len(want) for k in range(len(w))):
+                more.add(label)
         assert r["labels"] == ",".join(sorted(more | {v for _, v in at})) and 0 <= r["score"] <= 1
 
 
@@ -538,6 +537,20 @@ def test_substitutions_near_the_edges(spark):
     assert all(r["overlap_words"] >= 13 and r["similarity"] >= 0.8 for r in got)
 
 
+def test_licenses_over_lines_and_by_row(spark):
+    import textwrap
+
+    wrapped = {k: "some words before\n" + "\n".join(textwrap.wrap("Anyone. " + t + " and more.", 70 if k % 2 else 20)) for k, (_, t) in enumerate(licenses.TEMPLATES)}
+    docs = list(wrapped.items()) + [(90, "the rights of all are reserved by the state"), (91, "Released under the MIT License."), (91, "nothing of the kind here"), (92, "far\n" * 50 + "licensed " + "x " * 30 + "under the mit license"), (93, None)]
+    got = licenses.scanned(spark.createDataFrame(docs, "doc_id long, text string").withColumns({"_b": F.lit(1), "labels": F.lit("x")})).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r["doc_id"], []).append(r["labels"])
+    assert all(licenses.TEMPLATES[k][0] in by[k][0].split(",") for k in wrapped)
+    assert by[90] == [""] and sorted(by[91]) == ["", "mit"] and by[93] == [""]
+    assert by[92] == ["mit"]
+
+
 def most_left(codes):
     """The count, without overlaps with itself, of the most frequent pair that holds no end."""
     counts, last = Counter(), {}
