@@ -71,7 +71,19 @@ def opened(held: DataFrame, columns: list[str], made: dict[str, Column], row: st
 
     An operator carries the caller's row in one struct, so the names of its own columns never meet the caller's.
     """
-    return held.select(*[F.col(row).getField(c).alias(c) for c in columns if c not in made], *[v.alias(n) for n, v in made.items()])
+    # in two steps, as an alias of one select can be seen by the other columns of it
+    done = held.select(F.col(row).alias("_held"), *[v.alias(f"_made_{k}") for k, v in enumerate(made.values())])
+    return done.select(*[F.col("_held").getField(c).alias(c) for c in columns if c not in made], *[F.col(f"_made_{k}").alias(n) for k, n in enumerate(made)])
+
+
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """``names`` with as many underscores as keep them apart from ``columns``."""
+    taken, out = {c.lower() for c in columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = f"_{n}"
+        out.append(n)
+    return out
 
 
 def ascii_lower(text: Column) -> Column:

@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociweave.llm.common import BLANK_RUN, BLANKS, BROADCAST_IDS, documents, written
+from lociweave.llm.common import BLANK_RUN, BLANKS, BROADCAST_IDS, documents, opened, written
 
 MIN_WORDS = 20
 
@@ -115,12 +115,13 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", least
     rows, places = gone.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("_gone")), F.lit(0))).first()
     if rows <= BROADCAST_IDS and places <= 4 * BROADCAST_IDS:
         gone = F.broadcast(gone)
-    out = docs.withColumn("_r", F.xxhash64(text)).join(gone, F.col(key).eqNullSafe(F.col("d")) & (F.col("_r") == F.col("r")), "left").drop("d", "r", "_r")
-    out = out.withColumn("_all", _lines(F.col(text))).withColumn("_full", _full(F.col("_all")))
-    out = out.withColumn("deleted_lines", F.transform(F.coalesce("_gone", F.array().cast("array<int>")), lambda k: F.get("_full", k)))
-    stay = F.array_except(F.sequence(F.lit(0), F.size("_all") - 1), F.col("deleted_lines"))
-    clean = F.when(F.size("deleted_lines") == 0, F.col(text)).otherwise(F.array_join(F.transform(stay, lambda i: F.get("_all", i)), "\n"))
-    return out.withColumn("clean_text", clean).withColumn("n_lines", F.size("_full").cast("bigint")).drop("_gone", "_all", "_full")
+    held = docs.select(F.struct("*").alias("_row"), F.col(key).alias("_key"), F.col(text).alias("_text"), F.xxhash64(text).alias("_hash"))
+    out = held.join(gone, F.col("_key").eqNullSafe(F.col("d")) & (F.col("_hash") == F.col("r")), "left")
+    out = out.withColumn("_all", _lines(F.col("_text"))).withColumn("_full", _full(F.col("_all")))
+    out = out.withColumn("_deleted", F.transform(F.coalesce("_gone", F.array().cast("array<int>")), lambda k: F.get("_full", k)))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("_all") - 1), F.col("_deleted"))
+    clean = F.when(F.size("_deleted") == 0, F.col("_text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get("_all", i)), "\n"))
+    return opened(out, docs.columns, {"n_lines": F.size("_full").cast("bigint"), "deleted_lines": F.col("_deleted"), "clean_text": clean})
 
 
 def op10_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociweave.llm.common import BLANKS, documents, let, without, words_of
+from lociweave.llm.common import BLANKS, documents, fresh, let, without, words_of
 
 #: Frequent function words of the languages in the corpus.
 STOP_WORDS = (
@@ -99,9 +99,10 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with the counts that the rules build on."""
     t = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != "")
-    w, ls = F.col("_words"), F.col("_lines")
-    parts = docs.withColumn("_words", words_of(F.col(text))).withColumn("_lines", lines)
-    parts = parts.withColumn("_keys", _keys(w)).withColumn("_alike", _alike(F.col("_keys")))
+    words, lines_, keys, alike = fresh(docs.columns, "_words", "_lines", "_keys", "_alike")
+    w, ls = F.col(words), F.col(lines_)
+    parts = docs.withColumn(words, words_of(F.col(text))).withColumn(lines_, lines)
+    parts = parts.withColumn(keys, _keys(w)).withColumn(alike, _alike(F.col(keys)))
     ends = lambda x: F.rtrim(x, F.lit(BLANKS))
     return parts.withColumns(
         {
@@ -111,10 +112,10 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
             "n_lines": F.size(ls).cast("bigint"),
             "n_dup_lines": (F.size(ls) - F.size(F.array_distinct(ls))).cast("bigint"),
             "n_ellipsis_lines": F.size(F.filter(ls, lambda x: ends(x).endswith("...") | ends(x).endswith("…"))).cast("bigint"),
-            "n_repeat_words": _repeat_words(w, F.col("_alike")),
+            "n_repeat_words": _repeat_words(w, F.col(alike)),
             "n_stop_words": F.size(F.filter(w, lambda x: x.isin(STOP_FORMS))).cast("bigint"),
         }
-    ).drop("_words", "_lines", "_keys", "_alike")
+    ).drop(words, lines_, keys, alike)
 
 
 def _metrics() -> dict[str, Column]:

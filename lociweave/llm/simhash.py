@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociweave.llm.common import ascii_lower, checked, cut, documents, words_of, written
+from lociweave.llm.common import ascii_lower, checked, cut, documents, fresh, words_of, written
 from lociweave.llm.components import components
 
 SHINGLE = 3
@@ -86,8 +86,9 @@ def _majority_of(hashes: Column) -> Column:
 
 def fingerprinted(docs: DataFrame, text: str = "text", name: str = "fingerprint", size: int = SHINGLE) -> DataFrame:
     """``docs`` with the 64-bit fingerprint of ``text`` as a signed number."""
-    words = docs.withColumn("_words", words_of(ascii_lower(F.col(text))))
-    return words.withColumn("_hashes", shingle_hashes(F.col("_words"), size)).drop("_words").withColumn(name, _majority_of(F.col("_hashes"))).drop("_hashes")
+    words, hashes = fresh([*docs.columns, name], "_words", "_hashes")
+    held = docs.withColumn(words, words_of(ascii_lower(F.col(text))))
+    return held.withColumn(hashes, shingle_hashes(F.col(words), size)).drop(words).withColumn(name, _majority_of(F.col(hashes))).drop(hashes)
 
 
 def _segment(fp: Column, s: int) -> Column:
@@ -125,7 +126,9 @@ def grouped(rows: DataFrame, key: str, fp: str) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE) -> DataFrame:
     """(key, fp, component_id) of every row of ``docs``."""
-    return grouped(written(fingerprinted(docs.select(key, text), text, "fp", size).select(key, "fp"), "fingerprints"), key, "fp")
+    held = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text"))
+    found = grouped(written(fingerprinted(held, "_text", "fp", size).select("_id", "fp"), "fingerprints"), "_id", "fp")
+    return found.select(F.col("_id").alias(key), "fp", "component_id")
 
 
 #: The stage that drops near copies: words of a shingle, Jaccard similarity from which a copy counts, fingerprints of a text.
@@ -254,6 +257,7 @@ def copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     a group is what links reach. Those that meet in a bucket are compared first, then all
     others that share a shingle of their prefixes and are in different groups still.
     """
+    docs, key, text = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text")), "_id", "_text"
     common = docs.sparkSession.sparkContext.broadcast(_common(docs, key, text).tobytes())
     words = docs.select(F.col(key).alias("_id"), words_of(ascii_lower(F.col(text))).alias("_w"))
     rows = words.select("_id", F.md5(F.array_join("_w", " ")).alias("_c"), shingle_hashes(F.col("_w"), COPY_SHINGLE).alias("_h"))
@@ -280,13 +284,12 @@ def kept(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """
     found = written(copies(docs, key, text), "copies")
     gone = written(found.filter((F.col("_id") != F.col("_stay")) & F.col("_stay").isNotNull()).select(F.col("_id").alias("_gone"), F.col("_c").alias("_words")).distinct(), "gone")
-    named = docs.withColumn("_words_of", F.md5(F.array_join(words_of(ascii_lower(F.col(text))), " ")))
-    left = named.join(checked(gone), (F.col(key) == F.col("_gone")) & (F.col("_words_of") == F.col("_words")), "left_anti")
+    named = docs.select(F.struct("*").alias("_row"), F.col(key).alias("_key"), F.md5(F.array_join(words_of(ascii_lower(F.col(text))), " ")).alias("_words_of"))
+    left = named.join(checked(gone), (F.col("_key") == F.col("_gone")) & (F.col("_words_of") == F.col("_words")), "left_anti")
     twice = found.filter("_id is not null").groupBy("_id", "_c").count().filter("count > 1").limit(1).count()
     if twice:
-        keyed = left.filter(F.col(key).isNotNull()).dropDuplicates([key, "_words_of"])
-        left = keyed.unionByName(left.filter(F.col(key).isNull()))
-    return left.drop("_words_of")
+        left = left.filter("_key is not null").dropDuplicates(["_key", "_words_of"]).unionByName(left.filter("_key is null"))
+    return left.select("_row.*")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

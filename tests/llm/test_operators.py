@@ -282,6 +282,26 @@ def test_quality_keeps_prose_and_columns(spark, small):
     assert {3, 13, 23, 33, 43} <= ids and not ids & {10 * k + 3 for k in range(18, 26)}
 
 
+NAMES = "_row _key _id _text _hash _hashes _words _words_of _keys _alike _lines _all _full _gone _bad _c c d r k b fp least root node weight period _at _group _order _first _in _rank _block _slot _of _shard _tie _sub shard slot mix_position n_words clean_text".split()
+
+
+@pytest.mark.parametrize("made", ["mixed", "sharded", "deduplicated", "kept", "clean", "judge", "keep", "fingerprinted"])
+def test_names_of_extra_columns_do_not_matter(spark, small, made):
+    items = spark.read.parquet(f"{small}/benchmark.parquet")
+    run = {
+        "mixed": lambda d: mixing.mixed(d, mixing.WEIGHTS), "sharded": sharding.sharded, "deduplicated": linededup.deduplicated, "kept": simhash.kept, "clean": lambda d: decontamination.clean(d, items),
+        "judge": quality.judge, "keep": quality.keep, "fingerprinted": simhash.fingerprinted,
+    }[made]
+    docs = spark.read.parquet(f"{small}/documents.parquet").filter("doc_id is not null and doc_id < 200").dropDuplicates(["doc_id"])
+    plain = run(docs)
+    extra = [n for n in NAMES if n not in set(plain.columns) - set(docs.columns)]
+    got = run(docs.select("*", *[F.lit(f"mine {n}").alias(n) for n in extra]))
+    assert set(got.columns) == set(plain.columns) | set(extra)
+    for r in got.select(*extra).distinct().collect():
+        assert all(r[n] == f"mine {n}" for n in extra)
+    assert rows(got.select(*plain.columns).withColumns({c: F.col(c).cast("string") for c in plain.columns})) == rows(plain.withColumns({c: F.col(c).cast("string") for c in plain.columns}))
+
+
 def fingerprint(text, size=3):
     w = words(lower(text))
     s = [" ".join(w[i : i + size]) for i in range(len(w) - size + 1)] if len(w) >= size else [" ".join(w)] if w else []
