@@ -38,7 +38,7 @@ from pyspark.sql import types as T
 from lociweave.llm.common import documents, scratch, tokenizer_path
 
 END = 2
-BLOCK_IDS = 1 << 20
+BLOCK_IDS = 1 << 19
 #: Nonterminals start here, above the ids of the tokenizer.
 BASE = 1 << 16
 #: Bytes of a rule with its length, and of a code: a rule must replace more than their quotient.
@@ -105,14 +105,14 @@ def compress(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     codes, n = ids.astype(np.uint32), len(ids)
     rules, sizes = [np.zeros((0, 2), dtype=np.uint32)], np.ones(0, dtype=np.uint32)
     # the neighbours of each place that is left; a replaced pair leaves its first place
-    after, before, alive = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32), np.ones(n, dtype=bool)
-    at = np.flatnonzero((codes[:-1] != END) & (codes[1:] != END)).astype(np.int32)
+    after, before, alive = np.arange(1, n + 1), np.arange(-1, n - 1), np.ones(n, dtype=bool)
+    at = np.flatnonzero((codes[:-1] != END) & (codes[1:] != END))
     while len(at):
         next_ = after[at]
         left, right = codes[at], codes[next_]
         order, new = _by_pair(left, right)
-        group = np.empty(len(at), dtype=np.int32)
-        group[order] = np.cumsum(new, dtype=np.int32) - 1
+        group = np.empty(len(at), dtype=np.int64)
+        group[order] = np.cumsum(new) - 1
         starts = np.flatnonzero(new)
         counts, on = _chosen(group, np.diff(np.append(starts, len(at))), np.append(False, next_[:-1] == at[1:]))
         taken = np.bincount(group[on], minlength=len(counts)) >= LEAST_COUNT
@@ -137,7 +137,7 @@ def compress(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             at = np.unique(near)
         else:
             live[near] = True
-            at = np.flatnonzero(live).astype(np.int32)
+            at = np.flatnonzero(live)
         at = at[after[at] < n]
         at = at[(codes[at] != END) & (codes[after[at]] != END)]
     return codes[alive], np.concatenate(rules), sizes

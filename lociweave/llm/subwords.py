@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from lociweave.llm.common import one_thread
 
 #: Pieces a worker remembers, the longest of them in characters, and bytes for one call of the library.
-REMEMBERED = 600_000
+REMEMBERED = 900_000
 LONGEST = 40
 CALL_BYTES = 1 << 20
 
