@@ -101,21 +101,26 @@ SITES = {"Co": "Colon", "Ce": "Cecum", "I": "Ileum", "J": "Jejunum", "D": "Duode
 SITE_ORDER = {"Duodenum": 1, "Jejunum": 2, "Ileum": 3, "Cecum": 4, "Colon": 5, "Inoculum": 1, "Stool": 1}
 UPPER_GUT = ("Duodenum", "Jejunum", "Ileum")
 INOCULUM = "TL1gDNAshort"
-DIETS = {"1": "Control diet", "2": "Control diet", "3": "Control diet", "4": "Guar gum diet", "5": "Guar gum diet", "6": "Guar gum diet", "7": "Control diet", "8": "Guar gum diet"}
-CAGES = {"1": "Cage 1", "2": "Cage 1", "3": "Cage 1", "4": "Cage 2", "5": "Cage 2", "6": "Cage 2", "7": "Cage 3", "8": "Cage 3"}
+DIETS = {"1": "Control diet", "2": "Control diet", "3": "Control diet", "4": "Guar gum diet", "5": "Guar gum diet", "6": "Guar gum diet", "7": "Guar gum diet", "8": "Guar gum diet"}
+CAGES = {"1": "Cage 1", "2": "Cage 1", "3": "Cage 1", "4": "Cage 2", "5": "Cage 2", "6": "Cage 3", "7": "Cage 3", "8": "Cage 3"}
 
 
 def lookup(values: dict, key: Column) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for x in chain(*values.items())]), key)
 
 
+def known(value: Column, sample: Column, what: str) -> Column:
+    """``value``, failing where it is null although the sample is not."""
+    return F.when(value.isNull() & sample.isNotNull(), F.raise_error(F.concat(F.lit(f"no {what} in sample name "), sample))).otherwise(value)
+
+
 def mouse_number(sample: Column) -> Column:
     return F.when(sample == INOCULUM, F.lit("Inoculum")).otherwise(F.substring(sample, 2, 1))
 
 
 def gut_site(sample: Column) -> Column:
     code = F.regexp_extract(sample, r"^M\d(Co|Ce|I|J|D)", 1)
-    return F.when(sample == INOCULUM, F.lit("Inoculum")).otherwise(lookup(SITES, code))
+    return known(F.when(sample == INOCULUM, F.lit("Inoculum")).otherwise(lookup(SITES, code)), sample, "gut site")
 
 
 def gut_region(site: Column) -> Column:
@@ -123,11 +128,11 @@ def gut_region(site: Column) -> Column:
 
 
 def diet(sample: Column) -> Column:
-    return F.when(sample == INOCULUM, F.lit("Human diet")).otherwise(lookup(DIETS, mouse_number(sample)))
+    return known(F.when(sample == INOCULUM, F.lit("Human diet")).otherwise(lookup(DIETS, mouse_number(sample))), sample, "diet")
 
 
 def cage(sample: Column) -> Column:
-    return F.when(sample == INOCULUM, F.lit("Inoculum")).otherwise(lookup(CAGES, mouse_number(sample)))
+    return known(F.when(sample == INOCULUM, F.lit("Inoculum")).otherwise(lookup(CAGES, mouse_number(sample))), sample, "cage")
 
 
 def orientation(a: Column, b: Column, what: str) -> Column:

@@ -65,6 +65,13 @@ def same_cage(samples: DataFrame) -> DataFrame:
     return a.join(b, (F.col("cage_1") == F.col("cage_2")) & (F.col("subject_id_1") < F.col("subject_id_2"))).select(F.col("cage_1").alias("cage"), "sample_1", "sample_2")
 
 
+def cages(rows: DataFrame) -> DataFrame:
+    """Every two cages of a species, each pair once."""
+    own = rows.select("species", "cage").distinct()
+    a, b = (own.select("species", F.col("cage").alias(f"cage_{k}")) for k in (1, 2))
+    return a.join(b, "species").filter("cage_1 < cage_2")
+
+
 def oriented(pairs: DataFrame, samples: DataFrame) -> DataFrame:
     """Pairs with host and cage orientation."""
     a, b = _two(samples, ("sample", "subject_id", "cage"))

@@ -72,6 +72,35 @@ def strain_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy(*keys).agg(F.avg(F.when(F.col("value") > 50, 1.0).otherwise(0.0)).alias("freq"), F.count(F.lit(1)).alias("n"))
 
 
+def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(sample, subject_id, accession, visit, country, continent, coverage): one row a run"""
+    c, n, r = (_read(spark, sf_dir, t) for t in ("customer", "nation", "region"))
+    k = F.col("c_custkey")
+    rows = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey"))
+    return rows.select(
+        _coded("M", F.floor(k / 2)).alias("sample"), _coded("H", F.floor(k / 2) % 40).alias("subject_id"), _coded("R", k).alias("accession"), (1 + F.floor(k / 80) % 4).alias("visit"),
+        F.col("n_name").alias("country"), F.col("r_name").alias("continent"), (F.col("c_acctbal") / 100.0).alias("coverage"),
+    )
+
+
+def mouse_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(sample, value): names of the samples of 8 mice at 5 sites, and the inoculum"""
+    k = F.col("c_custkey")
+    code = F.element_at(F.array(*[F.lit(x) for x in ("Co", "Ce", "I", "J", "D")]), (F.floor(k / 8) % 5 + 1).cast("int"))
+    name = F.when(k % 41 == 40, F.lit("TL1gDNAshort")).otherwise(F.concat(F.lit("M"), (1 + k % 8).cast("string"), code))
+    return _read(spark, sf_dir, "customer").groupBy(name.alias("sample")).agg(F.sum("c_acctbal").alias("value"))
+
+
+def pangenome(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(species, genome, gene_id, centroid_99, centroid_95, line, kind, description)"""
+    k = F.col("p_partkey")
+    genome = F.concat(F.lit("1."), (k % 5).cast("string"))
+    return _read(spark, sf_dir, "part").select(
+        F.col("p_type").alias("species"), genome.alias("genome"), F.concat(genome, F.lit(".peg."), k.cast("string")).alias("gene_id"), _coded("c99.", F.floor(k / 2)).alias("centroid_99"), _coded("c95.", F.floor(k / 4)).alias("centroid_95"),
+        k.alias("line"), F.concat(F.lit("kind "), (F.col("p_size") % 3).cast("string")).alias("kind"), F.col("p_name").alias("description"),
+    )
+
+
 #: The same views as SQL common table expressions.
 SQL_VIEWS = """
 a_site_counts AS (
@@ -89,6 +118,18 @@ a_samples AS (
          CONCAT('C', CAST((o_orderkey % 12) % 2 AS VARCHAR)) AS cage, 1 + CAST(FLOOR(CAST(o_orderkey % 12 AS DOUBLE) / 5) AS BIGINT) AS ord
   FROM orders),
 a_gene_counts AS (SELECT species, gene_id, sample, CAST(SUM(depth) AS DOUBLE) / CAST(20 AS DOUBLE) AS depth, COUNT(*) AS reads FROM a_sites GROUP BY 1, 2, 3),
+a_metadata AS (
+  SELECT CONCAT('M', CAST(CAST(FLOOR(c_custkey / 2.0) AS BIGINT) AS VARCHAR)) AS sample, CONCAT('H', CAST(CAST(FLOOR(c_custkey / 2.0) AS BIGINT) % 40 AS VARCHAR)) AS subject_id, CONCAT('R', CAST(c_custkey AS VARCHAR)) AS accession,
+         1 + CAST(FLOOR(c_custkey / 80.0) AS BIGINT) % 4 AS visit, n_name AS country, r_name AS continent, c_acctbal / 100.0::DOUBLE AS coverage
+  FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+a_mouse_samples AS (
+  SELECT CASE WHEN c_custkey % 41 = 40 THEN 'TL1gDNAshort' ELSE CONCAT('M', CAST(1 + c_custkey % 8 AS VARCHAR), ['Co', 'Ce', 'I', 'J', 'D'][CAST(FLOOR(c_custkey / 8.0) AS BIGINT) % 5 + 1]) END AS sample, SUM(c_acctbal) AS value
+  FROM customer GROUP BY 1),
+a_pangenome AS (
+  SELECT p_type AS species, CONCAT('1.', CAST(p_partkey % 5 AS VARCHAR)) AS genome, CONCAT('1.', CAST(p_partkey % 5 AS VARCHAR), '.peg.', CAST(p_partkey AS VARCHAR)) AS gene_id,
+         CONCAT('c99.', CAST(CAST(FLOOR(p_partkey / 2.0) AS BIGINT) AS VARCHAR)) AS centroid_99, CONCAT('c95.', CAST(CAST(FLOOR(p_partkey / 4.0) AS BIGINT) AS VARCHAR)) AS centroid_95, p_partkey AS line,
+         CONCAT('kind ', CAST(p_size % 3 AS VARCHAR)) AS kind, p_name AS description
+  FROM part),
 a_species_profile AS (
   SELECT c_mktsegment AS species, CONCAT('N', CAST(c_nationkey AS VARCHAR)) AS sample, CAST(SUM(o_totalprice) AS DOUBLE) / CAST(1000000 AS DOUBLE) AS coverage
   FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2),

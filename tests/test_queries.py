@@ -5,7 +5,7 @@ from collections import Counter
 
 import pytest
 
-from lociweave.plans import queries as plans
+from lociweave.plans import catalog as plans
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
@@ -16,7 +16,7 @@ def duck():
     import duckdb
 
     con = duckdb.connect()
-    for t in ("customer", "events", "lineitem", "orders", "part"):
+    for t in ("customer", "events", "lineitem", "nation", "orders", "part", "region", "supplier"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{DATA}/{t}.parquet')")
     return con
 
