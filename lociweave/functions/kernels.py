@@ -263,36 +263,44 @@ def cut_tree(merges: list[tuple[int, int, float, int]], n: int, height: float) -
     return np.array([order.index(r) for r in roots])
 
 
+def _distances_from(f: np.ndarray, d: np.ndarray, k: int, flip: bool) -> np.ndarray:
+    """Coverage-weighted distance of SNV ``k`` to every SNV (row) over samples, its frequency flipped on demand."""
+    own = 1 - f[k] if flip else f[k]
+    s = own + f
+    with np.errstate(divide="ignore", invalid="ignore"):
+        v = (d[k] + d) * (own - f) ** 2 / (s * (2 - s))
+        known = np.isfinite(v)
+        return 2 * np.where(known, v, 0).sum(axis=1) / known.sum(axis=1)
+
+
 def snv_distances(f: np.ndarray, d: np.ndarray, flip: bool = False) -> np.ndarray:
-    """Coverage-weighted distance of every two SNVs (rows) over samples, the second's frequency flipped on demand."""
-    g = 1 - f if flip else f
-    out = np.zeros((len(f), len(f)))
-    for k in range(len(f)):
-        s = g[k] + f
-        with np.errstate(divide="ignore", invalid="ignore"):
-            v = (d[k] + d) * (g[k] - f) ** 2 / (s * (2 - s))
-        out[k] = 2 * np.nanmean(np.where(np.isfinite(v), v, np.nan), axis=1)
-    return out
+    """``_distances_from`` every SNV."""
+    return np.array([_distances_from(f, d, k, flip) for k in range(len(f))]).reshape(len(f), len(f))
 
 
 def strain_clusters(f: np.ndarray, d: np.ndarray, near: float = 3.5, share: float = 0.25, least: int = 10, most: int = 10) -> tuple[np.ndarray, np.ndarray]:
     """(cluster or -1, flipped) of each SNV: densest seed first, members near the seed and near a ``share`` of its group.
 
-    The largest index wins among equally dense seeds.
+    The largest index wins among equally dense seeds. Of the distances only what is
+    near and what is nearer when flipped is kept, a bit each in a byte.
     """
-    forward, back = snv_distances(f, d), snv_distances(f, d, True)
-    best = np.minimum(forward, back)
-    free, cluster, flipped = np.ones(len(f), bool), np.full(len(f), -1), np.zeros(len(f), bool)
-    for k in range(most):
-        close = (best < near) & free & free[:, None]
+    n = len(f)
+    close_by, turned = np.zeros((n, n), dtype=bool), np.zeros((n, n), dtype=bool)
+    with np.errstate(invalid="ignore"):
+        for k in range(n):
+            forward, back = _distances_from(f, d, k, False), _distances_from(f, d, k, True)
+            close_by[k], turned[k] = np.fmin(forward, back) < near, back < forward
+    free, cluster, flipped = np.ones(n, bool), np.full(n, -1), np.zeros(n, bool)
+    for k in range(most if n else 0):
+        close = close_by & free & free[:, None]
         degree = close.sum(1)
-        seed = int(len(degree) - 1 - np.argmax(degree[::-1]))
+        seed = int(n - 1 - np.argmax(degree[::-1]))
         group = np.flatnonzero(close[seed])
         if len(group) < least:
             break
         group = group[close[np.ix_(group, group)].mean(1) > share]
         cluster[group] = k
-        flipped[group] = back[seed, group] < forward[seed, group]
+        flipped[group] = turned[seed, group]
         free[group] = False
     return cluster, flipped
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lociweave.functions import kernels as K
@@ -76,29 +76,34 @@ def ordination(pairs: DataFrame, value: str, k: int = 2) -> DataFrame:
     return pairs.select("sample_1", "sample_2", value, F.lit(1).alias("_one")).groupBy("_one").applyInPandas(scale, "sample string, x double, y double, share_x double, share_y double")
 
 
-def strains(counts: DataFrame, snvs: int = 2000, least_depth: int = 5, **options) -> DataFrame:
+def strains(counts: DataFrame, snvs: int = 20_000, least_depth: int = 5, **options) -> DataFrame:
     """(species, strain, sample, freq, quantile_25, quantile_75, lower_ci, upper_ci): SNVs that move together.
 
-    The best covered ``snvs`` SNVs of a species are clustered, as the distance
-    matrix has their square; this is the operator's parameter, as is the depth.
+    The ``snvs`` best covered SNVs of a species, ranked before they are gathered, are
+    clustered: the distances have their square, so this number bounds a task. A species
+    without clusters is one strain, at a frequency of 1 in all its samples.
     """
 
     def infer(t: pd.DataFrame) -> pd.DataFrame:
         wide = t.pivot_table(index=["contig", "pos"], columns="sample", values=["f", "depth"]).sort_index()
-        order = wide["depth"].mean(axis=1).sort_values(ascending=False, kind="stable").index[:snvs]
+        order = wide["depth"].mean(axis=1).sort_values(ascending=False, kind="stable").index
         f, d = wide["f"].loc[order].to_numpy(), wide["depth"].loc[order].fillna(0).to_numpy()
         group, flip = K.strain_clusters(np.nan_to_num(f), d, **options)
-        rows = []
+        rows, species = [], t["species"].iloc[0]
         for k in range(group.max() + 1 if len(group) else 0):
             g = np.where(flip[group == k][:, None], 1 - f[group == k], f[group == k])
             for c, sample in enumerate(wide["f"].columns):
                 x = g[:, c][~np.isnan(g[:, c])]
                 if len(x):
                     lo, hi = K.bootstrap_mean(x, 31 * k + c)
-                    rows.append((t["species"].iloc[0], k, sample, x.mean(), *np.percentile(x, [25, 75]), lo, hi))
+                    rows.append((species, k, sample, x.mean(), *np.percentile(x, [25, 75]), lo, hi))
+        rows = rows or [(species, 0, sample, 1.0, 1.0, 1.0, 1.0, 1.0) for sample in wide["f"].columns]
         return pd.DataFrame(rows, columns=["species", "strain", "sample", "freq", "quantile_25", "quantile_75", "lower_ci", "upper_ci"])
 
-    rows = with_freq(counts).filter(F.col("depth") >= least_depth).select("species", "contig", "pos", "sample", "f", "depth")
+    rows = with_freq(counts).filter(F.col("depth") >= least_depth).select(*SITE, "sample", "f", "depth")
+    best = rows.groupBy(*SITE).agg(F.avg("depth").alias("_mean"))
+    ranked = best.withColumn("_n", F.row_number().over(Window.partitionBy("species").orderBy(F.desc("_mean"), "contig", "pos"))).filter(F.col("_n") <= snvs)
+    rows = rows.join(ranked.select(*SITE), list(SITE), "left_semi")
     return rows.groupBy("species").applyInPandas(infer, "species string, strain long, sample string, freq double, quantile_25 double, quantile_75 double, lower_ci double, upper_ci double")
 
 

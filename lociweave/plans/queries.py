@@ -554,7 +554,10 @@ def windowed_totals(spark, d):
     return coverage.within_window(c, coverage.depth_windows(c)).groupBy("species", "sample").agg(F.sum("depth").alias("depth"), F.sum("alt").alias("alt"))
 
 
-@_query("SELECT species, sample, COUNT(*) AS n FROM a_site_counts GROUP BY 1, 2")
+@_query(
+    """WITH q AS (SELECT *, COUNT(*) OVER p AS k, AVG(CASE WHEN depth > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) OVER p AS s FROM a_site_counts WINDOW p AS (PARTITION BY species, contig, pos))
+       SELECT species, sample, COUNT(*) AS n FROM q WHERE s >= LEAST(4.0::DOUBLE / k, 0.5::DOUBLE) GROUP BY 1, 2"""
+)
 def prevalent_sites_per_sample(spark, d):
     return snps.prevalent_only(A.site_counts(spark, d)).groupBy("species", "sample").agg(F.count(F.lit(1)).alias("n"))
 
@@ -662,11 +665,11 @@ def event_hours(spark, d):
     return rounded(gaps.groupBy("user_id").agg(F.count("before").alias("n"), F.sum("h").alias("hours")), 4)
 
 
-@_query("WITH g AS (SELECT DISTINCT gene_id, CAST(SPLIT_PART(gene_id, '.', 4) AS BIGINT) AS n FROM a_site_info) SELECT a.gene_id AS gene_1, b.gene_id AS gene_2, ABS(a.n - b.n) <= 5 AS near FROM g a JOIN g b ON a.gene_id < b.gene_id WHERE a.n < 40 AND b.n < 40")
+@_query("WITH g AS (SELECT DISTINCT gene_id, CAST(SPLIT_PART(gene_id, '.', 4) AS BIGINT) AS n FROM a_site_info) SELECT a.gene_id AS gene_1, b.gene_id AS gene_2, b.n - a.n AS spacing FROM g a JOIN g b ON b.n BETWEEN a.n + 1 AND a.n + 5")
 def genes_near(spark, d):
-    g = A.site_info(spark, d).select("gene_id").distinct().filter(expr.gene_number(F.col("gene_id")) < 40)
-    a, b = (g.select(F.col("gene_id").alias(f"gene_{k}")) for k in (1, 2))
-    return a.join(b, F.col("gene_1") < F.col("gene_2")).withColumn("near", expr.near(F.col("gene_1"), F.col("gene_2")))
+    near = genes.neighbours(A.site_info(spark, d), 5).select(F.col("gene_id").alias("gene_1"), F.col("neighbour").alias("gene_2"))
+    spacing = expr.gene_number(F.col("gene_2")) - expr.gene_number(F.col("gene_1"))
+    return near.filter(expr.near(F.col("gene_1"), F.col("gene_2"))).withColumn("spacing", spacing).filter("spacing > 0")
 
 
 @_query("SELECT k AS nr, ROUND((10 + 2.0::DOUBLE * k) / (22 + 26.0::DOUBLE * k + 4.0::DOUBLE * k * k), 6) AS expected FROM (SELECT UNNEST(range(0, 100)) AS k)")
@@ -679,7 +682,7 @@ def neutral_ld_curve(spark, d):
 
 @_query()
 def trajectory_pvalues(spark, d):
-    return inference.trajectory_pvalues(A.site_counts(spark, d), draws=200)
+    return inference.trajectory_pvalues(A.site_counts(spark, d))
 
 
 @_query()
@@ -689,7 +692,7 @@ def polymorphic_counts(spark, d):
 
 @_query()
 def smoothed_sfs(spark, d):
-    return rounded(inference.smoothed_spectra(snps.spectrum(A.annotated(spark, d)), rounds=30))
+    return rounded(inference.smoothed_spectra(snps.spectrum(A.annotated(spark, d))))
 
 
 @_query()
@@ -704,7 +707,7 @@ def community_ordination(spark, d):
 
 @_query()
 def strain_inference(spark, d):
-    return rounded(inference.strains(A.site_counts(spark, d), snvs=300, near=12.0, least=4))
+    return rounded(inference.strains(A.site_counts(spark, d)))
 
 
 @_query()
