@@ -96,16 +96,16 @@ def frequencies(held: DataFrame) -> dict[str, int]:
 
 
 def candidates(held: DataFrame, templates: list[Template]) -> DataFrame:
-    """(_id, _h, ts): the texts whose template words ``_b`` pass the three filters, and the templates that they may meet."""
+    """(_id, _h, ts): the texts whose template words ``_b`` pass the three filters, and the numbers of the templates that they may meet."""
     vocabulary = sorted({w for t in templates for w in t.words})
     seen = frequencies(held)
     order = sorted(vocabulary, key=lambda w: (seen.get(w, 0), w))
     rank = {w: k for k, w in enumerate(order)}
     prefix = []
-    for t in templates:
+    for number, t in enumerate(templates):
         by_rank = sorted(t.words, key=rank.__getitem__)
-        prefix += [(w, p, (t.label, by_rank, t.need, t.width)) for p, w in enumerate(by_rank[: len(t.words) - t.need + 1])]
-    index = held.sparkSession.createDataFrame(prefix, "token string, at int, t struct<label:string,words:array<string>,need:int,width:int>")
+        prefix += [(w, p, number, (by_rank, t.need)) for p, w in enumerate(by_rank[: len(t.words) - t.need + 1])]
+    index = held.sparkSession.createDataFrame(prefix, "token string, at int, number int, t struct<words:array<string>,need:int>")
     starts, least = sorted({p[0] for p in prefix}), min(t.need for t in templates)
     # array_intersect keeps the order of its first argument: rarest first
     some = held.filter(F.size("_b") >= least).select("_id", "_h", F.array_intersect(_strings(order), F.col("_b")).alias("_b"))
@@ -114,7 +114,7 @@ def candidates(held: DataFrame, templates: list[Template]) -> DataFrame:
     first = F.size(F.array_intersect(F.slice("t.words", F.lit(1), F.col("at")), F.col("_b"))) == 0
     left = F.least(F.size("t.words") - F.col("at"), F.size("_b") - F.array_position("_b", F.col("_token")).cast("int") + 1)
     shared = F.size(F.array_intersect("t.words", "_b"))
-    return pairs.filter(first & (left >= F.col("t.need")) & (shared >= F.col("t.need"))).groupBy("_id", "_h").agg(F.collect_set("t").alias("ts"))
+    return pairs.filter(first & (left >= F.col("t.need")) & (shared >= F.col("t.need"))).groupBy("_id", "_h").agg(F.collect_set("number").alias("ts"))
 
 
 def _best_block(words: Column, t: Column) -> Column:
@@ -133,7 +133,8 @@ def template_matches(lowered: DataFrame, held: DataFrame, templates: list[Templa
     found = written(candidates(held, templates), "candidates")
     # the filters leave few texts: only these are split again
     asked = lowered.join(checked(found.withColumnsRenamed({"_id": "_of", "_h": "_hash"})), F.col("_id").eqNullSafe(F.col("_of")) & (F.col("_h") == F.col("_hash")))
-    best = let(_words(F.col("_t")), lambda w: F.transform("ts", lambda t: F.struct(t["label"].alias("label"), t["need"].alias("need"), F.size(t["words"]).alias("n"), _best_block(w, t).alias("k"))))
+    known = F.array(*[F.struct(F.lit(t.label).alias("label"), _strings(t.words).alias("words"), F.lit(t.need).alias("need"), F.lit(t.width).alias("width")) for t in templates])
+    best = let(_words(F.col("_t")), lambda w: F.transform(F.transform("ts", lambda k: F.get(known, k)), lambda t: F.struct(t["label"].alias("label"), t["need"].alias("need"), F.size(t["words"]).alias("n"), _best_block(w, t).alias("k"))))
     met = asked.select("_id", "_h", F.explode(best).alias("m")).filter("m.k >= m.need")
     return met.select("_id", "_h", "m.label", (F.col("m.k") / F.col("m.n")).alias("containment"))
 
