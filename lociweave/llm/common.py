@@ -59,9 +59,14 @@ def dropped(spark: SparkSession, *paths: str) -> None:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder; unlike a checkpoint it keeps columnar size."""
+    return held_at(df, name)[0]
+
+
+def held_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``written`` with the table's path, for a caller that drops it once it has been read."""
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
 #: Up to so many ids (16 bytes each, about) are broadcast; more are joined by shuffle.

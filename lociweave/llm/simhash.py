@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociweave.llm.common import ascii_lower, checked, cut, documents, fresh, words_of, written
+from lociweave.llm.common import ascii_lower, checked, cut, documents, dropped, fresh, held_at, words_of, written
 from lociweave.llm.components import components
 
 SHINGLE = 3
@@ -192,11 +192,17 @@ def _common(docs: DataFrame, key: str, text: str) -> np.ndarray:
     return np.unique(found.to_numpy(dtype=np.int64) & np.int64((1 << 63) - 1))
 
 
+def _spare(n):
+    """Shingles of a prefix beyond the fifth that may differ: so many of it are shared with any copy."""
+    return n // 20 + 1
+
+
 def _prefix(hashes: Column, common) -> Column:
-    """The number of a text's distinct shingles, then the first fifth of them and one more, common ones last.
+    """The number of a text's distinct shingles, then the first fifth of them and ``_spare`` more, common ones last.
 
-    In any order of all shingles, two sets of a Jaccard similarity of ``COPY_SHARE`` share
-    one of those: of n shingles at least four fifths are shared.
+    In any order of all shingles, the first k shared ones of two sets of a Jaccard similarity of
+    ``COPY_SHARE`` or more are among the first n / 5 + k of each, as at most a fifth of n
+    shingles is not shared. So the two prefixes share the lesser ``_spare`` of them.
     """
 
     @F.arrow_udf("array<long>")
@@ -209,7 +215,7 @@ def _prefix(hashes: Column, common) -> Column:
         low, out = low.view(np.uint64), []
         for k in range(len(lists)):
             held = np.unique(low[offsets[k] - offsets[0] : offsets[k + 1] - offsets[0]])
-            out += [np.array([len(held)], dtype=np.uint64), held[: len(held) // 5 + 1]]
+            out += [np.array([len(held)], dtype=np.uint64), held[: len(held) // 5 + _spare(len(held))]]
         sizes = np.array([len(x) for x in out], dtype=np.int64).reshape(-1, 2).sum(axis=1)
         flat = np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
         return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat.view(np.int64)))
@@ -225,16 +231,22 @@ def _unlinked(tokens: DataFrame) -> DataFrame:
     any other are dealt into blocks, and each two blocks meet in a group of their own.
     """
     open_ = tokens.groupBy("t").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.count(F.lit(1)).alias("_n")).filter("_lo != _hi")
-    open_ = written(open_.select(F.col("t").alias("_t"), F.ceil(F.col("_n") / BLOCK).cast("int").alias("blocks")), "open")
+    open_, path = held_at(open_.select(F.col("t").alias("_t"), F.ceil(F.col("_n") / BLOCK).cast("int").alias("blocks")), "open")
     rows = tokens.join(checked(open_), F.col("t") == F.col("_t")).withColumn("own", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
-    rows = written(rows.select("c", "root", "n", "at", "t", "blocks", "own"), "tokens")
+    rows, rows_path = held_at(rows.select("c", "root", "n", "at", "t", "blocks", "own"), "tokens")
+    dropped(tokens.sparkSession, path)
     side = lambda x: [F.col(k).alias(f"{k}_{x}") for k in ("c", "root", "n", "at")]
     every = F.explode(F.expr("sequence(0, blocks - 1)"))
     left = rows.select("t", F.col("own").alias("i"), every.alias("j"), *side("a"))
     right = rows.select("t", every.alias("i"), F.col("own").alias("j"), *side("b"))
-    need = F.lit(4) * (F.col("n_a") + F.col("n_b"))
-    fits = (F.lit(5) * F.least("n_a", "n_b") >= F.lit(4) * F.greatest("n_a", "n_b")) & (F.lit(9) * F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) >= need)
-    return left.join(right, ["t", "i", "j"]).filter((F.col("c_a") < F.col("c_b")) & (F.col("root_a") != F.col("root_b")) & fits).select(F.col("c_a").alias("a"), F.col("c_b").alias("b")).distinct()
+    met = left.join(right, ["t", "i", "j"]).filter((F.col("c_a") < F.col("c_b")) & (F.col("root_a") != F.col("root_b")) & (F.lit(5) * F.least("n_a", "n_b") >= F.lit(4) * F.greatest("n_a", "n_b")))
+    both = met.groupBy(F.col("c_a").alias("a"), F.col("c_b").alias("b"), "n_a", "n_b").agg(F.count(F.lit(1)).alias("k"), F.min("at_a").alias("at_a"), F.min("at_b").alias("at_b"))
+    spare = lambda n: F.floor(F.col(n) / 20) + 1
+    # of what is from the first shared shingle on, enough must be left
+    fits = F.lit(9) * F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) >= F.lit(4) * (F.col("n_a") + F.col("n_b"))
+    out = written(both.filter((F.col("k") >= F.least(spare("n_a"), spare("n_b"))) & fits).select("a", "b"), "unlinked")
+    dropped(tokens.sparkSession, rows_path)
+    return out
 
 
 def _linked(docs: DataFrame, classes: DataFrame, pairs: DataFrame, key: str, text: str) -> DataFrame:
@@ -243,10 +255,18 @@ def _linked(docs: DataFrame, classes: DataFrame, pairs: DataFrame, key: str, tex
     wanted = written(classes.join(asked, "c", "left_semi").select("c", F.col("least").alias("_least")), "wanted")
     texts = docs.join(checked(wanted), F.col(key).eqNullSafe(F.col("_least"))).select("c", words_of(ascii_lower(F.col(text))).alias("_w"))
     sets = texts.filter(F.md5(F.array_join("_w", " ")) == F.col("c")).select("c", F.array_distinct(shingle_hashes(F.col("_w"), COPY_SHINGLE)).alias("h"))
-    sets = written(sets.groupBy("c").agg(F.first("h").alias("h")), "sets")
+    sets, path = held_at(sets.groupBy("c").agg(F.first("h").alias("h")), "sets")
     both = pairs.join(sets.withColumnRenamed("h", "ha"), F.col("a") == F.col("c")).drop("c").join(sets.withColumnRenamed("h", "hb"), F.col("b") == F.col("c"))
     shared = F.size(F.array_intersect("ha", "hb"))
-    return written(both.filter(shared >= COPY_SHARE * (F.size("ha") + F.size("hb") - shared)).select("a", "b"), "linked")
+    out = written(both.filter(shared >= COPY_SHARE * (F.size("ha") + F.size("hb") - shared)).select("a", "b"), "linked")
+    dropped(docs.sparkSession, path)
+    return out
+
+
+def _named(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b) by class for (a, b) by the classes' hashes; classes of one hash are all named, and told apart where they are compared."""
+    name = lambda x: classes.select(F.xxhash64("c").alias(x), F.col("c").alias(f"_{x}"))
+    return pairs.join(name("a"), "a").join(name("b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
 
 
 def copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -255,26 +275,29 @@ def copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     Texts with equal words are a class. Classes are compared by their sets of
     ``COPY_SHINGLE``-word shingles and linked from a Jaccard similarity of ``COPY_SHARE`` on;
     a group is what links reach. Those that meet in a bucket are compared first, then all
-    others that share a shingle of their prefixes and are in different groups still.
+    others that share enough shingles of their prefixes and are in different groups still.
+    Tables that are read to the end are dropped on the way.
     """
     docs, key, text = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text")), "_id", "_text"
-    common = docs.sparkSession.sparkContext.broadcast(_common(docs, key, text).tobytes())
+    spark = docs.sparkSession
+    common = spark.sparkContext.broadcast(_common(docs, key, text).tobytes())
     words = docs.select(F.col(key).alias("_id"), words_of(ascii_lower(F.col(text))).alias("_w"))
     rows = words.select("_id", F.md5(F.array_join("_w", " ")).alias("_c"), shingle_hashes(F.col("_w"), COPY_SHINGLE).alias("_h"))
-    rows = written(rows.withColumns({"fps": _many(F.col("_h")), "firsts": _prefix(F.col("_h"), common)}).drop("_h"), "classed")
-    classes = written(rows.groupBy(F.col("_c").alias("c")).agg(F.min("_id").alias("least"), F.first("fps").alias("fps")), "classes")
+    rows, path = held_at(rows.withColumns({"fps": _many(F.col("_h")), "firsts": _prefix(F.col("_h"), common)}).drop("_h"), "classed")
+    classes = written(rows.groupBy(F.col("_c").alias("c")).agg(F.min("_id").alias("least"), F.first("fps").alias("fps"), F.first("firsts").alias("firsts")), "classes")
+    ids = written(rows.select("_id", "_c"), "ids")
+    dropped(spark, path)
     linked = _linked(docs, classes, written(_meetings(classes), "meetings"), key, text)
-    rooted = classes.select("c", "least").join(components(linked, "a", "b"), F.col("c") == F.col("node"), "left").select("c", "least", F.coalesce("root", "c").alias("root"))
-    rooted = written(rooted, "rooted")
-    own = rows.join(rooted, (F.col("_c") == F.col("c")) & F.col("_id").eqNullSafe(F.col("least")))
+    roots = components(linked, "a", "b")
+    rooted = classes.select("c", "firsts").join(roots, F.col("c") == F.col("node"), "left").select(F.xxhash64("c").alias("c"), F.xxhash64(F.coalesce("root", "c")).alias("root"), "firsts")
     places = F.posexplode(F.slice("firsts", F.lit(2), F.size("firsts") - 1)).alias("at", "t")
-    tokens = own.select("c", F.xxhash64("root").alias("root"), F.get("firsts", F.lit(0)).cast("int").alias("n"), places)
-    more = _linked(docs, classes, written(_unlinked(tokens), "unlinked"), key, text)
+    tokens = rooted.select("c", "root", F.get("firsts", F.lit(0)).cast("int").alias("n"), places)
+    more = _linked(docs, classes, _named(_unlinked(tokens), classes), key, text)
     roots = components(linked.union(more), "a", "b")
-    rooted = written(classes.join(roots, F.col("c") == F.col("node"), "left").select("c", "least", F.coalesce("root", "c").alias("root")), "rooted")
+    rooted = written(classes.select("c", "least").join(roots, F.col("c") == F.col("node"), "left").select("c", "least", F.coalesce("root", "c").alias("root")), "rooted")
     least = written(rooted.groupBy(F.col("root").alias("of")).agg(F.min("least").alias("_stay")), "least")
     known = written(rooted.join(least, F.col("root") == F.col("of")).select(F.col("c").alias("_of"), "_stay"), "known")
-    return rows.select("_id", "_c").join(known, F.col("_c") == F.col("_of")).select("_id", "_c", "_stay")
+    return ids.join(known, F.col("_c") == F.col("_of")).select("_id", "_c", "_stay")
 
 
 def kept(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -403,11 +403,29 @@ def test_near_copies_at_the_threshold_are_all_found(spark, monkeypatch):
 @pytest.mark.parametrize("block", [1, 256])
 def test_every_pair_of_a_shared_shingle_is_compared(spark, monkeypatch, block):
     monkeypatch.setattr(simhash, "BLOCK", block)
-    held = [(f"c{k:02d}", k if k < 12 else 12, 50, 0, 7) for k in range(15)]
-    got = sorted(map(tuple, simhash._unlinked(spark.createDataFrame(held, "c string, root long, n int, at int, t long")).collect()))
+    held = [(k, k if k < 12 else 12, 15, 0, 7) for k in range(15)]
+    got = sorted(map(tuple, simhash._unlinked(spark.createDataFrame(held, "c long, root long, n int, at int, t long")).collect()))
     assert got == [(a[0], b[0]) for a in held for b in held if a[0] < b[0] and a[1] != b[1]]
 
 
+def test_recall_of_near_copies_by_similarity(spark):
+    rng = np.random.default_rng(21)
+    texts = []
+    for _ in range(120):
+        base = [f"w{x}" for x in rng.integers(0, 10**9, rng.integers(40, 160))]
+        other = list(base)
+        for at in rng.choice(len(base), rng.integers(1, 1 + len(base) // 40), replace=False):
+            other[at] = f"w{rng.integers(0, 10**9)}"
+        texts += [" ".join(base), " ".join(other)]
+    got = {r["_id"]: r["_stay"] for r in simhash.copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    bands = Counter()
+    for k in range(0, len(texts), 2):
+        near = jaccard(texts[k], texts[k + 1])
+        assert (got[k + 1] == k) == (near >= 0.8), near
+        bands[int(near * 20)] += 1
+    assert all(bands[b] >= 3 for b in (16, 17, 18)) and sum(n for b, n in bands.items() if b < 16) >= 3
+
+
 def test_tokens(spark, small):
     from tokenizers import Tokenizer
 
