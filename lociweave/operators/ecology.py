@@ -114,6 +114,12 @@ def pooled_rates(changes: DataFrame, opportunities: DataFrame, labels: DataFrame
     return both.join(labels, ["sample_1", "sample_2"]).groupBy("host", "cage").agg(F.sum("n").alias("n_changes"), F.sum("n_sites").alias("n_opportunities"), F.try_divide(F.sum("n"), F.sum("n_sites")).alias("rate"))
 
 
+def normalised_sample(rows: DataFrame, sample: str, value: str) -> DataFrame:
+    """The values of one sample as shares of their sum; the others stay."""
+    total = rows.filter(F.col("sample") == sample).agg(F.sum(value).alias("_t"))
+    return rows.join(F.broadcast(total), F.lit(True)).withColumn(value, F.when(F.col("sample") == sample, F.try_divide(value, "_t")).otherwise(F.col(value))).drop("_t")
+
+
 def ks_distance(rows: DataFrame, group: str, a: str, b: str, value: str, by: list[str]) -> DataFrame:
     """Largest difference of the two groups' cumulative shares."""
     na, nb = (F.sum(F.when(F.col(group) == g, 1).otherwise(0)).alias(n) for g, n in ((a, "na"), (b, "nb")))

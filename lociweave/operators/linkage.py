@@ -83,9 +83,12 @@ def haplotypes(sites: DataFrame) -> DataFrame:
 
     g = expr.consensus(expr.freq(F.col("alt"), F.col("depth")))
     code = F.coalesce(g.cast("string"), F.lit("N"))
-    grid = sites.select("species", "gene_id", "pos").distinct().join(sites.select("species", "gene_id", "sample").distinct(), ["species", "gene_id"])
-    full = grid.join(sites.select("species", "gene_id", "pos", "sample", code.alias("_c")), ["species", "gene_id", "pos", "sample"], "left").withColumn("_c", F.coalesce("_c", F.lit("N")))
-    return full.groupBy("species", "gene_id", "sample").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "_c"))), lambda x: x["_c"]), "").alias("haplotype"))
+    own = sites.select("species", "gene_id", "sample", "pos", code.alias("_c")).groupBy("species", "gene_id", "sample").agg(F.map_from_entries(F.collect_list(F.struct("pos", "_c"))).alias("_m"))
+    # a gene's samples together, once, for the places that any of them has
+    gene = own.groupBy("species", "gene_id").agg(F.collect_list(F.struct("sample", "_m")).alias("_s"))
+    gene = gene.withColumn("_at", F.array_sort(F.array_distinct(F.flatten(F.transform("_s", lambda x: F.map_keys(x["_m"]))))))
+    each = gene.select("species", "gene_id", "_at", F.explode("_s").alias("_x"))
+    return each.select("species", "gene_id", "_x.sample", F.array_join(F.transform("_at", lambda p: F.coalesce(F.try_element_at("_x._m", p), F.lit("N"))), "").alias("haplotype"))
 
 
 def haplotype_counts(haps: DataFrame) -> DataFrame:
