@@ -270,3 +270,40 @@ def wide_matrix(spark, d):
 def general_numbers(spark, d):
     c = spark.read.parquet(f"{d}/customer.parquet")
     return c.select(F.col("c_custkey").alias("id"), packed.general(F.col("c_acctbal")).alias("text"))
+
+
+# gene filters and names of the diversity scan ------------------------------------------
+
+
+@_query("SELECT species, sample, COUNT(*) AS n_sites, SUM(depth)::BIGINT AS depth FROM a_sites WHERE CAST(SPLIT_PART(gene_id, '.', 4) AS INTEGER) % 3 <> 0 GROUP BY 1, 2")
+def sites_without_listed_genes(spark, d):
+    sites = A.annotated(spark, d)
+    bad = A.site_info(spark, d).select("gene_id").distinct().filter(F.element_at(F.split("gene_id", r"\."), -1).cast("int") % 3 == 0)
+    return diversity.without_genes(sites, bad).groupBy("species", "sample").agg(F.count(F.lit(1)).alias("n_sites"), F.sum("depth").cast("bigint").alias("depth"))
+
+
+@_query("SELECT CASE WHEN CAST(SPLIT_PART(gene_id, '.', 4) AS INTEGER) % 2 = 0 THEN 'c' || CAST(CAST(SPLIT_PART(gene_id, '.', 4) AS INTEGER) % 4 AS VARCHAR) ELSE gene_id END AS gene_id, COUNT(*) AS n_sites FROM a_sites GROUP BY 1")
+def sites_by_gene_alias(spark, d):
+    number = F.element_at(F.split("gene_id", r"\."), -1).cast("int")
+    alias = A.site_info(spark, d).select("gene_id").distinct().filter(number % 2 == 0).select("gene_id", F.concat(F.lit("c"), (number % 4).cast("string")).alias("alias_of"))
+    return diversity.renamed_genes(A.annotated(spark, d), alias).groupBy("gene_id").agg(F.count(F.lit(1)).alias("n_sites"))
+
+
+@_query("SELECT DISTINCT sample FROM a_metadata")
+def unmerged_names(spark, d):
+    from lociweave.functions import expr
+
+    return A.metadata(spark, d).select(expr.unmerged(F.concat(F.lit(" "), "sample", F.lit("c "))).alias("sample")).distinct()
+
+
+@_query("SELECT species, contig, pos, sample, CAST(ROUND_EVEN(rf * depth, 0) AS BIGINT) AS rounded, CAST(FLOOR(rf * depth) AS BIGINT) AS truncated FROM a_sites WHERE pos % 4 = 0")
+def reference_reads(spark, d):
+    from lociweave.functions import expr
+
+    s = diversity.with_freq(A.annotated(spark, d).filter("pos % 4 = 0"))
+    return s.select("species", "contig", "pos", "sample", expr.ref_count_rounded(F.col("rf"), F.col("depth")).cast("bigint").alias("rounded"), expr.ref_count(F.col("rf"), F.col("depth")).cast("bigint").alias("truncated"))
+
+
+@_query("WITH s AS (SELECT species, contig, pos FROM a_site_counts GROUP BY 1, 2, 3 HAVING SUM(CASE WHEN alt > CEIL(0.05::DOUBLE * depth) + 0.5::DOUBLE THEN 1 ELSE 0 END) > 0) SELECT species, sample, COUNT(*) AS n, CAST(SUM(alt) AS BIGINT) AS alt FROM a_site_counts JOIN s USING (species, contig, pos) GROUP BY 1, 2")
+def called_site_counts(spark, d):
+    return changes.called_counts(A.site_counts(spark, d)).groupBy("species", "sample").agg(F.count(F.lit(1)).alias("n"), F.sum("alt").cast("bigint").alias("alt"))

@@ -50,3 +50,45 @@ def test_fasta_clades_newick(spark, tmp_path):
 def test_phylip(spark):
     p = spark.createDataFrame([("a", "b", 0.5)], "sample_1 string, sample_2 string, d double")
     assert sinks.phylip(p, "d") == "2\na 0 0.5\nb 0.5 0"
+
+
+def test_site_and_gene_tables(spark, tmp_path):
+    line = "c|5\tA\tG\tx\ty\t4D\tg.1\n"
+    (tmp_path / "snps_info.txt.bz2").write_bytes(__import__("bz2").compress(b"site_id\tmajor\tminor\ta\tb\tsite_type\tgene_id\n" + line.encode() + b"c|6\tA\tG\tx\ty\t1D\tNA\n"))
+    got = sorted(map(tuple, midas.site_info(spark, str(tmp_path)).collect()))
+    assert got == [("c", 5, "4D", "g.1"), ("c", 6, "1D", None)]
+    (tmp_path / "genes_reads.txt").write_text("gene_id\tA\tB\ng1\t3\t4\ng2\t0\t1\n")
+    (tmp_path / "genes_depth.txt").write_text("gene_id\tB\tA\ng1\t0.4\t0.3\ng2\t0.1\t0\n")
+    (tmp_path / "genes_summary.txt").write_text("sample_id\ta\tb\tc\td\tmarker_coverage\nA\t1\t1\t1\t1\t20\nB\t1\t1\t1\t1\t30.5\n")
+    got = {(r["gene_id"], r["sample"]): (r["reads"], r["depth"], r["marker_coverage"]) for r in midas.gene_counts(spark, str(tmp_path), "s", ".txt").collect()}
+    assert got == {("g1", "A"): (3, 0.3, 20.0), ("g1", "B"): (4, 0.4, 30.5), ("g2", "A"): (0, 0.0, 20.0), ("g2", "B"): (1, 0.1, 30.5)}
+
+
+def test_profiles_pathways_metadata(spark, tmp_path):
+    (tmp_path / "coverage.txt").write_text("species_id\tA\tB\nsp1\t1.5\t\nsp2\t0\t7\n")
+    assert sorted(map(tuple, midas.species_profile(spark, str(tmp_path / "coverage.txt")).collect())) == [("sp1", "A", 1.5), ("sp2", "A", 0.0), ("sp2", "B", 7.0)]
+    (tmp_path / "pan.txt").write_text("gene_id\tgenome_id\tcentroid_99\tcentroid_95\ng1\tx\tc1\tk1\ng3\tx\tc1\tk1\ng2\ty\tc2\tk1\n")
+    ref = spark.createDataFrame([("g1",)], "gene_id string")
+    assert {r["name"] for r in midas.centroid_map(spark, str(tmp_path / "pan.txt"), ref).collect()} == {"g1"}
+    assert {r["name"] for r in midas.centroid_map(spark, str(tmp_path / "pan.txt")).collect()} == {"g3"}
+    (tmp_path / "meta.tsv").write_text("sample\ttissue_type\nA\tCecum\nB\tInoculum\n")
+    assert {r["sample"]: r["ord"] for r in midas.metadata(spark, str(tmp_path / "meta.tsv")).collect()} == {"A": 4, "B": 1}
+    (tmp_path / "bad.tsv").write_text("sample\ttissue_type\nA\tMoon\n")
+    with pytest.raises(Exception, match="unknown site Moon"):
+        midas.metadata(spark, str(tmp_path / "bad.tsv")).collect()
+    a, b = spark.createDataFrame([("s1", "x"), ("s2", "x")], "sample string, country string"), spark.createDataFrame([("s2", "y")], "sample string, continent string")
+    assert sorted((r["sample"], r["country"], r["continent"]) for r in midas.cohorts([a, b]).collect()) == [("s1", "x", None), ("s2", None, "y")]
+
+
+def test_windowed_frequency_of_a_stream(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from lociweave.streaming import sites
+
+    rows = spark.createDataFrame([("2024-01-01 01:00:00", "a", "h", True), ("2024-01-01 09:00:00", "a", "h", False), ("2024-01-02 01:00:00", "a", "h", True)], "at string, species string, subject_id string, derived boolean")
+    rows.select(F.to_timestamp("at").alias("ts"), "species", "subject_id", "derived").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("ts timestamp, species string, subject_id string, derived boolean").parquet(str(tmp_path / "in"))
+    query = sites.windowed_frequency(stream).writeStream.format("memory").queryName("windowed").outputMode("update").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "state")).start()
+    query.awaitTermination(60)
+    got = {(str(r["start"])[:10], r["freq"], r["n"]) for r in spark.table("windowed").collect()}
+    assert got == {("2024-01-01", 0.5, 2), ("2024-01-02", 1.0, 1)}
