@@ -262,6 +262,50 @@ def test_mixing(spark):
         mixing.mixed(df, {"a": -1})
 
 
+def mixed_by_hand(rows, weights, block_rows):
+    """{row: (block, release, deadline, slot, share, position)} of (key, source) rows, one slot after the other."""
+    order = {}
+    for key, source in rows:
+        order.setdefault(source, []).append(key)
+    for source, keys in order.items():
+        keys.sort(key=lambda k: (xxhash.xxh64_intdigest(int(k).to_bytes(8, "little", signed=True), seed=42) - (1 << 64) * (xxhash.xxh64_intdigest(int(k).to_bytes(8, "little", signed=True), seed=42) >> 63), k))
+    whole = mixing.parts({s: weights.get(s, mixing.DEFAULT_WEIGHT) for s in order})
+    left = {s: -(-len(k) // block_rows) for s, k in order.items()}
+    done, out, slot, position = dict.fromkeys(order, 0), {}, 0, 0
+    while any(left.values()):
+        live = {s: whole[s] for s in order if left[s]}
+        shrink = math.gcd(*live.values())
+        live = {s: w // shrink for s, w in live.items()}
+        total, ran, t = sum(live.values()), dict.fromkeys(live, 0), 0
+        while all(left[s] for s in live):
+            ready = [s for s in live if ran[s] * total // live[s] <= t]
+            s = min(ready, key=lambda s: (-(-(ran[s] + 1) * total // live[s]), str(s)))
+            for k in order[s][done[s] * block_rows : (done[s] + 1) * block_rows]:
+                out[k] = (done[s], ran[s] * total // live[s], -(-(ran[s] + 1) * total // live[s]), slot, live[s] / total, position)
+                position += 1
+            ran[s], done[s], left[s], slot, t = ran[s] + 1, done[s] + 1, left[s] - 1, slot + 1, t + 1
+    return out
+
+
+@pytest.mark.parametrize("folder", ["small", "/root/testdata/sf0.01"])
+def test_mixing_of_whole_documents_by_hand(spark, small, folder):
+    import os
+
+    folder = small if folder == "small" else folder
+    if not os.path.isdir(folder):
+        pytest.skip("needs the driver's tables")
+    docs = spark.read.parquet(f"{folder}/documents.parquet").filter("doc_id is not null").select("doc_id", "source").dropDuplicates(["doc_id"])
+    for rows_ in (4, mixing.BLOCK_ROWS):
+        got = {r["doc_id"]: (r["mix_block"], r["mix_release"], r["mix_deadline"], r["mix_slot"], r["mix_share"], r["mix_position"]) for r in mixing.mixed(docs, mixing.WEIGHTS, block_rows=rows_).collect()}
+        assert got == mixed_by_hand([(r["doc_id"], r["source"]) for r in docs.collect()], mixing.WEIGHTS, rows_)
+
+
+def test_tiny_and_odd_weights(spark):
+    docs = spark.createDataFrame([(k, "abc"[k % 3]) for k in range(300)], "doc_id long, source string")
+    got = mixing.mixed(docs, {"a": 1 / 9973, "b": 1 / 9967, "c": 1e-7}, block_rows=4).collect()
+    assert sorted(r["mix_position"] for r in got) == list(range(300))
+
+
 def test_quality(spark, small):
     got = Counter((r["doc_id"], r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) for r in quality.op4_quality(spark, small).collect())
     want = Counter()
