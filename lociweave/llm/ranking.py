@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lociweave.llm.common import opened
+from lociweave.llm.common import checked, opened, written
 
 #: Rows that one range may hold, about, and the most and least ranges there are.
 RANGE_ROWS = 1_000_000
@@ -71,7 +71,8 @@ def ranked(rows: DataFrame, group: str, order: str, rank: str, ties: list[Column
     placed = held.withColumn("_at", F.when(nulls, F.lit(-1)).otherwise(at).cast("int")).withColumn("_sub", F.when(nulls, hashed(F.col("_tie"), F.lit(LEAST_RANGES))).otherwise(sub).cast("int"))
     counts = placed.groupBy(F.col("_group").alias("_g"), F.col("_at").alias("_a"), F.col("_sub").alias("_s")).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("_g").orderBy("_a", "_s").rowsBetween(Window.unboundedPreceding, -1)
-    first = counts.select("_g", "_a", "_s", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    # a row for each range of a group: where their number allows it, the rows need no second shuffle to meet them
+    first = checked(written(counts.select("_g", "_a", "_s", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first")), "ranges"))
     within = Window.partitionBy("_group", "_at", "_sub").orderBy(F.col("_order").asc_nulls_first(), "_tie", "_ties")
     out = placed.withColumn("_in", F.row_number().over(within) - 1)
     out = out.join(first, F.col("_group").eqNullSafe(F.col("_g")) & (F.col("_at") == F.col("_a")) & (F.col("_sub") == F.col("_s")), "left")
