@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from itertools import chain
 
 from pyspark.sql import Column
@@ -94,6 +95,29 @@ def neutral_ld(nr: Column) -> Column:
     return F.try_divide(10 + 2 * nr, 22 + 26 * nr + 4 * nr * nr)
 
 
+# likelihoods -----------------------------------------------------------------
+
+#: Logarithms of 0!, 1!, ...; beyond them Stirling's series is exact to ten digits.
+_SMALL = 16
+
+
+def log_factorial(n: Column) -> Column:
+    x = n.cast("double")
+    series = x * F.log(x) - x + 0.5 * F.log(2 * math.pi * x) + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * x * x * x * x * x)
+    return F.when(n < _SMALL, F.get(F.array(*[F.lit(math.lgamma(k + 1)) for k in range(_SMALL)]), n.cast("int"))).otherwise(series)
+
+
+def log_choose(n: Column, k: Column) -> Column:
+    return log_factorial(n) - log_factorial(k) - log_factorial(n - k)
+
+
+def binomial_tail(k: Column, n: Column, p: float) -> Column:
+    """P(X >= k) of n draws: one less the terms below, of which there are as many as k."""
+    term = lambda j: F.exp(log_choose(n, j) + j * math.log(p) + (n - j) * math.log1p(-p))
+    below = F.aggregate(F.sequence(F.lit(0).cast("bigint"), F.greatest(k - 1, F.lit(0)).cast("bigint")), F.lit(0.0), lambda s, j: s + term(j))
+    return F.when(k <= 0, F.lit(1.0)).otherwise(F.greatest(1 - below, F.lit(0.0)))
+
+
 # labels ---------------------------------------------------------------------
 
 #: Codes in sample names, gut sites in order, mice by diet and cage.

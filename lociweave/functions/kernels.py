@@ -263,12 +263,12 @@ def cut_tree(merges: list[tuple[int, int, float, int]], n: int, height: float) -
     return np.array([order.index(r) for r in roots])
 
 
-def _distances_from(f: np.ndarray, d: np.ndarray, k: int, flip: bool) -> np.ndarray:
-    """Coverage-weighted distance of SNV ``k`` to every SNV (row) over samples, its frequency flipped on demand."""
+def _distances_from(f: np.ndarray, d: np.ndarray, k: int, flip: bool, first: int = 0) -> np.ndarray:
+    """Coverage-weighted distance of SNV ``k`` to every SNV (row) from ``first`` on over samples, its frequency flipped on demand. It is the same both ways."""
     own = 1 - f[k] if flip else f[k]
-    s = own + f
+    s = own + f[first:]
     with np.errstate(divide="ignore", invalid="ignore"):
-        v = (d[k] + d) * (own - f) ** 2 / (s * (2 - s))
+        v = (d[k] + d[first:]) * (own - f[first:]) ** 2 / (s * (2 - s))
         known = np.isfinite(v)
         return 2 * np.where(known, v, 0).sum(axis=1) / known.sum(axis=1)
 
@@ -288,8 +288,9 @@ def strain_clusters(f: np.ndarray, d: np.ndarray, near: float = 3.5, share: floa
     close_by, turned = np.zeros((n, n), dtype=bool), np.zeros((n, n), dtype=bool)
     with np.errstate(invalid="ignore"):
         for k in range(n):
-            forward, back = _distances_from(f, d, k, False), _distances_from(f, d, k, True)
-            close_by[k], turned[k] = np.fmin(forward, back) < near, back < forward
+            forward, back = _distances_from(f, d, k, False, k), _distances_from(f, d, k, True, k)
+            close_by[k, k:] = close_by[k:, k] = np.fmin(forward, back) < near
+            turned[k, k:] = turned[k:, k] = back < forward
     free, cluster, flipped = np.ones(n, bool), np.full(n, -1), np.zeros(n, bool)
     for k in range(most if n else 0):
         close = close_by & free & free[:, None]

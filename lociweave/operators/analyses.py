@@ -344,36 +344,22 @@ def ortholog_matches(hits: DataFrame) -> DataFrame:
 
 # likelihoods and curves -------------------------------------------------------
 
-#: Logarithms of 0!, 1!, ...; beyond them Stirling's series is exact to ten digits.
-_SMALL = 16
-
-
-def log_factorial(n: Column) -> Column:
-    x = n.cast("double")
-    series = x * F.log(x) - x + 0.5 * F.log(2 * math.pi * x) + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * x * x * x * x * x)
-    return F.when(n < _SMALL, F.get(F.array(*[F.lit(math.lgamma(k + 1)) for k in range(_SMALL)]), n.cast("int"))).otherwise(series)
-
-
-def log_choose(n: Column, k: Column) -> Column:
-    return log_factorial(n) - log_factorial(k) - log_factorial(n - k)
-
-
 def multinomial_loglikelihood(rows: DataFrame, by: list[str], n: str, p: str) -> DataFrame:
     """Of the counts of a group under probabilities ``p``; classes without counts give nothing."""
-    term = F.when(F.col(n) > 0, F.col(n) * F.log(F.col(p)) - log_factorial(F.col(n))).otherwise(0.0)
-    return rows.groupBy(*by).agg(F.sum(n).alias("_t"), F.sum(term).alias("_s")).select(*by, (log_factorial(F.col("_t")) + F.col("_s")).alias("loglikelihood"))
+    term = F.when(F.col(n) > 0, F.col(n) * F.log(F.col(p)) - expr.log_factorial(F.col(n))).otherwise(0.0)
+    return rows.groupBy(*by).agg(F.sum(n).alias("_t"), F.sum(term).alias("_s")).select(*by, (expr.log_factorial(F.col("_t")) + F.col("_s")).alias("loglikelihood"))
 
 
 def binomial_loglikelihood(rows: DataFrame, by: list[str], k: str, n: str, p: Column) -> DataFrame:
     """Sum over rows of the log probability of ``k`` of ``n`` at ``p``, which is kept off 0 and 1."""
     q = F.least(F.greatest(p, F.lit(1e-9)), F.lit(1 - 1e-9))
-    return rows.groupBy(*by).agg(F.sum(log_choose(F.col(n), F.col(k)) + F.col(k) * F.log(q) + (F.col(n) - F.col(k)) * F.log(1 - q)).alias("loglikelihood"))
+    return rows.groupBy(*by).agg(F.sum(expr.log_choose(F.col(n), F.col(k)) + F.col(k) * F.log(q) + (F.col(n) - F.col(k)) * F.log(1 - q)).alias("loglikelihood"))
 
 
 def reversal_loglikelihood(rows: DataFrame, by: list[str], at: str, n: str, top: int) -> DataFrame:
     """Log probability that counts at ``at`` and ``top - at`` split evenly."""
     folded = rows.groupBy(*by, F.least(F.col(at), top - F.col(at)).alias("_m")).agg(F.sum(n).alias("_n"), F.sum(F.when(2 * F.col(at) <= top, F.col(n)).otherwise(0)).alias("_k"))
-    return folded.filter(2 * F.col("_m") < top).groupBy(*by).agg(F.sum(log_choose(F.col("_n"), F.col("_k")) + F.col("_n") * math.log(0.5)).alias("loglikelihood"))
+    return folded.filter(2 * F.col("_m") < top).groupBy(*by).agg(F.sum(expr.log_choose(F.col("_n"), F.col("_k")) + F.col("_n") * math.log(0.5)).alias("loglikelihood"))
 
 
 def symmetrised_ks(hist: DataFrame, by: list[str], value: str, n: str) -> DataFrame:

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lociweave.functions import expr
 from lociweave.functions import kernels as K
 from lociweave.operators.diversity import with_freq
 
@@ -27,13 +28,9 @@ def trajectory_pvalues(counts: DataFrame, draws: int = 10_000) -> DataFrame:
 
 def polymorphic(counts: DataFrame, level: float = 0.05) -> DataFrame:
     """Counts whose minor reads errors alone do not explain; each distinct (alt, depth) is computed once."""
-    table = counts.select("alt", "depth").distinct()
-
-    @F.pandas_udf("double")
-    def pvalue(alt: pd.Series, depth: pd.Series) -> pd.Series:
-        return pd.Series([K.polymorphic_pvalue(int(a), int(d)) for a, d in zip(alt, depth, strict=True)], dtype="float64")
-
-    return counts.join(table.withColumn("pvalue", pvalue("alt", "depth")), ["alt", "depth"]).filter(F.col("pvalue") < level)
+    tail = expr.binomial_tail(F.least("alt", F.col("depth") - F.col("alt")), F.col("depth"), K.ERROR)
+    table = counts.select("alt", "depth").distinct().withColumn("pvalue", tail).filter(F.col("pvalue") < level)
+    return counts.join(table, ["alt", "depth"])
 
 
 def smoothed_spectra(sfs: DataFrame, rounds: int = 100) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lociweave.functions import kernels as K
-from lociweave.operators.analyses import PAIR, drawn, log_choose, one
+from lociweave.operators.analyses import PAIR, drawn, one
 
 
 def hash_number(*keys: str | Column, seed: int = 0) -> Column:
@@ -218,10 +218,3 @@ def balanced_centroids(centroids: DataFrame) -> DataFrame:
         return pd.DataFrame(rows, columns=["species", "cluster", "sample", "f", "turned"])
 
     return centroids.select("species", "cluster", "sample", "f").groupBy("species").applyInPandas(turn, "species string, cluster long, sample string, f double, turned boolean")
-
-
-def binomial_tail(k: Column, n: Column, p: float) -> Column:
-    """P(X >= k) of n draws: one less the terms below, of which there are as many as k."""
-    i = lambda j: F.exp(log_choose(n, j) + j * float(np.log(p)) + (n - j) * float(np.log1p(-p)))
-    below = F.aggregate(F.sequence(F.lit(0).cast("bigint"), F.greatest(k - 1, F.lit(0)).cast("bigint")), F.lit(0.0), lambda s, j: s + i(j))
-    return F.when(k <= 0, F.lit(1.0)).otherwise(F.greatest(1 - below, F.lit(0.0)))

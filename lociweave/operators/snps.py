@@ -104,14 +104,12 @@ def folded_spectrum(sfs: DataFrame, k: str = "k", n: str = "n", top: int = 10) -
 
 
 def projected_spectrum(counts: DataFrame, target: int = 10) -> DataFrame:
-    """Expected counts in ``target`` reads drawn without replacement, from cumulated log factorials."""
+    """Expected counts in ``target`` reads drawn without replacement."""
     rows = counts.filter(F.col("depth") >= target).groupBy("species", "sample", "depth", "alt").agg(F.count(F.lit(1)).alias("n"))
     spread = rows.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(target))))
-    ln = lambda x: F.aggregate(F.when(x >= 2, F.sequence(F.lit(2).cast("bigint"), x.cast("bigint"))).otherwise(F.array().cast("array<bigint>")), F.lit(0.0), lambda s, v: s + F.log(v.cast("double")))
-    choose = lambda n, k: ln(n) - ln(k) - ln(n - k)
     ok = (F.col("k") <= F.col("alt")) & (target - F.col("k") <= F.col("depth") - F.col("alt"))
     a, d, k = F.col("alt"), F.col("depth"), F.col("k")
-    p = F.exp(choose(a, k) + choose(d - a, target - k) - choose(d, F.lit(target)))
+    p = F.exp(expr.log_choose(a, k) + expr.log_choose(d - a, target - k) - expr.log_choose(d, F.lit(target)))
     return spread.filter(ok).groupBy("species", "sample", "k").agg(F.sum(p * F.col("n")).alias("expected"))
 
 

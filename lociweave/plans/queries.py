@@ -685,7 +685,10 @@ def trajectory_pvalues(spark, d):
     return inference.trajectory_pvalues(A.site_counts(spark, d))
 
 
-@_query()
+@_query(
+    """WITH p AS (SELECT DISTINCT alt, depth FROM a_site_counts), t AS (SELECT alt, depth, CASE WHEN LEAST(alt, depth - alt) = 0 THEN 1 ELSE 1 - LIST_SUM(list_transform(range(0, LEAST(alt, depth - alt)), lambda k: EXP(LGAMMA(depth + 1.0::DOUBLE) - LGAMMA(k + 1.0::DOUBLE) - LGAMMA(depth - k + 1.0::DOUBLE) + k * LN(0.01::DOUBLE) + (depth - k) * LN(0.99::DOUBLE)))) END AS pv FROM p)
+       SELECT species, sample, COUNT(*) AS n FROM a_site_counts JOIN t USING (alt, depth) WHERE pv < 0.05::DOUBLE GROUP BY 1, 2"""
+)
 def polymorphic_counts(spark, d):
     return inference.polymorphic(A.site_counts(spark, d)).groupBy("species", "sample").agg(F.count(F.lit(1)).alias("n"))
 
@@ -734,7 +737,10 @@ def fixation_errors(spark, d):
     return rounded(inference.fixation_errors(snps.spectrum(A.annotated(spark, d)).groupBy("species", "sample", "depth", "alt").agg(F.sum("n").alias("n")), pairs.consecutive(s)))
 
 
-@_query()
+@_query(
+    """WITH r AS (SELECT species, sample, depth, alt, COUNT(*) AS n FROM a_site_counts WHERE depth >= 10 GROUP BY 1, 2, 3, 4), k AS (SELECT r.*, UNNEST(range(0, 11)) AS k FROM r), v AS (SELECT * FROM k WHERE k <= alt AND 10 - k <= depth - alt)
+       SELECT species, sample, CAST(k AS INTEGER) AS k, ROUND(SUM(n * EXP(LGAMMA(alt + 1.0::DOUBLE) - LGAMMA(k + 1.0::DOUBLE) - LGAMMA(alt - k + 1.0::DOUBLE) + LGAMMA(depth - alt + 1.0::DOUBLE) - LGAMMA(11.0::DOUBLE - k) - LGAMMA(depth - alt - 9.0::DOUBLE + k) - LGAMMA(depth + 1.0::DOUBLE) + LGAMMA(11.0::DOUBLE) + LGAMMA(depth - 9.0::DOUBLE))), 6) AS expected FROM v GROUP BY 1, 2, 3"""
+)
 def projected_sfs(spark, d):
     return rounded(snps.projected_spectrum(A.site_counts(spark, d)))
 

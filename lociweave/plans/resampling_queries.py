@@ -142,16 +142,6 @@ def shared_private_snvs(spark, d):
     return rounded(N.shared_fraction(changes.tracked_private(c, c.filter("pos % 2 = 0").select("species", "contig", "pos").distinct())))
 
 
-@_query(
-    """WITH p AS (SELECT DISTINCT alt, depth FROM a_site_counts), t AS (SELECT alt, depth, CASE WHEN LEAST(alt, depth - alt) = 0 THEN 1 ELSE 1 - LIST_SUM(list_transform(range(0, LEAST(alt, depth - alt)), lambda k: EXP(LGAMMA(depth + 1.0::DOUBLE) - LGAMMA(k + 1.0::DOUBLE) - LGAMMA(depth - k + 1.0::DOUBLE) + k * LN(0.01::DOUBLE) + (depth - k) * LN(0.99::DOUBLE)))) END AS pv FROM p)
-       SELECT species, sample, COUNT(*) AS n FROM a_site_counts JOIN t USING (alt, depth) WHERE pv < 0.05::DOUBLE GROUP BY 1, 2"""
-)
-def polymorphic_counts_by_tail(spark, d):
-    c = A.site_counts(spark, d)
-    table = c.select("alt", "depth").distinct().withColumn("pv", R.binomial_tail(F.least("alt", F.col("depth") - F.col("alt")), F.col("depth"), 0.01))
-    return c.join(table.filter("pv < 0.05"), ["alt", "depth"]).groupBy("species", "sample").agg(F.count(F.lit(1)).alias("n"))
-
-
 @_query(
     """WITH m AS (SELECT species, contig, pos, FLOOR(QUANTILE_CONT(depth, 0.5)) AS cap FROM a_site_counts WHERE sample < 'S06' GROUP BY 1, 2, 3)
        SELECT species, sample, CAST(SUM(CASE WHEN sample IN ('S06', 'S07') THEN CASE WHEN COALESCE(cap, 0) < 4 THEN 0 ELSE LEAST(cap, depth) END ELSE depth END) AS BIGINT) AS depth FROM a_site_counts LEFT JOIN m USING (species, contig, pos) GROUP BY 1, 2"""
