@@ -118,7 +118,7 @@ def test_lm_score_by_hand(spark, small):
 
 @pytest.mark.skipif(not __import__("os").path.isdir("/root/testdata/sf0.01"), reason="needs the driver's tables")
 def test_lm_beats_the_base_on_held_out_texts(spark, monkeypatch):
-    monkeypatch.setattr(lm, "MOST_ROUNDS", 36)
+    monkeypatch.setattr(lm, "MOST_ROUNDS", 42)
     got = lm.op1_lm(spark, "/root/testdata/sf0.01").groupBy("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).collect()
     assert len(got) == 2 and all(r["s"] > r["b"] for r in got)
 
