@@ -131,6 +131,12 @@ class _Joined:
         return out
 
 
+def forget() -> None:
+    """Drops what this worker remembers: after each word of a corpus has been seen once, nothing comes again."""
+    _lengths.cache_clear()
+    _ids.cache_clear()
+
+
 def _cores(pieces: pa.Array, fold: bool) -> tuple[list[str], np.ndarray, np.ndarray]:
     """(distinct cores, core of each piece, tail of each piece or -1) with tails as places in ``TAILS``.
 
