@@ -131,10 +131,9 @@ class _Joined:
         return out
 
 
-def forget() -> None:
-    """Drops what this worker remembers: after each word of a corpus has been seen once, nothing comes again."""
-    _lengths.cache_clear()
-    _ids.cache_clear()
+def forget(path: str) -> None:
+    """Drops the word ids that this worker remembers: where each word of a corpus comes once, none comes again."""
+    _ids(path).known.clear()
 
 
 def _cores(pieces: pa.Array, fold: bool) -> tuple[list[str], np.ndarray, np.ndarray]:
