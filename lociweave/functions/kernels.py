@@ -165,34 +165,34 @@ def trajectory_pvalue(alts: np.ndarray, depths: np.ndarray, seed: int, draws: in
     return (hits + 1) / (n + 1)
 
 
+def fixation_parts(depths: np.ndarray, alts: np.ndarray, n: np.ndarray, lower: float = 0.2, upper: float = 0.8, bins: int = 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of one sample, for true frequencies on ``bins`` bins: sites there, and the chances to read low and high at its depths."""
+    mids = (np.arange(bins) + 0.5) / bins
+    prior = np.bincount(np.minimum(bins * alts // np.maximum(depths, 1), bins - 1).astype(int), weights=n, minlength=bins)
+    each, at = np.unique(depths, return_inverse=True)
+    share = np.bincount(at, weights=n) / (n.sum() or 1)
+    low, high = np.zeros(bins), np.zeros(bins)
+    for d, w in zip(each.tolist(), share.tolist(), strict=True):
+        k = np.arange(d + 1)
+        for i, f in enumerate(mids):
+            pmf = binomial_pmf(k, d, f)
+            low[i] += w * pmf[k <= lower * d].sum()
+            high[i] += w * pmf[k >= upper * d].sum()
+    return prior, low, high
+
+
 def fixation_error(hist_1: dict, hist_2: dict, lower: float = 0.2, upper: float = 0.8, bins: int = 20) -> float:
     """Expected false flips: two samples of one true frequency, read low in one and high in the other.
 
     ``hist``: (depth, alt) to number of sites, whose frequencies are the prior.
     """
-    mids = (np.arange(bins) + 0.5) / bins
     both = [h for h in (hist_1, hist_2) if h]
-    prior = np.zeros(bins)
-    for h in both:
-        for (d, a), n in h.items():
-            prior[min(int(bins * a / d), bins - 1)] += n / len(both)
-
-    def tails(hist: dict) -> tuple[np.ndarray, np.ndarray]:
-        depth: dict[int, float] = {}
-        for (d, _), n in hist.items():
-            depth[d] = depth.get(d, 0) + n
-        total = sum(depth.values()) or 1
-        low, high = np.zeros(bins), np.zeros(bins)
-        for d, n in depth.items():
-            k = np.arange(d + 1)
-            for i, f in enumerate(mids):
-                pmf = binomial_pmf(k, d, f)
-                low[i] += n / total * pmf[k <= lower * d].sum()
-                high[i] += n / total * pmf[k >= upper * d].sum()
-        return low, high
-
-    (l1, h1), (l2, h2) = tails(hist_1), tails(hist_2)
-    return float((prior * (l1 * h2 + h1 * l2)).sum())
+    made = []
+    for h in (hist_1, hist_2):
+        cells = np.array([(d, a) for d, a in h], dtype=np.int64).reshape(-1, 2)
+        made.append(fixation_parts(cells[:, 0], cells[:, 1], np.array(list(h.values()), float), lower, upper, bins))
+    (p1, l1, h1), (p2, l2, h2) = made
+    return float(((p1 + p2) / max(len(both), 1) * (l1 * h2 + h1 * l2)).sum())
 
 
 def gene_error(reads_1: float, copies_1: float, reads_2: float, copies_2: float, absent: float = 0.05, low: float = 0.6, high: float = 1.2) -> float:

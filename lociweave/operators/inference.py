@@ -141,14 +141,17 @@ def rank_tests(rows: DataFrame, group: str, value: str, by: list[str]) -> DataFr
 
 
 def fixation_errors(sfs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Expected false flips of each pair of samples, from their spectra."""
-    hist = sfs.groupBy("species", "sample").agg(F.collect_list(F.struct("depth", "alt", "n")).alias("h"))
-    both = pairs.select("sample_1", "sample_2").join(hist.withColumnsRenamed({"sample": "sample_1", "h": "h1"}), "sample_1")
-    both = both.join(hist.withColumnsRenamed({"sample": "sample_2", "h": "h2", "species": "_s"}), "sample_2").filter("species = _s")
-
-    @F.pandas_udf("double")
-    def expected(h1: pd.Series, h2: pd.Series) -> pd.Series:
-        as_dict = lambda h: {(x["depth"], x["alt"]): x["n"] for x in h}
-        return pd.Series([K.fixation_error(as_dict(a), as_dict(b)) for a, b in zip(h1, h2, strict=True)], dtype="float64")
-
-    return both.select("species", "sample_1", "sample_2", expected("h1", "h2").alias("expected"))
+    """Expected false flips of each pair of samples, from their spectra: each sample's chances once, then a sum over bins."""
+
+    def parts(t: pd.DataFrame) -> pd.DataFrame:
+        got = K.fixation_parts(t["depth"].to_numpy(), t["alt"].to_numpy(), t["n"].to_numpy(float))
+        return pd.DataFrame({"species": t["species"].iloc[0], "sample": t["sample"].iloc[0], "p": [got[0].tolist()], "low": [got[1].tolist()], "high": [got[2].tolist()]})
+
+    each = sfs.select("species", "sample", "depth", "alt", "n").groupBy("species", "sample").applyInPandas(parts, "species string, sample string, p array<double>, low array<double>, high array<double>")
+    both = pairs.select("sample_1", "sample_2")
+    for k in (1, 2):
+        side = each.select("species", F.col("sample").alias(f"sample_{k}"), *[F.col(c).alias(f"{c}_{k}") for c in ("p", "low", "high")])
+        both = both.join(side, f"sample_{k}" if k == 1 else ["species", f"sample_{k}"])
+    term = lambda z: (z["p_1"] + z["p_2"]) / 2 * (z["low_1"] * z["high_2"] + z["high_1"] * z["low_2"])
+    names = [f"{c}_{k}" for c in ("p", "low", "high") for k in (1, 2)]
+    return both.select("species", "sample_1", "sample_2", F.aggregate(F.arrays_zip(*names), F.lit(0.0), lambda s, z: s + term(z)).alias("expected"))

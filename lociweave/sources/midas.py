@@ -135,9 +135,8 @@ def pathways(spark: SparkSession, path: str) -> DataFrame:
 
 
 def fasta(spark: SparkSession, path: str) -> DataFrame:
-    """(name, sequence); a whole file is a row, split at its headers in the JVM."""
-    whole = spark.read.text(path, wholetext=True)
-    records = whole.select(F.explode(F.filter(F.split("value", "(^|\n)>"), lambda x: x != "")).alias("r"))
+    """(name, sequence); records are split where the file is read, so a file may be of any size."""
+    records = spark.read.text(path, lineSep="\n>").select(F.regexp_replace("value", "^>", "").alias("r")).filter("trim(r) <> ''")
     name = F.get(F.split(F.substring_index("r", "\n", 1), r"\s+"), F.lit(0))
     return records.select(name.alias("name"), F.regexp_replace(F.regexp_replace("r", r"^[^\n]*\n?", ""), r"\s", "").alias("sequence"))
 

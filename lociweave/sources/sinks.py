@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def table(df: DataFrame, path: str, by: str = "species", mode: str = "error") -> None:
+def table(df: DataFrame, path: str, by: str = "species", mode: str = "error", files: int = 8) -> None:
     """Parquet, a folder for each species; rows are dealt by species and a salt so that a large one has many files."""
-    df.write.mode(mode).partitionBy(by).parquet(path)
+    salt = F.pmod(F.xxhash64(*df.columns), F.lit(files))
+    df.repartition(F.col(by), salt).write.mode(mode).partitionBy(by).parquet(path)
 
 
 def packed(df: DataFrame, names: list[str], order: list[str], cells: list[str], sep: str = "\t") -> DataFrame:
