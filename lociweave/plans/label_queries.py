@@ -67,8 +67,8 @@ def strain_orientation(spark, d):
 
 
 @_query(
-    """WITH r AS (SELECT *, coverage / SUM(coverage) OVER (PARTITION BY sample) AS a FROM a_species_profile), n AS (SELECT DISTINCT sample FROM r), bc AS (SELECT m.sample AS sample_1, n.sample AS sample_2, 1 - COALESCE(SUM(LEAST(x.a, y.a)), 0) AS b FROM n m JOIN n ON m.sample < n.sample JOIN r x ON x.sample = m.sample LEFT JOIN r y ON x.species = y.species AND y.sample = n.sample GROUP BY 1, 2)
-       SELECT sample_2 AS sample_1, sample_1 AS sample_2, ROUND(b, 5) AS bray_curtis FROM bc"""
+    """WITH t AS (SELECT sample, SUM(coverage) AS t FROM a_species_profile GROUP BY 1), l AS (SELECT x.sample AS s1, y.sample AS s2, SUM(LEAST(x.coverage, y.coverage)) AS l FROM a_species_profile x JOIN a_species_profile y ON x.species = y.species AND x.sample < y.sample WHERE x.coverage > 0 AND y.coverage > 0 GROUP BY 1, 2)
+       SELECT b.sample AS sample_1, a.sample AS sample_2, ROUND(1 - 2 * COALESCE(l, 0) / (a.t + b.t), 5) AS bray_curtis FROM t a JOIN t b ON a.sample < b.sample LEFT JOIN l ON s1 = a.sample AND s2 = b.sample"""
 )
 def pairs_with_distance(spark, d):
     bc = ecology.bray_curtis(A.species_profile(spark, d))
