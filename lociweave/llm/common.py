@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -51,10 +52,13 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def dropped(spark: SparkSession, *paths: str) -> None:
-    """Removes tables of the shared folder that nothing reads any more."""
+    """Removes tables of the shared folder that nothing reads any more, and has the driver let go of shuffles that nothing refers to."""
     for path in paths:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    # the context's cleaner removes what the collectors of both sides find unreachable
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -164,23 +164,25 @@ def _many(hashes: Column) -> Column:
 
 
 def _meetings(classes: DataFrame) -> DataFrame:
-    """(a, b): each class with one class of every bucket of its balls, apart in at most ``APART`` of all bits.
+    """(a, b): each class with one class of every bucket of its balls, apart in at most ``APART`` of all bits; classes by their hashes.
 
     A bucket is a segment of a fingerprint and its value. Only one class, by a hash
     that differs between buckets, stands for a bucket, so a group of copies gives as
     many rows as it has members and not their pairs.
     """
     segs = F.flatten(F.transform("fps", lambda x: F.array(_segment(x, 0), _segment(x, 1))))
-    keyed = classes.select("c", "fps", F.posexplode(segs).alias("s", "seg"))
-    table = keyed.groupBy("s", F.col("seg").alias("key")).agg(F.min_by(F.struct(F.col("c").alias("b"), F.col("fps").alias("_fps")), F.xxhash64("c", "s")).alias("_b"))
-    table = written(table.select(F.col("s").alias("_s"), F.col("key").alias("_key"), "_b.b", "_b._fps"), "buckets")
+    keyed = classes.select(F.xxhash64("c").alias("k"), "fps", F.posexplode(segs).alias("s", "seg"))
+    table = keyed.groupBy("s", F.col("seg").alias("key")).agg(F.min_by(F.struct(F.col("k").alias("b"), F.col("fps").alias("_fps")), F.xxhash64("k", "s")).alias("_b"))
+    table, path = held_at(table.select(F.col("s").alias("_s"), F.col("key").alias("_key"), "_b.b", "_b._fps"), "buckets")
     ones = F.array(*[F.lit(1 << k) for k in range(32)])
     flips = F.transform(F.filter(ones, lambda o: F.col("seg").bitwiseAND(o) == 0), lambda o: F.col("seg").bitwiseOR(o))
-    asked = keyed.select("s", F.col("c").alias("a"), F.explode(F.concat(F.array("seg"), flips)).alias("key"))
+    asked = keyed.select("s", F.col("k").alias("a"), F.explode(F.concat(F.array("seg"), flips)).alias("key"))
     met = asked.join(table, (F.col("s") == F.col("_s")) & (F.col("key") == F.col("_key"))).filter("a != b").select("a", "b", "_fps").dropDuplicates(["a", "b"])
-    mine = classes.select(F.col("c").alias("_c"), "fps")
+    mine = classes.select(F.xxhash64("c").alias("_c"), "fps")
     far = F.aggregate(F.zip_with("fps", "_fps", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    return met.join(mine, F.col("a") == F.col("_c")).filter(far <= int(APART * 64 * SEEDS)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    out = written(met.join(mine, F.col("a") == F.col("_c")).filter(far <= int(APART * 64 * SEEDS)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "meetings")
+    dropped(classes.sparkSession, path)
+    return out
 
 
 def _common(docs: DataFrame, key: str, text: str) -> np.ndarray:
@@ -266,7 +268,7 @@ def _linked(docs: DataFrame, classes: DataFrame, pairs: DataFrame, key: str, tex
 def _named(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """(a, b) by class for (a, b) by the classes' hashes; classes of one hash are all named, and told apart where they are compared."""
     name = lambda x: classes.select(F.xxhash64("c").alias(x), F.col("c").alias(f"_{x}"))
-    return pairs.join(name("a"), "a").join(name("b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+    return written(pairs.join(name("a"), "a").join(name("b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b")), "named")
 
 
 def copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -287,7 +289,7 @@ def copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     classes = written(rows.groupBy(F.col("_c").alias("c")).agg(F.min("_id").alias("least"), F.first("fps").alias("fps"), F.first("firsts").alias("firsts")), "classes")
     ids = written(rows.select("_id", "_c"), "ids")
     dropped(spark, path)
-    linked = _linked(docs, classes, written(_meetings(classes), "meetings"), key, text)
+    linked = _linked(docs, classes, _named(_meetings(classes), classes), key, text)
     roots = components(linked, "a", "b")
     rooted = classes.select("c", "firsts").join(roots, F.col("c") == F.col("node"), "left").select(F.xxhash64("c").alias("c"), F.xxhash64(F.coalesce("root", "c")).alias("root"), "firsts")
     places = F.posexplode(F.slice("firsts", F.lit(2), F.size("firsts") - 1)).alias("at", "t")
