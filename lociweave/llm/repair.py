@@ -66,7 +66,7 @@ def _by_pair(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _chosen(group: np.ndarray, counts: np.ndarray, joined: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of pairs in order with their ``group`` and the groups' ``counts``: (counts without overlaps of a group with itself, pairs to replace).
+    """Of pairs in order with their ``group`` and the groups' ``counts``: (pairs whose group, without overlaps with itself, is frequent enough; pairs to replace).
 
     ``joined`` says whether a pair overlaps the one before it. A pair is replaced where its
     group has more occurrences than the groups of the pairs that overlap it. Of a run
@@ -93,7 +93,7 @@ def _chosen(group: np.ndarray, counts: np.ndarray, joined: np.ndarray) -> tuple[
         right[first[starts]] = right[last]
     on = (strength > left) & (strength > right)
     on[odd] = False
-    return counts, on
+    return strength > 0, np.flatnonzero(on)
 
 
 def compress(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -114,15 +114,16 @@ def compress(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         group = np.empty(len(at), dtype=np.int64)
         group[order] = np.cumsum(new) - 1
         starts = np.flatnonzero(new)
-        counts, on = _chosen(group, np.diff(np.append(starts, len(at))), np.append(False, next_[:-1] == at[1:]))
-        taken = np.bincount(group[on], minlength=len(counts)) >= LEAST_COUNT
-        on &= taken[group]
-        hit = at[on]
+        worth, on = _chosen(group, np.diff(np.append(starts, len(at))), np.append(False, next_[:-1] == at[1:]))
+        of = group[on]
+        taken = np.bincount(of, minlength=len(starts)) >= LEAST_COUNT
+        kept = taken[of]
+        hit, of = at[on[kept]], of[kept]
         if not len(hit) or BASE + len(sizes) + int(taken.sum()) > MOST_CODES:
             break
         firsts = order[starts[taken]]
         pair = np.stack([left[firsts], right[firsts]], axis=1)
-        codes[hit] = (BASE + len(sizes) + np.cumsum(taken) - 1)[group[on]]
+        codes[hit] = (BASE + len(sizes) + np.cumsum(taken) - 1)[of]
         sizes = np.concatenate([sizes, (_lengths(pair[:, 0], sizes) + _lengths(pair[:, 1], sizes)).astype(np.uint32)])
         rules.append(pair)
         dead = after[hit]
@@ -130,7 +131,7 @@ def compress(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         after[hit] = after[dead]
         inner = hit[after[hit] < n]
         before[after[inner]] = inner
-        still = at[(counts >= LEAST_COUNT)[group]]
+        still = at[worth]
         live = np.zeros(n, dtype=bool) if 64 * len(at) > n else None
         near = np.concatenate([still[alive[still]], hit, before[hit[before[hit] >= 0]]])
         if live is None:
