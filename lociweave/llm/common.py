@@ -51,11 +51,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def dropped(spark: SparkSession, *paths: str) -> None:
-    """Removes tables of the shared folder that nothing reads any more, and has the driver let go of shuffles that nothing refers to."""
+def removed(spark: SparkSession, *paths: str) -> None:
+    """Removes tables of the shared folder that nothing reads any more."""
     for path in paths:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def dropped(spark: SparkSession, *paths: str) -> None:
+    """``removed``, and has the driver let go of shuffles that nothing refers to."""
+    removed(spark, *paths)
     # the context's cleaner removes what the collectors of both sides find unreachable
     gc.collect()
     spark._jvm.System.gc()
@@ -77,9 +82,9 @@ def held_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
 BROADCAST_IDS = 1_000_000
 
 
-def checked(ids: DataFrame) -> DataFrame:
+def checked(ids: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
     """``ids`` with a broadcast hint where their number, counted here, allows it."""
-    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return F.broadcast(ids) if ids.count() <= most else ids
 
 
 def opened(held: DataFrame, columns: list[str], made: dict[str, Column], row: str = "_row") -> DataFrame:
