@@ -51,3 +51,23 @@ def lower(text) -> str:
 
 def words(text) -> list[str]:
     return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+_N = float("nan")
+_INF = float("inf")
+
+
+def _vector(near=None):
+    if near is None:
+        return [_R.uniform(-1, 1) for _ in range(64)]
+    return [x + _R.uniform(-0.1, 0.1) for x in near]
+
+
+_HUBS = [_vector() for _ in range(6)]
+EMBEDDINGS = [(k, _vector(_R.choice(_HUBS)) if k % 3 else _vector(), _R.randrange(10)) for k in range(420)]
+# one vector and its copies are a third of all rows; equal scores, repeated rows and ids, and every kind of row that takes no part
+EMBEDDINGS += [(1000 + k, _HUBS[0], k % 3) for k in range(200)] + [EMBEDDINGS[0], EMBEDDINGS[100], EMBEDDINGS[7]] + [(300, _HUBS[1], 4), (None, _HUBS[0], 1), (500, _HUBS[0], None), (600, None, 1), (700, [], 2)]
+EMBEDDINGS += [(800, [*_HUBS[0][:63], None], 1), (801, [*_HUBS[0][:63], _N], 1), (802, [_INF, *_HUBS[0][:63]], 1), (900, [-0.0] * 64, 3), (901, [0.5] * 64, 3), (1700, [-0.5] * 64, 3)]
+
+PAGES = [(k, f"http://site/{k}", f"<html>{prose(12)}</html>") for k in range(40)]
+PAGES += [(100 - k, f"http://copy/{k}", "<p>one page that has many copies</p>") for k in range(30)] + [PAGES[3], PAGES[3], PAGES[5]]
+PAGES += [(200, None, None), (201, "", ""), (None, "http://x y\r\nWARC-Type: evil", "no id"), (None, "ü", "no id"), (202, "http://c", "no id"), (203, "http://d", "über\r\n\r\nWARC/1.1\r\n日本"), (204, "http://e", "x" * 700_000), (205, "http://f", "x" * 700_000)]

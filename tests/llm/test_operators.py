@@ -31,6 +31,8 @@ def empty(spark, tmp_path_factory):
     folder = tmp_path_factory.mktemp("empty")
     spark.createDataFrame([], EMPTY).write.parquet(str(folder / "documents.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(folder / "benchmark.parquet"))
+    spark.createDataFrame([], "vec_id long, embedding array<float>, label int").write.parquet(str(folder / "embeddings.parquet"))
+    spark.createDataFrame([], "page_id long, url string, html string").write.parquet(str(folder / "pages.parquet"))
     return str(folder)
 
 
@@ -42,7 +44,7 @@ def test_empty_tables(spark, empty, name):
 @pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_every_row_has_a_result(spark, small, name):
     got = registry.QUERIES[name](spark, small)
-    if name.startswith("op8"):
+    if name.startswith(("op8", "op11", "op12", "op13")):
         return
     assert Counter(r[0] for r in got.select("doc_id").collect()) == Counter(d[0] for d in DOCUMENTS)
 
@@ -740,6 +742,9 @@ def test_sql(spark, small, name):
 
     folder = tempfile.mkdtemp()
     spark.createDataFrame(rows_, EMPTY).write.parquet(f"{folder}/documents.parquet")
+    for t in ("embeddings", "pages"):
+        spark.read.parquet(f"{small}/{t}.parquet").write.parquet(f"{folder}/{t}.parquet")
+        con.sql(f"CREATE TABLE {t} AS FROM read_parquet('{folder}/{t}.parquet/*.parquet')")
     norm = lambda x: "null" if x is None or x != x else str(x) if isinstance(x, bool | str) or type(x).__name__ == "bool_" else f"{float(x):.9g}"
     got, want = registry.QUERIES[name](spark, folder).toPandas(), con.sql(registry.ORACLE[name]).df()
     table = lambda t: Counter(tuple("null" if v is None or str(v) in ("nan", "<NA>", "None") else norm(v) for v in r) for r in t[sorted(t.columns)].itertuples(index=False))
