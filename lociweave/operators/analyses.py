@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lociweave.functions import expr
+from lociweave.operators.blocks import counted, pair_sums
 from lociweave.operators.diversity import site_pairs, with_freq
 from lociweave.operators.snps import SITE
 
@@ -118,15 +119,17 @@ def by_pathway(pairs: DataFrame, pathways: DataFrame, value: str, sites: str, le
 
 def gene_pair_pi(sites: DataFrame) -> DataFrame:
     """Between-sample diversity of each gene, summed over its sites, with their number."""
-    pairs = site_pairs(with_freq(sites).filter("depth > 0"), ("f",), (*SITE, "gene_id"))
-    return pairs.groupBy("gene_id", *PAIR).agg(F.sum(expr.pi_between(F.col("f_1"), F.col("f_2"))).alias("pi"), F.count(F.lit(1)).alias("n_sites"))
+    sums = {"n_sites": [(1.0, "n", "n")], "pi": [(1.0, "p", "n"), (1.0, "n", "p"), (-2.0, "p", "p")]}
+    got = pair_sums(with_freq(sites).filter("depth > 0"), {"n": F.lit(1), "p": F.col("f")}, sums, "n_sites", by=("species", "gene_id"))
+    return got.select("gene_id", *PAIR, "pi", counted("n_sites"))
 
 
 def gene_pair_flips(sites: DataFrame, lower: float = expr.LOWER, upper: float = expr.UPPER) -> DataFrame:
     """Consensus differences of each gene between two samples, with the sites where both have a consensus."""
     g = with_freq(sites).filter("depth > 0").withColumn("g", expr.consensus(F.col("f"), lower, upper)).filter("g is not null")
-    pairs = site_pairs(g, ("g",), (*SITE, "gene_id"))
-    return pairs.groupBy("gene_id", *PAIR).agg(one(F.col("g_1") != F.col("g_2")).alias("flips"), F.count(F.lit(1)).alias("n_sites"))
+    sums = {"n_sites": [(1.0, "n", "n")], "flips": [(1.0, "d", "a"), (1.0, "a", "d")]}
+    got = pair_sums(g, {"n": F.lit(1), "d": F.col("g"), "a": 1 - F.col("g")}, sums, "n_sites", by=("species", "gene_id"))
+    return got.select("gene_id", *PAIR, counted("flips"), counted("n_sites"))
 
 
 def log_bins(hist: DataFrame, by: list[str], value: str, n: str, bins: int = 30, top: float = 1e5) -> DataFrame:

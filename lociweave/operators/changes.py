@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lociweave.functions import expr
-from lociweave.operators.diversity import site_pairs, with_freq
+from lociweave.operators.blocks import counted, opposed_pairs, pair_sums
+from lociweave.operators.diversity import with_freq
 from lociweave.operators.snps import called_sites
 
 SITE = ("species", "contig", "pos")
@@ -14,8 +15,9 @@ SITE = ("species", "contig", "pos")
 
 def opportunities(counts: DataFrame, least_depth: int = 20) -> DataFrame:
     """Sites at which a pair could be seen to change: the first sample is covered, the second to ``least_depth``."""
-    pairs = site_pairs(counts.filter("depth > 0"), ("depth",), ordered=True).filter(F.col("depth_2") >= least_depth)
-    return pairs.groupBy("species", "sample_1", "sample_2").agg(F.count(F.lit(1)).alias("n_sites"))
+    measures = {"n": F.lit(1), "deep": (F.col("depth") >= least_depth).cast("int")}
+    got = pair_sums(counts.filter("depth > 0"), measures, {"n_sites": [(1.0, "n", "deep")]}, "n_sites", ordered=True)
+    return got.select("species", "sample_1", "sample_2", counted("n_sites"))
 
 
 def flips(counts: DataFrame, least_depth: int = 20, lower: float = expr.LOWER, upper: float = expr.UPPER) -> DataFrame:
@@ -23,11 +25,10 @@ def flips(counts: DataFrame, least_depth: int = 20, lower: float = expr.LOWER, u
     mean = counts.filter("depth > 0").groupBy("species", "sample").agg(F.avg("depth").alias("_mean"))
     rows = with_freq(counts).join(mean, ["species", "sample"]).filter(F.col("depth") >= least_depth)
     rows = rows.filter((F.col("f") <= lower) | (F.col("f") >= upper))
-    pairs = site_pairs(rows.withColumnRenamed("_mean", "m"), ("f", "depth", "m"))
-    flip = ((F.col("f_1") <= lower) & (F.col("f_2") >= upper)) | ((F.col("f_1") >= upper) & (F.col("f_2") <= lower))
+    pairs = opposed_pairs(rows.withColumnRenamed("_mean", "m"), F.col("f") >= upper, ("f", "depth", "m"), SITE)
     close = expr.depth_ratio_close(F.col("depth_1"), F.col("m_1"), F.col("depth_2"), F.col("m_2"))
     kind = F.when(F.col("f_1") < F.col("f_2"), "mutation").otherwise("reversion")
-    return pairs.filter(flip & close).select(*SITE, "sample_1", "sample_2", kind.alias("kind"))
+    return pairs.filter(close).select(*SITE, "sample_1", "sample_2", kind.alias("kind"))
 
 
 def change_counts(flipped: DataFrame) -> DataFrame:
@@ -43,14 +44,13 @@ def substitution_rates(sites: DataFrame, core_genes: DataFrame, least_depth: int
     """Mutations and reversions of each ordered pair with their opportunities, by overlapping category."""
     core = core_genes.select("gene_id").distinct().withColumn("_core", F.lit(True))
     rows = with_freq(sites).filter("depth > 0").join(core, "gene_id", "left").withColumn("c", _category(F.col("variant_type"), F.coalesce("_core", F.lit(False))))
-    pairs = site_pairs(rows, ("f", "depth", "c"), ordered=True).filter(F.col("depth_2") >= least_depth)
-    low, high = lambda f: f <= lower, lambda f: f >= upper
-    f1, f2 = F.col("f_1"), F.col("f_2")
-    one = lambda c: F.sum(F.when(c, 1).otherwise(0))
-    tagged = pairs.withColumn("type", F.explode("c_1"))
-    return tagged.groupBy("species", "sample_1", "sample_2", "type").agg(
-        one(low(f1) & high(f2)).alias("muts"), one(high(f1) & low(f2)).alias("revs"), one(low(f1) & (low(f2) | high(f2))).alias("mut_opportunities"), one(high(f1) & (low(f2) | high(f2))).alias("rev_opportunities")
-    )
+    low, high, deep = F.col("f") <= lower, F.col("f") >= upper, F.col("depth") >= least_depth
+    flag = lambda c: c.cast("int")
+    measures = {"n": F.lit(1), "low": flag(low), "high": flag(high), "deep": flag(deep), "deep_low": flag(deep & low), "deep_high": flag(deep & high), "deep_sure": flag(deep & (low | high))}
+    sums = {"seen": [(1.0, "n", "deep")], "muts": [(1.0, "low", "deep_high")], "revs": [(1.0, "high", "deep_low")], "mut_opportunities": [(1.0, "low", "deep_sure")], "rev_opportunities": [(1.0, "high", "deep_sure")]}
+    tagged = rows.withColumn("type", F.explode("c"))
+    got = pair_sums(tagged, measures, sums, "seen", by=("species", "type"), ordered=True)
+    return got.select("species", "sample_1", "sample_2", "type", *[counted(c) for c in ("muts", "revs", "mut_opportunities", "rev_opportunities")])
 
 
 def singletons(counts: DataFrame, lower: float = expr.LOWER, upper: float = expr.UPPER) -> DataFrame:
@@ -62,11 +62,40 @@ def singletons(counts: DataFrame, lower: float = expr.LOWER, upper: float = expr
     return derived.groupBy("species", "sample").agg(F.sum(F.when(F.col("_k") == 1, 1).otherwise(0)).alias("singletons"), F.sum(F.when(F.col("_k") == 2, 1).otherwise(0)).alias("doubletons"))
 
 
+def pair_singletons(sites: DataFrame, called: DataFrame, types: tuple[str, ...] = ("1D", "2D", "3D", "4D"), least: int = 4, lower: float = expr.LOWER, upper: float = expr.UPPER) -> DataFrame:
+    """(pair, singletons, doubletons, differences, opportunities) of every ordered pair.
+
+    At a called site with at least ``least`` confident samples, a difference of a pair is a
+    singleton of the first sample where no other confident one agrees with it, and an
+    agreement is a doubleton where nobody else agrees with the two. Opportunities are the
+    sites that both samples cover, less the called ones where one of them is not confident
+    or too few samples are.
+    """
+    by = Window.partitionBy(*SITE)
+    rows = with_freq(sites).filter((F.col("depth") > 0) & F.col("variant_type").isin(*types))
+    rows = rows.join(called.select(*SITE).distinct().withColumn("_snp", F.lit(True)), list(SITE), "left")
+    sure = F.when(F.col("_snp"), expr.consensus(F.col("f"), lower, upper))
+    rows = rows.withColumn("_g", sure).withColumn("_d", F.sum("_g").over(by)).withColumn("_k", F.count("_g").over(by))
+    flag = lambda c: F.when(c, 1).otherwise(0)
+    usable = F.col("_g").isNotNull() & (F.col("_k") >= least)
+    derived, ancestral, rest = usable & (F.col("_g") == 1), usable & (F.col("_g") == 0), F.col("_k") - F.col("_d")
+    alone = lambda n: {"d": flag(derived & (F.col("_d") == n)), "a": flag(ancestral & (rest == n))}
+    measures = {"n": F.lit(1), "snp": flag(F.col("_snp")), "sure": flag(usable), "d": flag(derived), "a": flag(ancestral), "d1": alone(1)["d"], "a1": alone(1)["a"], "d2": alone(2)["d"], "a2": alone(2)["a"]}
+    sums = {
+        "covered": [(1.0, "n", "n")], "singletons": [(1.0, "d1", "a"), (1.0, "a1", "d")], "doubletons": [(1.0, "d2", "d"), (1.0, "a2", "a")], "differences": [(1.0, "d", "a"), (1.0, "a", "d")],
+        "opportunities": [(1.0, "n", "n"), (-1.0, "snp", "snp"), (1.0, "sure", "sure")],
+    }
+    got = pair_sums(rows, measures, sums, "covered", ordered=True)
+    return got.select("species", "sample_1", "sample_2", *[counted(c) for c in ("singletons", "doubletons", "differences", "opportunities")])
+
+
 def tracked_private(counts: DataFrame, private: DataFrame, least_depth: int = 5) -> DataFrame:
     """Private SNVs high in the first sample of a pair: kept high or lost in the second."""
     rows = with_freq(counts).filter(F.col("depth") >= least_depth).join(private.select(*SITE), list(SITE), "left_semi")
-    pairs = site_pairs(rows, ("f",), ordered=True).filter((F.col("f_1") >= expr.UPPER) & ((F.col("f_2") >= expr.UPPER) | (F.col("f_2") <= expr.LOWER)))
-    return pairs.groupBy("species", "sample_1", "sample_2").agg(F.count(F.lit(1)).alias("opportunities"), F.sum(F.when(F.col("f_2") <= expr.LOWER, 1).otherwise(0)).alias("reversions"))
+    high, low = (F.col("f") >= expr.UPPER).cast("int"), (F.col("f") <= expr.LOWER).cast("int")
+    sums = {"opportunities": [(1.0, "high", "sure")], "reversions": [(1.0, "high", "low")]}
+    got = pair_sums(rows, {"high": high, "low": low, "sure": high + low}, sums, "opportunities", ordered=True)
+    return got.select("species", "sample_1", "sample_2", counted("opportunities"), counted("reversions"))
 
 
 def triplet_sweeps(counts: DataFrame, triplets: DataFrame) -> DataFrame:

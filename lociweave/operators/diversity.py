@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lociweave.functions import expr
+from lociweave.operators.blocks import counted, pair_sums
 
 SITE = ("species", "contig", "pos")
 
@@ -56,6 +57,10 @@ def site_pairs(rows: DataFrame, keep: tuple[str, ...], by: tuple[str, ...] = SIT
     return both.select(*by, F.col("_a.sample").alias("sample_1"), F.col("_b.sample").alias("sample_2"), *[F.col(f"_a.{c}").alias(f"{c}_1") for c in keep], *[F.col(f"_b.{c}").alias(f"{c}_2") for c in keep])
 
 
+#: Chance that one read of each sample differ: p1 (1 - p2) + p2 (1 - p1).
+_BETWEEN = [(1.0, "p", "n"), (1.0, "n", "p"), (-2.0, "p", "p")]
+
+
 def fst_loci(counts: DataFrame, sample_1: str, sample_2: str, least_depth: int = 4) -> DataFrame:
     """Per-site diversity within and between two samples and their fixation index."""
     two = site_pi(counts.filter(F.col("sample").isin(sample_1, sample_2)), least_depth)
@@ -70,9 +75,13 @@ def fst_summary(loci: DataFrame) -> DataFrame:
 
 
 def hudson_fst(counts: DataFrame, least_depth: int = 4) -> DataFrame:
-    pairs = site_pairs(with_freq(counts).filter(F.col("depth") >= least_depth), ("f", "depth"))
-    num, den = expr.hudson(F.col("f_1"), F.col("depth_1").cast("double"), F.col("f_2"), F.col("depth_2").cast("double"))
-    return pairs.groupBy("species", "sample_1", "sample_2").agg(F.try_divide(F.sum(num), F.sum(den)).alias("hudson_fst"), F.count(F.lit(1)).alias("n_loci"))
+    """Ratio of sums of Hudson's numerator, (p1 - p2)^2 less each sample's own variance, and denominator."""
+    rows = with_freq(counts).filter(F.col("depth") >= least_depth)
+    f = F.col("f")
+    measures = {"n": F.lit(1), "p": f, "pp": f * f, "own": F.try_divide(f * (1 - f), F.col("depth").cast("double") - 1)}
+    gap = [(1.0, "pp", "n"), (1.0, "n", "pp"), (-2.0, "p", "p"), (-1.0, "own", "n"), (-1.0, "n", "own")]
+    got = pair_sums(rows, measures, {"n_loci": [(1.0, "n", "n")], "num": gap, "den": _BETWEEN}, "n_loci")
+    return got.select("species", "sample_1", "sample_2", F.try_divide("num", F.nullif(F.col("den"), F.lit(0.0))).alias("hudson_fst"), counted("n_loci"))
 
 
 def pi_matrix(sites: DataFrame, variant_type: str = "4D") -> DataFrame:
@@ -80,9 +89,9 @@ def pi_matrix(sites: DataFrame, variant_type: str = "4D") -> DataFrame:
     rows = with_freq(sites).filter((F.col("variant_type") == variant_type) & (F.col("depth") > 1))
     a, d = F.col("alt").cast("double"), F.col("depth").cast("double")
     rows = rows.withColumn("own", 2 * a * (d - a) / (d * (d - 1)))
-    pairs = site_pairs(rows, ("f", "own"))
-    between = expr.pi_between(F.col("f_1"), F.col("f_2"))
-    return pairs.groupBy("species", "sample_1", "sample_2").agg(F.avg(between).alias("pi_between"), F.avg((F.col("own_1") + F.col("own_2")) / 2).alias("pi_within"), F.count(F.lit(1)).alias("n_sites"))
+    sums = {"n_sites": [(1.0, "n", "n")], "pi_between": _BETWEEN, "pi_within": [(0.5, "own", "n"), (0.5, "n", "own")]}
+    got = pair_sums(rows, {"n": F.lit(1), "p": F.col("f"), "own": F.col("own")}, sums, "n_sites")
+    return got.select("species", "sample_1", "sample_2", *[(F.col(c) / F.col("n_sites")).alias(c) for c in ("pi_between", "pi_within")], counted("n_sites"))
 
 
 def consensus_genotypes(counts: DataFrame, lower: float = expr.LOWER, upper: float = expr.UPPER) -> DataFrame:
@@ -101,19 +110,21 @@ def pooled_counts(counts: DataFrame, least_k: int = 1) -> DataFrame:
     return p.groupBy("species").agg(F.count(F.lit(1)).alias("n_sites"), F.sum(F.try_divide(2 * k * (n - k), n * (n - 1))).alias("pi"))
 
 
-def genotype_covariance(counts: DataFrame) -> DataFrame:
+def genotype_covariance(counts: DataFrame, diagonal: bool = False) -> DataFrame:
     """Covariance of centred genotypes over jointly covered sites, the matrix of a principal component analysis with gaps."""
     rows = with_freq(counts).filter(F.col("depth") > 0)
-    mean = rows.groupBy(*SITE).agg(F.avg("f").alias("_m"))
-    centred = rows.join(mean, list(SITE)).withColumn("g", F.col("f") - F.col("_m"))
-    return site_pairs(centred, ("g",)).groupBy("species", "sample_1", "sample_2").agg(F.avg(F.col("g_1") * F.col("g_2")).alias("cov"), F.count(F.lit(1)).alias("n_sites"))
+    centred = rows.withColumn("g", F.col("f") - F.avg("f").over(Window.partitionBy(*SITE)))
+    got = pair_sums(centred, {"n": F.lit(1), "g": F.col("g")}, {"n_sites": [(1.0, "n", "n")], "cov": [(1.0, "g", "g")]}, "n_sites", diagonal=diagonal)
+    return got.select("species", "sample_1", "sample_2", (F.col("cov") / F.col("n_sites")).alias("cov"), counted("n_sites"))
 
 
 def new_snps(counts: DataFrame, rare: float = 0.05, common: float = 0.2) -> DataFrame:
     """Sites whose minor frequency is below ``rare`` in the first sample and above ``common`` in the second."""
-    rows = with_freq(counts).filter(F.col("depth") > 0).withColumn("maf", expr.folded(F.col("f")))
-    pairs = site_pairs(rows, ("maf",), ordered=True)
-    return pairs.groupBy("species", "sample_1", "sample_2").agg(F.sum(F.when((F.col("maf_1") < rare) & (F.col("maf_2") > common), 1).otherwise(0)).alias("n_new"), F.count(F.lit(1)).alias("n_sites"))
+    maf = expr.folded(F.col("f"))
+    rows = with_freq(counts).filter(F.col("depth") > 0)
+    measures = {"n": F.lit(1), "rare": (maf < rare).cast("int"), "common": (maf > common).cast("int")}
+    got = pair_sums(rows, measures, {"n_sites": [(1.0, "n", "n")], "n_new": [(1.0, "rare", "common")]}, "n_sites", ordered=True)
+    return got.select("species", "sample_1", "sample_2", counted("n_new"), counted("n_sites"))
 
 
 def mean_pair_value(pairs: DataFrame, clades: DataFrame, value: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lociweave.functions import expr
-from lociweave.operators.diversity import site_pairs
+from lociweave.operators.blocks import counted, opposed_pairs, pair_sums
 
 GENE = ("species", "gene_id")
 
@@ -35,10 +35,10 @@ def gain_loss(copies: DataFrame, absent: float = 0.05, low: float = 0.6, high: f
     """Gains, losses and opportunities of each pair; a normal gene lies strictly between ``low`` and ``high``."""
     state = F.when(F.col("copynum") <= absent, F.lit(0)).when((F.col("copynum") > low) & (F.col("copynum") < high), F.lit(1))
     rows = copies.withColumn("state", state).filter("state is not null")
-    pairs = site_pairs(rows, ("state",), GENE)
-    one = lambda c: F.sum(F.when(c, 1).otherwise(0))
-    a, b = F.col("state_1"), F.col("state_2")
-    return pairs.groupBy("species", "sample_1", "sample_2").agg(one(a < b).alias("gains"), one(a > b).alias("losses"), F.count(F.lit(1)).alias("opportunities"))
+    has, lacks = F.col("state"), 1 - F.col("state")
+    sums = {"opportunities": [(1.0, "n", "n")], "gains": [(1.0, "lacks", "has")], "losses": [(1.0, "has", "lacks")]}
+    got = pair_sums(rows, {"n": F.lit(1), "has": has, "lacks": lacks}, sums, "opportunities", site=GENE)
+    return got.select("species", "sample_1", "sample_2", counted("gains"), counted("losses"), counted("opportunities"))
 
 
 def core(copies: DataFrame, least: float = 0.3, share: float = 0.9, marker_least: float | None = None) -> DataFrame:
@@ -69,8 +69,8 @@ def with_external(own: DataFrame, external: DataFrame) -> DataFrame:
 def changed_genes(copies: DataFrame, absent: float = 0.05, low: float = 0.6, high: float = 1.2) -> DataFrame:
     """Genes that appear or vanish between two samples."""
     state = F.when(F.col("copynum") <= absent, F.lit(0)).when((F.col("copynum") > low) & (F.col("copynum") < high), F.lit(1))
-    pairs = site_pairs(copies.withColumn("state", state).filter("state is not null"), ("state", "copynum"), GENE)
-    return pairs.filter("state_1 <> state_2").select(*GENE, "sample_1", "sample_2", F.when(F.col("state_1") == 0, "gain").otherwise("loss").alias("kind"))
+    pairs = opposed_pairs(copies.withColumn("state", state).filter("state is not null"), F.col("state") == 1, ("state",), GENE)
+    return pairs.select(*GENE, "sample_1", "sample_2", F.when(F.col("state_1") == 0, "gain").otherwise("loss").alias("kind"))
 
 
 def merged_nearby(changes: DataFrame, most: int = 5) -> DataFrame:

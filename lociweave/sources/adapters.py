@@ -30,6 +30,19 @@ def site_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def site_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``site_counts`` with a row for every sample at every site, of depth 0 where nothing was read, as a wide matrix has it."""
+    counts = site_counts(spark, sf_dir)
+    every = F.array_sort(F.collect_set("sample"))
+    names = counts.agg(every.alias("_all"))
+    held = counts.groupBy("species", "contig", "pos").agg(F.map_from_entries(F.collect_list(F.struct("sample", F.struct("depth", "alt")))).alias("_m"))
+    # one row of sample names beside each site
+    grid = held.join(F.broadcast(names), F.lit(True)).select("species", "contig", "pos", "_m", F.explode("_all").alias("sample"))
+    own = F.try_element_at("_m", F.col("sample"))
+    zero = F.lit(0).cast("bigint")
+    return grid.select("species", "contig", "pos", "sample", F.coalesce(own["depth"], zero).alias("depth"), F.coalesce(own["alt"], zero).alias("alt"))
+
+
 def site_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(contig, pos, gene_id, variant_type)"""
     p = _read(spark, sf_dir, "part")
@@ -108,6 +121,10 @@ a_site_counts AS (
          CONCAT('S', LPAD(CAST(l_orderkey % 12 AS VARCHAR), 2, '0')) AS sample, CAST(SUM(l_quantity) AS BIGINT) AS depth,
          CAST(SUM(CASE WHEN l_returnflag = 'R' THEN l_quantity ELSE 0 END) AS BIGINT) AS alt
   FROM lineitem GROUP BY 1, 2, 3, 4),
+a_site_grid AS (
+  SELECT s.species, s.contig, s.pos, n.sample, COALESCE(c.depth, 0) AS depth, COALESCE(c.alt, 0) AS alt
+  FROM (SELECT DISTINCT species, contig, pos FROM a_site_counts) s CROSS JOIN (SELECT DISTINCT sample FROM a_site_counts) n
+  LEFT JOIN a_site_counts c ON c.species = s.species AND c.contig = s.contig AND c.pos = s.pos AND c.sample = n.sample),
 a_site_info AS (
   SELECT CONCAT('contig', CAST(p_partkey % 3 AS VARCHAR)) AS contig, p_partkey AS pos,
          CONCAT('1.1.peg.', CAST(CAST(FLOOR(CAST(p_partkey AS DOUBLE) / 20) AS BIGINT) AS VARCHAR)) AS gene_id, CONCAT(CAST(1 + p_size % 4 AS VARCHAR), 'D') AS variant_type
