@@ -383,18 +383,12 @@ def sequential_anova(y: np.ndarray, factors: list[np.ndarray]) -> list[tuple[int
     return [(k, s, f, f_tail(f, k, df) if f == f else float("nan")) for k, s, f in out] + [(df, before, float("nan"), float("nan"))]
 
 
-def bootstrap_mean(x: np.ndarray, seed: int, draws: int = 1000, size: int = 100) -> tuple[float, float]:
+def bootstrap_mean(x: np.ndarray, seed: int | list[int], draws: int = 1000, size: int = 100) -> tuple[float, float]:
     """2.5 and 97.5 percentiles of means of ``size`` draws with replacement."""
     rng = np.random.default_rng(seed)
     return tuple(np.percentile(rng.choice(x, (draws, size)).mean(1), [2.5, 97.5]).tolist())
 
 
-def bootstrap_ratio(num: np.ndarray, den: np.ndarray, seed: int, draws: int = 1000) -> tuple[float, float]:
-    rng = np.random.default_rng(seed)
-    at = rng.integers(0, len(num), (draws, len(num)))
-    return tuple(np.percentile(num[at].sum(1) / np.maximum(den[at].sum(1), 1e-300), [2.5, 97.5]).tolist())
-
-
 def permutation_pvalue(values: np.ndarray, labels: np.ndarray, seed: int, draws: int = 999) -> float:
     """(k + 1) / (n + 1) for the difference of two groups' means."""
     rng, on = np.random.default_rng(seed), labels == labels.max()

@@ -36,10 +36,11 @@ def control_genes(genes: DataFrame, draws: int = 10, apart: int = 5, seed: int =
 
     ``genes`` has the distinct gene numbers; the list is numbered once, so a draw is a lookup and not a pair of all genes.
     """
-    n = genes.count()
+    every = genes.agg(F.count(F.lit(1)).alias("_all"))
     # a rank over the genes of a species, some thousands
     place = genes.select(F.col("gene_number").alias("control"), (F.row_number().over(Window.orderBy("gene_number")) - 1).alias("_at"))
-    asked = genes.select("gene_number", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw")).withColumn("_at", hash_number("gene_number", "draw", seed=seed) % max(n, 1))
+    # one row beside each gene
+    asked = genes.join(F.broadcast(every), F.lit(True)).select("gene_number", "_all", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw")).withColumn("_at", hash_number("gene_number", "draw", seed=seed) % F.col("_all"))
     return asked.join(place, "_at").filter(F.abs(F.col("gene_number") - F.col("control")) > apart).select("gene_number", "draw", "control")
 
 
@@ -72,19 +73,6 @@ def halves(rates: DataFrame, n: str, seed: int = 0) -> DataFrame:
     return got.withColumn("half_2", F.col(n) - F.col("half_1"))
 
 
-def poisson_intervals(rows: DataFrame, by: str, num: str, den: str, draws: int = 500) -> DataFrame:
-    """(by, ratio, lower, upper): ratio of sums with its interval when every count is drawn anew from a Poisson law."""
-
-    def boot(t: pd.DataFrame) -> pd.DataFrame:
-        t = t.sort_values([num, den])
-        rng = np.random.default_rng(17)
-        a, b = t[num].to_numpy(float), t[den].to_numpy(float)
-        got = (rng.poisson(a, (draws, len(a))).sum(1) + 1) / (rng.poisson(b, (draws, len(b))).sum(1) + 1)
-        return pd.DataFrame([[t[by].iloc[0], (a.sum() + 1) / (b.sum() + 1), *np.percentile(got, [2.5, 97.5])]], columns=[by, "ratio", "lower", "upper"])
-
-    return rows.select(by, num, den).groupBy(by).applyInPandas(boot, f"{by} string, ratio double, lower double, upper double")
-
-
 def window_intervals(bins: DataFrame, low: int, high: int, draws: int = 500) -> DataFrame:
     """(species, ratio, lower, upper): pooled ratio of the bins in a window of distance, its interval by drawing bins by their counts."""
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lociweave.operators import analyses as N
 from lociweave.operators import axes, bootstrap, changes, diversity, errors, genepairs, haplowindows, linkage, pairs, snps
 from lociweave.plans.analysis_queries import _PAIR, _SUBS, _rates
-from lociweave.plans.queries import _COPY, _G, _LD, _copies, _query, rounded
+from lociweave.plans.queries import _COPY, _FLIPS, _G, _LD, _copies, _query, rounded
 from lociweave.plans.resampling_queries import _H32
 from lociweave.sources import adapters as A
 
@@ -205,3 +205,28 @@ def window_homozygosity(spark, d):
 @_query()
 def clumped_window_homozygosity(spark, d):
     return rounded(haplowindows.window_homozygosity(haplowindows.clumped_windows(_windows(spark, d), 2)))
+
+
+@_query(
+    f"""WITH {_FLIPS}, ch AS (SELECT {_PAIR}, COUNT(*) AS n FROM fl GROUP BY ALL), op AS (SELECT species, a.sample AS sample_1, b.sample AS sample_2, COUNT(*) AS n_sites FROM a_site_counts a JOIN a_site_counts b USING (species, contig, pos) WHERE a.sample < b.sample AND a.depth > 0 AND b.depth >= 20 GROUP BY 1, 2, 3),
+    r AS (SELECT op.{_PAIR.replace(", ", ", op.")}, CASE WHEN x.subject_id = y.subject_id THEN 'Within host' ELSE 'Between hosts' END AS host, COALESCE(n, 0)::DOUBLE AS num, n_sites::DOUBLE AS den FROM op LEFT JOIN ch ON ch.species = op.species AND ch.sample_1 = op.sample_1 AND ch.sample_2 = op.sample_2 JOIN a_samples x ON op.sample_1 = x.sample JOIN a_samples y ON op.sample_2 = y.sample),
+    {_reps(_KEY, 7, 1000)}, rp AS (SELECT host, rep, SUM(w * num) / NULLIF(SUM(w * den), 0) AS r FROM ws WHERE w > 0 GROUP BY 1, 2)
+    SELECT host, ROUND(MAX(s.r), 6) AS rate, ROUND(QUANTILE_CONT(rp.r, 0.025), 6) AS lower_ci, ROUND(QUANTILE_CONT(rp.r, 0.975), 6) AS upper_ci FROM rp JOIN (SELECT host, SUM(num) / SUM(den) AS r FROM r GROUP BY 1) s USING (host) GROUP BY 1"""
+)
+def rate_intervals(spark, d):
+    c, s = A.site_counts(spark, d), A.samples(spark, d)
+    n = changes.flips(c).groupBy(*N.PAIR).agg(F.count(F.lit(1)).alias("n"))
+    both = changes.opportunities(c).filter("sample_1 < sample_2").join(n, list(N.PAIR), "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    got = bootstrap.bootstrap_ratios(both.join(pairs.oriented(pairs.unordered(s), s), ["sample_1", "sample_2"]), ["host"], list(N.PAIR), "n", "n_sites", draws=1000, seed=7)
+    return rounded(got.select("host", F.col("ratio").alias("rate"), F.col("lower").alias("lower_ci"), F.col("upper").alias("upper_ci")))
+
+
+@_query(
+    f"""WITH {_SUBS}, r AS (SELECT {_PAIR}, type, CASE WHEN type = '1D' THEN muts + revs ELSE 0 END::DOUBLE AS num, CASE WHEN type = '4D' THEN muts + revs ELSE 0 END::DOUBLE AS den FROM su), {_reps(_KEY + " || '|' || type", 17, 500)},
+    rp AS (SELECT species, rep, (SUM(w * num) + 1) / (SUM(w * den) + 1) AS r FROM ws WHERE w > 0 GROUP BY 1, 2)
+    SELECT species, ROUND(MAX(s.r), 6) AS ratio, ROUND(QUANTILE_CONT(rp.r, 0.025), 6) AS lower, ROUND(QUANTILE_CONT(rp.r, 0.975), 6) AS upper FROM rp JOIN (SELECT species, (SUM(num) + 1) / (SUM(den) + 1) AS r FROM r GROUP BY 1) s USING (species) GROUP BY 1"""
+)
+def selection_intervals(spark, d):
+    n = F.col("muts") + F.col("revs")
+    rows = _rates(spark, d).select(*N.PAIR, "type", F.when(F.col("type") == "1D", n).otherwise(0).alias("a"), F.when(F.col("type") == "4D", n).otherwise(0).alias("b"))
+    return rounded(bootstrap.bootstrap_ratios(rows, ["species"], [*N.PAIR, "type"], "a", "b", seed=17, pseudo=1.0))

@@ -708,24 +708,11 @@ def community_ordination(spark, d):
     return rounded(inference.ordination(ecology.bray_curtis(A.species_profile(spark, d)), "bray_curtis"))
 
 
-@_query()
-def strain_inference(spark, d):
-    return rounded(inference.strains(A.site_counts(spark, d)))
-
-
 @_query()
 def variance_explained(spark, d):
     return rounded(inference.variance_explained(A.strain_frequency(spark, d), "freq", ["subject_id", "region"]))
 
 
-@_query()
-def rate_intervals(spark, d):
-    c, s = A.site_counts(spark, d), A.samples(spark, d)
-    n = changes.flips(c).groupBy("species", "sample_1", "sample_2").agg(F.count(F.lit(1)).alias("n"))
-    both = changes.opportunities(c).filter("sample_1 < sample_2").join(n, ["species", "sample_1", "sample_2"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    return rounded(inference.rate_intervals(both.join(pairs.oriented(pairs.unordered(s), s), ["sample_1", "sample_2"]), "n", "n_sites", ["host"]))
-
-
 @_query()
 def region_rank_tests(spark, d):
     return rounded(inference.rank_tests(A.strain_frequency(spark, d), "region", "freq", ["species"]))

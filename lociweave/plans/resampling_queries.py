@@ -60,12 +60,6 @@ def split_half_counts(spark, d):
     return R.halves(rows, "n", seed=2)
 
 
-@_query()
-def selection_intervals(spark, d):
-    rows = _rates(spark, d).select("species", F.when(F.col("type") == "1D", F.col("muts") + F.col("revs")).otherwise(0).alias("a"), F.when(F.col("type") == "4D", F.col("muts") + F.col("revs")).otherwise(0).alias("b"))
-    return rounded(R.poisson_intervals(rows, "species", "a", "b"))
-
-
 @_query()
 def linkage_window_intervals(spark, d):
     return rounded(R.window_intervals(linkage.binned(linkage.sigma_squared(linkage.site_pair_counts(A.annotated(spark, d)))), 0, 4))
@@ -110,12 +104,6 @@ def balanced_centroids(spark, d):
     return rounded(R.balanced_centroids(rows.groupBy("species", (F.col("pos") % 3).cast("bigint").alias("cluster"), "sample").agg(F.avg("f").alias("f"))))
 
 
-@_query()
-def strains_by_subject(spark, d):
-    rows = A.site_counts(spark, d).join(A.samples(spark, d).select("sample", "subject_id"), "sample")
-    return rounded(inference.strains(rows.withColumn("species", F.concat_ws("/", "species", "subject_id")).drop("subject_id")))
-
-
 @_query("SELECT species, sample, ROUND(CASE WHEN sample = 'N1' THEN coverage / SUM(CASE WHEN sample = 'N1' THEN coverage END) OVER () ELSE coverage END, 6) AS coverage FROM a_species_profile")
 def normalised_inoculum(spark, d):
     return rounded(ecology.normalised_sample(A.species_profile(spark, d), "N1", "coverage").select("species", "sample", "coverage"))

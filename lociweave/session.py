@@ -1,10 +1,11 @@
-"""A Spark session with the settings the operators expect."""
+"""A Spark session with the settings the operators expect, and cuts of long lineages."""
 
 from __future__ import annotations
 
 import os
+import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | None = None, partitions: int = 8) -> SparkSession:
@@ -21,3 +22,14 @@ def local_session(cpus: int | None = None, partitions: int = 8) -> SparkSession:
     }.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` computed once into the folder that ``spark.checkpoint.dir`` names, with its lineage cut; only a local master gets a folder of its own."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+    return df.checkpoint(eager=True)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lociweave.functions import expr
 from lociweave.functions import kernels as K
-from lociweave.operators import inference, labels, linkage
+from lociweave.operators import labels, linkage, strains
 from lociweave.operators import resampling as R
 
 MICE = {"1": ("Control diet", "Cage 1"), "2": ("Control diet", "Cage 1"), "3": ("Control diet", "Cage 1"), "4": ("Guar gum diet", "Cage 2"), "5": ("Guar gum diet", "Cage 2"), "6": ("Guar gum diet", "Cage 3"), "7": ("Guar gum diet", "Cage 3"), "8": ("Guar gum diet", "Cage 3")}
@@ -73,7 +73,7 @@ def test_scaling_finds_a_plane(spark):
 def test_a_species_without_clusters_is_one_strain(spark):
     rng = np.random.default_rng(6)
     rows = [("sp", "c", p, f"s{k}", 200, int(rng.integers(0, 201))) for p in range(8) for k in range(4)]
-    got = inference.strains(spark.createDataFrame(rows, "species string, contig string, pos long, sample string, depth long, alt long")).collect()
+    got = strains.strains(spark.createDataFrame(rows, "species string, contig string, pos long, sample string, depth long, alt long")).collect()
     assert {(r["sample"], r["freq"]) for r in got} == {(f"s{k}", 1.0) for k in range(4)}
 
 
