@@ -229,13 +229,13 @@ def snv_distances(counts: DataFrame, distances: DataFrame, value: str) -> DataFr
     return got.filter("between is not null and within_max is not null")
 
 
-def inconsistency_curve(snvs: DataFrame, steps: int = 50, low: float = 1e-3, high: float = 1.0) -> DataFrame:
-    """Share of each species' SNVs with ``between`` at most d and ``within_max`` at least 2d, on ``steps`` values of d of equal ratio."""
+def inconsistency_curve(snvs: DataFrame, steps: int = 50, low: float = 1e-3, high: float = 1.0, apart: float = 2.0) -> DataFrame:
+    """Share of each species' SNVs with ``between`` at most d and ``within_max`` at least ``apart`` times d, on ``steps`` values of d of equal ratio."""
     ratio = math.log(high / low) / (steps - 1)
     d = lambda k: low * F.exp(F.lit(ratio) * k)
-    # an SNV counts from the first d above "between" to the last below half of "within_max"
+    # an SNV counts from the first d above "between" to the last at which "within_max" is far enough
     first = F.greatest(F.ceil(F.log(F.col("between") / low) / ratio - 1e-9), F.lit(0)).cast("int")
-    last = F.least(F.floor(F.log(F.col("within_max") / 2 / low) / ratio + 1e-9), F.lit(steps - 1)).cast("int")
+    last = F.least(F.floor(F.log(F.col("within_max") / apart / low) / ratio + 1e-9), F.lit(steps - 1)).cast("int")
     hits = snvs.filter("within_max > 0").withColumn("_a", F.when(F.col("between") <= low, 0).otherwise(first)).withColumn("_b", last).filter("_a <= _b")
     n = snvs.groupBy("species").agg(F.count(F.lit(1)).alias("n"))
     counted = hits.select("species", F.explode(F.sequence("_a", "_b")).alias("step")).groupBy("species", "step").agg(F.count(F.lit(1)).alias("hits"))

@@ -20,15 +20,15 @@ def opportunities(counts: DataFrame, least_depth: int = 20) -> DataFrame:
     return got.select("species", "sample_1", "sample_2", counted("n_sites"))
 
 
-def flips(counts: DataFrame, least_depth: int = 20, lower: float = expr.LOWER, upper: float = expr.UPPER) -> DataFrame:
-    """Sites that go from low to high or from high to low, both well covered, at like relative depths."""
+def flips(counts: DataFrame, least_depth: int = 20, lower: float = expr.LOWER, upper: float = expr.UPPER, with_freqs: bool = False) -> DataFrame:
+    """Sites that go from low to high or from high to low, both well covered, at like relative depths; on demand with both frequencies, f1 and f2."""
     mean = counts.filter("depth > 0").groupBy("species", "sample").agg(F.avg("depth").alias("_mean"))
     rows = with_freq(counts).join(mean, ["species", "sample"]).filter(F.col("depth") >= least_depth)
     rows = rows.filter((F.col("f") <= lower) | (F.col("f") >= upper))
     pairs = opposed_pairs(rows.withColumnRenamed("_mean", "m"), F.col("f") >= upper, ("f", "depth", "m"), SITE)
     close = expr.depth_ratio_close(F.col("depth_1"), F.col("m_1"), F.col("depth_2"), F.col("m_2"))
     kind = F.when(F.col("f_1") < F.col("f_2"), "mutation").otherwise("reversion")
-    return pairs.filter(close).select(*SITE, "sample_1", "sample_2", kind.alias("kind"))
+    return pairs.filter(close).select(*SITE, "sample_1", "sample_2", kind.alias("kind"), *([F.col(f"f_{k}").alias(f"f{k}") for k in (1, 2)] if with_freqs else []))
 
 
 def change_counts(flipped: DataFrame) -> DataFrame:
@@ -98,6 +98,13 @@ def tracked_private(counts: DataFrame, private: DataFrame, least_depth: int = 5)
     return got.select("species", "sample_1", "sample_2", counted("opportunities"), counted("reversions"))
 
 
+def private_changes(grid: DataFrame, private: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(site, pair, f1, f2, depth_1, depth_2) of private SNVs in each asked pair of samples; ``grid`` has a row for uncovered samples too, whose frequency is null."""
+    rows = with_freq(grid).join(private.select(*SITE), list(SITE), "left_semi").select(*SITE, "sample", "f", "depth")
+    one, two = (rows.select(*SITE, F.col("sample").alias(f"sample_{k}"), F.col("f").alias(f"f{k}"), F.col("depth").alias(f"depth_{k}")) for k in (1, 2))
+    return pairs.select("sample_1", "sample_2").distinct().join(one, "sample_1").join(two, [*SITE, "sample_2"]).select(*SITE, "sample_1", "sample_2", "f1", "f2", "depth_1", "depth_2")
+
+
 def triplet_sweeps(counts: DataFrame, triplets: DataFrame) -> DataFrame:
     """Sites low in the first sample of a triplet and high in a later one."""
     rows = with_freq(counts).filter("depth > 0").select(*SITE, "sample", "f")

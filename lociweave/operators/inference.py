@@ -96,6 +96,16 @@ def rank_tests(rows: DataFrame, group: str, value: str, by: list[str]) -> DataFr
     return rows.select(*by, group, value).groupBy(*by).applyInPandas(test, ", ".join(f"{b} string" for b in by) + ", group_1 string, group_2 string, pvalue double")
 
 
+def signed_rank_tests(pairs: DataFrame, by: list[str], first: str, second: str) -> DataFrame:
+    """(by, n, pvalue, estimate, lower, upper): paired signed-rank test of each group's differences, with the interval of their centre; a group is a cohort's pairs."""
+
+    def test(t: pd.DataFrame) -> pd.DataFrame:
+        x = np.sort((t[first] - t[second]).to_numpy(float))
+        return pd.DataFrame([[*(t[b].iloc[0] for b in by), len(x), K.signed_rank(x), *K.signed_rank_interval(x)]], columns=[*by, "n", "pvalue", "estimate", "lower", "upper"])
+
+    return pairs.select(*by, first, second).dropna().groupBy(*by).applyInPandas(test, ", ".join(f"{b} string" for b in by) + ", n bigint, pvalue double, estimate double, lower double, upper double")
+
+
 def fixation_errors(sfs: DataFrame, pairs: DataFrame) -> DataFrame:
     """Expected false flips of each pair of samples, from their spectra: each sample's chances once, then a sum over bins."""
 

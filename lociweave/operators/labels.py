@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import chain
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lociweave.functions import expr
@@ -18,10 +18,6 @@ DEVICES = {"Capsule 1": "Proximal", "Capsule 2": "Jejunum", "Capsule 3": "Ileum"
 SET_HOURS = {"1": 0, "2": 6, "3": 24, "4": 30}
 
 
-def _literal(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    return spark.createDataFrame(rows, schema)
-
-
 def ordered(values: tuple, column: Column) -> Column:
     """The place of a value in an explicit order; others come last."""
     return F.coalesce(expr.lookup({v: k for k, v in enumerate(values)}, column), F.lit(len(values)))
@@ -90,32 +86,46 @@ def unordered_pairs(pairs: DataFrame) -> DataFrame:
 # tables of comparisons --------------------------------------------------------
 
 
-def diet_codes(spark: SparkSession) -> DataFrame:
-    return _literal(spark, list(DIET_CODES.items()), "mouse int, diet string")
+def _mice(samples: DataFrame) -> DataFrame:
+    """(site, mouse, sample) of the samples of mice; the inoculum and other names are left out."""
+    at = F.regexp_extract("sample", r"^M(\d)(Co|Ce|I|J|D)$", 1)
+    code = F.regexp_extract("sample", r"^M(\d)(Co|Ce|I|J|D)$", 2)
+    rows = samples.select("sample").distinct().withColumn("mouse", F.try_to_number(F.nullif(at, F.lit("")), F.lit("9")).cast("int")).filter("mouse is not null")
+    return rows.select(expr.lookup(expr.SITES, code).alias("site"), "mouse", "sample")
+
 
+def diet_codes(samples: DataFrame) -> DataFrame:
+    """(mouse, diet) of the mice in a table of samples that had one of the two treatments."""
+    diet = expr.lookup(DIET_CODES, F.col("mouse"))
+    return _mice(samples).select("mouse").distinct().withColumn("diet", diet).filter("diet is not null")
 
-def site_samples(spark: SparkSession) -> DataFrame:
-    """(site, mouse, sample): the samples that the six mice of the two treatments can have."""
-    return _literal(spark, [(s, m, f"M{m}{CODES[s]}") for s in SITES for m in CONTROL + TREATED], "site string, mouse int, sample string")
 
+def site_samples(samples: DataFrame) -> DataFrame:
+    """(site, mouse, sample) of the six mice of the two treatments."""
+    return _mice(samples).filter(F.col("mouse").isin(*CONTROL, *TREATED))
 
-def same_site_pairs(spark: SparkSession) -> DataFrame:
+
+def same_site_pairs(samples: DataFrame) -> DataFrame:
     """(site, sample_1, sample_2) of every two mice."""
-    a, b = (site_samples(spark).select("site", F.col("mouse").alias(f"mouse_{k}"), F.col("sample").alias(f"sample_{k}")) for k in (1, 2))
+    a, b = (site_samples(samples).select("site", F.col("mouse").alias(f"mouse_{k}"), F.col("sample").alias(f"sample_{k}")) for k in (1, 2))
     return a.join(b, "site").filter("mouse_1 < mouse_2").select("site", "sample_1", "sample_2")
 
 
-def site_pairs(spark: SparkSession, sites: tuple = SITES) -> DataFrame:
-    """(short, label): every two sites in their order along the gut, as codes and in full."""
-    rows = [(f"{CODES.get(a, a)}-{CODES.get(b, b)}", f"{a} v. {b}") for k, a in enumerate(sites) for b in sites[k + 1 :]]
-    return _literal(spark, rows, "short string, label string")
+def site_pairs(sites: DataFrame, place: Column) -> DataFrame:
+    """(short, label): every two of the table's sites in the order of their place, as codes where there are any and in full; some dozen sites."""
+    code = F.coalesce(expr.lookup(CODES, F.col("site")), F.col("site"))
+    s = sites.select("site", code.alias("code"), place.alias("place")).distinct()
+    a, b = (s.select(*[F.col(c).alias(f"{c}_{k}") for c in s.columns]) for k in (1, 2))
+    return a.join(b, F.col("place_1") < F.col("place_2")).select(F.concat_ws("-", "code_1", "code_2").alias("short"), F.concat_ws(" v. ", "site_1", "site_2").alias("label"))
 
 
-def comparisons(spark: SparkSession) -> DataFrame:
-    """(first, second): a site across the treatments, and site pairs within one."""
-    rows = [(f"{s} control", f"{s} treated") for s in SITES]
-    rows += [(f"{a} {t}", f"{b} {t}") for t in ("control", "treated") for k, a in enumerate(SITES) for b in SITES[k + 1 :]]
-    return _literal(spark, rows, "first string, second string")
+def comparisons(samples: DataFrame) -> DataFrame:
+    """(first, second): a site across the treatments, and two sites within one, of those that the samples come from."""
+    s = site_samples(samples).select("site", F.when(F.col("mouse").isin(*CONTROL), "control").otherwise("treated").alias("t"), ordered(SITES, F.col("site")).alias("place")).distinct()
+    a, b = (s.select(*[F.col(c).alias(f"{c}_{k}") for c in s.columns]) for k in (1, 2))
+    across = (F.col("site_1") == F.col("site_2")) & (F.col("t_1") == "control") & (F.col("t_2") == "treated")
+    within = (F.col("t_1") == F.col("t_2")) & (F.col("place_1") < F.col("place_2"))
+    return a.join(b, across | within).select(F.concat_ws(" ", "site_1", "t_1").alias("first"), F.concat_ws(" ", "site_2", "t_2").alias("second"))
 
 
 def other_host_other_site(samples: DataFrame) -> DataFrame:
@@ -125,9 +135,9 @@ def other_host_other_site(samples: DataFrame) -> DataFrame:
     return a.join(b, (F.col("mouse_1") != F.col("mouse_2")) & (F.col("site_1") != F.col("site_2"))).select("sample_1", "sample_2", "site_1", "site_2")
 
 
-def control_against_treated(spark: SparkSession, once: bool = False) -> DataFrame:
+def control_against_treated(samples: DataFrame, once: bool = False) -> DataFrame:
     """(site, region, sample_1, sample_2): control and treated mice at one site; with ``once`` a mouse is in one pair of a site."""
-    s = site_samples(spark)
+    s = site_samples(samples)
     rank = F.row_number().over(Window.partitionBy("site").orderBy("mouse"))
     side = lambda mice, k: s.filter(F.col("mouse").isin(*mice)).withColumn("_r", rank).select("site", F.col("sample").alias(f"sample_{k}"), F.col("_r").alias(f"_r{k}"))
     both = side(CONTROL, 1).join(side(TREATED, 2), "site")

@@ -108,8 +108,9 @@ def mentioning(rows: DataFrame, column: str, text: str) -> DataFrame:
 
 
 def filled_prevalence(genes: DataFrame, prevalence: DataFrame) -> DataFrame:
-    """Every gene of the pangenome with its prevalence, 0 for genes that no sample has."""
-    return genes.select("gene_id").distinct().join(prevalence, "gene_id", "left").withColumn("prevalence", F.coalesce("prevalence", F.lit(0.0)))
+    """Every gene of the pangenome with its prevalence in each species, 0 for genes that no sample has."""
+    every = genes.select("gene_id").distinct().join(F.broadcast(prevalence.agg(F.collect_set("species").alias("_s"))), F.lit(True)).select("gene_id", F.explode("_s").alias("species"))
+    return every.join(prevalence, ["species", "gene_id"], "left").select("species", "gene_id", F.coalesce("prevalence", F.lit(0.0)).alias("prevalence"))
 
 
 def population_freqs(prevalence: DataFrame, by_consensus: bool = False) -> DataFrame:
@@ -140,3 +141,8 @@ def genome_coordinates(sites: DataFrame) -> DataFrame:
 
 def with_external_union(own: DataFrame, external: DataFrame) -> DataFrame:
     return own.union(external).distinct()
+
+
+def panel_genomes(genomes: DataFrame, annotation: str, text: str) -> DataFrame:
+    """Genomes whose annotation names a reference panel, each once; rows without an annotation are left out."""
+    return genomes.filter(F.col(annotation).contains(text)).drop(annotation).distinct()

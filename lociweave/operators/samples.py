@@ -192,3 +192,27 @@ def disjoint_pairs(candidates: DataFrame, by: str) -> DataFrame:
 def mapping_rates(runs: DataFrame) -> DataFrame:
     """(sample, pairs mapped, species, rate): mapped reads count twice."""
     return runs.groupBy("sample").agg((F.sum("mapped_reads") / 2).alias("mapped_pairs"), F.countDistinct("species").alias("n_species"), F.try_divide(F.sum("mapped_reads") / 2, F.max("total_pairs")).alias("rate"))
+
+
+def of_mice(samples: DataFrame, mice: list[int]) -> DataFrame:
+    """Samples whose names have one of the mice; a number stands whole, so mouse 1 is not mouse 10."""
+    return samples.filter(F.col("sample").rlike("M(" + "|".join(map(str, mice)) + r")(?!\d)"))
+
+
+def species_above(profile: DataFrame, least: float = 3.0) -> DataFrame:
+    """(sample, species) with a coverage of ``least`` or more."""
+    return profile.filter(F.col("coverage") >= least).select("sample", "species")
+
+
+def ploidy_counts(calls: DataFrame, least: int = 2) -> DataFrame:
+    """(species, ploidy, n): samples with one dominant lineage (QP) and others, of species with ``least`` samples or more."""
+    kind = F.when(F.col("haploid"), "QP").otherwise("Not QP")
+    got = calls.groupBy(F.regexp_replace("species", "_", " ").alias("species"), kind.alias("ploidy")).agg(F.count(F.lit(1)).alias("n"))
+    return got.withColumn("_all", F.sum("n").over(Window.partitionBy("species"))).filter(F.col("_all") >= least).drop("_all")
+
+
+def clade_members(samples: DataFrame, sets: DataFrame) -> DataFrame:
+    """(clade, sample, inside) of every sample for each clade of ``sets`` (clade, sample); a cohort by its clades."""
+    clades = sets.select("clade").distinct()
+    marked = sets.select("clade", "sample").distinct().withColumn("inside", F.lit(True))
+    return samples.select("sample").distinct().join(clades, F.lit(True)).join(marked, ["clade", "sample"], "left").select("clade", "sample", F.coalesce("inside", F.lit(False)).alias("inside"))

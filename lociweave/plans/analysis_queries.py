@@ -20,13 +20,12 @@ def samples_with_enough_loci(spark, d):
 
 @_query(
     """WITH m AS (SELECT s.*, 'H' || CAST(CAST(SUBSTR(sample, 2) AS INTEGER) % 4 AS VARCHAR) AS subject_id FROM a_species_profile s), w AS (SELECT species FROM m GROUP BY 1 HAVING COUNT(DISTINCT sample) >= 3 AND COUNT(DISTINCT subject_id) >= 2)
-       SELECT species, sample, ROUND(coverage, 6) AS coverage FROM a_species_profile WHERE species IN (SELECT species FROM w) AND species IN (SELECT species FROM a_species_profile WHERE sample IN ('N3', 'N4') AND species < 'H')"""
+       SELECT species, sample, ROUND(coverage, 6) AS coverage FROM a_species_profile WHERE species IN (SELECT species FROM w) AND species IN (SELECT species FROM a_species_profile WHERE sample IN ('N3', 'N4'))"""
 )
 def prevalent_species(spark, d):
     p = A.species_profile(spark, d)
     s = p.select("sample", F.concat(F.lit("H"), (F.substring("sample", 2, 9).cast("int") % 4).cast("string")).alias("subject_id")).distinct()
-    kept = N.prevalent_species(p, s, s.filter(F.col("sample").isin("N3", "N4")).select("sample"))
-    return rounded(kept.filter("species < 'H'"))
+    return rounded(N.prevalent_species(p, s, s.filter(F.col("sample").isin("N3", "N4")).select("sample")))
 
 
 @_query("WITH r AS (SELECT species, sample, CASE WHEN species = 'BUILDING' THEN 0 ELSE coverage END AS coverage FROM a_species_profile) SELECT species, sample, ROUND(coverage, 6) AS coverage FROM r WHERE species IN (SELECT species FROM r GROUP BY 1 HAVING SUM(coverage) <> 0)")
@@ -242,17 +241,15 @@ def snv_distances(spark, d):
     return rounded(_snv_distances(spark, d))
 
 
-@_query(f"WITH {_DIST}, n AS (SELECT species, COUNT(*) AS n FROM sd GROUP BY 1), k AS (SELECT CAST(k AS INTEGER) AS step, 0.001::DOUBLE * EXP(LN(1000.0::DOUBLE) / 49 * k) AS d FROM (SELECT UNNEST(range(0, 50)) AS k)) SELECT species, step, ROUND(d, 6) AS d, ROUND(COUNT(*)::DOUBLE / MAX(n), 6) AS share FROM sd JOIN n USING (species) JOIN k ON between <= d AND 4 * within_max >= 2 * d GROUP BY 1, 2, 3")
+@_query(f"WITH {_DIST}, n AS (SELECT species, COUNT(*) AS n FROM sd GROUP BY 1), k AS (SELECT CAST(k AS INTEGER) AS step, 0.2::DOUBLE * EXP(LN(3.0::DOUBLE) / 49 * k) AS d FROM (SELECT UNNEST(range(0, 50)) AS k)) SELECT species, step, ROUND(d, 6) AS d, ROUND(COUNT(*)::DOUBLE / MAX(n), 6) AS share FROM sd JOIN n USING (species) JOIN k ON between <= d AND within_max >= 1.02::DOUBLE * d GROUP BY 1, 2, 3")
 def inconsistency_curve(spark, d):
-    # the table's distances lie close together: the larger ones are stretched, so that SNVs on both sides of the curve are there
-    return rounded(N.inconsistency_curve(_snv_distances(spark, d).withColumn("within_max", 4 * F.col("within_max"))))
+    # the table's distances lie close together
+    return rounded(N.inconsistency_curve(_snv_distances(spark, d), low=0.2, high=0.6, apart=1.02))
 
 
 @_query(f"WITH {_FLIPS} SELECT {_PAIR}, SUM(CASE WHEN kind = 'mutation' THEN 1 ELSE 0 END) AS mutations, SUM(CASE WHEN kind = 'reversion' THEN 1 ELSE 0 END) AS reversions FROM fl GROUP BY ALL")
 def split_changes(spark, d):
-    f = changes.flips(A.site_counts(spark, d))
-    up = F.col("kind") == "mutation"
-    return N.split_changes(f.withColumn("f1", F.when(up, 0.1).otherwise(0.9)).withColumn("f2", F.when(up, 0.9).otherwise(0.1)))
+    return N.split_changes(changes.flips(A.site_counts(spark, d), with_freqs=True))
 
 
 _SUBS = f"""{_COPY}, co AS (SELECT DISTINCT gene_id FROM (SELECT species, gene_id FROM k GROUP BY 1, 2 HAVING AVG(CASE WHEN cn >= 0.3::DOUBLE THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) >= 0.9::DOUBLE)),
@@ -316,19 +313,20 @@ def accumulated_changes(spark, d):
     return N.accumulated(_counts(spark, d).select("species", F.col("n").alias("at"), F.col("n").alias("changes")), "species", "at", "changes")
 
 
-@_query(f"WITH {_TCOPY}, ch AS (SELECT DISTINCT species, gene_id FROM kc WHERE c < 0.05::DOUBLE AND sample = 'S01') SELECT ch.species, ch.gene_id, COALESCE(description, '') AS description FROM ch LEFT JOIN (SELECT '1.1.peg.' || CAST(line AS VARCHAR) AS gene_id, description FROM a_pangenome WHERE line % 2 = 0) USING (gene_id)")
+@_query(f"WITH {_TCOPY}, ch AS (SELECT DISTINCT species, sample, gene_id FROM kc WHERE c < 0.05::DOUBLE) SELECT ch.species, ch.sample, ch.gene_id, COALESCE(description, '') AS description FROM ch LEFT JOIN (SELECT '1.1.peg.' || CAST(line AS VARCHAR) AS gene_id, description FROM a_pangenome WHERE line % 2 = 0) USING (gene_id)")
 def annotated_gene_changes(spark, d):
-    ch = _absences(spark, d).filter("copynum < 0.05 and sample = 'S01'").select("species", "gene_id").distinct()
+    ch = _absences(spark, d).filter("copynum < 0.05").select("species", "sample", "gene_id").distinct()
     return N.annotated_changes(ch, A.pangenome(spark, d).filter("line % 2 = 0").select(F.concat(F.lit("1.1.peg."), F.col("line").cast("string")).alias("gene_id"), "description"))
 
 
 @_query(
-    f"""WITH {_TCOPY}, ch AS (SELECT DISTINCT species, gene_id FROM kc WHERE c < 0.05::DOUBLE AND sample = 'S01'), z AS (SELECT species, COUNT(*) AS size FROM ch GROUP BY 1), po AS (SELECT DISTINCT species, gene_id FROM kc),
-        q AS (SELECT po.species, trial, gene_id, size, ROW_NUMBER() OVER (PARTITION BY po.species, trial ORDER BY md5('9|' || po.species || '|' || gene_id || '|' || CAST(trial AS VARCHAR)), gene_id) AS r FROM po JOIN z USING (species), (SELECT CAST(UNNEST(range(1, 6)) AS INTEGER) AS trial)) SELECT species, trial, gene_id FROM q WHERE r <= size"""
+    f"""WITH {_TCOPY}, ch AS (SELECT DISTINCT species || '/' || sample AS key, gene_id FROM kc WHERE c < 0.05::DOUBLE), z AS (SELECT key, COUNT(*) AS size FROM ch GROUP BY 1), po AS (SELECT DISTINCT species || '/' || sample AS key, gene_id FROM kc),
+        q AS (SELECT po.key, trial, gene_id, size, ROW_NUMBER() OVER (PARTITION BY po.key, trial ORDER BY md5('9|' || po.key || '|' || gene_id || '|' || CAST(trial AS VARCHAR)), gene_id) AS r FROM po JOIN z USING (key), (SELECT CAST(UNNEST(range(1, 6)) AS INTEGER) AS trial)) SELECT key, trial, gene_id FROM q WHERE r <= size"""
 )
 def gene_change_null(spark, d):
-    k = _absences(spark, d)
-    return N.control_draws(k.filter("copynum < 0.05 and sample = 'S01'").select("species", "gene_id").distinct(), k.select("species", "gene_id").distinct(), "species", 5, seed=9)
+    # a sample's changed genes against as many of all its genes
+    k = _absences(spark, d).withColumn("key", F.concat_ws("/", "species", "sample"))
+    return N.control_draws(k.filter("copynum < 0.05").select("key", "gene_id").distinct(), k.select("key", "gene_id").distinct(), "key", 5, seed=9)
 
 
 @_query("WITH h AS (SELECT l_partkey % 50 AS gene_id, l_suppkey % 9 AS genome, l_suppkey % 9 = l_partkey % 9 AS own, l_quantity AS score FROM lineitem), o AS (SELECT gene_id, MAX(score) AS s FROM h WHERE own GROUP BY 1), b AS (SELECT gene_id, genome, MAX(score) AS s FROM h WHERE NOT own GROUP BY 1, 2) SELECT gene_id, COUNT(*) AS genomes, SUM(CASE WHEN b.s >= o.s THEN 1 ELSE 0 END) AS strong FROM b JOIN o USING (gene_id) GROUP BY 1")
@@ -362,10 +360,10 @@ def symmetrised_ks(spark, d):
     return rounded(N.symmetrised_ks(h, ["species", "sample"], "x", "n"))
 
 
-@_query("SELECT k, ROUND((10 + 2.0::DOUBLE * k) / (22 + 26.0::DOUBLE * k + 4.0::DOUBLE * k * k) * 2.2::DOUBLE, 6) AS normalised, k::DOUBLE AS effective FROM (SELECT UNNEST(range(0, 50)) AS k)")
+@_query(f"WITH {_LD}, q AS (SELECT species, p2 - p1 AS dist, (n11 / n - (n11 + n10) / n * (n11 + n01) / n) ** 2 AS num, (n11 + n10) / n * (1 - (n11 + n10) / n) * (n11 + n01) / n * (1 - (n11 + n01) / n) AS den FROM n WHERE n >= 4), b AS (SELECT species, CAST(FLOOR(dist / 3.0::DOUBLE) AS BIGINT) AS bin, SUM(num) / SUM(den) AS ratio FROM q WHERE den > 1e-9::DOUBLE GROUP BY 1, 2) SELECT species, bin, ROUND(ratio, 6) AS ratio, ROUND(CASE WHEN ratio >= 1 THEN 0 ELSE (44 - 260 * ratio + SQRT((260 * ratio - 44) ** 2 - 160 * ratio * (220 * ratio - 220))) / (80 * ratio) END, 5) AS effective FROM b")
 def effective_recombination(spark, d):
-    n = N.normalised_neutral_ld(F.col("id").cast("double"))
-    return rounded(spark.range(50).select(F.col("id").alias("k"), n.alias("normalised"), N.effective_recombination(n).alias("effective")), 6)
+    bins = linkage.binned(linkage.sigma_squared(linkage.site_pair_counts(A.annotated(spark, d))))
+    return bins.select("species", "bin", F.round("ratio", 6).alias("ratio"), (F.round(N.effective_recombination(F.col("ratio")), 5) + F.lit(0.0)).alias("effective"))
 
 
 @_query(f"WITH {_LD}, q AS (SELECT *, (n11 + n10) / n AS p, (n11 + n01) / n AS q, n11 / n AS pq FROM n WHERE n >= 4), m AS (SELECT * FROM q WHERE LEAST(p, 1 - p) >= 0.2::DOUBLE AND LEAST(q, 1 - q) >= 0.2::DOUBLE) SELECT species, COUNT(*) AS n, ROUND(SUM((pq - p * q) ** 2), 6) AS num, ROUND(SUM(p * (1 - p) * q * (1 - q)), 6) AS den FROM m GROUP BY 1")
@@ -412,9 +410,9 @@ def repolarised_snvs(spark, d):
     return rounded(N.repolarised(s, "S00"))
 
 
-@_query("WITH s AS (SELECT species, contig, pos, sample, f FROM a_sites WHERE variant_type = '2D'), l AS (SELECT DISTINCT species, contig, pos FROM s) SELECT l.*, n.sample, ROUND(f, 6) AS f FROM l CROSS JOIN (SELECT sample FROM a_samples) n LEFT JOIN s USING (species, contig, pos, sample)")
+@_query("WITH s AS (SELECT species, contig, pos, sample, f FROM a_sites), l AS (SELECT DISTINCT species, contig, pos FROM s) SELECT l.*, n.sample, ROUND(f, 6) AS f FROM l CROSS JOIN (SELECT sample FROM a_samples) n LEFT JOIN s USING (species, contig, pos, sample)")
 def snvs_with_missing_samples(spark, d):
-    s = diversity.with_freq(A.annotated(spark, d).filter("variant_type = '2D'")).select("species", "contig", "pos", "sample", "f")
+    s = diversity.with_freq(A.annotated(spark, d)).select("species", "contig", "pos", "sample", "f")
     return rounded(N.with_missing_samples(s, A.samples(spark, d)))
 
 

@@ -81,38 +81,41 @@ def unordered_changed_pairs(spark, d):
     return labels.unordered_pairs(f.unionByName(f.select("species", F.col("sample_2").alias("sample_1"), F.col("sample_1").alias("sample_2"))))
 
 
-@_query("SELECT * FROM (VALUES (1, 'CD'), (2, 'CD'), (3, 'CD'), (4, 'GG'), (5, 'GG'), (6, 'GG')) t(mouse, diet)")
-def diet_codes(spark, d):
-    return labels.diet_codes(spark)
+_SITES = """st AS (SELECT * FROM (VALUES (0, 'Duodenum', 'D'), (1, 'Jejunum', 'J'), (2, 'Ileum', 'I'), (3, 'Cecum', 'Ce'), (4, 'Colon', 'Co')) t(k, site, code)),
+sm AS (SELECT st.k, st.site, CAST(SUBSTR(sample, 2, 1) AS INTEGER) AS mouse, sample FROM a_mouse_samples JOIN st ON code = SUBSTR(sample, 3) WHERE SUBSTR(sample, 2, 1) BETWEEN '1' AND '6')"""
 
 
-_SITES = "st AS (SELECT * FROM (VALUES (0, 'Duodenum', 'D'), (1, 'Jejunum', 'J'), (2, 'Ileum', 'I'), (3, 'Cecum', 'Ce'), (4, 'Colon', 'Co')) t(k, site, code)), sm AS (SELECT site, CAST(m AS INTEGER) AS mouse, 'M' || CAST(m AS VARCHAR) || code AS sample FROM st, (SELECT UNNEST(range(1, 7)) AS m))"
+@_query(f"WITH {_SITES} SELECT DISTINCT mouse, CASE WHEN mouse <= 3 THEN 'CD' ELSE 'GG' END AS diet FROM sm")
+def diet_codes(spark, d):
+    return labels.diet_codes(A.mouse_samples(spark, d))
 
 
-@_query(f"WITH {_SITES} SELECT * FROM sm")
+@_query(f"WITH {_SITES} SELECT site, mouse, sample FROM sm")
 def site_samples(spark, d):
-    return labels.site_samples(spark)
+    return labels.site_samples(A.mouse_samples(spark, d))
 
 
 @_query(f"WITH {_SITES} SELECT a.site, a.sample AS sample_1, b.sample AS sample_2 FROM sm a JOIN sm b ON a.site = b.site AND a.mouse < b.mouse")
 def same_site_pairs(spark, d):
-    return labels.same_site_pairs(spark)
+    return labels.same_site_pairs(A.mouse_samples(spark, d))
 
 
-@_query(f"WITH {_SITES} SELECT a.code || '-' || b.code AS short, a.site || ' v. ' || b.site AS label FROM st a JOIN st b ON a.k < b.k")
+@_query(f"WITH {_SITES}, u AS (SELECT DISTINCT st.* FROM st JOIN sm ON sm.site = st.site) SELECT a.code || '-' || b.code AS short, a.site || ' v. ' || b.site AS label FROM u a JOIN u b ON a.k < b.k")
 def site_pair_labels(spark, d):
-    return labels.site_pairs(spark)
+    return labels.site_pairs(labels.site_samples(A.mouse_samples(spark, d)), labels.ordered(labels.SITES, F.col("site")))
 
 
 @_query("WITH r AS (SELECT r_regionkey AS k, r_name AS n FROM region) SELECT a.n || '-' || b.n AS short, a.n || ' v. ' || b.n AS label FROM r a JOIN r b ON a.k < b.k")
 def given_site_pairs(spark, d):
-    names = [r[0] for r in spark.read.parquet(f"{d}/region.parquet").orderBy("r_regionkey").select("r_name").collect()]
-    return labels.site_pairs(spark, tuple(names))
+    return labels.site_pairs(spark.read.parquet(f"{d}/region.parquet").select(F.col("r_name").alias("site"), "r_regionkey"), F.col("r_regionkey"))
 
 
-@_query(f"WITH {_SITES} SELECT site || ' control' AS first, site || ' treated' AS second FROM st UNION ALL SELECT a.site || ' ' || t, b.site || ' ' || t FROM st a JOIN st b ON a.k < b.k, (SELECT UNNEST(['control', 'treated']) AS t)")
+@_query(
+    f"""WITH {_SITES}, u AS (SELECT DISTINCT k, site, CASE WHEN mouse <= 3 THEN 'control' ELSE 'treated' END AS t FROM sm)
+        SELECT a.site || ' ' || a.t AS first, b.site || ' ' || b.t AS second FROM u a JOIN u b ON (a.k = b.k AND a.t = 'control' AND b.t = 'treated') OR (a.k < b.k AND a.t = b.t)"""
+)
 def site_treatment_comparisons(spark, d):
-    return labels.comparisons(spark)
+    return labels.comparisons(A.mouse_samples(spark, d))
 
 
 @_query(f"WITH {_MICE} SELECT a.sample AS sample_1, b.sample AS sample_2, a.site AS site_1, b.site AS site_2 FROM ms a JOIN ms b ON a.mouse <> b.mouse AND a.site <> b.site")
@@ -120,17 +123,17 @@ def other_host_other_site(spark, d):
     return labels.other_host_other_site(A.mouse_samples(spark, d))
 
 
-_TREATED = f"{_SITES}, rk AS (SELECT *, (mouse - 1) % 3 AS r, mouse > 3 AS treated FROM sm), ct AS (SELECT a.site, CASE WHEN a.site IN ('Duodenum', 'Jejunum', 'Ileum') THEN 'Upper gut' ELSE 'Lower gut' END AS region, a.sample AS sample_1, b.sample AS sample_2, a.r AS r1, b.r AS r2 FROM rk a JOIN rk b ON a.site = b.site AND NOT a.treated AND b.treated)"
+_TREATED = f"{_SITES}, rk AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY site, mouse > 3 ORDER BY mouse) AS r, mouse > 3 AS treated FROM sm), ct AS (SELECT a.site, CASE WHEN a.site IN ('Duodenum', 'Jejunum', 'Ileum') THEN 'Upper gut' ELSE 'Lower gut' END AS region, a.sample AS sample_1, b.sample AS sample_2, a.r AS r1, b.r AS r2 FROM rk a JOIN rk b ON a.site = b.site AND NOT a.treated AND b.treated)"
 
 
 @_query(f"WITH {_TREATED} SELECT site, region, sample_1, sample_2 FROM ct")
 def control_against_treated(spark, d):
-    return labels.control_against_treated(spark)
+    return labels.control_against_treated(A.mouse_samples(spark, d))
 
 
 @_query(f"WITH {_TREATED} SELECT site, region, sample_1, sample_2 FROM ct WHERE r1 = r2")
 def control_against_treated_once(spark, d):
-    return labels.control_against_treated(spark, once=True)
+    return labels.control_against_treated(A.mouse_samples(spark, d), once=True)
 
 
 @_query("SELECT sample, CAST(COALESCE(LIST_POSITION(['Duodenum', 'Jejunum', 'Ileum', 'Cecum', 'Colon'], c_name) - 1, 5) AS INTEGER) AS place FROM (SELECT c_custkey AS sample, CASE c_custkey % 4 WHEN 0 THEN 'Colon' WHEN 1 THEN 'Ileum' WHEN 2 THEN 'Duodenum' ELSE 'Stool' END AS c_name FROM customer)")

@@ -616,7 +616,7 @@ def abundant_species(spark, d):
 )
 def region_log_fold(spark, d):
     s = A.strain_frequency(spark, d)
-    low, high = s.agg(F.min("region"), F.max("region")).first()
+    low, high = "click", "view"
     return rounded(ecology.log_fold(s, "region", low, high, ["species"], "freq"))
 
 
@@ -626,7 +626,7 @@ def region_log_fold(spark, d):
 )
 def region_ks(spark, d):
     s = A.strain_frequency(spark, d)
-    low, high = s.agg(F.min("region"), F.max("region")).first()
+    low, high = "click", "view"
     return rounded(ecology.ks_distance(s, "region", low, high, "n", ["species"]))
 
 
@@ -672,9 +672,10 @@ def genes_near(spark, d):
     return near.filter(expr.near(F.col("gene_1"), F.col("gene_2"))).withColumn("spacing", spacing).filter("spacing > 0")
 
 
-@_query("SELECT k AS nr, ROUND((10 + 2.0::DOUBLE * k) / (22 + 26.0::DOUBLE * k + 4.0::DOUBLE * k * k), 6) AS expected FROM (SELECT UNNEST(range(0, 100)) AS k)")
+@_query(f"WITH {_LD}, b AS (SELECT DISTINCT species, p2 - p1 AS distance FROM n) SELECT species, distance, ROUND((10 + 2.0::DOUBLE * (0.1::DOUBLE * distance)) / (22 + 26.0::DOUBLE * (0.1::DOUBLE * distance) + 4.0::DOUBLE * (0.1::DOUBLE * distance) * (0.1::DOUBLE * distance)), 6) AS expected FROM b")
 def neutral_ld_curve(spark, d):
-    return rounded(spark.range(100).select(F.col("id").alias("nr"), expr.neutral_ld(F.col("id").cast("double")).alias("expected")))
+    at = linkage.site_pair_counts(A.annotated(spark, d)).select("species", (F.col("pos_2") - F.col("pos_1")).alias("distance")).distinct()
+    return rounded(at.select("species", "distance", expr.neutral_ld(0.1 * F.col("distance")).alias("expected")))
 
 
 # Grouped inference: iterative or random, so without SQL; unit tests hold the kernels.

@@ -125,11 +125,12 @@ def genes_by_annotation(spark, d):
     return references.mentioning(A.pangenome(spark, d).select("gene_id", "description"), "description", "ring")
 
 
-@_query(f"WITH {_COPY}, p AS (SELECT gene_id, AVG(CASE WHEN cn >= 0.3::DOUBLE THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS prevalence FROM k WHERE species = 'sp1' GROUP BY 1), g AS (SELECT DISTINCT gene_id FROM a_site_info UNION SELECT DISTINCT 'x' || gene_id FROM a_site_info) SELECT gene_id, ROUND(COALESCE(prevalence, 0), 6) AS prevalence FROM g LEFT JOIN p USING (gene_id)")
+@_query(f"WITH {_COPY}, p AS (SELECT species, gene_id, AVG(CASE WHEN cn >= 0.3::DOUBLE THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS prevalence FROM k GROUP BY 1, 2), g AS (SELECT DISTINCT gene_id FROM a_site_info UNION SELECT DISTINCT 'x' || gene_id FROM a_site_info) SELECT s.species, g.gene_id, ROUND(COALESCE(prevalence, 0), 6) AS prevalence FROM g CROSS JOIN (SELECT DISTINCT species FROM p) s LEFT JOIN p ON p.species = s.species AND p.gene_id = g.gene_id")
 def pangenome_prevalence(spark, d):
     own = A.site_info(spark, d).select("gene_id").distinct()
     every = own.union(own.select(F.concat(F.lit("x"), "gene_id")))
-    return rounded(references.filled_prevalence(every, genes.prevalence(_copies(spark, d)).filter("species = 'sp1'").select("gene_id", "prevalence")))
+    known = genes.prevalence(_copies(spark, d)).select("species", "gene_id", "prevalence")
+    return rounded(references.filled_prevalence(every, known))
 
 
 _POP = "pp AS (SELECT species, contig, pos, AVG(CASE WHEN 2 * alt >= depth THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS p FROM a_site_counts WHERE depth > 0 GROUP BY 1, 2, 3)"
@@ -220,10 +221,10 @@ def species_list_lines(spark, d):
     return packed.names(s.union(spark.createDataFrame([("",), ("   ",)], "value string")))
 
 
-@_query(f"WITH {_COPY} SELECT gene_id, ROUND(AVG(CASE WHEN cn >= 0.3::DOUBLE THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS prevalence FROM k WHERE species = 'sp1' GROUP BY 1")
+@_query(f"WITH {_COPY} SELECT species, gene_id, ROUND(AVG(CASE WHEN cn >= 0.3::DOUBLE THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS prevalence FROM k GROUP BY 1, 2")
 def gene_frequency_lines(spark, d):
-    rows = genes.prevalence(_copies(spark, d)).filter("species = 'sp1'").select("gene_id", "prevalence")
-    return rounded(packed.from_csv(packed.csv_lines(rows).union(spark.createDataFrame([("gene_id,prevalence",)], "value string")), "gene_id string, prevalence double"))
+    rows = genes.prevalence(_copies(spark, d)).select("species", "gene_id", "prevalence")
+    return rounded(packed.from_csv(packed.csv_lines(rows).union(spark.createDataFrame([("species,gene_id,prevalence",)], "value string")), "species string, gene_id string, prevalence double"))
 
 
 @_query("WITH q AS (SELECT *, AVG(CASE WHEN 2 * alt >= depth THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) OVER (PARTITION BY species, contig, pos) AS p FROM a_site_counts WHERE depth > 0) SELECT species, contig, pos, ROUND(MIN(p), 6) AS alt_freq, ROUND(AVG(CASE WHEN (CASE WHEN p > 0.5 THEN depth - alt ELSE alt END) >= CEIL(depth * 0.1::DOUBLE) + 0.5::DOUBLE THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS snp_freq FROM q GROUP BY 1, 2, 3")
@@ -262,7 +263,8 @@ def annotated_snp_lines(spark, d):
 @_query("SELECT species, sample, ROUND(coverage, 6) AS coverage FROM a_species_profile")
 def wide_matrix(spark, d):
     rows = A.species_profile(spark, d)
-    names = sorted(r[0] for r in rows.select("sample").distinct().collect())
+    # the table's samples are the nations' numbers: the header of a matrix is named, not looked up
+    names = sorted(f"N{k}" for k in range(25))
     return rounded(midas.long(packed.wide(rows, "species", "sample", "coverage", names), "species", "coverage").select("species", "sample", "coverage"))
 
 
@@ -296,11 +298,11 @@ def unmerged_names(spark, d):
     return A.metadata(spark, d).select(expr.unmerged(F.concat(F.lit(" "), "sample", F.lit("c "))).alias("sample")).distinct()
 
 
-@_query("SELECT species, contig, pos, sample, CAST(ROUND_EVEN(rf * depth, 0) AS BIGINT) AS rounded, CAST(FLOOR(rf * depth) AS BIGINT) AS truncated FROM a_sites WHERE pos % 4 = 0")
+@_query("SELECT species, contig, pos, sample, CAST(ROUND_EVEN(rf * depth, 0) AS BIGINT) AS rounded, CAST(FLOOR(rf * depth) AS BIGINT) AS truncated FROM a_sites")
 def reference_reads(spark, d):
     from lociweave.functions import expr
 
-    s = diversity.with_freq(A.annotated(spark, d).filter("pos % 4 = 0"))
+    s = diversity.with_freq(A.annotated(spark, d))
     return s.select("species", "contig", "pos", "sample", expr.ref_count_rounded(F.col("rf"), F.col("depth")).cast("bigint").alias("rounded"), expr.ref_count(F.col("rf"), F.col("depth")).cast("bigint").alias("truncated"))
 
 

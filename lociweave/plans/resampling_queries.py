@@ -43,9 +43,8 @@ def clade_enrichment(spark, d):
 )
 def sweep_prevalences(spark, d):
     c = A.site_counts(spark, d)
-    f = changes.flips(c)
-    up = F.col("kind") == "mutation"
-    rows = f.select("species", "contig", "pos", "sample_1", "sample_2", F.when(up, 0.1).otherwise(0.9).alias("f1"), F.when(up, 0.9).otherwise(0.1).alias("f2"))
+    f = changes.flips(c, with_freqs=True)
+    rows = f.drop("kind")
     private = f.filter("pos % 5 = 0").select("species", "contig", "pos")
     return rounded(R.sweep_prevalence(rows, references.population_freqs(snps.prevalence(c)), private).drop("f1", "f2"))
 
@@ -141,8 +140,8 @@ def capped_depths(spark, d):
     return got.groupBy("species", "sample").agg(F.sum("depth").alias("depth"))
 
 
-@_query(f"WITH {_HAP}, m AS (SELECT species, gene_id, sample FROM hp) SELECT a.species, a.gene_id, a.sample AS sample_1, b.sample AS sample_2 FROM m a JOIN m b USING (species, gene_id) WHERE a.sample < b.sample AND a.species = 'sp1'")
+@_query(f"WITH {_HAP}, m AS (SELECT species, gene_id, sample FROM hp) SELECT a.species, a.gene_id, a.sample AS sample_1, b.sample AS sample_2 FROM m a JOIN m b USING (species, gene_id) WHERE a.sample < b.sample")
 def haplotype_sample_pairs(spark, d):
-    h = linkage.haplotypes(A.annotated(spark, d)).filter("species = 'sp1'").select("species", "gene_id", "sample")
+    h = linkage.haplotypes(A.annotated(spark, d)).select("species", "gene_id", "sample")
     a, b = (h.withColumnRenamed("sample", f"sample_{k}") for k in (1, 2))
     return a.join(b, ["species", "gene_id"]).filter("sample_1 < sample_2")

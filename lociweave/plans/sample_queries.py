@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lociweave.operators import coverage, samples, snps
 from lociweave.operators import pairs as P
-from lociweave.plans.queries import _CDF, _query, rounded
+from lociweave.plans.queries import _CDF, _RATES, _query, rounded
 from lociweave.sources import adapters as A
 
 
@@ -224,3 +224,56 @@ def cage_pairs(spark, d):
 def mapping_rates(spark, d):
     rows = spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_suppkey").cast("string").alias("sample"), F.col("l_quantity").alias("mapped_reads"), F.col("l_returnflag").alias("species"), F.col("l_extendedprice").alias("total_pairs"))
     return rounded(samples.mapping_rates(rows))
+
+
+@_query("SELECT sample FROM a_mouse_samples WHERE SUBSTR(sample, 1, 2) IN ('M1', 'M4', 'M7')")
+def samples_of_mice(spark, d):
+    return samples.of_mice(A.mouse_samples(spark, d).select("sample"), [1, 4, 7])
+
+
+@_query("SELECT sample, species FROM a_species_profile WHERE coverage >= 3")
+def species_above_coverage(spark, d):
+    return samples.species_above(A.species_profile(spark, d), 3.0)
+
+
+@_query(f"WITH {_RATES} WHERE variant_type = '4D' GROUP BY 1, 2), h AS (SELECT species, within <= 0.1::DOUBLE * between AS haploid FROM q), c AS (SELECT species, CASE WHEN haploid THEN 'QP' ELSE 'Not QP' END AS ploidy, COUNT(*) AS n FROM h GROUP BY 1, 2) SELECT * FROM c WHERE species IN (SELECT species FROM c GROUP BY 1 HAVING SUM(n) >= 2)")
+def ploidy_counts(spark, d):
+    return samples.ploidy_counts(snps.ploidy(snps.spectrum(A.annotated(spark, d))))
+
+
+@_query("WITH c AS (SELECT DISTINCT subject_id AS clade, sample FROM a_samples), n AS (SELECT DISTINCT sample FROM a_samples) SELECT k.clade, n.sample, c.sample IS NOT NULL AS inside FROM (SELECT DISTINCT clade FROM c) k CROSS JOIN n LEFT JOIN c ON c.clade = k.clade AND c.sample = n.sample")
+def clade_members(spark, d):
+    s = A.samples(spark, d)
+    return samples.clade_members(s, s.select(F.col("subject_id").alias("clade"), "sample"))
+
+
+@_query("SELECT DISTINCT genome, species FROM a_pangenome WHERE CONTAINS(description, 'an')")
+def panel_genomes(spark, d):
+    from lociweave.operators import references
+
+    return references.panel_genomes(A.pangenome(spark, d).select("genome", "species", "description"), "description", "an")
+
+
+@_query(
+    """WITH pc AS (SELECT a.sample AS sample_1, b.sample AS sample_2 FROM a_samples a JOIN a_samples b ON a.subject_id = b.subject_id AND b.ord = a.ord + 1),
+    g AS (SELECT *, alt::DOUBLE / NULLIF(depth, 0) AS f FROM a_site_grid), ho AS (SELECT species, contig, pos, subject_id, MAX(CASE WHEN f <= 0.2::DOUBLE THEN 0 WHEN f >= 0.8::DOUBLE THEN 1 END) AS g FROM g JOIN a_samples s ON s.sample = g.sample WHERE depth > 0 AND (f <= 0.2::DOUBLE OR f >= 0.8::DOUBLE) GROUP BY 1, 2, 3, 4),
+    pv AS (SELECT species, contig, pos FROM ho GROUP BY 1, 2, 3 HAVING COUNT(*) >= 4 AND SUM(g) = 1), e AS (SELECT g.* FROM g JOIN pv ON pv.species = g.species AND pv.contig = g.contig AND pv.pos = g.pos),
+    c AS (SELECT a.species, sample_1, sample_2, a.f AS f1, b.f AS f2, b.depth AS d2 FROM pc JOIN e a ON a.sample = sample_1 JOIN e b ON b.sample = sample_2 AND b.species = a.species AND b.contig = a.contig AND b.pos = a.pos WHERE a.f >= 0.8::DOUBLE)
+    SELECT species, sample_1, sample_2, CAST(SUM(CASE WHEN d2 > 0 AND f2 <= 0.2::DOUBLE THEN 1 ELSE 0 END) AS BIGINT) AS reversions, CAST(COUNT(*) - SUM(CASE WHEN d2 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS opportunities FROM c GROUP BY 1, 2, 3"""
+)
+def private_reversions(spark, d):
+    from lociweave.operators import analyses, changes
+
+    grid, s = A.site_grid(spark, d), A.samples(spark, d)
+    found = changes.private_changes(grid, snps.private_snvs(grid, s), P.consecutive(s)).filter("f1 >= 0.8")
+    totals = found.groupBy(*analyses.PAIR).agg(F.count(F.lit(1)).alias("opportunities"))
+    return analyses.private_reversions(found, totals)
+
+
+@_query()
+def region_signed_rank(spark, d):
+    from lociweave.operators import inference
+
+    s = A.strain_frequency(spark, d).groupBy("species", "date", "region").agg(F.avg("freq").alias("freq"))
+    a, b = (s.filter(F.col("region") == r).select("species", "date", F.col("freq").alias(f"f{k}")) for k, r in ((1, "click"), (2, "view")))
+    return rounded(inference.signed_rank_tests(a.join(b, ["species", "date"]), ["species"], "f1", "f2"))

@@ -175,3 +175,21 @@ def newick_leaves(text: str) -> list[str]:
     import re
 
     return [m[1] for m in re.finditer(r"(?<=[(,])\s*([^(),:;]+)", text)]
+
+
+def private_snvs(spark: SparkSession, path: str) -> DataFrame:
+    """(contig, pos, gene_id, variant_type, host) of a table of private SNVs with a header; fields may stand between blanks."""
+    rows = spark.read.csv(path, header=True, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
+    kinds = ("string", "bigint", "string", "string", "string")
+    return rows.select(*[F.col(f"`{c}`").cast(t).alias(n) for c, n, t in zip(rows.columns, ("contig", "pos", "gene_id", "variant_type", "host"), kinds, strict=False)])
+
+
+def haplotypes(spark: SparkSession, path: str, samples: list[str] | None = None) -> DataFrame:
+    """(contig, gene_id, pos, variant_type, sample, allele) of wide haplotype tables, of which ``path`` may name many by a pattern.
+
+    All tables must have one header, else reading fails; ``samples`` takes these columns alone, and an empty cell is no row.
+    """
+    rows = spark.read.csv(path, header=True, enforceSchema=False)
+    site, own = rows.columns[:4], [c for c in rows.columns[4:] if samples is None or c in samples]
+    out = rows.unpivot([F.col(f"`{c}`").alias(n) for c, n in zip(site, ("contig", "gene_id", "pos", "variant_type"), strict=True)], [f"`{c}`" for c in own], "sample", "allele")
+    return out.select("contig", "gene_id", F.col("pos").cast("bigint").alias("pos"), "variant_type", "sample", F.col("allele").cast("int").alias("allele")).filter("allele is not null")

@@ -45,3 +45,13 @@ def phylip(pairs: DataFrame, value: str) -> str:
     names = sorted({r[0] for r in rows} | {r[1] for r in rows})
     d = {(r[0], r[1]): r[2] for r in rows} | {(r[1], r[0]): r[2] for r in rows}
     return "\n".join([str(len(names)), *[" ".join([a, *[f"{d.get((a, b), 0.0):g}" for b in names]]) for a in names]])
+
+
+def site_matrices(counts: DataFrame, names: list[str], folder: str, compression: str = "bzip2", mode: str = "error") -> None:
+    """The wide depth and reference-frequency matrices of one species' counts, a folder of lines each, as the readers take them; ``names`` are the samples."""
+    site = F.concat_ws("|", "contig", F.col("pos").cast("string")).alias("site_id")
+    ref = F.coalesce(F.try_divide((F.col("depth") - F.col("alt")).cast("double"), F.nullif(F.col("depth").cast("double"), F.lit(0.0))), F.lit(0.0))
+    for file, value in (("snps_depth", F.col("depth")), ("snps_ref_freq", ref)):
+        rows = counts.select(site, "sample", value.alias("v"))
+        wide = rows.groupBy("site_id").pivot("sample", names).agg(F.first("v"))
+        csv(wide.select("site_id", *[F.coalesce(F.col(f"`{n}`"), F.lit(0)).alias(n) for n in names]), f"{folder}/{file}.txt", "\t", compression, mode)

@@ -87,3 +87,22 @@ def test_mds_keeps_distances():
     d = np.linalg.norm(x[:, None] - x, axis=2)
     y, share = K.classical_mds(d)
     assert np.allclose(np.linalg.norm(y[:, None] - y, axis=2), d) and share.sum() == pytest.approx(1)
+
+
+@pytest.mark.parametrize("n", [1, 2, 6, 12, 40])
+def test_signed_rank_interval_is_what_the_test_does_not_reject(n):
+    rng = np.random.default_rng(n)
+    x = rng.normal(0.4, 1, n)
+    estimate, low, high = K.signed_rank_interval(x)
+    assert low <= estimate <= high
+    if n >= 6:
+        wide = K.signed_rank(x - (low - 0.05)) , K.signed_rank(x - (high + 0.05))
+        assert max(wide) < 0.06 and K.signed_rank(x - (low + high) / 2) > 0.05
+    else:
+        i, j = np.triu_indices(n)
+        assert (low, high) == (x.min(), x.max())
+
+
+def test_inverse_erfc():
+    for y in (1.0, 0.5, 0.05, 1e-6):
+        assert math.erfc(K.inverse_erfc(y)) == pytest.approx(y, rel=1e-9)

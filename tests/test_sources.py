@@ -92,3 +92,48 @@ def test_windowed_frequency_of_a_stream(spark, tmp_path):
     query.awaitTermination(60)
     got = {(str(r["start"])[:10], r["freq"], r["n"]) for r in spark.table("windowed").collect()}
     assert got == {("2024-01-01", 0.5, 2), ("2024-01-02", 1.0, 1)}
+
+
+def test_matrices_round_trip(spark, tmp_path):
+    rows = [("s", "c", 7, "A", 10, 5), ("s", "c", 7, "B", 0, 0), ("s", "accn|x", 8, "A", 3, 1), ("s", "accn|x", 8, "B", 20, 20)]
+    counts = spark.createDataFrame(rows, "species string, contig string, pos long, sample string, depth long, alt long")
+    sinks.site_matrices(counts, ["A", "B"], str(tmp_path))
+    assert any(f.name.endswith(".bz2") for f in (tmp_path / "snps_depth.txt").iterdir())
+    assert sorted(map(tuple, midas.site_counts(spark, str(tmp_path), "s", ".txt").collect())) == sorted(rows)
+
+
+@pytest.mark.parametrize("sep,compression,end", [("\t", "bzip2", ".bz2"), (",", "bzip2", ".bz2"), (",", "gzip", ".gz")])
+def test_tables_round_trip(spark, tmp_path, sep, compression, end):
+    rows = [("sp 1", "S1", 0.1234567890123, 5, None), ("sp,2", "S\t2", -1.0, 0, 'a "quoted" name')]
+    df = spark.createDataFrame(rows, "species string, sample string, freq double, n long, note string")
+    sinks.csv(df, str(tmp_path / "out"), sep, compression)
+    assert any(f.name.endswith(end) for f in (tmp_path / "out").iterdir())
+    got = spark.read.csv(str(tmp_path / "out"), sep=sep, header=True, schema=df.schema, escape="\\")
+    assert sorted(map(tuple, got.collect())) == sorted(rows)
+
+
+def test_private_snvs_and_haplotypes(spark, tmp_path):
+    import gzip
+
+    with gzip.open(tmp_path / "sp.txt.gz", "wt") as f:
+        f.write("contig, location, gene, type, host\nc, 7, g1, 4D, H1\nd, 8, g2, 1D, H2\n")
+    assert sorted(map(tuple, midas.private_snvs(spark, str(tmp_path / "sp.txt.gz")).collect())) == [("c", 7, "g1", "4D", "H1"), ("d", 8, "g2", "1D", "H2")]
+    folder = tmp_path / "haplotypes"
+    folder.mkdir()
+    head = "contig,gene_id,site_pos,site_type,A,B\n"
+    (folder / "c_haplotypes.csv").write_text(head + "c,g1,7,4D,0,1\nc,g1,9,1D,,1\n")
+    (folder / "d_haplotypes.csv").write_text(head + "d,g2,3,4D,1,0\n")
+    got = sorted(map(tuple, midas.haplotypes(spark, f"{folder}/*_haplotypes.csv").collect()))
+    assert got == [("c", "g1", 7, "4D", "A", 0), ("c", "g1", 7, "4D", "B", 1), ("c", "g1", 9, "1D", "B", 1), ("d", "g2", 3, "4D", "A", 1), ("d", "g2", 3, "4D", "B", 0)]
+    assert midas.haplotypes(spark, f"{folder}/*_haplotypes.csv", ["B"]).select("sample").distinct().collect()[0][0] == "B"
+
+
+def test_lines_as_the_format_lays_them_out(spark):
+    from lociweave.sources import packed
+
+    # a line of each format, as its description gives it
+    lines = lambda *x: spark.createDataFrame([(v,) for v in x], "value string")
+    assert sorted(map(tuple, packed.from_cells(lines("S1\t3,7\t10,1"), ["sample"], {"depth": "bigint", "n": "bigint"}).collect())) == [("S1", 3, 7), ("S1", 10, 1)]
+    totals, changes = packed.from_ragged(lines("sp,A,B,100,0.5,g1;7;0.1;0.9,g2;8;0.9;0", "sp,A,C,50,0.25"), ["species", "sample_1", "sample_2"], {"gene_id": "string", "pos": "bigint", "f1": "double", "f2": "double"})
+    assert sorted(map(tuple, totals.collect())) == [("sp", "A", "B", 100, 0.5), ("sp", "A", "C", 50, 0.25)]
+    assert sorted(map(tuple, changes.collect())) == [("sp", "A", "B", "g1", 7, 0.1, 0.9), ("sp", "A", "B", "g2", 8, 0.9, 0.0)]
