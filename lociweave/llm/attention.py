@@ -219,74 +219,95 @@ class Reader:
 def gradients(p: Params, tables: Tables, inputs: np.ndarray, targets: np.ndarray) -> tuple[float, Params]:
     """(mean loss in groups, gradients) of windows as ``windows`` gives them."""
     f = _body(p, inputs)
-    on = targets >= 0
-    h, g, last = f["h"][on], tables.group[targets[on]], inputs[:, CONTEXT:][on]
-    n = max(len(h), 1)
-    grad = {k: np.zeros_like(v) for k, v in p.items()}
-    z = h @ p["ug"] + p["bg"]
-    z += tables.prior[last]
-    np.minimum(z, TOP, out=z)
+    on = targets.ravel() >= 0
+    flat = lambda m: m.reshape(-1, m.shape[-1])
+    n, g, last = max(int(on.sum()), 1), tables.group[np.maximum(targets, 0).ravel()], inputs[:, CONTEXT:].ravel()
+    h, grad = flat(f["h"]), {}
+    z = h @ p["ug"]
+    z += np.take(tables.prior, last, axis=0)
+    z += p["bg"]
+    if z.max() > TOP:
+        np.minimum(z, TOP, out=z)
     np.exp(z, out=z)
-    z /= z.sum(1, keepdims=True)
-    rows = np.arange(len(z))
-    loss = -np.log(z[rows, g] + 1e-30).sum()
-    z[rows, g] -= 1
+    rows, total = np.arange(len(z)), z.sum(1)
+    loss = -np.log(z[rows, g] / total + 1e-30)[on].sum()
+    z *= (1 / (total * total.dtype.type(n)))[:, None]
+    z[rows, g] -= z.dtype.type(1 / n)
+    if not on.all():
+        z[~on] = 0
     grad["ug"], grad["bg"] = h.T @ z, z.sum(0)
-    out = np.zeros_like(f["h"])
-    out[on] = z @ p["ug"].T
-    flat = lambda m: m.reshape(-1, m.shape[-1])
-    grad["w2"] = flat(f["u"]).T @ flat(out)
-    du = (out @ p["w2"].T) * (f["u"] > 0)
-    grad["w1"], grad["b1"] = flat(f["y"]).T @ flat(du), flat(du).sum(0)
-    dy = out + du @ p["w1"].T
-    grad["wo"] = flat(f["c"]).T @ flat(dy)
+    out = z @ p["ug"].T
+    u = flat(f["u"])
+    grad["w2"] = u.T @ out
+    du = out @ p["w2"].T
+    du *= u > 0
+    grad["w1"], grad["b1"] = flat(f["y"]).T @ du, du.sum(0)
+    dy = du @ p["w1"].T
+    dy += out
+    c = flat(f["c"])
+    grad["wo"] = c.T @ dy
     dc = dy @ p["wo"].T
-    da, dv = dc @ f["v"].transpose(0, 2, 1), f["a"].transpose(0, 2, 1) @ dc
-    ds = f["a"] * (da - (dc * f["c"]).sum(-1, keepdims=True)) / np.sqrt(DIM).astype(da.dtype)
+    drift = np.einsum("ij,ij->i", dc, c).reshape(*targets.shape, 1)
+    dc = dc.reshape(f["c"].shape)
+    ds = dc @ f["v"].transpose(0, 2, 1)
+    ds -= drift
+    ds *= f["a"]
+    ds *= ds.dtype.type(1 / np.sqrt(DIM))
+    dv = f["a"].transpose(0, 2, 1) @ dc
     dq, dk = ds @ f["k"], ds.transpose(0, 2, 1) @ f["q"]
-    grad["wq"] = flat(f["late"]).T @ flat(dq)
-    grad["wk"], grad["wv"] = (flat(f["x"]).T @ flat(d) for d in (dk, dv))
-    dx = dk @ p["wk"].T + dv @ p["wv"].T
-    dx[:, CONTEXT:] += dy + dq @ p["wq"].T
-    grad["pos"] = dx.sum(0)
+    x = flat(f["x"])
+    grad["wq"], grad["wk"], grad["wv"] = flat(f["late"]).T @ flat(dq), x.T @ flat(dk), x.T @ flat(dv)
+    dx = dk @ p["wk"].T
+    dx += dv @ p["wv"].T
+    dx[:, CONTEXT:] += dy.reshape(dq.shape) + dq @ p["wq"].T
+    grad["pos"], grad["emb"] = dx.sum(0), np.zeros_like(p["emb"])
+    # an id that stands often in the windows adds up what it gets
     seen = np.argsort(inputs, axis=None, kind="stable")
     first = np.flatnonzero(np.diff(inputs.ravel()[seen], prepend=-1))
     grad["emb"][inputs.ravel()[seen[first]]] = np.add.reduceat(flat(dx)[seen], first, axis=0)
-    return float(loss) / n, {k: v / n for k, v in grad.items()}
+    return float(loss) / n, grad
 
 
 class Learner:
-    """Adam over windows, from given weights."""
+    """Adam over windows, from given weights; all weights, and all moments, are one vector each, so that a step is a few operations."""
 
     def __init__(self, p: Params, tables: Tables, rate: float = 3e-3):
-        self.p, self.tables, self.rate, self.t = {k: v.copy() for k, v in p.items()}, tables, rate, 0
-        self.m = {k: np.zeros_like(v) for k, v in p.items()}
-        self.v = {k: np.zeros_like(v) for k, v in p.items()}
+        self.flat, self.tables, self.rate, self.t = packed(p).astype(np.float32), tables, rate, 0
+        self.p = unpacked(self.flat, p, copy=False)
+        self.m, self.v, self.room = np.zeros_like(self.flat), np.zeros_like(self.flat), np.empty_like(self.flat)
 
     def learn(self, inputs: np.ndarray, targets: np.ndarray, batch: int = 64) -> None:
         for b in range(0, len(inputs), batch):
-            _, grad = gradients(self.p, self.tables, inputs[b : b + batch], targets[b : b + batch])
-            size = np.sqrt(sum(float((g**2).sum()) for g in grad.values()))
+            g = packed(gradients(self.p, self.tables, inputs[b : b + batch], targets[b : b + batch])[1])
+            size = np.sqrt(float(g @ g))
             if not np.isfinite(size):
                 continue
-            cut = np.float32(min(1.0, 1.0 / (size + 1e-9)))
+            g *= np.float32(min(1.0, 1.0 / (size + 1e-9)))
             self.t += 1
-            for k, g in grad.items():
-                g *= cut
-                self.m[k] += np.float32(0.1) * (g - self.m[k])
-                self.v[k] += np.float32(0.01) * (g * g - self.v[k])
-                step = self.m[k] / np.float32(1 - 0.9**self.t)
-                step /= np.sqrt(self.v[k] / np.float32(1 - 0.99**self.t)) + np.float32(1e-6)
-                self.p[k] -= np.float32(self.rate) * step
+            self.m *= np.float32(0.9)
+            self.v *= np.float32(0.99)
+            step = np.multiply(g, g, out=self.room)
+            step *= np.float32(0.01)
+            self.v += step
+            g *= np.float32(0.1)
+            self.m += g
+            np.multiply(self.v, np.float32(1 / (1 - 0.99**self.t)), out=step)
+            np.sqrt(step, out=step)
+            step += np.float32(1e-6)
+            np.divide(self.m, step, out=step)
+            step *= np.float32(self.rate / (1 - 0.9**self.t))
+            self.flat -= step
 
 
 def packed(p: Params) -> np.ndarray:
     return np.concatenate([p[k].ravel() for k in sorted(p)])
 
 
-def unpacked(flat: np.ndarray, like: Params) -> Params:
+def unpacked(flat: np.ndarray, like: Params, copy: bool = True) -> Params:
+    """The weights in ``flat``, as parts of it if they are not copied."""
     out, at = {}, 0
     for k in sorted(like):
-        out[k] = flat[at : at + like[k].size].reshape(like[k].shape).astype(np.float32)
+        part = flat[at : at + like[k].size].reshape(like[k].shape)
+        out[k] = part.astype(np.float32) if copy else part
         at += like[k].size
     return out

@@ -8,11 +8,11 @@
    counts of neighbouring ids in training texts.
 3. The neighbours' counts of all blocks, summed, make the model's vocabulary and
    tables. Like the words' counts they cover every training text whole.
-4. In round r every partition learns from each ``SPARSE``-th window of its training
-   texts, another one in each round, from the same weights; the weights are averaged by
-   their number of windows, in two levels and by parts of the weight vector, so no
-   task holds all copies. There are ``ROUNDS`` rounds; a small corpus is passed over
-   again until ``LEAST_WINDOWS`` have been read or ``MOST_ROUNDS`` are done.
+4. The model learns in one pass over all windows of all training texts, whatever the
+   size of the corpus. The pass has ``ROUNDS`` rounds: in round r every partition learns
+   from each ``ROUNDS``-th of its windows, another one in each round, from the same
+   weights; the weights are averaged by their number of windows, in two levels and by
+   parts of the weight vector, so no task holds all copies.
 5. All texts go through the model in overlapping windows.
 
 The driver holds the model and its tables, whose sizes are set by ``attention.PLACES``
@@ -39,11 +39,8 @@ from lociweave.llm import attention
 from lociweave.llm.common import documents, dropped, scratch, tokenizer_path
 
 BLOCK_BYTES = 20 << 20
-SPARSE = 14
-ROUNDS = 2
-MOST_ROUNDS = 42
-LEAST_WINDOWS = 100_000
-RATE = 5e-3
+ROUNDS = 6
+RATE = 2e-2
 PARTS = 4096
 #: Left and right of the split, by the checksum of the id.
 FOLDS, HELD = 7, 2
@@ -261,7 +258,7 @@ def _round(texts: DataFrame, held, params: attention.Params, size: int, number:
             if not len(ids):
                 continue
             many = int((-(-n // attention.STEP)).sum())
-            inputs, targets = attention.windows(vocabulary.place[ids], n, (passed + np.arange(many)) % SPARSE == 0)
+            inputs, targets = attention.windows(vocabulary.place[ids], n, (passed + np.arange(many)) % ROUNDS == 0)
             passed += many
             mixed = np.random.default_rng(part * 31 + number).permutation(len(inputs))
             # some windows at a time: they take many times the room of ids
@@ -297,10 +294,9 @@ def learned(table: DataFrame, size: int) -> Model:
     spark = table.sparkSession
     vocabulary, tables, places = _counted(table.filter(f"kind = {PAIR}").select("at", "n"), size)
     held, params = spark.sparkContext.broadcast((vocabulary, tables)), attention.initial()
-    rounds = min(MOST_ROUNDS, max(ROUNDS, -(-LEAST_WINDOWS * attention.STEP * SPARSE // max(places, 1)))) if places else 0
     train = table.filter(f"kind = {TEXT} and not held_out")
-    for number in range(rounds):
-        params = _round(train, held, params, size, number, RATE * (1 - number / rounds))
+    for number in range(ROUNDS if places else 0):
+        params = _round(train, held, params, size, number, RATE * (1 - number / ROUNDS))
     held.destroy()
     return vocabulary, tables, params
 

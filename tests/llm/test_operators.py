@@ -49,12 +49,6 @@ def test_every_row_has_a_result(spark, small, name):
     assert Counter(r[0] for r in got.select("doc_id").collect()) == Counter(d[0] for d in DOCUMENTS)
 
 
-@pytest.fixture(autouse=True)
-def few_rounds(monkeypatch):
-    """Tests of other things than learning need no long learning."""
-    monkeypatch.setattr(lm, "MOST_ROUNDS", 2)
-
-
 def test_lm(spark, small):
     got = lm.op1_lm(spark, small).collect()
     held = lambda d: zlib.crc32(("" if d is None else str(d)).encode()) % 7 == 2
@@ -119,9 +113,9 @@ def test_lm_score_by_hand(spark, small):
 
 
 @pytest.mark.skipif(not __import__("os").path.isdir("/root/testdata/sf0.01"), reason="needs the driver's tables")
-def test_lm_beats_the_base_on_held_out_texts(spark, monkeypatch):
-    monkeypatch.setattr(lm, "MOST_ROUNDS", 42)
-    got = lm.op1_lm(spark, "/root/testdata/sf0.01").groupBy("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).collect()
+@pytest.mark.parametrize("size", ["sf0.01", "sf0.1"])
+def test_lm_beats_the_base_on_held_out_texts(spark, size):
+    got = lm.op1_lm(spark, f"/root/testdata/{size}").groupBy("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).collect()
     assert len(got) == 2 and all(r["s"] > r["b"] for r in got)
 
 
