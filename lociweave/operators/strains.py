@@ -30,8 +30,6 @@ SITE = ("species", "contig", "pos")
 #: SNVs of a block, about, and stretches of the projection that blocks are cut by.
 BLOCK = 2048
 STRETCHES = 32
-#: Distances that are held at once.
-CELLS = 1 << 22
 
 
 def best_covered(rows: DataFrame, most: int) -> DataFrame:
@@ -82,21 +80,31 @@ def _tiles(rows: DataFrame, near: float) -> DataFrame:
 
 
 def near_pairs(f1: np.ndarray, d1: np.ndarray, f2: np.ndarray, d2: np.ndarray, near: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(i, j, turned): which rows lie nearer than ``near``, as they are or with one turned, and whether turned is nearer."""
-    out = []
-    step = max(1, CELLS // max(1, f2.size))
-    for lo in range(0, len(f1), step):
-        own, depth = f1[lo : lo + step, None, :], d1[lo : lo + step, None, :] + d2[None]
+    """(i, j, turned): which rows lie nearer than ``near``, as they are or with one turned, and whether turned is nearer.
+
+    One row against all others at a time, samples first, so that what a step touches stays in the processor's cache.
+    """
+    f, d = np.ascontiguousarray(f2.T), np.ascontiguousarray(d2.T)
+    s, v, depth, out = np.empty_like(f), np.empty_like(f), np.empty_like(f), []
+    for i in range(len(f1)):
+        np.add(d1[i][:, None], d, out=depth)
         both = []
-        for g in (own, 1 - own):
-            s = g + f2[None]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                v = depth * (g - f2[None]) ** 2 / (s * (2 - s))
-                known = np.isfinite(v)
-                both.append(2 * np.where(known, v, 0).sum(axis=2) / known.sum(axis=2))
+        for own in (f1[i][:, None], 1 - f1[i][:, None]):
+            np.subtract(own, f, out=v)
+            v *= v
+            v *= depth
+            np.add(own, f, out=s)
+            s *= 2 - s
+            # both alleles of both are fixed alike there: nothing is known
+            alike = s <= 0
+            known = len(f) - alike.sum(axis=0)
+            np.copyto(s, np.inf, where=alike)
+            v /= s
+            with np.errstate(invalid="ignore"):
+                both.append(2 * v.sum(axis=0) / known)
         with np.errstate(invalid="ignore"):
-            i, j = np.nonzero(np.fmin(*both) < near)
-            out.append((i + lo, j, (both[1] < both[0])[i, j]))
+            j = np.flatnonzero(np.fmin(*both) < near)
+            out.append((np.full(len(j), i), j, both[1][j] < both[0][j]))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.empty(0, dtype=int),) * 3
 
 

@@ -11,7 +11,7 @@ from lociweave.operators import strains
 from lociweave.plans.queries import _query, rounded
 from lociweave.sources import adapters as A
 
-NEAR, LEAST = 20.0, 3
+NEAR, LEAST = 8.0, 3
 
 
 def _vectors(spark, d):

@@ -55,10 +55,9 @@ def test_blocks_far_apart_are_not_compared(spark, monkeypatch):
     assert {frozenset(((r[1], r[2]), (r[3], r[4]))) for r in strains.links(vectors).collect()} == whole
 
 
-def test_near_pairs_are_those_of_the_distances(monkeypatch):
+def test_near_pairs_are_those_of_the_distances():
     rng = np.random.default_rng(3)
     f, d = rng.choice([0.0, 0.2, 0.9, 1.0], (40, 5)), rng.integers(0, 30, (40, 5)).astype(float)
-    monkeypatch.setattr(strains, "CELLS", 300)
     i, j, turned = strains.near_pairs(f, d, f, d, 5.0)
     forward, back = K.snv_distances(f, d), K.snv_distances(f, d, True)
     with np.errstate(invalid="ignore"):
