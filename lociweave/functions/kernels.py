@@ -400,17 +400,24 @@ def fisher_exact(a: int, b: int, c: int, d: int) -> float:
     return float(min(1.0, p[p <= p[k == a][0] * (1 + 1e-7)].sum()))
 
 
-def sequential_anova(y: np.ndarray, factors: list[np.ndarray]) -> list[tuple[int, float, float, float]]:
-    """(df, sum of squares, F, p) of each factor added in turn, then of the residual (F and p nan)."""
-    x, before, rank, rows = np.ones((len(y), 1)), float(((y - y.mean()) ** 2).sum()), 1, []
+def sequential_anova(y: np.ndarray, factors: list[np.ndarray], n: np.ndarray | None = None, within: float = 0.0) -> list[tuple[int, float, float, float]]:
+    """(df, sum of squares, F, p) of each factor added in turn, then of the residual (F and p nan).
+
+    With ``n``, each y is the mean of so many values of one cell of the factors, and
+    ``within`` their squared distances from these means.
+    """
+    n = np.ones(len(y)) if n is None else np.asarray(n, float)
+    w = np.sqrt(n)[:, None]
+    x, rank, rows = np.ones((len(y), 1)), 1, []
+    before = float((n * (y - np.average(y, weights=n)) ** 2).sum()) + within
     for f in factors:
         levels = np.unique(f)
         x = np.hstack([x, (f[:, None] == levels[1:]).astype(float)])
-        fit, _, new, _ = np.linalg.lstsq(x, y, rcond=None)
-        after = float(((y - x @ fit) ** 2).sum())
+        fit, _, new, _ = np.linalg.lstsq(x * w, y * w[:, 0], rcond=None)
+        after = float((n * (y - x @ fit) ** 2).sum()) + within
         rows.append((int(new) - rank, before - after))
         before, rank = after, int(new)
-    df = len(y) - rank
+    df = int(n.sum()) - rank
     ms = before / df if df > 0 else float("nan")
     out = [(k, s, s / k / ms if k and ms > 0 else float("nan")) for k, s in rows]
     return [(k, s, f, f_tail(f, k, df) if f == f else float("nan")) for k, s, f in out] + [(df, before, float("nan"), float("nan"))]

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lociweave.functions import expr
+from lociweave.operators import ranks
 from lociweave.operators.blocks import counted, pair_sums
 from lociweave.operators.diversity import site_pairs, with_freq
 from lociweave.operators.snps import SITE
@@ -307,11 +308,10 @@ def selection_ratio(rates: DataFrame, pseudo: float = 1.0) -> DataFrame:
 
 def cumulative_ratio(ratios: DataFrame) -> DataFrame:
     """Mean dnds of the pairs at and below each divergence, and above it, by species."""
-    up = Window.partitionBy("species").orderBy("ds").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    every = Window.partitionBy("species")
-    below, n = F.sum("dnds").over(up), F.count(F.lit(1)).over(up)
-    above, m = F.sum("dnds").over(every) - below, F.count(F.lit(1)).over(every) - n
-    return ratios.select("species", "ds", (below / n).alias("below"), F.try_divide(above, m).alias("above"), n.alias("n_below")).distinct()
+    each = ratios.groupBy("species", "ds").agg(F.sum("dnds").alias("s"), F.count(F.lit(1)).alias("n"))
+    up = ranks.running(each, ["species"], "ds", ["s", "n"])
+    below, n = F.col("before_s") + F.col("s"), F.col("before_n") + F.col("n")
+    return up.select("species", "ds", (below / n).alias("below"), F.try_divide(F.col("all_s") - below, F.col("all_n") - n).alias("above"), n.alias("n_below"))
 
 
 def ratio_of_pairs(a: DataFrame, b: DataFrame, value: str) -> DataFrame:
@@ -319,12 +319,6 @@ def ratio_of_pairs(a: DataFrame, b: DataFrame, value: str) -> DataFrame:
     return a.select(*PAIR, F.col(value).alias("_a")).join(b.select(*PAIR, F.col(value).alias("_b")), list(PAIR)).select(*PAIR, F.try_divide("_a", "_b").alias("ratio"))
 
 
-def accumulated(rows: DataFrame, by: str, at: str, value: str) -> DataFrame:
-    """Running sum of ``value`` over the rows of a group in the order of ``at``, equal ones together."""
-    summed = rows.groupBy(by, at).agg(F.sum(value).alias("_v"))
-    return summed.select(by, at, F.sum("_v").over(Window.partitionBy(by).orderBy(at)).alias(value))
-
-
 def annotated_changes(changes: DataFrame, annotations: DataFrame) -> DataFrame:
     """Changed genes with description and pathway; a gene of several pathways has a row each."""
     return changes.join(annotations, "gene_id", "left").withColumn("description", F.coalesce("description", F.lit("")))
@@ -368,10 +362,7 @@ def reversal_loglikelihood(rows: DataFrame, by: list[str], at: str, n: str, top:
 def symmetrised_ks(hist: DataFrame, by: list[str], value: str, n: str) -> DataFrame:
     """Largest difference between the distribution of x in [0, 1] and that of x and 1 - x together."""
     both = hist.select(*by, F.col(value).alias("_x"), F.col(n).alias("_a"), F.col(n).alias("_b")).unionByName(hist.select(*by, (1 - F.col(value)).alias("_x"), F.lit(0).cast("bigint").alias("_a"), F.col(n).alias("_b")))
-    each = both.groupBy(*by, F.round("_x", 9).alias("_x")).agg(F.sum("_a").alias("_a"), F.sum("_b").alias("_b"))
-    up, every = Window.partitionBy(*by).orderBy("_x"), Window.partitionBy(*by)
-    gap = F.abs(F.sum("_a").over(up) / F.sum("_a").over(every) - F.sum("_b").over(up) / F.sum("_b").over(every))
-    return each.withColumn("_g", gap).groupBy(*by).agg(F.max("_g").alias("ks"))
+    return ranks.ks_distance(both.withColumn("_x", F.round("_x", 9)), F.col("_a"), F.col("_b"), "_x", by)
 
 
 def normalised_neutral_ld(nr: Column) -> Column:

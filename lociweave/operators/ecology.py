@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lociweave.operators import ranks
+
 
 def relative_abundance(profile: DataFrame) -> DataFrame:
     share = F.try_divide(F.col("coverage"), F.sum("coverage").over(Window.partitionBy("sample")))
@@ -93,16 +95,6 @@ def log_fold(rows: DataFrame, group: str, low: str, high: str, by: list[str], va
     return rows.groupBy(*by).agg((F.log2(mean(high) + 1) - F.log2(mean(low) + 1)).alias("log2_fold"))
 
 
-def rank_correlation(rows: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
-    """Spearman's correlation with mean ranks for ties."""
-
-    def ranks(v: str):
-        w = Window.partitionBy(*by)
-        return F.rank().over(w.orderBy(v)) + (F.count(F.lit(1)).over(Window.partitionBy(*by, v)) - 1) / 2.0
-
-    return rows.withColumn("_x", ranks(x)).withColumn("_y", ranks(y)).groupBy(*by).agg(F.corr("_x", "_y").alias("rho"), F.count(F.lit(1)).alias("n"))
-
-
 def linear_fit(rows: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     return rows.groupBy(*by).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_r2(y, x).alias("r2"))
 
@@ -121,9 +113,7 @@ def normalised_sample(rows: DataFrame, sample: str, value: str) -> DataFrame:
 
 
 def ks_distance(rows: DataFrame, group: str, a: str, b: str, value: str, by: list[str]) -> DataFrame:
-    """Largest difference of the two groups' cumulative shares."""
-    na, nb = (F.sum(F.when(F.col(group) == g, 1).otherwise(0)).alias(n) for g, n in ((a, "na"), (b, "nb")))
-    at = rows.filter(F.col(group).isin(a, b)).groupBy(*by, value).agg(na, nb)
-    w, whole = Window.partitionBy(*by).orderBy(value), Window.partitionBy(*by)
-    gap = F.abs(F.try_divide(F.sum("na").over(w), F.sum("na").over(whole)) - F.try_divide(F.sum("nb").over(w), F.sum("nb").over(whole)))
-    return at.withColumn("_g", gap).groupBy(*by).agg(F.coalesce(F.max("_g"), F.lit(1e6)).alias("ks"))
+    """Largest difference of the two groups' cumulative shares; 1e6 where one of them has no rows."""
+    side = lambda g: F.when(F.col(group) == g, 1).otherwise(0)
+    got = ranks.ks_distance(rows.filter(F.col(group).isin(a, b)), side(a), side(b), value, by)
+    return got.select(*by, F.coalesce("ks", F.lit(1e6)).alias("ks"))

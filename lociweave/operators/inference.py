@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lociweave.functions import expr
@@ -72,28 +72,30 @@ def ordination(pairs: DataFrame, value: str, k: int = 2) -> DataFrame:
     return pairs.select("sample_1", "sample_2", value, F.lit(1).alias("_one")).groupBy("_one").applyInPandas(scale, "sample string, x double, y double, share_x double, share_y double")
 
 
-def variance_explained(rows: DataFrame, value: str, factors: list[str]) -> DataFrame:
-    """Sequential analysis of variance of each species over ``factors``."""
-
-    def fit(t: pd.DataFrame) -> pd.DataFrame:
-        t = t.sort_values([*factors, value])
-        got = K.sequential_anova(t[value].to_numpy(float), [t[f].to_numpy() for f in factors])
-        total = sum(g[1] for g in got) or float("nan")
-        return pd.DataFrame({"species": t["species"].iloc[0], "factor": [*factors, "residual"], "df": [g[0] for g in got], "share": [g[1] / total for g in got], "pvalue": [g[3] for g in got]})
+def sequential_anova(rows: DataFrame, by: list[str], value: str, factors: list[str]) -> DataFrame:
+    """(by, factor, df, sum_sq, f, pvalue): sequential analysis of variance of each group over ``factors``.
 
-    return rows.select("species", value, *factors).groupBy("species").applyInPandas(fit, "species string, factor string, df long, share double, pvalue double")
+    Spark sums the rows of each cell of the factors up to its count, mean and squared
+    distances, with partial sums before the shuffle; the model is fitted to those cells, as
+    many as the factors have combinations, however many rows there are. Rows with a null
+    value or factor take no part.
+    """
+    n = F.count(F.lit(1))
+    cells = rows.select(*by, value, *factors).dropna(subset=[value, *factors]).groupBy(*by, *factors).agg(n.alias("_n"), F.avg(value).alias("_mean"), (F.var_pop(value) * n).alias("_within"))
 
+    def fit(t: pd.DataFrame) -> pd.DataFrame:
+        t = t.sort_values(factors)
+        got = K.sequential_anova(t["_mean"].to_numpy(float), [t[f].to_numpy() for f in factors], t["_n"].to_numpy(), float(t["_within"].sum()))
+        return pd.DataFrame({**{b: t[b].iloc[0] for b in by}, "factor": [*factors, "residual"], "df": [g[0] for g in got], "sum_sq": [g[1] for g in got], "f": [g[2] for g in got], "pvalue": [g[3] for g in got]})
 
-def rank_tests(rows: DataFrame, group: str, value: str, by: list[str]) -> DataFrame:
-    """Rank-sum p of every two groups."""
+    return cells.groupBy(*by).applyInPandas(fit, ", ".join(f"{b} string" for b in by) + ", factor string, df long, sum_sq double, f double, pvalue double")
 
-    def test(t: pd.DataFrame) -> pd.DataFrame:
-        parts = {g: x[value].to_numpy(float) for g, x in t.groupby(group)}
-        names = sorted(parts)
-        out = [[*(t[b].iloc[0] for b in by), a, b2, K.rank_sum(parts[a], parts[b2])] for i, a in enumerate(names) for b2 in names[i + 1 :]]
-        return pd.DataFrame(out, columns=[*by, "group_1", "group_2", "pvalue"])
 
-    return rows.select(*by, group, value).groupBy(*by).applyInPandas(test, ", ".join(f"{b} string" for b in by) + ", group_1 string, group_2 string, pvalue double")
+def variance_explained(rows: DataFrame, value: str, factors: list[str]) -> DataFrame:
+    """Each factor's share of a species' variance, factors added in turn."""
+    got = sequential_anova(rows, ["species"], value, factors)
+    whole = F.sum("sum_sq").over(Window.partitionBy("species"))
+    return got.select("species", "factor", "df", F.try_divide("sum_sq", whole).alias("share"), "pvalue")
 
 
 def signed_rank_tests(pairs: DataFrame, by: list[str], first: str, second: str) -> DataFrame:

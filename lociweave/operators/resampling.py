@@ -87,17 +87,6 @@ def window_intervals(bins: DataFrame, low: int, high: int, draws: int = 500) ->
     return rows.groupBy("species").applyInPandas(boot, "species string, ratio double, lower double, upper double")
 
 
-def two_way_anova(rows: DataFrame, by: list[str], value: str, factors: list[str]) -> DataFrame:
-    """Sequential analysis of variance of each group over two factors."""
-
-    def fit(t: pd.DataFrame) -> pd.DataFrame:
-        t = t.sort_values([*factors, value])
-        got = K.sequential_anova(t[value].to_numpy(float), [t[f].to_numpy() for f in factors])
-        return pd.DataFrame({**{b: t[b].iloc[0] for b in by}, "factor": [*factors, "residual"], "df": [g[0] for g in got], "sum_sq": [g[1] for g in got], "f": [g[2] for g in got], "pvalue": [g[3] for g in got]})
-
-    return rows.select(*by, value, *factors).groupBy(*by).applyInPandas(fit, ", ".join(f"{b} string" for b in by) + ", factor string, df long, sum_sq double, f double, pvalue double")
-
-
 def clades_within(pairs: DataFrame, clades: DataFrame, value: str, height: float) -> DataFrame:
     """Average-linkage clades inside each clade of (species, sample, clade)."""
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lociweave.functions import expr
 from lociweave.operators import analyses as N
-from lociweave.operators import changes, coverage, diversity, genes, linkage, pairs, snps
+from lociweave.operators import changes, coverage, diversity, genes, linkage, pairs, ranks, snps
 from lociweave.plans.queries import _COPY, _FLIPS, _G, _HIST, _LD, _PI, _RATES, _SFS, _copies, _query, rounded
 from lociweave.sources import adapters as A
 
@@ -310,7 +310,7 @@ def closest_other(spark, d):
 
 @_query(f"WITH {_NCH} SELECT species, n AS at, CAST(SUM(SUM(n)) OVER (PARTITION BY species ORDER BY n) AS BIGINT) AS changes FROM nc GROUP BY 1, 2")
 def accumulated_changes(spark, d):
-    return N.accumulated(_counts(spark, d).select("species", F.col("n").alias("at"), F.col("n").alias("changes")), "species", "at", "changes")
+    return ranks.accumulated(_counts(spark, d).select("species", F.col("n").alias("at"), F.col("n").alias("changes")), "species", "at", "changes")
 
 
 @_query(f"WITH {_TCOPY}, ch AS (SELECT DISTINCT species, sample, gene_id FROM kc WHERE c < 0.05::DOUBLE) SELECT ch.species, ch.sample, ch.gene_id, COALESCE(description, '') AS description FROM ch LEFT JOIN (SELECT '1.1.peg.' || CAST(line AS VARCHAR) AS gene_id, description FROM a_pangenome WHERE line % 2 = 0) USING (gene_id)")

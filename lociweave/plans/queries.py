@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lociweave.functions import expr
-from lociweave.operators import changes, coverage, diversity, ecology, genes, inference, linkage, pairs, snps
+from lociweave.operators import changes, coverage, diversity, ecology, genes, inference, linkage, pairs, ranks, snps
 from lociweave.sources import adapters as A
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -473,7 +473,7 @@ def strain_fit(spark, d):
        SELECT region, ROUND(CORR(x, y), 6) AS rho, COUNT(*) AS n FROM q GROUP BY 1"""
 )
 def strain_rank_correlation(spark, d):
-    return rounded(ecology.rank_correlation(A.strain_frequency(spark, d), "n", "freq", ["region"]))
+    return rounded(ranks.rank_correlation(A.strain_frequency(spark, d), "n", "freq", ["region"]))
 
 
 @_query(
@@ -714,9 +714,21 @@ def variance_explained(spark, d):
     return rounded(inference.variance_explained(A.strain_frequency(spark, d), "freq", ["subject_id", "region"]))
 
 
-@_query()
+_TWO_SIDED = "LEAST(1.0::DOUBLE, t * (0.254829592::DOUBLE + t * (-0.284496736::DOUBLE + t * (1.421413741::DOUBLE + t * (-1.453152027::DOUBLE + t * 1.061405429::DOUBLE)))) * EXP(-z * z / 2.0::DOUBLE))"
+
+
+@_query(
+    f"""WITH c AS (SELECT species, region, freq, COUNT(*) AS n FROM a_strain_frequency GROUP BY 1, 2, 3), g AS (SELECT DISTINCT species, region FROM c),
+       p AS (SELECT a.species, a.region AS group_1, b.region AS group_2 FROM g a JOIN g b ON a.species = b.species AND a.region < b.region),
+       e AS (SELECT p.species, group_1, group_2, freq, SUM(CASE WHEN region = group_1 THEN n ELSE 0 END)::DOUBLE AS n1, SUM(CASE WHEN region = group_2 THEN n ELSE 0 END)::DOUBLE AS n2 FROM p JOIN c ON c.species = p.species AND c.region IN (group_1, group_2) GROUP BY 1, 2, 3, 4),
+       r AS (SELECT *, SUM(n2) OVER (PARTITION BY species, group_1, group_2 ORDER BY freq) - n2 / 2 AS below FROM e),
+       s AS (SELECT species, group_1, group_2, SUM(n1) AS a, SUM(n2) AS b, SUM(n1 * below) AS u, SUM((n1 + n2) ** 3 - n1 - n2) AS ties FROM r GROUP BY 1, 2, 3),
+       v AS (SELECT *, a * b / 12 * (a + b + 1 - ties / GREATEST((a + b) * (a + b - 1), 1)) AS spread FROM s),
+       w AS (SELECT *, GREATEST(ABS(u - a * b / 2) - 0.5::DOUBLE, 0) / SQRT(GREATEST(spread, 1e-300::DOUBLE)) AS z FROM v), y AS (SELECT *, 1 / (1 + 0.3275911::DOUBLE * z / SQRT(2.0::DOUBLE)) AS t FROM w)
+       SELECT species, group_1, group_2, ROUND(u, 6) AS u, ROUND(CASE WHEN spread <= 0 THEN 1 ELSE {_TWO_SIDED} END, 6) AS pvalue FROM y"""
+)
 def region_rank_tests(spark, d):
-    return rounded(inference.rank_tests(A.strain_frequency(spark, d), "region", "freq", ["species"]))
+    return rounded(ranks.rank_sum_tests(A.strain_frequency(spark, d), "region", "freq", ["species"]))
 
 
 @_query()

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lociweave.functions import expr
 from lociweave.operators import analyses as N
-from lociweave.operators import changes, diversity, ecology, genes, inference, linkage, pairs, references, snps
+from lociweave.operators import changes, diversity, ecology, genes, inference, linkage, pairs, ranks, references, snps
 from lociweave.operators import resampling as R
 from lociweave.plans.analysis_queries import _SUBS, _rates
 from lociweave.plans.queries import _FLIPS, _HAP, _PI, _copies, _query, rounded
@@ -67,7 +67,7 @@ def linkage_window_intervals(spark, d):
 @_query()
 def timepoint_anova(spark, d):
     rows = A.strain_frequency(spark, d).select("species", "subject_id", F.col("date").cast("string").alias("date"), "region", "freq")
-    return rounded(R.two_way_anova(rows, ["species", "subject_id"], "freq", ["date", "region"]))
+    return rounded(inference.sequential_anova(rows, ["species", "subject_id"], "freq", ["date", "region"]))
 
 
 @_query()
@@ -120,7 +120,7 @@ def first_sites(spark, d):
 def pi_rank_correlation_by_class(spark, d):
     p = diversity.pi_summary(diversity.site_pi(A.annotated(spark, d), method="regular")).select("species", "sample", F.col("mean_pi").alias("pi"))
     rows = p.withColumn("class", F.when(F.col("pi") < 0.35, "single").otherwise("mixed")).withColumn("pi", F.round("pi", 9))
-    return rounded(ecology.rank_correlation(rows, "pi", "sample", ["class"]))
+    return rounded(ranks.rank_correlation(rows, "pi", "sample", ["class"]))
 
 
 @_query("WITH t AS (SELECT species, a.sample AS sample_1, b.sample AS sample_2, COUNT(*) AS o, SUM(CASE WHEN b.f <= 0.2::DOUBLE THEN 1 ELSE 0 END) AS r FROM a_sites a JOIN a_sites b USING (species, contig, pos) WHERE a.sample <> b.sample AND a.f >= 0.8::DOUBLE AND (b.f >= 0.8::DOUBLE OR b.f <= 0.2::DOUBLE) AND a.depth >= 5 AND b.depth >= 5 AND pos % 2 = 0 GROUP BY 1, 2, 3) SELECT species, sample_1, sample_2, ROUND(1 - r::DOUBLE / o, 6) AS shared FROM t")
