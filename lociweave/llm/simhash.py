@@ -137,9 +137,9 @@ COPY_SHARE = 0.8
 SEEDS = 8
 #: Of the bits of all fingerprints, the part that may differ before shingles are compared.
 APART = 0.22
-#: Shingles in this many texts or more of a sample of about so many come last in the order of prefixes; which ones do changes the cost only.
-COMMON = 3
-SAMPLE = 10_000
+#: Shingles that this many groups of a sample of every ``SAMPLED``-th have come last in the order of prefixes; which ones do changes the cost only.
+COMMON = 2
+SAMPLED = 8
 MOST_COMMON = 200_000
 #: Classes of one block of a shared shingle; every block meets every block.
 BLOCK = 256
@@ -185,10 +185,16 @@ def _meetings(classes: DataFrame) -> DataFrame:
     return out
 
 
-def _common(docs: DataFrame, key: str, text: str) -> np.ndarray:
-    """Shingles that are common in a sample of texts, without their top bit, sorted."""
-    every = max(1, docs.count() // SAMPLE)
-    some = docs.filter(F.pmod(F.xxhash64(key, text), F.lit(every)) == 0).select(words_of(ascii_lower(F.col(text))).alias("_w"))
+def _common(docs: DataFrame, groups: DataFrame, key: str, text: str) -> np.ndarray:
+    """Shingles that are common in a sample of the groups (c, least, root), one text of each, without their top bit, sorted.
+
+    The sample grows with the groups, so a shingle that is not common is in about as many of
+    them at every size of corpus; copies of one group count once.
+    """
+    sampled = lambda c: F.pmod(F.xxhash64(c), F.lit(SAMPLED)) == 0
+    ones = written(groups.filter((F.col("c") == F.col("root")) & sampled("c")).select(F.xxhash64("c").alias("_k"), F.col("least").alias("_least")), "sampled")
+    words = docs.select(F.col(key).alias("_id"), words_of(ascii_lower(F.col(text))).alias("_w")).withColumn("_c", F.md5(F.array_join("_w", " "))).filter(sampled("_c"))
+    some = words.join(checked(ones), F.col("_id").eqNullSafe(F.col("_least")) & (F.xxhash64("_c") == F.col("_k")))
     shingles = some.select(F.explode(F.array_distinct(shingle_hashes(F.col("_w"), COPY_SHINGLE))).alias("h"))
     found = shingles.groupBy("h").count().filter(F.col("count") >= COMMON).orderBy(F.desc("count"), "h").limit(MOST_COMMON).toPandas()["h"]
     return np.unique(found.to_numpy(dtype=np.int64) & np.int64((1 << 63) - 1))
@@ -225,29 +231,58 @@ def _prefix(hashes: Column, common) -> Column:
     return firsts(hashes)
 
 
+def _prefixes(docs: DataFrame, groups: DataFrame, key: str, text: str) -> DataFrame:
+    """(c, root, n, at, t): of each class of ``groups`` (c, least, root), by hashes, the shingles t at the places ``at`` of its prefix; it has n shingles in all."""
+    common = docs.sparkSession.sparkContext.broadcast(_common(docs, groups, key, text).tobytes())
+    words = docs.select(words_of(ascii_lower(F.col(text))).alias("_w"))
+    rows = words.select(F.md5(F.array_join("_w", " ")).alias("_c"), _prefix(shingle_hashes(F.col("_w"), COPY_SHINGLE), common).alias("firsts"))
+    each = rows.groupBy("_c").agg(F.first("firsts").alias("firsts")).join(groups.select("c", "root"), F.col("_c") == F.col("c"))
+    each = written(each.select(F.xxhash64("c").alias("c"), F.xxhash64("root").alias("root"), "firsts"), "prefixes")
+    places = F.posexplode(F.slice("firsts", F.lit(2), F.size("firsts") - 1)).alias("at", "t")
+    return each.select("c", "root", F.get("firsts", F.lit(0)).cast("int").alias("n"), places)
+
+
 def _unlinked(tokens: DataFrame) -> DataFrame:
     """(a, b): of classes with different roots, all pairs whose prefixes, sizes and places allow a similarity of ``COPY_SHARE``.
 
-    ``tokens`` has (c, root, n, at, t): the shingle t is at place ``at`` of the prefix of c, which
-    has n shingles. A shingle whose classes all have one root is left out; the classes of
-    any other are dealt into blocks, and each two blocks meet in a group of their own.
+    ``tokens`` is that of ``_prefixes``. A shingle whose classes all have one root is
+    closed, and links nothing. Partners have four fifths of a class's n shingles at least,
+    so they share n / 25 + 1 open shingles of its prefix or more; in one order for
+    all classes, rare ones first, the first shared one is followed by the others. So the
+    last n / 25 of a class's open shingles need not meet, and a class with no more
+    than these has no partner. The classes of a shingle are dealt into blocks, and each
+    two blocks meet in a group of their own; the pairs found are then counted on all
+    open shingles of both.
     """
-    open_ = tokens.groupBy("t").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.count(F.lit(1)).alias("_n")).filter("_lo != _hi")
-    open_, path = held_at(open_.select(F.col("t").alias("_t"), F.ceil(F.col("_n") / BLOCK).cast("int").alias("blocks")), "open")
-    rows = tokens.join(checked(open_), F.col("t") == F.col("_t")).withColumn("own", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
-    rows, rows_path = held_at(rows.select("c", "root", "n", "at", "t", "blocks", "own"), "tokens")
-    dropped(tokens.sparkSession, path)
-    side = lambda x: [F.col(k).alias(f"{k}_{x}") for k in ("c", "root", "n", "at")]
+    spark = tokens.sparkSession
+    count = lambda rows: rows.groupBy(F.col("t").alias("_t")).agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.count(F.lit(1)).alias("f")).filter("_lo != _hi").select("_t", "f")
+    open_, path = held_at(count(tokens), "open")
+    rows = tokens.join(checked(open_), F.col("t") == F.col("_t")).drop("_t")
+    held = rows.groupBy("c", "root", "n").agg(F.array_sort(F.collect_list(F.struct("at", "t", "f"))).alias("o"))
+    held = held.filter(F.size("o") > F.floor(F.col("n") / 25))
+    held, held_path = held_at(held.select("c", "root", "n", F.col("o.at").alias("ats"), F.col("o.t").alias("ts"), F.array_sort(F.transform("o", lambda x: F.struct(x["f"].alias("f"), x["t"].alias("t")))).alias("rare")), "opened")
+    dropped(spark, path)
+    need = F.slice("rare", F.lit(1), (F.size("rare") - F.floor(F.col("n") / 25)).cast("int"))
+    kept = held.select("c", "root", "n", F.explode(need["t"]).alias("t"))
+    still, path = held_at(count(kept).select("_t", F.ceil(F.col("f") / BLOCK).cast("int").alias("blocks")), "still")
+    kept = kept.join(checked(still), F.col("t") == F.col("_t")).withColumn("own", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
+    kept, kept_path = held_at(kept.select("c", "root", "n", "t", "blocks", "own"), "tokens")
+    dropped(spark, path)
+    side = lambda x: [F.col(k).alias(f"{k}_{x}") for k in ("c", "root", "n")]
     every = F.explode(F.expr("sequence(0, blocks - 1)"))
-    left = rows.select("t", F.col("own").alias("i"), every.alias("j"), *side("a"))
-    right = rows.select("t", every.alias("i"), F.col("own").alias("j"), *side("b"))
+    left = kept.select("t", F.col("own").alias("i"), every.alias("j"), *side("a"))
+    right = kept.select("t", every.alias("i"), F.col("own").alias("j"), *side("b"))
     met = left.join(right, ["t", "i", "j"]).filter((F.col("c_a") < F.col("c_b")) & (F.col("root_a") != F.col("root_b")) & (F.lit(5) * F.least("n_a", "n_b") >= F.lit(4) * F.greatest("n_a", "n_b")))
-    both = met.groupBy(F.col("c_a").alias("a"), F.col("c_b").alias("b"), "n_a", "n_b").agg(F.count(F.lit(1)).alias("k"), F.min("at_a").alias("at_a"), F.min("at_b").alias("at_b"))
+    pairs = written(met.select(F.col("c_a").alias("a"), F.col("c_b").alias("b")).distinct(), "met")
+    whole = lambda x: held.select(F.col("c").alias(x), *[F.col(k).alias(f"{k}_{x}") for k in ("n", "ts", "ats")])
+    both = pairs.join(whole("a"), "a").join(whole("b"), "b").withColumn("shared", F.array_intersect("ts_a", "ts_b"))
+    # prefixes stand in one order, so the first shared shingle is the first one on both sides
+    at = lambda x: F.get(f"ats_{x}", (F.array_position(f"ts_{x}", F.get("shared", F.lit(0))) - 1).cast("int"))
     spare = lambda n: F.floor(F.col(n) / 20) + 1
     # of what is from the first shared shingle on, enough must be left
-    fits = F.lit(9) * F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) >= F.lit(4) * (F.col("n_a") + F.col("n_b"))
-    out = written(both.filter((F.col("k") >= F.least(spare("n_a"), spare("n_b"))) & fits).select("a", "b"), "unlinked")
-    dropped(tokens.sparkSession, rows_path)
+    fits = F.lit(9) * F.least(F.col("n_a") - at("a"), F.col("n_b") - at("b")) >= F.lit(4) * (F.col("n_a") + F.col("n_b"))
+    out = written(both.filter((F.size("shared") >= F.least(spare("n_a"), spare("n_b"))) & fits).select("a", "b"), "unlinked")
+    dropped(spark, held_path, kept_path)
     return out
 
 
@@ -282,18 +317,16 @@ def copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     """
     docs, key, text = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text")), "_id", "_text"
     spark = docs.sparkSession
-    common = spark.sparkContext.broadcast(_common(docs, key, text).tobytes())
     words = docs.select(F.col(key).alias("_id"), words_of(ascii_lower(F.col(text))).alias("_w"))
     rows = words.select("_id", F.md5(F.array_join("_w", " ")).alias("_c"), shingle_hashes(F.col("_w"), COPY_SHINGLE).alias("_h"))
-    rows, path = held_at(rows.withColumns({"fps": _many(F.col("_h")), "firsts": _prefix(F.col("_h"), common)}).drop("_h"), "classed")
-    classes = written(rows.groupBy(F.col("_c").alias("c")).agg(F.min("_id").alias("least"), F.first("fps").alias("fps"), F.first("firsts").alias("firsts")), "classes")
+    rows, path = held_at(rows.withColumn("fps", _many(F.col("_h"))).drop("_h"), "classed")
+    classes = written(rows.groupBy(F.col("_c").alias("c")).agg(F.min("_id").alias("least"), F.first("fps").alias("fps")), "classes")
     ids = written(rows.select("_id", "_c"), "ids")
     dropped(spark, path)
     linked = _linked(docs, classes, _named(_meetings(classes), classes), key, text)
     roots = components(linked, "a", "b")
-    rooted = classes.select("c", "firsts").join(roots, F.col("c") == F.col("node"), "left").select(F.xxhash64("c").alias("c"), F.xxhash64(F.coalesce("root", "c")).alias("root"), "firsts")
-    places = F.posexplode(F.slice("firsts", F.lit(2), F.size("firsts") - 1)).alias("at", "t")
-    tokens = rooted.select("c", "root", F.get("firsts", F.lit(0)).cast("int").alias("n"), places)
+    groups = written(classes.select("c", "least").join(roots, F.col("c") == F.col("node"), "left").select("c", "least", F.coalesce("root", "c").alias("root")), "groups")
+    tokens = _prefixes(docs, groups, key, text)
     more = _linked(docs, classes, _named(_unlinked(tokens), classes), key, text)
     roots = components(linked.union(more), "a", "b")
     rooted = written(classes.select("c", "least").join(roots, F.col("c") == F.col("node"), "left").select("c", "least", F.coalesce("root", "c").alias("root")), "rooted")
