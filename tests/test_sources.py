@@ -137,3 +137,17 @@ def test_lines_as_the_format_lays_them_out(spark):
     totals, changes = packed.from_ragged(lines("sp,A,B,100,0.5,g1;7;0.1;0.9,g2;8;0.9;0", "sp,A,C,50,0.25"), ["species", "sample_1", "sample_2"], {"gene_id": "string", "pos": "bigint", "f1": "double", "f2": "double"})
     assert sorted(map(tuple, totals.collect())) == [("sp", "A", "B", 100, 0.5), ("sp", "A", "C", 50, 0.25)]
     assert sorted(map(tuple, changes.collect())) == [("sp", "A", "B", "g1", 7, 0.1, 0.9), ("sp", "A", "B", "g2", 8, 0.9, 0.0)]
+
+
+def test_general_numbers_are_those_of_printf(spark):
+    import math
+
+    from pyspark.sql import functions as F
+
+    from lociweave.sources import packed
+
+    numbers = [0.0, -0.0, 0.01, -999.99, 9999.99, 123456.5, 1234565.0, 1234575.0, 100000.5, 999999.5, 1e-4, 2.5e-5, 1234.565, 1e22, 5e-324, 1e300, math.inf, -math.inf, math.nan]
+    rows = spark.createDataFrame([(k, x) for k, x in enumerate([*numbers, None])], "id int, v double")
+    got = dict(rows.select("id", packed.general(F.col("v"))).collect())
+    assert got == {**{k: "%g" % x for k, x in enumerate(numbers)}, len(numbers): None}
+    assert rows.filter("id = 12").select(packed.general(F.col("v"), 3)).first()[0] == "1.23e+03"
