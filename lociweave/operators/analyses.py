@@ -428,9 +428,12 @@ def strain_order(freqs: DataFrame, inoculum: str) -> DataFrame:
 
 
 def repolarised(sites: DataFrame, inoculum: str) -> DataFrame:
-    """Frequencies turned where the inoculum's is above one half, or, at sites it lacks, the mean over samples."""
+    """Frequencies turned where the inoculum's is above one half, or, at sites it lacks, the mean over samples.
+
+    A mean of one half is not above it, whatever the order in which a site's rows are summed: twelve digits of it count.
+    """
     by = Window.partitionBy(*SITE)
-    lead = F.coalesce(F.max(F.when((F.col("sample") == inoculum), F.col("f"))).over(by), F.avg("f").over(by))
+    lead = F.coalesce(F.max(F.when((F.col("sample") == inoculum), F.col("f"))).over(by), F.round(F.avg("f").over(by), 12))
     return sites.withColumn("turned", lead > 0.5).withColumn("f", F.when(F.col("turned"), 1 - F.col("f")).otherwise(F.col("f")))
 
 

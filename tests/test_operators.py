@@ -139,3 +139,15 @@ def test_stream_equals_batch(spark, tmp_path):
     q.stop()
     key = lambda d: sorted(map(tuple, d.collect()))
     assert key(spark.table("sites")) == key(streaming.site_counts(df))
+
+def test_a_mean_of_one_half_turns_no_site_in_any_order(spark):
+    import itertools
+
+    from lociweave.operators import analyses
+
+    # summed in some orders, their means are 0.5000000000000001
+    sets = [q for f in ([0.4, 0.3, 0.8], [0.5, 5 / 6, 1 / 6]) for q in itertools.permutations(f)]
+    rows = [("sp", "c", k, f"S{s}", f) for k, q in enumerate(sets) for s, f in enumerate(q)]
+    rows += [("sp", "c", 99, "S1", 0.6), ("sp", "c", 99, "S2", 0.5)]
+    got = analyses.repolarised(spark.createDataFrame(rows, "species string, contig string, pos bigint, sample string, f double").coalesce(1), "S99")
+    assert {r["pos"] for r in got.filter("turned").collect()} == {99}
