@@ -105,7 +105,9 @@ def species_profile(spark: SparkSession, path: str, value: str = "coverage") ->
 def packed_cells(lines: DataFrame, names: list[str], values: list[str], sep: str = "\t") -> DataFrame:
     """Long rows of lines whose first fields are ``names`` and whose others are cells ``a,b,...``."""
     parts = F.split("value", sep)
-    cells = lines.select(*[F.get(parts, F.lit(k)).alias(n) for k, n in enumerate(names)], F.explode(F.slice(parts, len(names) + 1, F.greatest(F.size(parts) - len(names), F.lit(0)))).alias("_c"))
+    # split before the cells are made rows: beside the generator a line would be split again for each
+    made = lines.select(*[F.get(parts, F.lit(k)).alias(n) for k, n in enumerate(names)], F.slice(parts, len(names) + 1, F.greatest(F.size(parts) - len(names), F.lit(0))).alias("_cells"))
+    cells = made.select(*names, F.explode("_cells").alias("_c"))
     inner = F.split("_c", ",")
     return cells.filter(F.col("_c").contains(",")).select(*names, *[F.get(inner, F.lit(k)).cast("double").alias(v) for k, v in enumerate(values)])
 

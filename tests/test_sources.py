@@ -151,3 +151,16 @@ def test_general_numbers_are_those_of_printf(spark):
     got = dict(rows.select("id", packed.general(F.col("v"))).collect())
     assert got == {**{k: "%g" % x for k, x in enumerate(numbers)}, len(numbers): None}
     assert rows.filter("id = 12").select(packed.general(F.col("v"), 3)).first()[0] == "1.23e+03"
+
+
+def test_a_line_is_not_split_again_for_each_of_its_cells(spark):
+    from lociweave.sources import packed
+
+    lines = spark.createDataFrame([("a,b,1:2;3:4",)], "value string")
+    made = [
+        packed.from_contig_lists(lines), packed.from_ratio_cells(lines, ["x"], "bin"),
+        packed.from_snp_lines(lines), packed.from_set_lines(lines, "x", "y"), packed.from_cells(lines, ["x"], {"y": "bigint"}),
+    ]
+    for rows in made:
+        above = rows._jdf.queryExecution().optimizedPlan().toString().split("Generate explode")
+        assert len(above) == 2 and "split(value" not in above[0]
