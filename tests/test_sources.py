@@ -158,7 +158,7 @@ def test_a_line_is_not_split_again_for_each_of_its_cells(spark):
 
     lines = spark.createDataFrame([("a,b,1:2;3:4",)], "value string")
     made = [
-        packed.from_contig_lists(lines), packed.from_ratio_cells(lines, ["x"], "bin"),
+        packed.from_contig_lists(lines), packed.from_ragged(lines, ["x"], {"y": "string"})[1], packed.from_ratio_cells(lines, ["x"], "bin"),
         packed.from_snp_lines(lines), packed.from_set_lines(lines, "x", "y"), packed.from_cells(lines, ["x"], {"y": "bigint"}),
     ]
     for rows in made:
