@@ -81,23 +81,39 @@ class Clumps:
         return len(self.names) - 1
 
 
+def _put_together(names: list[str], sizes: list[int], most: int) -> tuple[list[str], list[int], list[int]]:
+    """(haplotype, n, members) of the clumps of one window's haplotypes, the first of which come first."""
+    clumps, n, members = Clumps(len(names[0]), most), [], []
+    for name, size in zip(names, sizes, strict=True):
+        k = clumps.add(name)
+        if k == len(n):
+            n.append(0)
+            members.append(0)
+        n[k] += size
+        members[k] += 1
+    return clumps.names, n, members
+
+
 def clumped_windows(counts: DataFrame, most: int = 1) -> DataFrame:
-    """(window, first_pos, last_pos, haplotype, n, members): each window's haplotypes put together, from the most common on, with the first clump within ``most`` known places; a window has a cohort's haplotypes at most."""
-
-    def made(t: pd.DataFrame) -> pd.DataFrame:
-        t = t.sort_values(["n", "haplotype"], ascending=[False, True])
-        clumps, n, members = Clumps(len(t["haplotype"].iloc[0]), most), [], []
-        for name, size in zip(t["haplotype"], t["n"], strict=True):
-            k = clumps.add(name)
-            if k == len(n):
-                n.append(0)
-                members.append(0)
-            n[k] += size
-            members[k] += 1
-        head = {c: t[c].iloc[0] for c in (*WINDOW, "first_pos", "last_pos")}
-        return pd.DataFrame({**head, "haplotype": clumps.names, "n": n, "members": members})
-
-    return counts.groupBy(*WINDOW).applyInPandas(made, "species string, contig string, window bigint, first_pos bigint, last_pos bigint, haplotype string, n bigint, members bigint")
+    """(window, first_pos, last_pos, haplotype, n, members): each window's haplotypes put together, from the most common on, with the first clump within ``most`` known places; a window has a cohort's haplotypes at most.
+
+    A window is a row with its haplotypes in a list, and Python takes batches of windows:
+    a group of its own for each of many small windows costs far more than its clumps.
+    """
+    ordered = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("_m"), F.col("haplotype"))))
+    held = counts.groupBy(*WINDOW).agg(F.first("first_pos").alias("first_pos"), F.first("last_pos").alias("last_pos"), ordered.alias("_h"))
+    held = held.select(*WINDOW, "first_pos", "last_pos", F.transform("_h", lambda x: x["haplotype"]).alias("_names"), F.transform("_h", lambda x: -x["_m"]).alias("_sizes"))
+
+    @F.pandas_udf("array<struct<haplotype:string,n:bigint,members:bigint>>")
+    def made(names: pd.Series, sizes: pd.Series) -> pd.Series:
+        out = []
+        for one, n in zip(names, sizes, strict=True):
+            got = _put_together(one.tolist(), n.tolist(), most)
+            out.append([{"haplotype": h, "n": k, "members": m} for h, k, m in zip(*got, strict=True)])
+        return pd.Series(out, dtype=object)
+
+    clumps = held.select(*WINDOW, "first_pos", "last_pos", made("_names", "_sizes").alias("_c"))
+    return clumps.select(*WINDOW, "first_pos", "last_pos", F.explode("_c").alias("_c")).select(*WINDOW, "first_pos", "last_pos", "_c.haplotype", "_c.n", "_c.members")
 
 
 def window_homozygosity(counts: DataFrame) -> DataFrame:

@@ -321,3 +321,20 @@ def test_clumps_by_index_are_those_of_a_plain_loop(most, unknown):
             size, members = got.get(k, (0, 0))
             got[k] = (size + n, members + 1)
         assert [(held.names[k], *got[k]) for k in range(len(held.names))] == R.clump(names, sizes, most)
+
+
+def test_clumped_windows_take_windows_in_batches(spark):
+    rng = np.random.default_rng(8)
+    rows = {}
+    for w in range(60):
+        for _ in range(int(rng.integers(1, 9))):
+            rows["sp", "c", w, 10 * w, 10 * w + 9, "".join(rng.choice(list("01N"), 10, p=[0.4, 0.4, 0.2]))] = int(rng.integers(1, 4))
+    schema = "species string, contig string, window bigint, first_pos bigint, last_pos bigint, haplotype string, n bigint"
+    got = haplowindows.clumped_windows(spark.createDataFrame([(*k, n) for k, n in rows.items()], schema), 2)
+    want = []
+    for w in range(60):
+        clumps = haplowindows.Clumps(10, 2)
+        made = [(clumps.add(h), n) for n, h in sorted(((n, k[5]) for k, n in rows.items() if k[2] == w), key=lambda x: (-x[0], x[1]))]
+        want += [("sp", "c", w, 10 * w, 10 * w + 9, name, sum(n for i, n in made if i == k), sum(i == k for i, _ in made)) for k, name in enumerate(clumps.names)]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().optimizedPlan().toString()
