@@ -407,7 +407,8 @@ def assigned(sites: DataFrame, centroids: DataFrame, near: float = 3.5) -> DataF
     species. The distance weighs a sample by its depth and by the variance that its frequencies allow.
     """
     c = centroids.select("species", "cluster", "sample", F.col("f").alias("_cf"), F.col("depth").alias("_cd"))
-    rows = sites.filter("depth > 0").join(F.broadcast(c), ["species", "sample"])
+    # by site first: the rows of a site with each cluster then stay in their task and are never shuffled
+    rows = sites.filter("depth > 0").repartition(*SITE).join(F.broadcast(c), ["species", "sample"])
 
     def term(f: Column) -> Column:
         spread = (f + F.col("_cf")) * (2 - f - F.col("_cf"))

@@ -151,3 +151,14 @@ def test_a_mean_of_one_half_turns_no_site_in_any_order(spark):
     rows += [("sp", "c", 99, "S1", 0.6), ("sp", "c", 99, "S2", 0.5)]
     got = analyses.repolarised(spark.createDataFrame(rows, "species string, contig string, pos bigint, sample string, f double").coalesce(1), "S99")
     assert {r["pos"] for r in got.filter("turned").collect()} == {99}
+
+
+def test_sites_meet_the_clusters_without_a_shuffle_of_both(spark):
+    from lociweave.operators import analyses
+
+    sites = spark.createDataFrame([("sp", "c", k, f"S{s}", 0.1 + 0.8 * (k % 2), 20) for k in range(6) for s in range(3)], "species string, contig string, pos bigint, sample string, f double, depth bigint")
+    centroids = spark.createDataFrame([("sp", k, f"S{s}", f, 20.0) for k, f in enumerate((0.12, 0.5)) for s in range(3)], "species string, cluster int, sample string, f double, depth double")
+    got = analyses.assigned(sites, centroids)
+    exchanges = [x for x in got._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in x]
+    assert len(exchanges) == 1 and "cluster" not in exchanges[0]
+    assert sorted(map(tuple, got.collect())) == [("sp", "c", k, 0, k % 2 == 1) for k in range(6)]
