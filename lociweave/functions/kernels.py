@@ -130,12 +130,9 @@ def alt_threshold(depth: int, least: int = 2, pvalue: float = 0.05) -> int:
 
 
 def trajectory_gains(alts: np.ndarray, depths: np.ndarray, cap: float = ERROR) -> np.ndarray:
-    """For each row of ``alts``, the log-likelihood gain of a frequency of its own for every sample outside the band that noise explains."""
+    """For each row of ``alts``, the log-likelihood gain of a frequency of its own for every sample outside the band that noise explains; ``depths`` is one row for all or one for each."""
     alts, depths = np.atleast_2d(np.asarray(alts, float)), np.asarray(depths, float)
-    total = depths.sum()
-    if not total:
-        return np.zeros(len(alts))
-    p = np.minimum(alts.sum(1) / total, cap)[:, None]
+    p = np.minimum(alts.sum(1) / np.maximum(depths.sum(-1), 1), cap)[:, None]
     mean, sd = depths * p, np.sqrt(depths * p * (1 - p))
     low = np.maximum(0, np.minimum(np.floor(mean) - 0.5, mean - sd))
     high = np.minimum(depths, np.maximum(np.ceil(mean) + 0.5, mean + sd))
@@ -150,21 +147,87 @@ def trajectory_lrt(alts: np.ndarray, depths: np.ndarray) -> float:
     return float(trajectory_gains(alts, depths)[0])
 
 
-def trajectory_pvalue(alts: np.ndarray, depths: np.ndarray, seed: int, draws: int = 10_000, enough: int = 100) -> float:
-    """(k + 1) / (n + 1) for the share of simulated trajectories that gain as much; stops once more than ``enough`` do."""
-    alts, depths = np.asarray(alts), np.asarray(depths)
+def _least_errors(seen: np.ndarray, total: np.ndarray, cap: float = ERROR) -> np.ndarray:
+    """No trajectory of ``total`` reads with fewer alternate ones gains ``seen``; 0 where that says nothing.
+
+    A gain is at most what a frequency of ``cap`` loses against certainty on each read,
+    ``-e ln cap - (total - e) ln(1 - cap)``, once e reaches ``cap`` of the reads.
+    """
+    e = np.ceil((seen * (1 - 1e-9) + total * math.log1p(-cap)) / math.log((1 - cap) / cap) - 1e-9)
+    return np.where(e >= cap * total, e, 0).astype(np.int64)
+
+
+def trajectory_pvalue(alts: np.ndarray, depths: np.ndarray, seed: int, draws: int = 10_000, enough: int = 100, some: float | None = None) -> float:
+    """(k + 1) / (n + 1) for the share of simulated trajectories that gain as much; stops once more than ``enough`` do.
+
+    Of the ``draws`` only those are carried out that have enough alternate reads to gain as
+    much. How many these are is drawn first, then the reads of each, so k is distributed
+    as if all were. With ``some``, there is such a draw with that chance.
+    """
+    alts, depths = np.asarray(alts), np.asarray(depths, dtype=np.int64)
     seen = trajectory_lrt(alts, depths)
     if seen <= 0:
         return 1.0
-    p = min(alts.sum() / depths.sum(), ERROR)
+    total = int(depths.sum())
+    p = min(alts.sum() / total, ERROR)
     rng, hits, n = np.random.default_rng(seed), 0, 0
+    least = int(_least_errors(seen, total))
+    pmf = binomial_pmf(np.arange(least, total + 1), total, p)
+    q = float(min(pmf.sum(), 1.0)) if least else 1.0
+    if q <= 0:
+        return 1 / (draws + 1)
+    if some is None:
+        left = int(rng.binomial(draws, q))
+    else:
+        # the first such draw, and those after it
+        first = math.ceil(math.log1p(rng.random() * math.expm1(draws * math.log1p(-q))) / math.log1p(-q)) if rng.random() < some else draws + 1
+        left = 1 + int(rng.binomial(draws - max(first, 1), q)) if first <= draws else 0
+    if not left:
+        return 1 / (draws + 1)
+    cdf = np.cumsum(pmf) / pmf.sum()
     while n < draws and hits <= enough:
-        size = min(500, draws - n)
-        hits += int((trajectory_gains(rng.binomial(depths, p, size=(size, len(depths))), depths) >= seen).sum())
+        # too few are left to stop early
+        size = draws - n if least and hits + left <= enough else min(500, draws - n)
+        if least:
+            now = int(rng.hypergeometric(left, draws - n - left, size))
+            reads, times = np.unique(least + np.searchsorted(cdf, rng.random(now), side="right").clip(max=len(cdf) - 1), return_counts=True)
+            drawn = [rng.multivariate_hypergeometric(depths, int(e), size=int(k), method="marginals") for e, k in zip(reads, times, strict=True)]
+            drawn, left = np.concatenate(drawn) if drawn else np.zeros((0, len(depths))), left - now
+        else:
+            drawn = rng.binomial(depths, p, size=(size, len(depths)))
+        hits += int((trajectory_gains(drawn, depths) >= seen).sum()) if len(drawn) else 0
         n += size
     return (hits + 1) / (n + 1)
 
 
+def trajectory_pvalues(alts: np.ndarray, depths: np.ndarray, seeds: np.ndarray, draws: int = 10_000, enough: int = 100) -> np.ndarray:
+    """``trajectory_pvalue`` of each row.
+
+    Where a bound on the chance of any draw with enough alternate reads is small, a uniform
+    number of the seed says whether there can be one; if so, or if it is not small, the row
+    is simulated.
+    """
+    seen, total = trajectory_gains(alts, depths), depths.sum(1)
+    out = np.where(seen > 0, 1 / (draws + 1), 1.0)
+    p, least = np.minimum(alts.sum(1) / np.maximum(total, 1), ERROR), _least_errors(seen, total)
+    f = np.minimum(least / np.maximum(total, 1), 1 - 1e-12)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        bound = draws * np.exp(-total * (np.where(f > 0, f * np.log(f / p), 0) + (1 - f) * np.log((1 - f) / (1 - p))))
+    bound = np.where(least > total, 0.0, np.where(f > p, bound, draws))
+    x = seeds.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    uniform = ((x ^ (x >> np.uint64(31))) >> np.uint64(11)) * 2.0**-53
+    rare = bound <= 0.01
+    for k in np.flatnonzero((seen > 0) & ~(rare & (uniform >= bound))):
+        some = None
+        if rare[k]:
+            q = binomial_tail(int(least[k]), int(total[k]), float(p[k]))
+            some = -math.expm1(draws * math.log1p(-q)) / bound[k]
+        out[k] = trajectory_pvalue(alts[k], depths[k], int(seeds[k]), draws, enough, some)
+    return out
+
+
 def fixation_parts(depths: np.ndarray, alts: np.ndarray, n: np.ndarray, lower: float = 0.2, upper: float = 0.8, bins: int = 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of one sample, for true frequencies on ``bins`` bins: sites there, and the chances to read low and high at its depths."""
     mids = (np.arange(bins) + 0.5) / bins

@@ -20,7 +20,11 @@ def trajectory_pvalues(counts: DataFrame, draws: int = 10_000) -> DataFrame:
 
     @F.pandas_udf("double")
     def pvalue(alts: pd.Series, depths: pd.Series, seed: pd.Series) -> pd.Series:
-        return pd.Series([K.trajectory_pvalue(np.asarray(a), np.asarray(d), int(s) & _SEED, draws) for a, d, s in zip(alts, depths, seed, strict=True)], dtype="float64")
+        out, seeds, sizes = np.empty(len(alts)), seed.to_numpy() & _SEED, alts.map(len).to_numpy()
+        for n in np.unique(sizes):
+            on = np.flatnonzero(sizes == n)
+            out[on] = K.trajectory_pvalues(np.stack(alts.to_numpy()[on]), np.stack(depths.to_numpy()[on]), seeds[on], draws)
+        return pd.Series(out)
 
     return lists.select(*SITE, pvalue("alts", "depths", "seed").alias("pvalue"))
 

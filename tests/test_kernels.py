@@ -106,3 +106,33 @@ def test_signed_rank_interval_is_what_the_test_does_not_reject(n):
 def test_inverse_erfc():
     for y in (1.0, 0.5, 0.05, 1e-6):
         assert math.erfc(K.inverse_erfc(y)) == pytest.approx(y, rel=1e-9)
+
+
+def test_trajectory_draws_that_cannot_gain_are_not_carried_out(monkeypatch):
+    rng = np.random.default_rng(2)
+    depths = rng.integers(10, 60, (400, 8))
+    alts = rng.binomial(depths, rng.choice([0.01, 0.03, 0.08], (400, 1)))
+    alts[:40] = depths[:40] // 2
+    whole = K.trajectory_gains
+
+    def plain(a, d, seed, draws):
+        p, r = min(a.sum() / d.sum(), K.ERROR), np.random.default_rng(seed)
+        return ((whole(r.binomial(d, p, size=(draws, len(d))), d) >= whole(a, d)[0]).sum() + 1) / (draws + 1)
+
+    carried = []
+    monkeypatch.setattr(K, "trajectory_gains", lambda a, d, *x: carried.append(len(np.atleast_2d(a))) or whole(a, d, *x))
+    got = K.trajectory_pvalues(alts, depths, np.arange(400), draws=4000, enough=4000)
+    assert sum(carried) < 400 * 4000 / 2
+    want = np.array([plain(a, d, 7 + k, 4000) if whole(a, d)[0] > 0 else 1.0 for k, (a, d) in enumerate(zip(alts, depths, strict=True))])
+    sd = np.sqrt(2 * np.maximum(want, 1 / 4000) * (1 - want) / 4000)
+    assert (np.abs(got - want) <= 5 * sd + 3 / 4001).all() and abs(((got - want) / (sd + 1e-9)).mean()) < 0.3
+    assert (got[:40] == 1 / 4001).all()
+
+
+def test_trajectory_no_draw_below_the_least_errors_gains_as_much():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        depths = rng.integers(1, 40, 5)
+        drawn = rng.binomial(depths, rng.choice([0.02, 0.1, 0.4]), size=(50, 5))
+        gains = K.trajectory_gains(drawn, depths)
+        assert (drawn.sum(1) >= K._least_errors(gains, depths.sum())).all()
