@@ -11,13 +11,15 @@ allow.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.storagelevel import StorageLevel
 
 from lociweave.functions import kernels as K
@@ -30,6 +32,8 @@ SITE = ("species", "contig", "pos")
 #: SNVs of a block, about, and stretches of the projection that blocks are cut by.
 BLOCK = 2048
 STRETCHES = 32
+#: A depth class's stretch with less than this part of a block's SNVs is no block of its own.
+FEW = 32
 
 
 def best_covered(rows: DataFrame, most: int) -> DataFrame:
@@ -58,11 +62,16 @@ def snv_vectors(rows: DataFrame) -> DataFrame:
 
 
 def _blocks(vectors: DataFrame) -> DataFrame:
-    """``vectors`` with ``block``, and of each block its depth class and range of projections; blocks with gaps (class -1) have none."""
+    """``vectors`` with ``block``, and of each block its depth class and range of projections; blocks of SNVs with gaps or from sparse ranges (class -1) have none."""
     least = F.array_min("ds")
     total = F.aggregate("fs", F.lit(0.0), lambda s, x: s + x) / F.size("fs")
     rows = vectors.withColumn("_key", F.least(total, 1 - total)).withColumn("_class", F.when(least > 0, F.floor(F.log2(F.greatest(least, F.lit(1.0))))).otherwise(F.lit(-1)).cast("int"))
     rows = rows.withColumn("_part", F.when(F.col("_class") < 0, F.lit(0)).otherwise(F.floor(F.col("_key") * 2 * STRETCHES)).cast("int"))
+    # cells of few SNVs would be met one by one: they are compared with all others instead
+    cells = rows.groupBy("species", "_class", "_part").agg(F.count(F.lit(1)).alias("_n"))
+    rows = rows.join(cells, ["species", "_class", "_part"])
+    few = (F.col("_n") < BLOCK // FEW) | (F.col("_class") < 0)
+    rows = rows.withColumn("_part", F.when(few, 0).otherwise(F.col("_part"))).withColumn("_class", F.when(few, -1).otherwise(F.col("_class"))).drop("_n")
     sizes = rows.groupBy("species", "_class", "_part").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_subs"))
     return rows.join(sizes, ["species", "_class", "_part"]).withColumn("block", F.struct("_class", "_part", F.pmod(F.xxhash64("contig", "pos"), F.col("_subs")).alias("_sub"))).drop("_class", "_part", "_subs")
 
@@ -142,44 +151,149 @@ def links(vectors: DataFrame, near: float = 3.5) -> DataFrame:
     return held.select(*SITE, "fs", "ds", "side", tile.alias("tile")).groupBy("species", "tile").applyInArrow(_linker(near), _LINK)
 
 
+def near_rows(f1: np.ndarray, d1: np.ndarray, f2: np.ndarray, d2: np.ndarray, near: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each row of the first SNVs, which of the second lie nearer than ``near`` and which of all lie nearer turned; the same from either side, to the last bit."""
+    f, d = np.ascontiguousarray(f2.T), np.ascontiguousarray(d2.T)
+    gap, both, depth = np.empty_like(f), np.empty_like(f), np.empty_like(f)
+
+    def distance(v: np.ndarray, s: np.ndarray) -> np.ndarray:
+        # both alleles of both are fixed alike there: nothing is known, and v is 0
+        alike = s <= 0
+        s += alike
+        v *= depth
+        v /= s
+        return 2 * v.sum(axis=0) / (len(f) - alike.sum(axis=0))
+
+    with np.errstate(invalid="ignore"):
+        for own, reads in zip(f1, d1, strict=True):
+            np.add(reads[:, None], d, out=depth)
+            np.subtract(own[:, None], f, out=gap)
+            gap *= gap
+            np.add(own[:, None], f, out=both)
+            away = 1 - both
+            away *= away
+            both *= 2 - both
+            back = distance(away, 1 - gap)
+            forward = distance(gap, both)
+            yield np.fmin(forward, back) < near, back < forward
+
+
+def _matrices(t: pa.Table | pa.RecordBatch, rows: np.ndarray) -> list[np.ndarray]:
+    """Frequencies and depths of the given ``rows``, which are of one species."""
+    return [pc.list_flatten(t.column(c).take(pa.array(rows))).to_numpy(zero_copy_only=False).reshape(len(rows), -1) for c in ("fs", "ds")]
+
+
+def _link_bits(sides: DataFrame, near: float) -> DataFrame:
+    """(site, with, bits): for each SNV of a tile and the block ``with`` that it meets there, a bit for each place ``at`` of that block, set for a link.
+
+    Sides are 1 and 2, or 0 for SNVs of one block; rows without a link are left out.
+    """
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        side, at = t["side"].to_numpy(), t["at"].to_numpy()
+        own, other = (np.flatnonzero(side != k) for k in (2, 1))
+        own, other = own[np.argsort(at[own])], other[np.argsort(at[other])]
+        parts = [(own, other, 2)] if (side == 0).any() else [(own, other, 2), (other, own, 1)]
+        near_of = np.zeros((len(own), len(other)), dtype=bool)
+        if len(own) and len(other):
+            for k, (on, _) in enumerate(near_rows(*_matrices(t, own), *_matrices(t, other), near)):
+                near_of[k] = on
+        out = []
+        for (rows, met, far), m in zip(parts, (near_of, near_of.T), strict=False):
+            some = np.flatnonzero(m.any(axis=1)) if len(met) else np.zeros(0, dtype=np.int64)
+            packed = np.packbits(m[some], axis=1)
+            block = t["two" if far == 2 else "one"].take(pa.array(np.zeros(len(some), dtype=np.int64)))
+            out.append(t.select(list(SITE)).take(pa.array(rows[some])).append_column("with", block).append_column("bits", pa.array([x.tobytes() for x in packed], pa.binary())))
+        return pa.concat_tables(out)
+
+    spark = sides.sparkSession
+    # tiles are small and take long, so their number of tasks must not follow from their bytes
+    tasks = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return sides.repartition(tasks, "species", "one", "two").groupBy("species", "one", "two").applyInArrow(run, "species string, contig string, pos bigint, with string, bits binary")
+
+
+def _counted(bits: DataFrame, among: DataFrame) -> DataFrame:
+    """(site, n): to how many SNVs of ``among`` (a row stands for ``w``) each SNV is linked, if any."""
+
+    @F.pandas_udf("long")
+    def weighed(bits: pd.Series, ats: pd.Series, ws: pd.Series) -> pd.Series:
+        out = np.zeros(len(bits), dtype=np.int64)
+        # rows of one block have equal lists, and most batches few blocks
+        for _, on in pd.Series(np.arange(len(bits))).groupby([bits.map(len).to_numpy(), ats.map(lambda x: x.tobytes()).to_numpy()]):
+            on = on.to_numpy()
+            sets = np.unpackbits(np.frombuffer(b"".join(bits.to_numpy()[on]), dtype=np.uint8).reshape(len(on), -1), axis=1)
+            # sums of counts below 2^53 are exact
+            out[on] = sets[:, ats.iloc[on[0]]].astype(np.float64) @ np.asarray(ws.iloc[on[0]], dtype=np.float64)
+        return pd.Series(out)
+
+    lists = among.groupBy("species", F.col("block").alias("with")).agg(F.array_sort(F.collect_list(F.struct("at", "w"))).alias("_l"))
+    held = bits.join(lists.select("species", "with", F.col("_l.at").alias("_at"), F.col("_l.w").alias("_w")), ["species", "with"])
+    return held.select(*SITE, weighed("bits", "_at", "_w").alias("n")).groupBy(*SITE).agg(F.sum("n").alias("n")).filter("n > 0")
+
+
+def _linked_to(seeds: dict[str, tuple], near: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The rows that are linked to their species' seed, with whether turned and how many links the seed has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            species = np.array(batch.column("species").to_pylist(), dtype=object)
+            for name in sorted(seeds.keys() & set(species)):
+                rows = np.flatnonzero(species == name)
+                f, d, size = seeds[name]
+                ((on, turned),) = near_rows(f, d, *_matrices(batch, rows), near)
+                held = batch.take(pa.array(rows[on]))
+                yield held.append_column("turned", pa.array(turned[on])).append_column("size", pa.array(np.full(on.sum(), size)))
+
+    return run
+
+
 def snv_clusters(vectors: DataFrame, near: float = 3.5, share: float = 0.25, least: int = 10, most: int = 10) -> DataFrame:
     """(site, cluster, turned): up to ``most`` clusters of a species, numbered from 0.
 
     The SNV with the most links among those still free is a seed (of equal ones that of the
     least mean depth, then the last by place); of its links those stay that are linked to more
     than ``share`` of them all. A seed with fewer than ``least`` links ends its species.
+
+    SNVs of equal vectors have equal links and go one way, so the last of them by place stands
+    for all. Links, which may be as many as pairs of SNVs, are kept as bits; a round takes
+    those of the SNVs that leave off the counts. The driver gets the seeds, a row a species.
     """
     spark = vectors.sparkSession
-    found = cut(links(vectors, near))
-    swapped = [F.col(f"{c}_{3 - k}").alias(f"{c}_{k}") for k in (1, 2) for c in ("contig", "pos")]
-    back = found.filter("contig_1 <> contig_2 or pos_1 <> pos_2").select("species", *swapped, "turned")
-    free = found.unionByName(back)
-    order = vectors.select("species", F.col("contig").alias("contig_1"), F.col("pos").alias("pos_1"), "mean")
-    order, parts = cut(order), []
+    last = F.max(F.struct("contig", "pos"))
+    alike = vectors.groupBy("species", "mean", "fs", "ds").agg(last.alias("_last"), F.count(F.lit(1)).alias("w"))
+    blocks = cut(_blocks(cut(alike.select("species", "_last.contig", "_last.pos", "mean", "fs", "ds", "w"))))
+    named = lambda c: F.concat_ws("|", *[F.col(f"{c}.{x}").cast("string") for x in ("_class", "_part", "_sub")])
+    tiles = cut(_tiles(blocks, near).select("species", named("a").alias("one"), named("b").alias("two")))
+    # a block has about BLOCK rows
+    rows = blocks.select(*SITE, "mean", "fs", "ds", "w", named("block").alias("block"))
+    rows = cut(rows.withColumn("at", F.row_number().over(Window.partitionBy("species", "block").orderBy("contig", "pos")) - 1))
+    same = F.col("one") == F.col("two")
+    side = lambda x, n, held: rows.withColumnRenamed("block", x).join(held, ["species", x]).select(*SITE, "fs", "ds", "at", n.alias("side"), "one", "two")
+    sides = side("one", F.when(same, 0).otherwise(1), tiles).unionByName(side("two", F.lit(2), tiles.filter(~same)))
+    bits = cut(_link_bits(sides, near))
+    free, parts = cut(rows.join(_counted(bits, rows), list(SITE))), []
     for k in range(most):
-        degree = free.groupBy("species", "contig_1", "pos_1").agg(F.count(F.lit(1)).alias("_n")).join(order, ["species", "contig_1", "pos_1"])
-        # one row a species
-        seeds = degree.groupBy("species").agg(F.max(F.struct("_n", (-F.col("mean")).alias("_m"), "contig_1", "pos_1")).alias("_s")).filter(F.col("_s._n") >= least).select("species", "_s.contig_1", "_s.pos_1", F.col("_s._n").alias("_size"))
-        group = free.join(F.broadcast(seeds), ["species", "contig_1", "pos_1"]).select("species", F.col("contig_2").alias("contig"), F.col("pos_2").alias("pos"), "turned", "_size")
-        # a round is a plan of its own, whatever came before it
-        group = cut(group)
-        if group.isEmpty():
+        densest = free.groupBy("species").agg(F.max(F.struct("n", (-F.col("mean")).alias("_m"), "contig", "pos", "fs", "ds")).alias("_s")).filter(F.col("_s.n") >= least)
+        seeds = {r["species"]: (np.array([r["fs"]]), np.array([r["ds"]]), r["n"]) for r in densest.select("species", "_s.*").collect()}
+        if not seeds:
             break
-        ends = [group.select("species", F.col("contig").alias(f"contig_{s}"), F.col("pos").alias(f"pos_{s}")) for s in (1, 2)]
-        inside = free.join(ends[0], ["species", "contig_1", "pos_1"], "left_semi").join(ends[1], ["species", "contig_2", "pos_2"], "left_semi")
-        count = inside.groupBy("species", F.col("contig_1").alias("contig"), F.col("pos_1").alias("pos")).agg(F.count(F.lit(1)).alias("_in"))
-        kept = group.join(count, list(SITE)).filter(F.col("_in") > share * F.col("_size")).select(*SITE, F.lit(k).cast("bigint").alias("cluster"), "turned")
-        kept = cut(kept)
-        parts.append(kept)
-        for s in (1, 2):
-            free = free.join(kept.select("species", F.col("contig").alias(f"contig_{s}"), F.col("pos").alias(f"pos_{s}")), ["species", f"contig_{s}", f"pos_{s}"], "left_anti")
-        free = cut(free.select(*found.columns))
+        group = free.drop("n")
+        schema = T.StructType([*group.schema.fields, T.StructField("turned", T.BooleanType()), T.StructField("size", T.LongType())])
+        group = cut(group.mapInArrow(_linked_to(seeds, near), schema))
+        inside = _counted(bits.join(group.select(*SITE), list(SITE), "left_semi"), group).withColumnRenamed("n", "_in")
+        kept = cut(group.join(inside, list(SITE)).filter(F.col("_in") > share * F.col("size")))
+        parts.append(kept.select("species", "mean", "fs", "ds", F.lit(k).cast("bigint").alias("cluster"), "turned"))
+        if k + 1 < most:
+            left = free.join(kept.select(*SITE), list(SITE), "left_anti")
+            gone = _counted(bits, kept).withColumnRenamed("n", "_gone")
+            free = cut(left.join(gone, list(SITE), "left").withColumn("n", F.col("n") - F.coalesce("_gone", F.lit(0))).drop("_gone").filter("n > 0"))
     if not parts:
         return spark.createDataFrame([], "species string, contig string, pos bigint, cluster bigint, turned boolean")
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    return vectors.join(out, ["species", "mean", "fs", "ds"]).select(*SITE, "cluster", "turned")
 
 
 def strain_sites(counts: DataFrame, snvs: int = 20_000, least_depth: int = 5) -> DataFrame:

@@ -87,3 +87,17 @@ def test_chain_finds_the_strains(spark):
 def test_frequencies_and_intervals(spark):
     got = strains.strains(spark.createDataFrame(planted(6, 300, 6, 0.0), COUNTS)).collect()
     assert all(r["quantile_25"] <= r["quantile_75"] and r["lower_ci"] <= r["freq"] <= r["upper_ci"] for r in got) and len({r["strain"] for r in got}) == 3
+
+
+def test_links_leave_tasks_as_bits_and_sparse_cells_share_blocks(spark, monkeypatch):
+    # 200 SNVs of few vectors and varied depths: all are linked, and no row of links is made for each two
+    rng = np.random.default_rng(7)
+    rows = [("sp", "c", p, f"s{s}", int(4 ** (1 + p % 5)) * 5, int(4 ** (1 + p % 5)) * 2) for p in range(200) for s in range(3)]
+    vectors = strains.snv_vectors(strains.strain_sites(spark.createDataFrame(rows, COUNTS))).cache()
+    assert strains._blocks(vectors).select("block").distinct().count() == 1
+    whole, made = strains._link_bits, []
+    monkeypatch.setattr(strains, "_link_bits", lambda *x: made.append(whole(*x)) or made[-1])
+    monkeypatch.setattr(strains, "links", None)
+    got = {(r["contig"], r["pos"]): (r["cluster"], r["turned"]) for r in strains.snv_clusters(vectors).collect()}
+    assert got == by_kernel(vectors) and len(got) == 200
+    assert made[0].count() == 5
