@@ -242,38 +242,83 @@ def _prefixes(docs: DataFrame, groups: DataFrame, key: str, text: str) -> DataFr
     return each.select("c", "root", F.get("firsts", F.lit(0)).cast("int").alias("n"), places)
 
 
+def _opened(tokens: DataFrame) -> tuple[DataFrame, str]:
+    """(c, root, n, ats, ts, fs, gone), and where it is: the open shingles of the prefix of each class that may have a partner.
+
+    ``tokens`` is that of ``_prefixes``, or a part of it that holds all open shingles. A shingle
+    whose classes all have one root is closed, and links nothing. Partners have four fifths of
+    a class's n shingles at least, so the first n / 25 + 1 shared ones are in both prefixes and
+    open. What is closed and stands before as many open ones is shared with no partner: ``gone``
+    of the n are not, and a class with more than a fifth gone has no partner.
+    """
+    count = tokens.groupBy(F.col("t").alias("_t")).agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.count(F.lit(1)).alias("f")).filter("_lo != _hi").select("_t", "f")
+    open_, path = held_at(count, "open")
+    rows = tokens.join(checked(open_), F.col("t") == F.col("_t")).drop("_t")
+    held = rows.groupBy("c", "root", "n").agg(F.array_sort(F.collect_list(F.struct("at", "t", "f"))).alias("o"))
+    most = F.floor(F.col("n") / 25).cast("int")
+    held = held.filter(F.size("o") > most).withColumn("gone", F.get("o.at", most) - most).filter(F.lit(5) * (F.col("n") - F.col("gone")) >= F.lit(4) * F.col("n"))
+    out = held_at(held.select("c", "root", "n", F.col("o.at").alias("ats"), F.col("o.t").alias("ts"), F.col("o.f").alias("fs"), "gone"), "opened")
+    dropped(tokens.sparkSession, path)
+    return out
+
+
+def _rare(part: float) -> Column:
+    """Of the open shingles of ``_opened`` among the first ``part`` of all n and n / 25 + 1 more, all but the n / 25 that most classes have."""
+    most = F.floor(F.col("n") / 25).cast("int")
+    first = F.filter(F.arrays_zip("fs", "ts", "ats"), lambda x: x["ats"] <= F.floor(F.col("n") / part) + most)
+    order = F.array_sort(F.transform(first, lambda x: F.struct(x["fs"].alias("f"), x["ts"].alias("t"))))
+    return F.slice(order, F.lit(1), F.greatest(F.size(order) - most, F.lit(0)))["t"]
+
+
+def _fit(a: str, b: str) -> Column:
+    """Whether two classes' sizes, and what is gone of each, allow a similarity of ``COPY_SHARE``."""
+    left = F.lit(9) * F.least(F.col(f"n_{a}") - F.col(f"gone_{a}"), F.col(f"n_{b}") - F.col(f"gone_{b}"))
+    return (F.col(f"root_{a}") != F.col(f"root_{b}")) & (left >= F.lit(4) * (F.col(f"n_{a}") + F.col(f"n_{b}")))
+
+
+def _side(x: str) -> list[Column]:
+    return [F.col(k).alias(f"{k}_{x}") for k in ("c", "root", "n", "gone")]
+
+
+def _central(held: DataFrame) -> DataFrame:
+    """(a, b): of the classes of ``_opened``, each with that one of each of its shingles of which least is gone, where both may be copies.
+
+    As many rows as shingles at most. The text that a large group's members were made from
+    has the least gone; members that met it in no bucket find it here.
+    """
+    tokens = lambda of, x: held.select(F.explode(of).alias(f"t_{x}"), *_side(x))
+    best = tokens(F.col("ts"), "b").groupBy("t_b").agg(F.min(F.struct("gone_b", "c_b", "root_b", "n_b")).alias("_b"))
+    best, path = held_at(best.select("t_b", "_b.*"), "central")
+    met = tokens(_rare(5), "a").join(best, F.col("t_a") == F.col("t_b")).filter(_fit("a", "b"))
+    out = written(met.select(F.least("c_a", "c_b").alias("a"), F.greatest("c_a", "c_b").alias("b")).distinct(), "nearest")
+    dropped(held.sparkSession, path)
+    return out
+
+
 def _unlinked(tokens: DataFrame) -> DataFrame:
     """(a, b): of classes with different roots, all pairs whose prefixes, sizes and places allow a similarity of ``COPY_SHARE``.
 
-    ``tokens`` is that of ``_prefixes``. A shingle whose classes all have one root is
-    closed, and links nothing. Partners have four fifths of a class's n shingles at least,
-    so they share n / 25 + 1 open shingles of its prefix or more; in one order for
-    all classes, rare ones first, the first shared one is followed by the others. So the
-    last n / 25 of a class's open shingles need not meet, and a class with no more
-    than these has no partner. The classes of a shingle are dealt into blocks, and each
-    two blocks meet in a group of their own; the pairs found are then counted on all
-    open shingles of both.
+    ``tokens`` is as in ``_opened``. Of two partners the smaller one has at most a ninth of its
+    shingles alone and the larger one a fifth, so the first n / 25 + 1 shared ones (n of the
+    smaller) are among as many more than a ninth of the smaller one's; in any order of
+    these, the last n / 25 need not meet, and most common ones are spared. The larger one's
+    are all met. The classes of a shingle are dealt into blocks, and each two blocks meet in
+    a group of their own; the pairs found are then counted on all open shingles of both.
     """
     spark = tokens.sparkSession
-    count = lambda rows: rows.groupBy(F.col("t").alias("_t")).agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.count(F.lit(1)).alias("f")).filter("_lo != _hi").select("_t", "f")
-    open_, path = held_at(count(tokens), "open")
-    rows = tokens.join(checked(open_), F.col("t") == F.col("_t")).drop("_t")
-    held = rows.groupBy("c", "root", "n").agg(F.array_sort(F.collect_list(F.struct("at", "t", "f"))).alias("o"))
-    held = held.filter(F.size("o") > F.floor(F.col("n") / 25))
-    held, held_path = held_at(held.select("c", "root", "n", F.col("o.at").alias("ats"), F.col("o.t").alias("ts"), F.array_sort(F.transform("o", lambda x: F.struct(x["f"].alias("f"), x["t"].alias("t")))).alias("rare")), "opened")
-    dropped(spark, path)
-    need = F.slice("rare", F.lit(1), (F.size("rare") - F.floor(F.col("n") / 25)).cast("int"))
-    kept = held.select("c", "root", "n", F.explode(need["t"]).alias("t"))
-    still, path = held_at(count(kept).select("_t", F.ceil(F.col("f") / BLOCK).cast("int").alias("blocks")), "still")
+    held, held_path = _opened(tokens)
+    larger = F.filter(F.arrays_zip("ts", "ats"), lambda x: x["ats"] <= F.floor(F.col("n") / 5) + F.floor(F.col("n") / 25))["ts"]
+    kept, kept_path = held_at(held.select("c", "root", "n", "gone", F.lit(True).alias("small"), F.explode(_rare(9)).alias("t")).union(held.select("c", "root", "n", "gone", F.lit(False), F.explode(larger))), "tokens")
+    still = kept.groupBy(F.col("t").alias("_t")).agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.max("small").alias("_small"), F.count(F.when(~F.col("small"), 1)).alias("f"))
+    still, path = held_at(still.filter("_lo != _hi and _small").select("_t", F.ceil(F.col("f") / BLOCK).cast("int").alias("blocks")), "still")
     kept = kept.join(checked(still), F.col("t") == F.col("_t")).withColumn("own", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
-    kept, kept_path = held_at(kept.select("c", "root", "n", "t", "blocks", "own"), "tokens")
-    dropped(spark, path)
-    side = lambda x: [F.col(k).alias(f"{k}_{x}") for k in ("c", "root", "n")]
     every = F.explode(F.expr("sequence(0, blocks - 1)"))
-    left = kept.select("t", F.col("own").alias("i"), every.alias("j"), *side("a"))
-    right = kept.select("t", every.alias("i"), F.col("own").alias("j"), *side("b"))
-    met = left.join(right, ["t", "i", "j"]).filter((F.col("c_a") < F.col("c_b")) & (F.col("root_a") != F.col("root_b")) & (F.lit(5) * F.least("n_a", "n_b") >= F.lit(4) * F.greatest("n_a", "n_b")))
-    pairs = written(met.select(F.col("c_a").alias("a"), F.col("c_b").alias("b")).distinct(), "met")
+    left = kept.filter("small").select("t", F.col("own").alias("i"), every.alias("j"), *_side("a"))
+    right = kept.filter("not small").select("t", every.alias("i"), F.col("own").alias("j"), *_side("b"))
+    smaller = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("c_a") < F.col("c_b")))
+    met = left.join(right, ["t", "i", "j"]).filter(smaller & _fit("a", "b"))
+    pairs = written(met.select(F.least("c_a", "c_b").alias("a"), F.greatest("c_a", "c_b").alias("b")).distinct(), "met")
+    dropped(spark, path, kept_path)
     whole = lambda x: held.select(F.col("c").alias(x), *[F.col(k).alias(f"{k}_{x}") for k in ("n", "ts", "ats")])
     both = pairs.join(whole("a"), "a").join(whole("b"), "b").withColumn("shared", F.array_intersect("ts_a", "ts_b"))
     # prefixes stand in one order, so the first shared shingle is the first one on both sides
@@ -282,10 +327,18 @@ def _unlinked(tokens: DataFrame) -> DataFrame:
     # of what is from the first shared shingle on, enough must be left
     fits = F.lit(9) * F.least(F.col("n_a") - at("a"), F.col("n_b") - at("b")) >= F.lit(4) * (F.col("n_a") + F.col("n_b"))
     out = written(both.filter((F.size("shared") >= F.least(spare("n_a"), spare("n_b"))) & fits).select("a", "b"), "unlinked")
-    dropped(spark, held_path, kept_path)
+    dropped(spark, held_path)
     return out
 
 
+def _rerooted(held: DataFrame, pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The shingles of ``_opened`` as ``_unlinked`` takes them, with the roots that ``groups`` (c, least, root) have after links ``pairs`` (a, b) between classes."""
+    root = lambda x: groups.select(F.col("c").alias(x), F.xxhash64("root").alias(f"root_{x}"))
+    moved = written(components(pairs.join(root("a"), "a").join(root("b"), "b"), "root_a", "root_b"), "moved")
+    now = held.join(checked(moved.withColumnRenamed("root", "_to")), F.col("root") == F.col("node"), "left").withColumn("_now", F.coalesce("_to", "root"))
+    return now.select("c", F.col("_now").alias("root"), "n", F.explode(F.arrays_zip("ats", "ts")).alias("_o")).select("c", "root", "n", F.col("_o.ats").alias("at"), F.col("_o.ts").alias("t"))
+
+
 def _linked(docs: DataFrame, classes: DataFrame, pairs: DataFrame, key: str, text: str) -> DataFrame:
     """Those of ``pairs`` whose shingles have a Jaccard similarity of ``COPY_SHARE`` or more."""
     asked = pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b").alias("c"))).distinct()
@@ -311,8 +364,9 @@ def copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 
     Texts with equal words are a class. Classes are compared by their sets of
     ``COPY_SHINGLE``-word shingles and linked from a Jaccard similarity of ``COPY_SHARE`` on;
-    a group is what links reach. Those that meet in a bucket are compared first, then all
-    others that share enough shingles of their prefixes and are in different groups still.
+    a group is what links reach. Those that meet in a bucket are compared first, then each
+    with the most central one of its shingles, then all others that share enough shingles of
+    their prefixes and are in different groups still.
     Tables that are read to the end are dropped on the way.
     """
     docs, key, text = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text")), "_id", "_text"
@@ -326,9 +380,11 @@ def copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     linked = _linked(docs, classes, _named(_meetings(classes), classes), key, text)
     roots = components(linked, "a", "b")
     groups = written(classes.select("c", "least").join(roots, F.col("c") == F.col("node"), "left").select("c", "least", F.coalesce("root", "c").alias("root")), "groups")
-    tokens = _prefixes(docs, groups, key, text)
-    more = _linked(docs, classes, _named(_unlinked(tokens), classes), key, text)
-    roots = components(linked.union(more), "a", "b")
+    held, path = _opened(_prefixes(docs, groups, key, text))
+    near = _linked(docs, classes, _named(_central(held), classes), key, text)
+    more = _linked(docs, classes, _named(_unlinked(_rerooted(held, near, groups)), classes), key, text)
+    dropped(spark, path)
+    roots = components(linked.union(near).union(more), "a", "b")
     rooted = written(classes.select("c", "least").join(roots, F.col("c") == F.col("node"), "left").select("c", "least", F.coalesce("root", "c").alias("root")), "rooted")
     least = written(rooted.groupBy(F.col("root").alias("of")).agg(F.min("least").alias("_stay")), "least")
     known = written(rooted.join(least, F.col("root") == F.col("of")).select(F.col("c").alias("_of"), "_stay"), "known")

@@ -440,6 +440,31 @@ def test_near_copies_at_the_threshold_are_all_found(spark, monkeypatch):
     assert {r["_id"]: r["_stay"] for r in simhash.copies(docs).collect()} == {k: root[k] for k in range(len(texts))}
 
 
+def test_members_of_a_large_group_meet_its_centre_not_each_other(spark, monkeypatch):
+    rng = np.random.default_rng(31)
+    base = [f"w{x}" for x in rng.integers(0, 10**9, 150)]
+    texts = [" ".join(base)]
+    for k in range(150):
+        t = list(base)
+        for at in rng.choice(150, 1 + k % 9, replace=False):
+            t[at] = f"w{rng.integers(0, 10**9)}"
+        texts.append(" ".join(t))
+    docs, met, write = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), [], simhash.written
+
+    def counted(df, name):
+        out = write(df, name)
+        met.extend([out.count()] if name in ("nearest", "met") else [])
+        return out
+
+    monkeypatch.setattr(simhash, "written", counted)
+    # nothing is linked by the buckets, so all is left to the shingles
+    monkeypatch.setattr(simhash, "APART", 0.0)
+    got = {r["_id"]: r["_stay"] for r in simhash.copies(docs).collect()}
+    root = groups([(i, j) for i, a in enumerate(texts) for j, b in enumerate(texts) if i < j and jaccard(a, b) >= 0.8], range(len(texts)))
+    assert got == {k: root[k] for k in range(len(texts))} and sum(r == 0 for r in root.values()) > 40
+    assert sum(met) < 4 * len(texts)
+
+
 @pytest.mark.parametrize("block", [1, 256])
 def test_every_pair_of_a_shared_shingle_is_compared(spark, monkeypatch, block):
     monkeypatch.setattr(simhash, "BLOCK", block)
