@@ -123,8 +123,8 @@ def slots(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first * STEP - ends + counts, counts), first, int(n.sum())
 
 
-def windows(places: np.ndarray, counts: np.ndarray, some: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(inputs, targets) of the windows of texts of ``counts`` places, or of ``some`` of them: what each reads (a text begins after place 0, the end) and scores (-1: nothing)."""
+def windows(places: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(inputs, targets) of the windows of texts of ``counts`` places: what each reads (a text begins after place 0, the end) and scores (-1: nothing)."""
     slot, first, n = slots(counts)
     own = np.full(n * STEP, -1, dtype=np.int32)
     own[slot] = places
@@ -134,13 +134,10 @@ def windows(places: np.ndarray, counts: np.ndarray, some: np.ndarray | None = No
     strided = np.lib.stride_tricks.as_strided(read, (n, WIDTH), (STEP * 4, 4), writeable=False)
     fresh = np.zeros(n, dtype=bool)
     fresh[first] = True
-    targets = own.reshape(n, STEP)
-    if some is not None:
-        strided, targets, fresh = strided[some], targets[some], fresh[some]
     inputs = strided.copy()
     # a text's first window has no context but the end of what was before
     inputs[fresh, :CONTEXT] = 0
-    return inputs, targets
+    return inputs, own.reshape(n, STEP)
 
 
 def _by(m: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -148,22 +145,17 @@ def _by(m: np.ndarray, w: np.ndarray) -> np.ndarray:
     return (m.reshape(-1, m.shape[-1]) @ w).reshape(*m.shape[:-1], w.shape[-1])
 
 
-def _body(p: Params, inputs: np.ndarray) -> dict:
-    x = p["emb"][inputs] + p["pos"]
-    late = np.ascontiguousarray(x[:, CONTEXT:])
-    q, k, v = _by(late, p["wq"]), _by(x, p["wk"]), _by(x, p["wv"])
-    a = (q * q.dtype.type(1 / np.sqrt(DIM))) @ k.transpose(0, 2, 1)
-    np.minimum(a, TOP, out=a)
-    np.exp(a, out=a)
-    a *= _SEEN
-    total = a.sum(-1, keepdims=True)
-    a /= total + a.dtype.type(1e-30)
-    c = a @ v
-    y = late + _by(c, p["wo"])
-    u = _by(y, p["w1"])
-    u += p["b1"]
-    np.maximum(u, 0, out=u)
-    return {"x": x, "late": late, "q": q, "k": k, "v": v, "a": a, "c": c, "y": y, "u": u, "h": y + _by(u, p["w2"])}
+def _bound(z: np.ndarray) -> None:
+    """Scores above ``TOP`` are cut to it."""
+    if z.max() > TOP:
+        np.minimum(z, TOP, out=z)
+
+
+def _with_ones(m: np.ndarray) -> np.ndarray:
+    """``m`` with a column of ones, which brings biases and their gradients into the products."""
+    out = np.ones((m.shape[0], m.shape[1] + 1), dtype=m.dtype)
+    out[:, :-1] = m
+    return out
 
 
 class Reader:
@@ -207,7 +199,7 @@ class Reader:
             np.minimum(z, TOP, out=z)
         own = z[np.arange(len(z)), t.group[targets.ravel()]]
         np.exp(z, out=z)
-        return own - np.log(z.sum(1)) + t.within[last, targets.ravel()]
+        return own - np.log(z @ np.ones(GROUPS, z.dtype)) + t.within[last, targets.ravel()]
 
     def log_probs(self, places: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Natural log probability of each place given those before it in its text."""
@@ -222,53 +214,80 @@ class Reader:
 
 
 def gradients(p: Params, tables: Tables, inputs: np.ndarray, targets: np.ndarray) -> tuple[float, Params]:
-    """(mean loss in groups, gradients) of windows as ``windows`` gives them."""
-    f = _body(p, inputs)
-    on = targets.ravel() >= 0
+    """(mean loss in groups, gradients) of windows as ``windows`` gives them.
+
+    Keys, values and queries are one product; rows of the softmaxes are divided by their
+    sums where they are narrow, after the products.
+    """
+    d, kind = DIM, p["emb"].dtype
     flat = lambda m: m.reshape(-1, m.shape[-1])
-    n, g, last = max(int(on.sum()), 1), tables.group[np.maximum(targets, 0).ravel()], inputs[:, CONTEXT:].ravel()
-    h, grad = flat(f["h"]), {}
-    z = h @ p["ug"]
+    shape, root = (*targets.shape, d), kind.type(1 / np.sqrt(d))
+    x = np.take(p["emb"], inputs, axis=0)
+    x += p["pos"]
+    w = np.concatenate([p["wk"], p["wv"], p["wq"] * root], axis=1)
+    kvq = _by(x, w)
+    k, v, q = kvq[:, :, :d], kvq[:, :, d : 2 * d], kvq[:, CONTEXT:, 2 * d :]
+    a = q @ k.transpose(0, 2, 1)
+    _bound(a)
+    np.exp(a, out=a)
+    a *= _SEEN
+    part = 1 / (flat(a) @ np.ones(WIDTH, kind) + kind.type(1e-30))[:, None]
+    c = flat(a @ v)
+    c *= part
+    y = c @ p["wo"]
+    y += flat(x[:, CONTEXT:])
+    y = _with_ones(y)
+    u = y @ np.vstack([p["w1"], p["b1"]])
+    np.maximum(u, 0, out=u)
+    h = u @ p["w2"]
+    h += y[:, :d]
+    h = _with_ones(h)
+    last, on, grad = inputs[:, CONTEXT:].ravel(), targets.ravel() >= 0, {}
+    n = max(int(on.sum()), 1)
+    z = h @ np.vstack([p["ug"], p["bg"]])
     z += np.take(tables.prior, last, axis=0)
-    z += p["bg"]
-    if z.max() > TOP:
-        np.minimum(z, TOP, out=z)
+    _bound(z)
     np.exp(z, out=z)
-    rows, total = np.arange(len(z)), z.sum(1)
-    loss = -np.log(z[rows, g] / total + 1e-30)[on].sum()
-    z *= (1 / (total * total.dtype.type(n)))[:, None]
-    z[rows, g] -= z.dtype.type(1 / n)
-    if not on.all():
-        z[~on] = 0
-    grad["ug"], grad["bg"] = h.T @ z, z.sum(0)
+    total = z @ np.ones(GROUPS, kind)
+    cells = tables.group[np.maximum(targets, 0).ravel()] + np.arange(0, z.size, GROUPS)
+    loss = -np.log(z.ravel()[cells] / total + 1e-30)[on].sum()
+    z.ravel()[cells] -= total
+    # places without a target have no part in any gradient
+    scale = (on / (total * n)).astype(kind)[:, None]
+    h *= scale
+    both = h.T @ z
+    grad["ug"], grad["bg"] = both[:d], both[d]
     out = z @ p["ug"].T
-    u = flat(f["u"])
+    out *= scale
     grad["w2"] = u.T @ out
     du = out @ p["w2"].T
     du *= u > 0
-    grad["w1"], grad["b1"] = flat(f["y"]).T @ du, du.sum(0)
+    both = y.T @ du
+    grad["w1"], grad["b1"] = both[:d], both[d]
     dy = du @ p["w1"].T
     dy += out
-    c = flat(f["c"])
     grad["wo"] = c.T @ dy
     dc = dy @ p["wo"].T
+    dc *= part
     drift = np.einsum("ij,ij->i", dc, c).reshape(*targets.shape, 1)
-    dc = dc.reshape(f["c"].shape)
-    ds = dc @ f["v"].transpose(0, 2, 1)
+    dc = dc.reshape(shape)
+    ds = dc @ v.transpose(0, 2, 1)
     ds -= drift
-    ds *= f["a"]
-    ds *= ds.dtype.type(1 / np.sqrt(DIM))
-    dv = f["a"].transpose(0, 2, 1) @ dc
-    dq, dk = ds @ f["k"], ds.transpose(0, 2, 1) @ f["q"]
-    x = flat(f["x"])
-    grad["wq"], grad["wk"], grad["wv"] = flat(f["late"]).T @ flat(dq), x.T @ flat(dk), x.T @ flat(dv)
-    dx = _by(dk, p["wk"].T)
-    dx += _by(dv, p["wv"].T)
-    dx[:, CONTEXT:] += dy.reshape(dq.shape) + _by(dq, p["wq"].T)
+    ds *= a
+    dkvq = np.empty_like(kvq)
+    dkvq[:, :, :d] = ds.transpose(0, 2, 1) @ q
+    dkvq[:, :, d : 2 * d] = a.transpose(0, 2, 1) @ dc
+    dkvq[:, :CONTEXT, 2 * d :] = 0
+    dkvq[:, CONTEXT:, 2 * d :] = ds @ k
+    both = flat(x).T @ flat(dkvq)
+    grad["wk"], grad["wv"], grad["wq"] = both[:, :d], both[:, d : 2 * d], both[:, 2 * d :] * root
+    dx = _by(dkvq, w.T)
+    dx[:, CONTEXT:] += dy.reshape(shape)
     grad["pos"] = dx.sum(0)
     # an id that stands often in the windows adds up what it gets
-    cells = inputs.reshape(-1, 1).astype(np.int64) * DIM + np.arange(DIM)
-    grad["emb"] = np.bincount(cells.ravel(), weights=dx.ravel(), minlength=p["emb"].size).reshape(p["emb"].shape).astype(dx.dtype)
+    cells = np.repeat(inputs.ravel().astype(np.int64) * d, d).reshape(-1, d)
+    cells += np.arange(d)
+    grad["emb"] = np.bincount(cells.ravel(), weights=dx.ravel(), minlength=p["emb"].size).reshape(p["emb"].shape).astype(kind)
     return float(loss) / n, grad
 
 
@@ -286,20 +305,19 @@ class Learner:
             size = np.sqrt(float(g @ g))
             if not np.isfinite(size):
                 continue
-            g *= np.float32(min(1.0, 1.0 / (size + 1e-9)))
+            # a tenth of the gradient goes into the first moment, and its square, a hundredth, into the second
+            g *= np.float32(0.1 * min(1.0, 1.0 / (size + 1e-9)))
             self.t += 1
             self.m *= np.float32(0.9)
-            self.v *= np.float32(0.99)
-            step = np.multiply(g, g, out=self.room)
-            step *= np.float32(0.01)
-            self.v += step
-            g *= np.float32(0.1)
             self.m += g
-            np.multiply(self.v, np.float32(1 / (1 - 0.99**self.t)), out=step)
-            np.sqrt(step, out=step)
-            step += np.float32(1e-6)
+            self.v *= np.float32(0.99)
+            g *= g
+            self.v += g
+            root = np.sqrt(1 - 0.99**self.t)
+            step = np.sqrt(self.v, out=self.room)
+            step += np.float32(1e-6 * root)
             np.divide(self.m, step, out=step)
-            step *= np.float32(self.rate / (1 - 0.9**self.t))
+            step *= np.float32(self.rate * root / (1 - 0.9**self.t))
             self.flat -= step
 
 

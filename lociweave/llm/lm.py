@@ -9,10 +9,11 @@
 3. The neighbours' counts of all blocks, summed, make the model's vocabulary and
    tables. Like the words' counts they cover every training text whole.
 4. The model learns in one pass over all windows of all training texts, whatever the
-   size of the corpus. The pass has ``ROUNDS`` rounds: in round r every partition learns
-   from each ``ROUNDS``-th of its windows, another one in each round, from the same
-   weights; the weights are averaged by their number of windows, in two levels and by
-   parts of the weight vector, so no task holds all copies.
+   size of the corpus. The pass has ``ROUNDS`` rounds: step 2 gives every training text
+   one of them as its turn and writes the turns apart, so a round reads its own texts
+   only. All partitions of a round learn from the same weights; the weights are averaged
+   by their number of windows, in two levels and by parts of the weight vector, so no
+   task holds all copies.
 5. All texts go through the model in overlapping windows.
 
 The driver holds the model and its tables, whose sizes are set by ``attention.PLACES``
@@ -174,10 +175,10 @@ def _encoded(words: DataFrame, tokenizer: str, size: int) -> DataFrame:
 def _coded(texts: DataFrame, words: DataFrame, path: str, size: int, ends: int, denominator: float) -> None:
     """Step 2, by block: ``base``, ``n_tokens`` and ``n_known`` of each text and its ids, and the counts of neighbours. ``ends`` training texts have an end."""
     kind = texts.schema["doc_id"].dataType
-    schema = _fields({"kind": T.IntegerType(), "doc_id": kind, "held_out": T.BooleanType(), "n_tokens": T.LongType(), "n_known": T.LongType(), "base": T.DoubleType(), "ids": T.BinaryType(), "at": T.LongType(), "n": T.LongType()})
+    schema = _fields({"kind": T.IntegerType(), "doc_id": kind, "held_out": T.BooleanType(), "n_tokens": T.LongType(), "n_known": T.LongType(), "base": T.DoubleType(), "ids": T.BinaryType(), "at": T.LongType(), "n": T.LongType(), "turn": T.IntegerType()})
 
     def made(left: pa.Table, right: pa.Table) -> pa.Table:
-        types = dict(zip(schema.names, [pa.int32(), left.schema.field("doc_id").type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.int64(), pa.int64()], strict=True))
+        types = dict(zip(schema.names, [pa.int32(), left.schema.field("doc_id").type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.int64(), pa.int64(), pa.int32()], strict=True))
         if not left.num_rows:
             return pa.Table.from_batches([_rows(TEXT, 0, types)])
         low, n = _numbers(left.column("codes").combine_chunks(), "<u2")
@@ -196,12 +197,18 @@ def _coded(texts: DataFrame, words: DataFrame, path: str, size: int, ends: int,
         ids, m = _sequences(codes, n, pool, sizes, size - 1)
         held = np.asarray(left.column("held_out").combine_chunks().to_numpy(zero_copy_only=False), dtype=bool)
         pairs, times = _pairs(ids[np.repeat(~held, m)], size - 1, size)
-        named = _rows(TEXT, len(n), types, doc_id=left.column("doc_id").combine_chunks(), held_out=pa.array(held), n_tokens=pa.array((n + 1).astype(np.int64)), n_known=pa.array(known), base=pa.array(base), ids=_binary(ids.astype(_id_kind(size)), m))
+        turn = _turns(held, left.column("block")[0].as_py())
+        named = _rows(TEXT, len(n), types, doc_id=left.column("doc_id").combine_chunks(), held_out=pa.array(held), n_tokens=pa.array((n + 1).astype(np.int64)), n_known=pa.array(known), base=pa.array(base), ids=_binary(ids.astype(_id_kind(size)), m), turn=pa.array(turn))
         del ids, codes, pool
         pa.default_memory_pool().release_unused()
-        return pa.Table.from_batches([named, _rows(PAIR, len(pairs), types, at=pa.array(pairs.astype(np.int64)), n=pa.array(times.astype(np.int64)))])
+        return pa.Table.from_batches([named, _rows(PAIR, len(pairs), types, at=pa.array(pairs.astype(np.int64)), n=pa.array(times.astype(np.int64)), turn=pa.array(np.full(len(pairs), ROUNDS, np.int32)))])
 
-    texts.groupBy("block").cogroup(words.groupBy("of")).applyInArrow(made, schema).write.partitionBy("kind").option("compression", "zstd").parquet(path)
+    texts.groupBy("block").cogroup(words.groupBy("of")).applyInArrow(made, schema).write.partitionBy("kind", "turn").option("compression", "zstd").parquet(path)
+
+
+def _turns(held: np.ndarray, block: int) -> np.ndarray:
+    """The round that learns from each text of a block: the training texts take turns, not all blocks from the same one on; held-out texts have ``ROUNDS``."""
+    return np.where(held, ROUNDS, (np.cumsum(~held) + block) % ROUNDS).astype(np.int32)
 
 
 def _sequences(codes: np.ndarray, counts: np.ndarray, pool: np.ndarray, sizes: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -252,20 +259,20 @@ def _round(texts: DataFrame, held, params: attention.Params, size: int, number:
         from pyspark import TaskContext
 
         vocabulary, tables = held.value
-        learner, passed, seen, part = attention.Learner(given.value, tables, rate), number, 0, TaskContext.get().partitionId()
+        learner, seen, part = attention.Learner(given.value, tables, rate), 0, TaskContext.get().partitionId()
         for batch in batches:
             ids, n = _numbers(batch.column(0), _id_kind(size))
             if not len(ids):
                 continue
-            many = int((-(-n // attention.STEP)).sum())
-            inputs, targets = attention.windows(vocabulary.place[ids], n, (passed + np.arange(many)) % ROUNDS == 0)
-            passed += many
-            mixed = np.random.default_rng(part * 31 + number).permutation(len(inputs))
-            # some windows at a time: they take many times the room of ids
-            for a in range(0, len(inputs), 1 << 14):
-                some = mixed[a : a + (1 << 14)]
-                learner.learn(inputs[some], targets[some])
-                seen += len(some)
+            stops, rng, a = np.cumsum(n), np.random.default_rng(part * 31 + number), 0
+            while a < len(n):
+                # some texts at a time: windows take many times the room of ids
+                done = int(stops[a - 1]) if a else 0
+                b = max(a + 1, int(np.searchsorted(stops, done + (1 << 19), side="right")))
+                inputs, targets = attention.windows(vocabulary.place[ids[done : int(stops[b - 1])]], n[a:b])
+                mixed = rng.permutation(len(inputs))
+                learner.learn(inputs[mixed], targets[mixed])
+                seen, a = seen + len(inputs), b
         if seen:
             flat = attention.packed(learner.p).astype(np.float64) * seen
             for k in range(0, weights, chunk):
@@ -294,9 +301,9 @@ def learned(table: DataFrame, size: int) -> Model:
     spark = table.sparkSession
     vocabulary, tables, places = _counted(table.filter(f"kind = {PAIR}").select("at", "n"), size)
     held, params = spark.sparkContext.broadcast((vocabulary, tables)), attention.initial()
-    train = table.filter(f"kind = {TEXT} and not held_out")
+    texts = table.filter(f"kind = {TEXT}")
     for number in range(ROUNDS if places else 0):
-        params = _round(train, held, params, size, number, RATE * (1 - number / ROUNDS))
+        params = _round(texts.filter(f"turn = {number}"), held, params, size, number, RATE * (1 - number / ROUNDS))
     held.destroy()
     return vocabulary, tables, params
 
@@ -323,7 +330,7 @@ def scored(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
     split, path = path, scratch(spark, "lm-ids")
     _coded(texts.select("block", "doc_id", "held_out", "codes", "high"), known, path, size, ends, float(np.log10(total + 1 * (distinct + 1))))
     dropped(spark, split, counted)
-    schema = _fields({"doc_id": kind, "held_out": T.BooleanType(), "n_tokens": T.LongType(), "n_known": T.LongType(), "base": T.DoubleType(), "ids": T.BinaryType(), "at": T.LongType(), "n": T.LongType(), "kind": T.IntegerType()})
+    schema = _fields({"doc_id": kind, "held_out": T.BooleanType(), "n_tokens": T.LongType(), "n_known": T.LongType(), "base": T.DoubleType(), "ids": T.BinaryType(), "at": T.LongType(), "n": T.LongType(), "kind": T.IntegerType(), "turn": T.IntegerType()})
     table = spark.read.schema(schema).parquet(path)
     held = spark.sparkContext.broadcast(model or learned(table, size))
 

@@ -1,6 +1,7 @@
 """Each operator against brute force over the small corpus, with its odd cases."""
 
 import math
+import os
 import re
 import zlib
 from collections import Counter
@@ -119,6 +120,44 @@ def test_lm_beats_the_base_on_held_out_texts(spark, size):
     assert len(got) == 2 and all(r["s"] > r["b"] for r in got)
 
 
+def test_lm_rounds_read_their_own_texts_and_together_all(spark):
+    from lociweave.llm.common import shared_dir
+
+    ids = list(range(100_000, 100_300))
+    before = set(os.listdir(shared_dir(spark).removeprefix("file:")))
+    texts = spark.createDataFrame([(k, f"some words of text {k} " * (1 + k % 7)) for k in ids], "doc_id long, text string").repartition(3)
+    assert lm.scored(texts, tokenizer_path("word_bpe_49k.json")).count() == len(ids)
+    made = [n for n in os.listdir(shared_dir(spark).removeprefix("file:")) if n not in before and n.startswith("lm-ids")]
+    assert len(made) == 1
+    folder = f"{shared_dir(spark)}/{made[0]}/kind={lm.TEXT}"
+    turns = {t: [r["doc_id"] for r in spark.read.parquet(f"{folder}/turn={t}").select("doc_id").collect()] for t in range(lm.ROUNDS + 1)}
+    held = {k for k in ids if zlib.crc32(str(k).encode()) % 7 == 2}
+    assert set(turns[lm.ROUNDS]) == held
+    learned = [turns[t] for t in range(lm.ROUNDS)]
+    assert Counter(k for t in learned for k in t) == Counter(set(ids) - held)
+    assert max(map(len, learned)) - min(map(len, learned)) <= 3
+
+
+def test_lm_gradients_are_slopes():
+    """Each gradient against the loss a little to both sides, and texts that end within a window."""
+    rng = np.random.default_rng(4)
+    _, tables, params = random_model(4, 3000)
+    tables.prior = tables.prior.astype(float)
+    params = {k: v.astype(float) * (0.1 if k == "ug" else 1) for k, v in params.items()}
+    inputs, targets = attention.windows(rng.integers(0, attention.PLACES, 200), np.array([1, 30, 24, 145]))
+    assert (targets < 0).any()
+    grads = attention.gradients(params, tables, inputs, targets)[1]
+    assert set(grads) == set(params)
+    for k, g in grads.items():
+        at = np.unravel_index(np.argmax(abs(g)), g.shape)
+        sides = []
+        for step in (1e-5, -1e-5):
+            moved = params[k].copy()
+            moved[at] += step
+            sides.append(attention.gradients(params | {k: moved}, tables, inputs, targets)[0])
+        assert g[at] == pytest.approx((sides[0] - sides[1]) / 2e-5, rel=1e-3)
+
+
 def test_lm_without_training_texts(spark):
     held = [k for k in range(60) if zlib.crc32(str(k).encode()) % 7 == 2]
     got = lm.scored(spark.createDataFrame([(k, "some words") for k in held], "doc_id long, text string"), tokenizer_path("word_bpe_49k.json")).collect()
